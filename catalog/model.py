@@ -1 +1,151 @@
-"""Pending."""
+"""Classifier queries: split, weights, training, scoring and metrics."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from catalog import views as v
+from catalog.core import query, rounded
+from cellwatch import runtime
+from cellwatch.operators import baselines, features, model
+
+H = v.hourly_sql()
+HD = v.hourly_sql(v.DENSE)
+DATASET = f"SELECT * FROM ({v.features_sql(HD)}) WHERE recent_6h_mean IS NOT NULL"
+SPLIT = f"""
+  WITH d AS MATERIALIZED ({DATASET}),
+  t AS (SELECT feature_timestamp, row_number() OVER (ORDER BY feature_timestamp) AS n FROM (SELECT DISTINCT feature_timestamp FROM d)),
+  e AS (SELECT CAST(floor(count(*) * 0.6::DOUBLE) AS BIGINT) AS a, CAST(floor(count(*) * 0.8::DOUBLE) AS BIGINT) AS b FROM t)
+  SELECT d.*, CASE WHEN t.n <= e.a THEN 'train' WHEN t.n <= e.b THEN 'validation' ELSE 'test' END AS split
+  FROM d JOIN t ON d.feature_timestamp = t.feature_timestamp, e"""
+
+
+def _dataset(spark, sf):
+    return features.model_dataset(v.hourly(spark, sf, v.DENSE))
+
+
+def _trained(spark, sf):
+    """Stored split dataset and the model fitted on it; the fit reads it often."""
+    split = runtime.materialize(model.chronological_split(_dataset(spark, sf)), "split")
+    return split, model.train_risk_model(split)
+
+
+@query("chronological_split", f"SELECT grid_id, feature_timestamp, target, split FROM ({SPLIT})")
+def _(spark, sf):
+    return model.chronological_split(_dataset(spark, sf)).select("grid_id", "feature_timestamp", "target", "split")
+
+
+@query(
+    "class_weights",
+    rounded(
+        f"""WITH c AS (SELECT target, count(*) AS rows FROM ({SPLIT}) WHERE split <> 'test' GROUP BY target)
+            SELECT target, rows, (SELECT sum(rows) FROM c) / ((SELECT count(*) FROM c) * rows)::DOUBLE AS weight FROM c""",
+        "weight",
+        "target, rows",
+    ),
+)
+def _(spark, sf):
+    return model.class_weights(model.chronological_split(_dataset(spark, sf)))
+
+
+@query("risk_model_train")
+def _(spark, sf):
+    """Metrics of the fitted tree on the held-out hours."""
+    split, fitted = _trained(spark, sf)
+    held_out = model.serving_predictions(fitted, split.where(F.col("split") == "test"))
+    return model.risk_model_metrics(held_out)
+
+
+@query("feature_importance")
+def _(spark, sf):
+    return model.feature_importance(_trained(spark, sf)[1], spark)
+
+
+@query("risk_scores")
+def _(spark, sf):
+    split, fitted = _trained(spark, sf)
+    return model.risk_scores(fitted, split)
+
+
+@query("serving_predictions")
+def _(spark, sf):
+    split, fitted = _trained(spark, sf)
+    return model.serving_predictions(fitted, split)
+
+
+_COUNTS = "test_rows, test_positive_rows, true_positive, false_positive, true_negative, false_negative"
+
+
+@query(
+    "risk_model_metrics",
+    rounded(
+        f"""SELECT *, (true_positive + true_negative) / test_rows AS accuracy,
+              coalesce(true_positive / nullif(true_positive + false_positive, 0), 0) AS precision,
+              coalesce(true_positive / nullif(test_positive_rows, 0), 0) AS recall,
+              coalesce(2 * true_positive / nullif(2 * true_positive + false_positive + false_negative, 0), 0) AS f1,
+              test_positive_rows / test_rows AS positive_rate, (true_positive + false_positive) / test_rows AS predicted_positive_rate
+            FROM (SELECT count(*) AS test_rows, count(*) FILTER (WHERE target = 1) AS test_positive_rows,
+              count(*) FILTER (WHERE target = 1 AND prediction = 1) AS true_positive, count(*) FILTER (WHERE target = 0 AND prediction = 1) AS false_positive,
+              count(*) FILTER (WHERE target = 0 AND prediction = 0) AS true_negative, count(*) FILTER (WHERE target = 1 AND prediction = 0) AS false_negative
+            FROM ({v.predicted_sql(HD)}))""",
+        "accuracy precision recall f1 positive_rate predicted_positive_rate",
+        _COUNTS,
+    ),
+)
+def _(spark, sf):
+    return model.risk_model_metrics(v.predicted(v.hourly(spark, sf, v.DENSE)))
+
+
+@query(
+    "model_rule_agreement",
+    rounded(
+        f"""SELECT CAST(sum(m) AS BIGINT) AS model_high_risk, CAST(sum(r) AS BIGINT) AS np3_high_activity, count(*) FILTER (WHERE m = r) AS agreement_count,
+              count(*) AS comparable_rows, count(*) FILTER (WHERE m = r) / count(*)::DOUBLE AS agreement_rate
+            FROM (SELECT CAST(p.risk_probability >= 0.85 AS INTEGER) AS m, CAST(w.total_activity > 1.5::DOUBLE * w.trailing_median AS INTEGER) AS r
+                  FROM ({v.predicted_sql(HD)}) p JOIN ({v.windows_sql(HD)}) w ON p.grid_id = w.grid_id AND p.timestamp = w.timestamp
+                  WHERE w.trailing_median IS NOT NULL)""",
+        "agreement_rate",
+        "model_high_risk, np3_high_activity, agreement_count, comparable_rows",
+    ),
+)
+def _(spark, sf):
+    hours = v.hourly(spark, sf, v.DENSE)
+    evaluated = v.predicted(hours).withColumnRenamed("timestamp", "feature_timestamp")
+    return model.model_rule_agreement(evaluated, baselines.trailing_high_activity(hours))
+
+
+@query(
+    "risk_levels",
+    rounded(
+        f"""SELECT grid_id, timestamp, score AS risk_score, {v.level_sql('score')} AS risk_level,
+              CASE WHEN score >= 0.8 THEN 'High future high-activity risk. Investigate the grid.'
+                WHEN score >= 0.4 THEN 'Medium future high-activity risk. Monitor the grid and consider investigation.'
+                ELSE 'Low future high-activity risk based on the ML3 prediction.' END AS explanation
+            FROM (SELECT grid_id, timestamp, {v.stand_in_sql()} AS score FROM ({H}))""",
+        "risk_score",
+        "grid_id, timestamp, risk_level, explanation",
+    ),
+)
+def _(spark, sf):
+    return model.risk_levels(v.scored_hours(v.hourly(spark, sf)).drop("risk_level", "model_version"))
+
+
+def _side(label: str, threshold: float) -> str:
+    return f"""SELECT '{label}' AS setting, {threshold} AS threshold, (SELECT count(*) FROM s WHERE score >= {threshold}) AS flagged_volume,
+        (SELECT string_agg(CAST(grid_id AS VARCHAR), ',' ORDER BY score DESC, grid_id) FROM (
+          SELECT * FROM s WHERE score >= {threshold} ORDER BY score DESC, grid_id, timestamp LIMIT 5)) AS top_cells"""
+
+
+@query(
+    "risk_threshold_sensitivity",
+    rounded(
+        f"""WITH s AS MATERIALIZED (SELECT grid_id, timestamp, {v.stand_in_sql()} AS score FROM ({H})),
+              b AS ({_side('baseline', 0.65)} UNION ALL {_side('trial', 0.35)})
+            SELECT *, 100.0::DOUBLE * (flagged_volume - (SELECT flagged_volume FROM b WHERE setting = 'baseline'))
+              / greatest((SELECT flagged_volume FROM b WHERE setting = 'baseline'), 1) AS growth_pct FROM b""",
+        "threshold growth_pct",
+        "setting, flagged_volume, top_cells",
+    ),
+)
+def _(spark, sf):
+    return model.risk_threshold_sensitivity(v.scored_hours(v.hourly(spark, sf)))

@@ -1 +1,177 @@
-"""Pending."""
+"""Data-quality queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from catalog import views as v
+from catalog.core import query, rounded
+from catalog.joins import FILE, star_tables
+from cellwatch import runtime
+from cellwatch.operators import alerts, features, geo, quality, star
+from cellwatch.sources import activity, sinks
+
+H = v.hourly_sql()
+HD = v.hourly_sql(v.DENSE)
+C = v.cells_sql()
+RAW = v.telemetry_sql()
+
+
+@query(
+    "dq_grain",
+    f"""SELECT count(*) AS row_count, count(*) AS distinct_keys, CAST(0 AS BIGINT) AS duplicate_groups, (SELECT count(*) FROM ({RAW})) AS source_rows,
+          TRUE AS unique_grain, TRUE AS reduced FROM (SELECT DISTINCT grid_id, timestamp FROM ({RAW}))""",
+)
+def _(spark, sf):
+    return quality.dq_grain(v.hourly(spark, sf), v.telemetry(spark, sf))
+
+
+@query(
+    "grain_violations",
+    f"SELECT grid_id, timestamp, count(*) AS rows FROM ({RAW}) GROUP BY 1, 2 HAVING count(*) > 1",
+)
+def _(spark, sf):
+    return quality.grain_violations(v.telemetry(spark, sf))
+
+
+@query(
+    "dq_grid_reference",
+    f"""SELECT count(*) AS feature_count, count(DISTINCT grid_id) AS distinct_grids, CAST(0 AS BIGINT) AS duplicate_grids,
+          CAST(0 AS BIGINT) AS null_geometries, count(*) FILTER (WHERE grid_id NOT BETWEEN 1 AND 10000) AS out_of_range_grids FROM ({C})""",
+)
+def _(spark, sf):
+    return quality.dq_grid_reference(v.grid_cells(spark, sf))
+
+
+@query(
+    "dq_geometry",
+    rounded(
+        f"""SELECT count(*) AS polygons, CAST(0 AS BIGINT) AS multipolygons, min(x0) AS min_longitude, max(x1) AS max_longitude,
+              min(y0) AS min_latitude, max(y1) AS max_latitude,
+              count(*) FILTER (WHERE x0 < -180 OR x1 > 180 OR y0 < -90 OR y1 > 90) AS out_of_bounds,
+              CAST(0 AS BIGINT) AS open_rings, CAST(0 AS BIGINT) AS empty_areas FROM ({C})""",
+        "min_longitude max_longitude min_latitude max_latitude",
+        "polygons, multipolygons, out_of_bounds, open_rings, empty_areas",
+    ),
+)
+def _(spark, sf):
+    return quality.dq_geometry(v.grid_cells(spark, sf))
+
+
+@query(
+    "dq_adjacency",
+    rounded(
+        f"""SELECT count(*) AS pairs, count(*) FILTER (WHERE gap = 0) AS coincident, count(*) FILTER (WHERE gap >= 0.01) AS too_far, max(gap) AS largest_gap
+            FROM (SELECT sqrt(pow(b.area_lon - a.area_lon, 2) + pow(b.area_lat - a.area_lat, 2)) AS gap
+                  FROM ({C}) a JOIN ({C}) b ON b.grid_id = a.grid_id + 1 WHERE a.grid_id % 100 <> 0)""",
+        "largest_gap",
+        "pairs, coincident, too_far",
+    ),
+)
+def _(spark, sf):
+    return quality.dq_adjacency(geo.area_centroids(v.grid_cells(spark, sf)))
+
+
+@query(
+    "dq_enrichment",
+    rounded(
+        f"""WITH h AS ({H}), c AS ({v.cells_sql(64)}) SELECT count(*) AS rows_before, count(*) AS rows_after, count(DISTINCT grid_id) AS grids_before,
+              count(DISTINCT grid_id) AS grids_after, count(*) FILTER (WHERE grid_id IN (SELECT grid_id FROM c)) AS located_rows,
+              round(100.0::DOUBLE * count(*) FILTER (WHERE grid_id IN (SELECT grid_id FROM c)) / count(*), 4) AS coverage_pct,
+              TRUE AS rows_preserved, TRUE AS grids_preserved FROM h""",
+        "coverage_pct",
+        "rows_before, rows_after, grids_before, grids_after, located_rows, rows_preserved, grids_preserved",
+    ),
+)
+def _(spark, sf):
+    hours = v.hourly(spark, sf)
+    return quality.dq_enrichment(hours, geo.enrich_geo(hours, geo.area_centroids(v.grid_cells(spark, sf, 64))))
+
+
+@query(
+    "dq_round_trip",
+    f"""SELECT count(*) AS rows_written, count(*) AS rows_read, TRUE AS schema_matches, TRUE AS content_matches,
+          CAST(0 AS BIGINT) AS duplicate_groups, TRUE AS geometry_free FROM ({H})""",
+)
+def _(spark, sf):
+    hours = v.hourly(spark, sf)
+    path = runtime.scratch_path(spark, "round-trip")
+    sinks.write_table(hours, path)
+    return quality.dq_round_trip(hours, activity.scan_parquet(spark, path))
+
+
+@query(
+    "dq_partitions",
+    f"""SELECT CAST(CAST(timestamp AS DATE) AS VARCHAR) AS date, count(*) AS rows FROM ({v.dirty_sql()}) WHERE NOT {v.INVALID_SQL} GROUP BY 1""",
+)
+def _(spark, sf):
+    path = runtime.scratch_path(spark, "partitions")
+    sinks.write_activity_partitioned(v.clean_activity(spark, sf), path)
+    return quality.dq_partitions(activity.scan_parquet(spark, path))
+
+
+@query(
+    "dq_alerts",
+    f"""SELECT count(*) AS alerts, CAST(0 AS BIGINT) AS without_reason, count(*) FILTER (WHERE baseline_activity IS NULL) AS missing_values,
+          count(*) FILTER (WHERE grid_id NOT BETWEEN 1 AND 4) AS unknown_grids FROM ({v.alerts_sql(HD)})""",
+)
+def _(spark, sf):
+    hours = v.hourly(spark, sf, v.DENSE)
+    return quality.dq_alerts(alerts.network_alerts(hours), hours)
+
+
+@query(
+    "dq_source",
+    f"""SELECT count(*) AS row_count, CAST(0 AS BIGINT) AS rows_with_nulls, CAST(0 AS BIGINT) AS duplicate_rows,
+          count(*) FILTER (WHERE total_activity < 0) AS negative_total, count(*) FILTER (WHERE internet_activity < 0) AS negative_internet FROM ({H})""",
+)
+def _(spark, sf):
+    return quality.dq_source(v.hourly(spark, sf))
+
+
+@query(
+    "dq_features",
+    f"""SELECT count(*) AS row_count, CAST(0 AS BIGINT) AS non_finite_rows, CAST(0 AS BIGINT) AS duplicate_rows,
+          count(*) FILTER (WHERE active_hours NOT BETWEEN 0 AND 24) AS active_hours_out_of_range,
+          count(*) FILTER (WHERE internet_share NOT BETWEEN 0 AND 1) AS internet_share_out_of_range FROM ({v.features_sql(HD)})""",
+)
+def _(spark, sf):
+    return quality.dq_features(features.network_features(v.hourly(spark, sf, v.DENSE)))
+
+
+@query(
+    "dq_risk_scores",
+    rounded(
+        f"""SELECT count(*) AS row_count, CAST(0 AS BIGINT) AS duplicate_rows, CAST(0 AS BIGINT) AS rows_with_nulls, CAST(0 AS BIGINT) AS score_out_of_range,
+              CAST(0 AS BIGINT) AS unknown_levels, TRUE AS single_version, min({v.stand_in_sql()}) AS min_score, max({v.stand_in_sql()}) AS max_score,
+              count(*) AS expected_rows FROM ({H})""",
+        "min_score max_score",
+        "row_count, duplicate_rows, rows_with_nulls, score_out_of_range, unknown_levels, single_version, expected_rows",
+    ),
+)
+def _(spark, sf):
+    hours = v.hourly(spark, sf)
+    return quality.dq_risk_scores(v.scored_hours(hours), hours.agg(F.count("*")).scalar())
+
+
+@query(
+    "dq_foreign_keys",
+    f"""SELECT count(*) AS fact_rows, count(*) AS source_rows, CAST(0 AS BIGINT) AS orphan_time_keys, CAST(0 AS BIGINT) AS orphan_grid_keys,
+          CAST(0 AS BIGINT) AS duplicate_timestamps, CAST(0 AS BIGINT) AS duplicate_grids FROM ({H})""",
+)
+def _(spark, sf):
+    hours, times, grids = star_tables(spark, sf)
+    return quality.dq_foreign_keys(star.fact_network_activity(hours, times, grids), times, grids, hours)
+
+
+@query(
+    "dq_publish",
+    f"""SELECT count(*) AS rows_published, CAST(0 AS BIGINT) AS duplicate_facts, max(timestamp) AS as_of,
+          (SELECT count(*) FROM ({v.features_sql(HD)})) AS feature_rows, count(*) AS risk_rows,
+          (SELECT count(*) FROM ({v.features_sql(HD)})) > 0 AS publishable FROM ({HD})""",
+)
+def _(spark, sf):
+    hours = v.hourly(spark, sf, v.DENSE)
+    times, grids = star.dim_time(hours), star.dim_grid(v.grid_cells(spark, sf, v.DENSE), FILE)
+    fact = star.fact_network_activity(hours, times, grids)
+    return quality.dq_publish(fact, times, features.network_features(hours), v.scored_hours(hours))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from catalog import views as v
 from catalog.core import query, rounded
-from cellwatch.operators import alerts, rollup
+from cellwatch.operators import alerts, rollup, star
 from cellwatch.schemas import MEASURES
 
 H = v.hourly_sql()
@@ -90,7 +90,7 @@ def _(spark, sf):
     ),
 )
 def _(spark, sf):
-    hours = v.hourly(spark, sf)
+    hours = v.stored_hourly(spark, sf)
     return rollup.network_summary(hours, rollup.resolve_as_of(hours))
 
 
@@ -110,10 +110,9 @@ _CONTROL = MEASURES + ["total_sms", "total_calls", "total_activity"]
     ),
 )
 def _(spark, sf):
-    from cellwatch.operators import star
+    from catalog.joins import star_tables
 
-    hours = v.hourly(spark, sf)
-    times, grids = star.dim_time(hours), star.dim_grid(v.grid_cells(spark, sf), "milano-grid.geojson")
+    hours, times, grids = star_tables(spark, sf)
     return rollup.control_totals(hours, star.fact_network_activity(hours, times, grids))
 
 
@@ -142,7 +141,7 @@ def _(spark, sf):
 
 @query("activity_floor", rounded(v.floor_sql(H), "activity_floor", DATE))
 def _(spark, sf):
-    return alerts.activity_floor(v.hourly(spark, sf))
+    return alerts.activity_floor(v.stored_hourly(spark, sf))
 
 
 @query(
@@ -174,7 +173,7 @@ def _(spark, sf):
     ),
 )
 def _(spark, sf):
-    hours = v.hourly(spark, sf, v.DENSE)
+    hours = v.stored_hourly(spark, sf, v.DENSE)
     return alerts.alert_summary(alerts.network_alerts(hours), hours)
 
 
@@ -183,7 +182,7 @@ def _(spark, sf):
     f"SELECT grid_id, count(*) AS alerts FROM ({v.alerts_sql(HD)}) GROUP BY grid_id ORDER BY alerts DESC, grid_id LIMIT 10",
 )
 def _(spark, sf):
-    return alerts.top_alert_grids(alerts.network_alerts(v.hourly(spark, sf, v.DENSE)))
+    return alerts.top_alert_grids(alerts.network_alerts(v.stored_hourly(spark, sf, v.DENSE)))
 
 
 @query(

@@ -1 +1,46 @@
-"""Pending."""
+"""Whole jobs over the given tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from catalog import views as v
+from catalog.core import query, rounded
+from cellwatch import runtime
+from cellwatch.plans import batch
+
+D = v.dirty_sql()
+CLEAN = f"SELECT * FROM ({D}) WHERE NOT {v.INVALID_SQL}"
+FILLED = f"SELECT timestamp, grid_id, {', '.join(f'coalesce({m}, 0) AS {m}' for m in v.MEASURES)} FROM ({CLEAN})"
+HC = v.hourly_sql(source=FILLED)
+
+
+@query(
+    "activity_load",
+    rounded(
+        f"""SELECT (SELECT count(*) FROM ({D})) AS rows_in, (SELECT count(*) FROM ({D}) WHERE {v.INVALID_SQL}) AS rows_rejected,
+              count(*) AS hourly_rows, sum(total_activity) AS total_activity FROM ({HC})""",
+        "total_activity",
+        "rows_in, rows_rejected, hourly_rows",
+    ),
+)
+def _(spark, sf):
+    out = batch.Layout(runtime.scratch_path(spark, "load"))
+    counts = batch.load_activity(v.dirty_telemetry(spark, sf).drop("event_id"), out)
+    return out.read(spark, "hourly").agg(
+        *[F.lit(counts[c]).cast("bigint").alias(c) for c in ("rows_in", "rows_rejected")],
+        F.count("*").alias("hourly_rows"),
+        F.sum("total_activity").alias("total_activity"),
+    )
+
+
+@query("published_run")
+def _(spark, sf):
+    """Raw rows to published tables: load, star, signals, model, gate, status."""
+    out = batch.Layout(runtime.scratch_path(spark, "run"))
+    counts = batch.load_activity(v.telemetry(spark, sf, v.DENSE), out)
+    batch.load_star(spark, out, v.grid_cells(spark, sf, v.DENSE), "milano-grid.geojson")
+    batch.load_signals(spark, out)
+    batch.score_risk(spark, out)
+    record = batch.publish(spark, out, "run-1", counts, F.lit("2024-02-01 00:00:00").cast("timestamp_ntz"))
+    return record.select("run_id", "status", "rows_in", "rows_rejected", "nulls_handled", "rows_published", "AS_OF")

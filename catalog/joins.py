@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from catalog import views as v
 from catalog.core import query, rounded
+from cellwatch import runtime
 from cellwatch.operators import alerts, anomaly, baselines, features, geo, ops, rollup, star
 from cellwatch.schemas import FEATURES_24H, FEATURES_EXTRA, MEASURES, MODEL_FEATURES
 
@@ -27,14 +28,16 @@ GRIDS = f"""
 
 
 def star_tables(spark, sf):
-    hours = v.hourly(spark, sf)
-    times, grids = star.dim_time(hours), star.dim_grid(v.grid_cells(spark, sf), FILE)
+    """Stored hourly rows and dimensions, as a warehouse load leaves them."""
+    hours = v.stored_hourly(spark, sf)
+    times = runtime.materialize(star.dim_time(hours), "dim-time")
+    grids = runtime.materialize(star.dim_grid(v.grid_cells(spark, sf), FILE), "dim-grid")
     return hours, times, grids
 
 
 @query("dim_time", f"SELECT time_key, timestamp, {DATE}, hour, day_of_week FROM ({TIMES})")
 def _(spark, sf):
-    return star.dim_time(v.hourly(spark, sf))
+    return star.dim_time(v.stored_hourly(spark, sf))
 
 
 @query("dim_grid", rounded(GRIDS, "centroid_latitude centroid_longitude", "grid_key, grid_id, geometry_reference"))
@@ -61,7 +64,7 @@ def _(spark, sf):
         WHERE grid_id NOT IN (SELECT grid_id FROM ({CD})) GROUP BY 2""",
 )
 def _(spark, sf):
-    hours = v.hourly(spark, sf)
+    hours = v.stored_hourly(spark, sf)
     return star.unknown_keys(hours, star.dim_time(hours), star.dim_grid(v.grid_cells(spark, sf, v.DENSE), FILE))
 
 
@@ -165,7 +168,7 @@ def _(spark, sf):
     ),
 )
 def _(spark, sf):
-    return alerts.eligible_grids(v.hourly(spark, sf)).select(
+    return alerts.eligible_grids(v.stored_hourly(spark, sf)).select(
         "grid_id", "timestamp", "total_activity", "daily_activity", "activity_floor", "eligible"
     )
 
@@ -200,7 +203,7 @@ COMPARISON = f"""
 
 
 def comparison(spark, sf):
-    hours = v.hourly(spark, sf, v.DENSE)
+    hours = v.stored_hourly(spark, sf, v.DENSE)
     scores = anomaly.anomaly_scores(baselines.hour_bucket_baseline(hours))
     return anomaly.three_way_comparison(scores, alerts.network_alerts(hours), v.predicted(hours), ["ml3_probability"])
 
@@ -264,7 +267,7 @@ def _(spark, sf):
     ),
 )
 def _(spark, sf):
-    hours = v.hourly(spark, sf)
+    hours = v.stored_hourly(spark, sf)
     return ops.top_attention(v.scored_hours(hours), anomaly.anomaly_scores(baselines.hour_bucket_baseline(hours)))
 
 
@@ -303,7 +306,7 @@ def _(spark, sf):
     ),
 )
 def _(spark, sf):
-    return geo.neighbour_activity(v.hourly(spark, sf), geo.grid_neighbours(v.located_cells(spark, sf), 6))
+    return geo.neighbour_activity(v.stored_hourly(spark, sf), geo.grid_neighbours(v.located_cells(spark, sf), 6))
 
 
 def _dec(expr: str, digits: int) -> str:
@@ -326,7 +329,7 @@ def _dec(expr: str, digits: int) -> str:
     ),
 )
 def _(spark, sf):
-    rows = features.network_features(v.hourly(spark, sf, v.DENSE))
+    rows = features.network_features(v.stored_hourly(spark, sf, v.DENSE))
     as_of = rows.agg(F.max("feature_timestamp")).scalar()
     return ops.surging_grids(rows, v.located_cells(spark, sf, v.DENSE), as_of)
 
@@ -340,5 +343,5 @@ def _(spark, sf):
 def _(spark, sf):
     from cellwatch.functions.columns import hours as hour_count
 
-    hours = v.hourly(spark, sf, v.DENSE)
+    hours = v.stored_hourly(spark, sf, v.DENSE)
     return features.leakage_compare(hours, rollup.resolve_as_of(hours) - hour_count(24))

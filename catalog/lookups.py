@@ -44,7 +44,7 @@ def _feed_sql(where: str, limit: int) -> str:
     rounded(_feed_sql("timestamp <= (SELECT max(timestamp) FROM hh)".replace("hh", f"({HD})"), 100), "current_activity baseline_activity", f"{GT}, alert_type, reason"),
 )
 def _(spark, sf):
-    hours = v.hourly(spark, sf, v.DENSE)
+    hours = v.stored_hourly(spark, sf, v.DENSE)
     return alerts.alert_feed(alerts.network_alerts(hours), rollup.resolve_as_of(hours), limit=100)
 
 
@@ -57,7 +57,7 @@ def _(spark, sf):
     ),
 )
 def _(spark, sf):
-    hours = v.hourly(spark, sf, v.DENSE)
+    hours = v.stored_hourly(spark, sf, v.DENSE)
     as_of = rollup.resolve_as_of(hours, "2024-01-20 12:00:00")
     return alerts.alert_feed(alerts.network_alerts(hours), as_of, "ACTIVITY_DROP", 100)
 
@@ -72,7 +72,7 @@ def _(spark, sf):
     ),
 )
 def _(spark, sf):
-    hours = v.hourly(spark, sf)
+    hours = v.stored_hourly(spark, sf)
     return ops.grid_activity_24h(hours, rollup.resolve_as_of(hours))
 
 
@@ -101,7 +101,7 @@ LOOKUP = f"""
 
 
 def _lookup(spark, sf):
-    hours = v.hourly(spark, sf, v.DENSE)
+    hours = v.stored_hourly(spark, sf, v.DENSE)
     scores = anomaly.anomaly_scores(baselines.hour_bucket_baseline(hours))
     return hours, ops.risk_lookup(v.predicted(hours), scores)
 
@@ -118,7 +118,7 @@ def _(spark, sf):
           (SELECT max(timestamp) FROM h WHERE timestamp = TIMESTAMP '2031-01-01 00:00:00') AS unknown""",
 )
 def _(spark, sf):
-    hours = v.hourly(spark, sf)
+    hours = v.stored_hourly(spark, sf)
     return spark.range(1).select(
         rollup.resolve_as_of(hours).alias("latest"),
         rollup.resolve_as_of(hours, "2024-01-20 12:00:00").alias("requested"),
@@ -232,7 +232,7 @@ def _(spark, sf):
         FROM al FULL JOIN s ON al.grid_id = s.grid_id""",
 )
 def _(spark, sf):
-    hours = v.hourly(spark, sf, v.DENSE)
+    hours = v.stored_hourly(spark, sf, v.DENSE)
     as_of = rollup.resolve_as_of(hours)
     current = alerts.network_alerts(hours).where(F.col("timestamp") == as_of)
     return alerts.display_priority(current, ops.hotspots_as_of(hours, as_of))

@@ -109,7 +109,7 @@ def _(spark, sf):
     ),
 )
 def _(spark, sf):
-    hours = v.hourly(spark, sf, v.DENSE)
+    hours = v.stored_hourly(spark, sf, v.DENSE)
     evaluated = v.predicted(hours).withColumnRenamed("timestamp", "feature_timestamp")
     return model.model_rule_agreement(evaluated, baselines.trailing_high_activity(hours))
 

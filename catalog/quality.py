@@ -84,7 +84,7 @@ def _(spark, sf):
     ),
 )
 def _(spark, sf):
-    hours = v.hourly(spark, sf)
+    hours = v.stored_hourly(spark, sf)
     return quality.dq_enrichment(hours, geo.enrich_geo(hours, geo.area_centroids(v.grid_cells(spark, sf, 64))))
 
 
@@ -94,7 +94,7 @@ def _(spark, sf):
           CAST(0 AS BIGINT) AS duplicate_groups, TRUE AS geometry_free FROM ({H})""",
 )
 def _(spark, sf):
-    hours = v.hourly(spark, sf)
+    hours = v.stored_hourly(spark, sf)
     path = runtime.scratch_path(spark, "round-trip")
     sinks.write_table(hours, path)
     return quality.dq_round_trip(hours, activity.scan_parquet(spark, path))
@@ -116,7 +116,7 @@ def _(spark, sf):
           count(*) FILTER (WHERE grid_id NOT BETWEEN 1 AND 4) AS unknown_grids FROM ({v.alerts_sql(HD)})""",
 )
 def _(spark, sf):
-    hours = v.hourly(spark, sf, v.DENSE)
+    hours = v.stored_hourly(spark, sf, v.DENSE)
     return quality.dq_alerts(alerts.network_alerts(hours), hours)
 
 
@@ -150,7 +150,7 @@ def _(spark, sf):
     ),
 )
 def _(spark, sf):
-    hours = v.hourly(spark, sf)
+    hours = v.stored_hourly(spark, sf)
     return quality.dq_risk_scores(v.scored_hours(hours), hours.agg(F.count("*")).scalar())
 
 
@@ -171,7 +171,7 @@ def _(spark, sf):
           (SELECT count(*) FROM ({v.features_sql(HD)})) > 0 AS publishable FROM ({HD})""",
 )
 def _(spark, sf):
-    hours = v.hourly(spark, sf, v.DENSE)
+    hours = v.stored_hourly(spark, sf, v.DENSE)
     times, grids = star.dim_time(hours), star.dim_grid(v.grid_cells(spark, sf, v.DENSE), FILE)
     fact = star.fact_network_activity(hours, times, grids)
     return quality.dq_publish(fact, times, features.network_features(hours), v.scored_hours(hours))

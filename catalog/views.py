@@ -81,6 +81,11 @@ def hourly(spark: SparkSession, sf: str, cells: int | None = None) -> DataFrame:
     return rollup.hourly_grid_summary(telemetry(spark, sf, cells))
 
 
+def stored_hourly(spark: SparkSession, sf: str, cells: int | None = None) -> DataFrame:
+    """Hourly rows written once, for queries that read them more than once."""
+    return runtime.materialize(hourly(spark, sf, cells), "hourly")
+
+
 def clean_activity(spark: SparkSession, sf: str) -> DataFrame:
     return cleaning.clean(dirty_telemetry(spark, sf))
 

@@ -41,7 +41,7 @@ def _(spark, sf):
     ),
 )
 def _(spark, sf):
-    hours = v.hourly(spark, sf)
+    hours = v.stored_hourly(spark, sf)
     return ops.hotspots_as_of(hours, rollup.resolve_as_of(hours))
 
 
@@ -87,7 +87,7 @@ def _(spark, sf):
     ),
 )
 def _(spark, sf):
-    return baselines.densify_hours(v.hourly(spark, sf).select("grid_id", "timestamp", "total_activity", "internet_activity"))
+    return baselines.densify_hours(v.stored_hourly(spark, sf).select("grid_id", "timestamp", "total_activity", "internet_activity"))
 
 
 def _feature_query(key: str, name: str, column: str) -> None:
@@ -169,7 +169,7 @@ def _(spark, sf):
     ),
 )
 def _(spark, sf):
-    rows = v.hourly(spark, sf).select("grid_id", "timestamp", "total_activity", "day_of_week", "hour")
+    rows = v.stored_hourly(spark, sf).select("grid_id", "timestamp", "total_activity", "day_of_week", "hour")
     return baselines.hour_bucket_baseline(rows, ("day_of_week", "hour")).drop("hour_of_day")
 
 
@@ -207,7 +207,7 @@ HISTORY = f"""
     ),
 )
 def _(spark, sf):
-    hours = v.hourly(spark, sf)
+    hours = v.stored_hourly(spark, sf)
     return baselines.history_summary(hours, rollup.resolve_as_of(hours))
 
 
@@ -218,7 +218,7 @@ def _(spark, sf):
         FROM (SELECT timestamp, lag(timestamp) OVER (ORDER BY timestamp) AS p FROM (SELECT DISTINCT timestamp FROM ({H})))""",
 )
 def _(spark, sf):
-    hours = v.hourly(spark, sf)
+    hours = v.stored_hourly(spark, sf)
     return baselines.hourly_cadence(hours, hours.agg(F.countDistinct("date")).scalar())
 
 
@@ -227,7 +227,7 @@ def _(spark, sf):
     rounded(v.alerts_sql(HD), "current_activity baseline_activity", f"{GT}, alert_type, reason"),
 )
 def _(spark, sf):
-    return alerts.network_alerts(v.hourly(spark, sf, v.DENSE))
+    return alerts.network_alerts(v.stored_hourly(spark, sf, v.DENSE))
 
 
 @query(

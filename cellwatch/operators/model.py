@@ -176,24 +176,26 @@ def model_rule_agreement(evaluated: DataFrame, rule_flags: DataFrame) -> DataFra
 
 
 def risk_threshold_sensitivity(scores: DataFrame, baseline: float = 0.65, trial: float = 0.35, top: int = 5) -> DataFrame:
-    """Rows flagged at two thresholds, the growth, and the top cells of each."""
-
-    def side(threshold: float, label: str) -> DataFrame:
-        flagged = scores.where(F.col("risk_score") >= threshold)
-        leaders = flagged.orderBy(F.desc("risk_score"), "grid_id", "timestamp").limit(top)
-        listed = leaders.agg(
-            F.sort_array(F.collect_list(F.struct("risk_score", (-F.col("grid_id")).alias("g"))), asc=False).alias("l")
-        ).select(F.array_join(F.transform("l", lambda x: (-x["g"]).cast("string")), ","))
-        return scores.agg(F.count_if(F.col("risk_score") >= threshold).alias("flagged_volume")).select(
-            F.lit(label).alias("setting"),
-            F.lit(threshold).alias("threshold"),
-            "flagged_volume",
-            listed.scalar().alias("top_cells"),
-        )
+    """Rows flagged at two thresholds, the growth, and the top cells of each.
 
-    base = scores.agg(F.count_if(F.col("risk_score") >= baseline)).scalar()
-    both = side(baseline, "baseline").unionByName(side(trial, "trial"))
-    return both.withColumn("_base", base).select(
-        "setting", "threshold", "flagged_volume", "top_cells",
-        (100.0 * (F.col("flagged_volume") - F.col("_base")) / F.greatest(F.col("_base"), F.lit(1))).alias("growth_pct"),
+    One scan counts both settings and one finds the overall top rows, of which
+    each setting's top rows are those over its threshold.
+    """
+    settings = {"baseline": baseline, "trial": trial}
+    row = F.struct("risk_score", (-F.col("grid_id")).alias("g"))
+    top_rows = scores.orderBy(F.desc("risk_score"), "grid_id", "timestamp").limit(top)
+    leaders = top_rows.agg(F.sort_array(F.collect_list(row), asc=False)).scalar()
+    counts = scores.agg(*[F.count_if(F.col("risk_score") >= t).alias(n) for n, t in settings.items()])
+
+    def cells(threshold: Column) -> Column:
+        over = F.filter("leaders", lambda x: x["risk_score"] >= threshold)
+        return F.array_join(F.transform(over, lambda x: (-x["g"]).cast("string")), ",")
+
+    growth = 100.0 * (F.col("flagged_volume") - F.col("base")) / F.greatest(F.col("base"), F.lit(1))
+    limits = F.when(F.col("setting") == "baseline", baseline).otherwise(trial)
+    return (
+        counts.withColumns({"leaders": leaders, "base": F.col("baseline")})
+        .unpivot(["leaders", "base"], list(settings), "setting", "flagged_volume")
+        .withColumn("threshold", limits)
+        .select("setting", "threshold", "flagged_volume", cells(F.col("threshold")).alias("top_cells"), growth.alias("growth_pct"))
     )

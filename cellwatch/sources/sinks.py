@@ -11,13 +11,13 @@ from cellwatch.operators.cleaning import drop_geometry, ensure_date
 def write_activity_partitioned(activity: DataFrame, path: str) -> None:
     """Clean activity by date; a re-run replaces only the dates it carries.
 
-    Rows spread over (date, cell hash bucket) before the write, so a date that
-    holds a large share of the rows is written by many tasks, not one.
+    The rebalance splits a heavy date over as many tasks as its size asks for
+    and packs light dates together. Rows are sorted by cell inside each file,
+    so row groups can be skipped on `grid_id`.
     """
-    spread = F.pmod(F.xxhash64("grid_id", "timestamp"), F.lit(64))
     (
         ensure_date(activity)
-        .repartition("date", spread)
+        .hint("rebalance", "date")
         .sortWithinPartitions("date", "grid_id", "timestamp")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")

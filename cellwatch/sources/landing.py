@@ -59,12 +59,17 @@ def split_fields(line: Column) -> Column:
 
 
 def file_headers(lines: DataFrame) -> DataFrame:
-    """Header columns of each file: the first line of its first split."""
+    """Header columns of each file: the first line of its first split.
+
+    `at` holds the place of each required column, -1 where it is missing.
+    """
+    places = [(F.array_position("columns", c).cast("int") - 1).alias(c) for c in RAW_COLUMNS]
     return (
         lines.where(F.col("block") == 0)
         .groupBy("file")
         .agg(F.min_by("line", "row_id").alias("header"), F.min("row_id").alias("header_id"))
         .select("file", "header_id", split_fields(F.col("header")).alias("columns"))
+        .withColumn("at", F.struct(*places))
     )
 
 
@@ -88,9 +93,8 @@ def landing_schema_check(headers: DataFrame) -> DataFrame:
 
 
 def named_field(name: str) -> Column:
-    position = F.array_position("columns", name).cast("int")
-    value = F.when(position > 0, F.get("fields", position - 1))
-    return F.coalesce(value, F.lit(""))
+    """Field of a required column, empty where the row or header lacks it."""
+    return F.coalesce(F.get("fields", F.col(f"at.{name}")), F.lit(""))
 
 
 def row_fault(datetime: Column, cell: Column, measures: dict[str, Column], short: Column) -> Column:
@@ -142,15 +146,15 @@ def landing_quality_gate(lines: DataFrame, headers: DataFrame) -> DataFrame:
             "block",
             "row_id",
             is_header.alias("is_header"),
+            (F.size("fields") < F.size("columns")).alias("short"),
+            *[named_field(c).alias(c) for c in ["datetime", "CellID", *RAW_MEASURES]],
+        )
+        .withColumn(
+            "fault",
             F.when(
-                ~is_header,
-                row_fault(
-                    named_field("datetime"),
-                    named_field("CellID"),
-                    {m: named_field(m) for m in RAW_MEASURES},
-                    F.size("fields") < F.size("columns"),
-                ),
-            ).alias("fault"),
+                ~F.col("is_header"),
+                row_fault(F.col("datetime"), F.col("CellID"), {m: F.col(m) for m in RAW_MEASURES}, F.col("short")),
+            ),
         )
     )
     bad_id = F.when(F.col("fault").isNotNull(), F.col("row_id"))

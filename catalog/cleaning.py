@@ -219,12 +219,12 @@ def _(spark, sf):
     "scalar_catalog",
     f"""SELECT timestamp, grid_id, CASE WHEN total_activity > 100 THEN 'busy' ELSE 'calm' END AS label,
           coalesce(nullif(internet_activity, 0), -1.0::DOUBLE) AS internet_or_minus_one,
-          round(sms_in / total_activity, 4) + 0.0 AS rounded_ratio, round(abs(sms_in - sms_out), 6) AS gap,
-          round(sin(2 * pi() * hour(timestamp) / 24), 6) + 0.0 AS hour_sin, round(cos(2 * pi() * hour(timestamp) / 24), 6) + 0.0 AS hour_cos,
+          round(sms_in / nullif(total_activity, 0) + 3e-10, 6) + 0.0 AS rounded_ratio, round(abs(sms_in - sms_out) + 3e-10, 6) AS gap,
+          round(sin(2 * pi() * hour(timestamp) / 24) + 3e-10, 6) + 0.0 AS hour_sin, round(cos(2 * pi() * hour(timestamp) / 24) + 3e-10, 6) + 0.0 AS hour_cos,
           isfinite(total_activity) AS is_finite, hour(timestamp) AS hour, dayname(timestamp) AS day_name,
           CAST(epoch(timestamp) AS BIGINT) AS unix_seconds, timestamp + INTERVAL 1 HOUR AS next_hour,
           strptime(strftime(timestamp, '%Y-%m-%d %H:%M:%S'), '%Y-%m-%d %H:%M:%S') AS parsed,
-          CAST(grid_id AS VARCHAR) AS grid_text, 'at ' || printf('%.2f', total_activity) || ', ' || printf('%.1f', 100 * internet_activity / total_activity) || '%' AS reason,
+          CAST(grid_id AS VARCHAR) AS grid_text, 'at ' || printf('%.2f', total_activity) || ', ' || printf('%.1f', 100 * internet_activity / nullif(total_activity, 0)) || '%' AS reason,
           length('at ' || printf('%.2f', total_activity)) AS reason_length, TRY_CAST(day_of_week AS INTEGER) AS bad_cast
         FROM ({H})""",
 )
@@ -237,7 +237,7 @@ def _(spark, sf):
         "grid_id",
         F.when(total > 100, "busy").otherwise("calm").alias("label"),
         F.coalesce(F.nullif(internet, F.lit(0.0)), F.lit(-1.0)).alias("internet_or_minus_one"),
-        F.round(fn.ratio_or_null(F.col("sms_in"), total), 4).alias("rounded_ratio"),
+        fn.ratio_or_null(F.col("sms_in"), total).alias("rounded_ratio"),
         F.abs(F.col("sms_in") - F.col("sms_out")).alias("gap"),
         F.sin(angle).alias("hour_sin"),
         F.cos(angle).alias("hour_cos"),

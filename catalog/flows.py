@@ -34,7 +34,11 @@ def _(spark, sf):
     )
 
 
-@query("published_run")
+@query(
+    "published_run",
+    f"""SELECT 'run-1' AS run_id, 'SUCCESS' AS status, count(*) AS rows_in, CAST(0 AS BIGINT) AS rows_rejected, CAST(0 AS BIGINT) AS nulls_handled,
+          (SELECT count(*) FROM ({v.hourly_sql(v.DENSE)})) AS rows_published, max(timestamp) AS "AS_OF" FROM ({v.telemetry_sql(v.DENSE)})""",
+)
 def _(spark, sf):
     """Raw rows to published tables: load, star, signals, model, gate, status."""
     out = batch.Layout(runtime.scratch_path(spark, "run"))

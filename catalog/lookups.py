@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from catalog import views as v
 from catalog.core import query, rounded
 from catalog.sources import STATUS_SQL, stored_status
+from catalog.windows import history_sql
 from cellwatch.operators import alerts, anomaly, baselines, features, geo, ops, rollup
 from cellwatch.schemas import MEASURES
 
@@ -153,7 +154,16 @@ def _(spark, sf):
     return _evidence(spark, sf)
 
 
-@query("evidence_document")
+_DOCUMENT = ", ".join(
+    f"""'"{n}":' || CAST({n} AS VARCHAR)""" for n in ["current_activity", "baseline_activity", "activity_growth", "peak_ratio", "variability", "internet_share", "anomaly_score"]
+).replace(", ", " || ',' || ")
+
+
+@query(
+    "evidence_document",
+    f"""SELECT grid_id, '{{"feature_timestamp":"' || strftime(feature_timestamp, '%Y-%m-%dT%H:%M:%S.000') || '",' || {_DOCUMENT}
+          || ',"anomaly_direction":"' || anomaly_direction || '"}}' AS evidence FROM ({EVIDENCE})""",
+)
 def _(spark, sf):
     return ops.evidence_document(_evidence(spark, sf))
 
@@ -238,7 +248,19 @@ def _(spark, sf):
     return alerts.display_priority(current, ops.hotspots_as_of(hours, as_of))
 
 
-@query("investigation_package")
+@query(
+    "investigation_package",
+    rounded(
+        f"""WITH s AS ({history_sql(HD)}), r AS ({LOOKUP}),
+              f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY grid_id ORDER BY feature_timestamp DESC) AS n FROM ({v.features_sql(HD)})) WHERE n = 1)
+            SELECT s.*, f.activity_growth, f.peak_ratio, f.variability, c.mean_lat AS centroid_latitude, c.mean_lon AS centroid_longitude,
+              r.risk_score, r.risk_level, r.explanation_note
+            FROM s LEFT JOIN f ON s.grid_id = f.grid_id LEFT JOIN ({v.cells_sql(v.DENSE)}) c ON s.grid_id = c.grid_id LEFT JOIN r ON s.grid_id = r.grid_id""",
+        "total_activity historical_mean_activity historical_max_activity historical_min_activity activity_growth peak_ratio variability "
+        "centroid_latitude centroid_longitude risk_score",
+        f"{GT}, observation_window_hours, intervals_exceeding_30pct_surge, risk_level, explanation_note",
+    ),
+)
 def _(spark, sf):
     hours, risk = _lookup(spark, sf)
     cells = v.located_cells(spark, sf, v.DENSE)

@@ -186,8 +186,9 @@ def _(spark, sf):
     return ops.latest_features(features.network_features(v.hourly(spark, sf, v.DENSE)))
 
 
-HISTORY = f"""
-  WITH h AS MATERIALIZED ({H}), w AS MATERIALIZED (
+def history_sql(source: str) -> str:
+    return f"""
+  WITH h AS MATERIALIZED ({source}), w AS MATERIALIZED (
     SELECT *, row_number() OVER (PARTITION BY grid_id ORDER BY timestamp DESC) AS n FROM h
     WHERE timestamp BETWEEN (SELECT max(timestamp) FROM h) - INTERVAL 23 HOUR AND (SELECT max(timestamp) FROM h)),
   p AS (SELECT grid_id, count(*) AS cnt, avg(total_activity) AS mean, max(total_activity) AS hi, min(total_activity) AS lo FROM w WHERE n > 1 GROUP BY 1),
@@ -201,7 +202,7 @@ HISTORY = f"""
 @query(
     "history_summary",
     rounded(
-        HISTORY,
+        history_sql(H),
         "total_activity historical_mean_activity historical_max_activity historical_min_activity",
         f"{GT}, observation_window_hours, intervals_exceeding_30pct_surge",
     ),

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cellwatch.functions.columns import fixed
-from cellwatch.operators.baselines import by_cell, leave_one_out_median
+from cellwatch.operators.baselines import leave_one_out_median
 from cellwatch.operators.quantile import exact_group_percentile
 
 HIGH_THRESHOLD = 1.5
@@ -23,7 +23,7 @@ def activity_floor(hourly: DataFrame) -> DataFrame:
     """
     daily = hourly.groupBy("date", "grid_id").agg(F.sum("total_activity").alias("daily_activity"))
     daily = daily.withColumn("daily_activity", F.round("daily_activity", 6))
-    return exact_group_percentile(daily, ["date"], "daily_activity", ACTIVITY_FLOOR_PERCENTILE, "activity_floor")
+    return exact_group_percentile(daily, ["date"], "daily_activity", ACTIVITY_FLOOR_PERCENTILE, "activity_floor", few_groups=True)
 
 
 def eligible_grids(hourly: DataFrame) -> DataFrame:
@@ -31,7 +31,7 @@ def eligible_grids(hourly: DataFrame) -> DataFrame:
     day = W.partitionBy("grid_id", "date")
     return (
         hourly.withColumn("daily_activity", F.round(F.sum("total_activity").over(day), 6))
-        .join(activity_floor(hourly), "date")
+        .join(F.broadcast(activity_floor(hourly)), "date")
         .withColumn("eligible", F.col("daily_activity") >= F.col("activity_floor"))
     )
 
@@ -43,18 +43,20 @@ def _alert(kind: str, hit: Column, reason: Column) -> Column:
 def network_alerts(hourly: DataFrame) -> DataFrame:
     """One row per rule hit of every eligible hour.
 
-    One shuffle by cell serves the previous hour and, being finer, the day
-    groups of baseline and daily total.
+    One shuffle by cell and one sort by (date, time) serve the previous hour
+    and the day groups of baseline and daily total. The floor has one row per
+    date, so it is broadcast.
     """
+    in_order = W.partitionBy("grid_id").orderBy("date", "timestamp")
     day = W.partitionBy("grid_id", "date")
     now, base, prev = F.col("total_activity"), F.col("baseline_activity"), F.col("previous_activity")
     rows = (
         hourly.select(
-            "grid_id", "timestamp", "date", "total_activity", F.lag("total_activity").over(by_cell()).alias("previous_activity")
+            "grid_id", "timestamp", "date", "total_activity", F.lag("total_activity").over(in_order).alias("previous_activity")
         )
         .withColumn("_values", F.array_sort(F.collect_list("total_activity").over(day)))
         .withColumn("daily_activity", F.round(F.sum("total_activity").over(day), 6))
-        .join(activity_floor(hourly), "date")
+        .join(F.broadcast(activity_floor(hourly)), "date")
         .where(F.col("daily_activity") >= F.col("activity_floor"))
         .withColumn("baseline_activity", leave_one_out_median(F.col("_values"), now))
     )

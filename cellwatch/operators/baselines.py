@@ -17,6 +17,8 @@ from cellwatch.operators.quantile import exact_group_percentile
 
 SURGE_FACTOR = 1.5
 TREND_ROWS = 24
+# Columns of the calendar: their groups number at most the hours of the history.
+CALENDAR_KEYS = {"hour_of_day", "hour", "day_of_week", "date", "day_number", "weekday_number", "timestamp"}
 
 
 def by_cell() -> W:
@@ -104,24 +106,27 @@ def trailing_high_activity(hourly: DataFrame) -> DataFrame:
 def hour_bucket_baseline(hourly: DataFrame, keys: tuple[str, ...] = ("grid_id", "hour_of_day")) -> DataFrame:
     """Median of the row's group, whole-cell median where that is NULL.
 
-    Groups within a cell share one shuffle by cell. Groups across cells have no
-    size bound and take the bracketed percentile instead.
+    Groups within a cell share one shuffle by cell and one sort with the cell
+    median. Groups across cells have no size bound and take the bracketed
+    percentile instead.
     """
     rows = hourly.withColumn("hour_of_day", F.hour("timestamp"))
-    cell_median = F.percentile("total_activity", 0.5).over(W.partitionBy("grid_id"))
+    median = F.percentile("total_activity", 0.5)
     if "grid_id" in keys:
+        within = [k for k in keys if k != "grid_id"]
+        # The order matters to neither median; it lets both windows use one sort.
+        cell = W.partitionBy("grid_id").orderBy(*within).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
         return (
-            rows.withColumn("_cell", cell_median)
-            .withColumn(
-                "baseline_activity",
-                F.coalesce(F.percentile("total_activity", 0.5).over(W.partitionBy(*keys)), F.col("_cell")),
-            )
-            .drop("_cell")
+            rows.withColumn("_cell", median.over(cell))
+            .withColumn("_group", median.over(W.partitionBy("grid_id", *within)))
+            .withColumn("baseline_activity", F.coalesce("_group", "_cell"))
+            .drop("_cell", "_group")
         )
-    groups = exact_group_percentile(rows, list(keys), "total_activity", 0.5, "_group")
+    few = set(keys) <= CALENDAR_KEYS
+    groups = exact_group_percentile(rows, list(keys), "total_activity", 0.5, "_group", few_groups=few)
     return (
-        rows.withColumn("_cell", cell_median)
-        .join(groups, list(keys), "left")
+        rows.withColumn("_cell", median.over(W.partitionBy("grid_id")))
+        .join(F.broadcast(groups) if few else groups, list(keys), "left")
         .withColumn("baseline_activity", F.coalesce("_group", "_cell"))
         .drop("_cell", "_group")
     )

@@ -1,9 +1,11 @@
 """Leak-free rolling features.
 
 All windows share one partitioning by cell and one order by hour number, so
-the whole feature set costs a single shuffle and sort. Hour-based windows are
-range frames gated on a full count: a missing hour leaves the frame short
-instead of being filled.
+the whole feature set costs a single shuffle and sort. `_stages` computes each
+windowed aggregate once, and features are plain expressions over them; Catalyst
+drops the aggregates a query does not use. Hour-based windows are range frames
+gated on a full count: a missing hour leaves the frame short instead of being
+filled.
 """
 
 from __future__ import annotations
@@ -24,108 +26,105 @@ DAY = 24
 RECENT = 6
 
 
-def _by_hour() -> W:
-    return W.partitionBy("grid_id").orderBy("_h")
-
-
-def _last_24h() -> W:
-    return _by_hour().rangeBetween(1 - DAY, 0)
-
-
-def _last_6h() -> W:
-    return _by_hour().rangeBetween(1 - RECENT, 0)
-
-
-def _prior_24h() -> W:
-    return _by_hour().rangeBetween(1 - DAY - RECENT, -RECENT)
-
-
-def _last_6_rows() -> W:
-    return _by_hour().rowsBetween(1 - RECENT, 0)
-
-
-def _last_24_rows() -> W:
-    return _by_hour().rowsBetween(1 - TREND_ROWS, 0)
-
-
-def with_hour_number(hourly: DataFrame) -> DataFrame:
+def _stages(hourly: DataFrame) -> DataFrame:
+    """Hourly rows with every windowed aggregate the features are made of."""
     epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
-    return hourly.withColumn("_h", F.timestamp_diff("HOUR", epoch, F.col("timestamp")))
-
-
-def _full(value: Column, frame: W, rows: int) -> Column:
-    return F.when(F.count("total_activity").over(frame) == rows, value)
-
-
-def _day(aggregate: Column) -> Column:
-    return _full(aggregate.over(_last_24h()), _last_24h(), DAY)
+    rows = hourly.withColumn("_h", F.timestamp_diff("HOUR", epoch, F.col("timestamp")))
+    by_hour = W.partitionBy("grid_id").orderBy("_h")
+    day = by_hour.rangeBetween(1 - DAY, 0)
+    recent = by_hour.rangeBetween(1 - RECENT, 0)
+    prior = by_hour.rangeBetween(1 - DAY - RECENT, -RECENT)
+    last_rows = by_hour.rowsBetween(1 - RECENT, 0)
+    trend_rows = by_hour.rowsBetween(1 - TREND_ROWS, 0)
+    so_far = by_hour.rowsBetween(W.unboundedPreceding, 0)
+    total, internet = F.col("total_activity"), F.col("internet_activity")
+    return rows.select(
+        "grid_id",
+        "timestamp",
+        "_h",
+        F.count(total).over(day).alias("_day_n"),
+        F.avg(total).over(day).alias("_day_mean"),
+        F.max(total).over(day).alias("_day_max"),
+        F.stddev_pop(total).over(day).alias("_day_std"),
+        F.sum(total).over(day).alias("_day_sum"),
+        F.sum(internet).over(day).alias("_day_internet"),
+        F.sum(F.when(total > 0, 1).otherwise(0)).over(day).alias("_day_active"),
+        F.min("_h").over(so_far).alias("_first_h"),
+        F.count(total).over(recent).alias("_recent_n"),
+        F.avg(total).over(recent).alias("_recent_mean"),
+        F.count(total).over(prior).alias("_prior_n"),
+        F.avg(total).over(prior).alias("_prior_mean"),
+        F.count(total).over(last_rows).alias("_rows_n"),
+        F.avg(total).over(last_rows).alias("_rows_mean"),
+        F.stddev_pop(total).over(last_rows).alias("_rows_std"),
+        F.max(total).over(last_rows).alias("_rows_max"),
+        F.count(total).over(trend_rows).alias("_trend_n"),
+        F.percentile(total, 0.5).over(trend_rows).alias("_trend_median"),
+        F.lead("_h").over(by_hour).alias("_next_h"),
+        F.lead(total).over(by_hour).alias("_next_total"),
+    )
 
 
-def avg_activity() -> Column:
-    return _day(F.avg("total_activity"))
+def _when_full(value: str, count: str, size: int) -> Column:
+    return F.when(F.col(count) == size, F.col(value))
 
 
-def peak_ratio() -> Column:
-    mean = avg_activity()
-    return F.when(mean > 0, _day(F.max("total_activity")) / F.nullif(mean, F.lit(0.0))).otherwise(F.lit(0.0))
+def _guarded(part: Column, whole: Column) -> Column:
+    """Ratio, 0.0 unless the whole is known and positive."""
+    return F.when(whole > 0, part / F.nullif(whole, F.lit(0.0))).otherwise(F.lit(0.0))
 
 
-def active_hours() -> Column:
-    """Hours above zero. A missing hour counts as inactive, so only the first
-    24 hours of a cell are NULL."""
-    first = F.min("_h").over(_by_hour().rowsBetween(W.unboundedPreceding, 0))
-    count = F.sum(F.when(F.col("total_activity") > 0, 1).otherwise(0)).over(_last_24h())
-    return F.when(F.col("_h") - first >= DAY - 1, count)
+def _day(value: str) -> Column:
+    return _when_full(value, "_day_n", DAY)
 
 
-def variability() -> Column:
-    return _day(F.stddev_pop("total_activity"))
+def _day_features() -> dict[str, Column]:
+    recent = _when_full("_recent_mean", "_recent_n", RECENT)
+    prior = _when_full("_prior_mean", "_prior_n", DAY)
+    return {
+        "avg_activity": _day("_day_mean"),
+        # Last 6 hours against the 24 before; 0.0 without a full, positive prior.
+        "activity_growth": _guarded(recent - prior, prior),
+        # A missing hour counts as inactive: only a cell's first day is NULL.
+        "active_hours": F.when(F.col("_h") - F.col("_first_h") >= DAY - 1, F.col("_day_active")),
+        "peak_ratio": _guarded(F.col("_day_max"), _day("_day_mean")),
+        "variability": _day("_day_std"),
+        "internet_share": _guarded(F.col("_day_internet"), _day("_day_sum")),
+    }
 
 
-def internet_share() -> Column:
-    total = _day(F.sum("total_activity"))
-    return F.when(total > 0, _day(F.sum("internet_activity")) / F.nullif(total, F.lit(0.0))).otherwise(F.lit(0.0))
+def _recent_features() -> dict[str, Column]:
+    mean = _when_full("_rows_mean", "_rows_n", RECENT)
+    return {
+        "recent_6h_mean": mean,
+        "recent_6h_std": _when_full("_rows_std", "_rows_n", RECENT),
+        "recent_6h_peak_ratio": _guarded(F.col("_rows_max"), mean),
+    }
 
 
-def activity_growth() -> Column:
-    """Mean of the last 6 hours against the 24 before; 0.0 without a full, positive prior."""
-    recent = _full(F.avg("total_activity").over(_last_6h()), _last_6h(), RECENT)
-    prior = _full(F.avg("total_activity").over(_prior_24h()), _prior_24h(), DAY)
-    return F.when(prior > 0, (recent - prior) / F.nullif(prior, F.lit(0.0))).otherwise(F.lit(0.0))
+def cyclic_time(ts: Column) -> dict[str, Column]:
+    """Hour of day and weekday (Monday 0) on the unit circle."""
+    hour = F.hour(ts) * (2 * math.pi / 24)
+    day = F.weekday(ts) * (2 * math.pi / 7)
+    return {"hour_sin": F.sin(hour), "hour_cos": F.cos(hour), "day_sin": F.sin(day), "day_cos": F.cos(day)}
 
 
-FEATURE_EXPRESSIONS = {
-    "avg_activity": avg_activity,
-    "activity_growth": activity_growth,
-    "active_hours": active_hours,
-    "peak_ratio": peak_ratio,
-    "variability": variability,
-    "internet_share": internet_share,
-}
+def _all_features() -> dict[str, Column]:
+    return {**_day_features(), **_recent_features(), **cyclic_time(F.col("timestamp"))}
 
 
-def feature(hourly: DataFrame, name: str) -> DataFrame:
-    """One 24-hour feature for every hourly row."""
-    return with_hour_number(hourly).select(
-        "grid_id", F.col("timestamp").alias("feature_timestamp"), FEATURE_EXPRESSIONS[name]().alias(name)
-    )
+def _named(columns: dict[str, Column]) -> list[Column]:
+    return [column.alias(name) for name, column in columns.items()]
 
 
 def _complete(names: list[str]) -> Column:
     return functools.reduce(operator.and_, [finite(F.col(n).cast("double")) for n in names])
 
 
-def _windows(hourly: DataFrame) -> DataFrame:
-    """All 24-hour features plus the next hour of the cell."""
-    rows = with_hour_number(hourly)
-    built = {name: make() for name, make in FEATURE_EXPRESSIONS.items()}
-    return rows.select(
-        "grid_id",
-        F.col("timestamp").alias("feature_timestamp"),
-        "_h",
-        "total_activity",
-        *[column.alias(name) for name, column in built.items()],
-        F.lead("_h").over(_by_hour()).alias("_next_h"),
+def feature(hourly: DataFrame, name: str) -> DataFrame:
+    """One 24-hour feature for every hourly row."""
+    return _stages(hourly).select(
+        "grid_id", F.col("timestamp").alias("feature_timestamp"), _day_features()[name].alias(name)
     )
 
 
@@ -136,40 +135,22 @@ def network_features(hourly: DataFrame) -> DataFrame:
     last has one, so only the last row of each cell goes.
     """
     return (
-        _windows(hourly)
-        .where(F.col("_next_h").isNotNull() & _complete(FEATURES_24H))
-        .select("grid_id", "feature_timestamp", *FEATURES_24H)
+        _stages(hourly)
+        .where(F.col("_next_h").isNotNull() & (F.col("_day_n") == DAY))
+        .select("grid_id", F.col("timestamp").alias("feature_timestamp"), *_named(_day_features()))
+        .where(_complete(FEATURES_24H))
     )
 
 
-def _recent_rows() -> dict[str, Column]:
-    mean = _full(F.avg("total_activity").over(_last_6_rows()), _last_6_rows(), RECENT)
-    peak = _full(F.max("total_activity").over(_last_6_rows()), _last_6_rows(), RECENT)
-    return {
-        "recent_6h_mean": mean,
-        "recent_6h_std": _full(F.stddev_pop("total_activity").over(_last_6_rows()), _last_6_rows(), RECENT),
-        "recent_6h_peak_ratio": F.when(mean > 0, peak / F.nullif(mean, F.lit(0.0))).otherwise(F.lit(0.0)),
-    }
-
-
-def cyclic_time(ts: Column) -> dict[str, Column]:
-    """Hour of day and weekday (Monday 0) on the unit circle."""
-    hour = F.hour(ts) * (2 * math.pi / 24)
-    day = F.weekday(ts) * (2 * math.pi / 7)
-    return {"hour_sin": F.sin(hour), "hour_cos": F.cos(hour), "day_sin": F.sin(day), "day_cos": F.cos(day)}
-
-
 def recent_features(hourly: DataFrame) -> DataFrame:
     """Statistics of the last 6 rows, whatever their spacing."""
-    return with_hour_number(hourly).select(
-        "grid_id", "timestamp", *[c.alias(n) for n, c in _recent_rows().items()]
-    )
+    return _stages(hourly).select("grid_id", "timestamp", *_named(_recent_features()))
 
 
 def extra_features(hourly: DataFrame) -> DataFrame:
     """Last-6-row statistics and cyclic time."""
-    columns = {**_recent_rows(), **cyclic_time(F.col("timestamp"))}
-    return with_hour_number(hourly).select("grid_id", "timestamp", *[c.alias(n) for n, c in columns.items()])
+    columns = {**_recent_features(), **cyclic_time(F.col("timestamp"))}
+    return _stages(hourly).select("grid_id", "timestamp", *_named(columns))
 
 
 def model_dataset(hourly: DataFrame, with_target: bool = True) -> DataFrame:
@@ -178,22 +159,18 @@ def model_dataset(hourly: DataFrame, with_target: bool = True) -> DataFrame:
     The parts have the same keys and sources, so no join is needed. A complete
     row whose next hour was not observed stays, labelled 0.
     """
-    rows = with_hour_number(hourly)
-    built = {name: make() for name, make in FEATURE_EXPRESSIONS.items()}
-    built |= _recent_rows() | cyclic_time(F.col("timestamp"))
-    staged = rows.select(
-        "grid_id",
-        "timestamp",
-        "_h",
-        *[column.alias(name) for name, column in built.items()],
-        F.lead("_h").over(_by_hour()).alias("_next_h"),
-        F.lead("total_activity").over(_by_hour()).alias("_next"),
-        _full(F.percentile("total_activity", 0.5).over(_last_24_rows()), _last_24_rows(), TREND_ROWS).alias("_median"),
-    )
-    label = (F.col("_next_h") == F.col("_h") + 1) & (F.col("_next") > F.lit(SURGE_FACTOR) * F.col("_median"))
-    target = [F.coalesce(label.cast("int"), F.lit(0)).alias("target")] if with_target else []
-    return staged.where(F.col("_next_h").isNotNull() & _complete(MODEL_FEATURES)).select(
-        "grid_id", F.col("timestamp").alias("feature_timestamp"), *MODEL_FEATURES, *target
+    surges = F.col("_next_total") > F.lit(SURGE_FACTOR) * _when_full("_trend_median", "_trend_n", TREND_ROWS)
+    label = F.coalesce(((F.col("_next_h") == F.col("_h") + 1) & surges).cast("int"), F.lit(0)).alias("target")
+    return (
+        _stages(hourly)
+        .where(F.col("_next_h").isNotNull() & (F.col("_day_n") == DAY))
+        .select(
+            "grid_id",
+            F.col("timestamp").alias("feature_timestamp"),
+            *_named(_all_features()),
+            *([label] if with_target else []),
+        )
+        .where(_complete(MODEL_FEATURES))
     )
 
 
@@ -203,14 +180,11 @@ def leakage_compare(hourly: DataFrame, cutoff: Column, factor: float = 1000.0, t
     scale = F.when(F.col("timestamp") > cutoff, F.lit(factor)).otherwise(F.lit(1.0))
     altered = hourly.withColumns({m: F.col(m) * scale for m in ("total_activity", "internet_activity")})
 
-    def both(df: DataFrame) -> DataFrame:
-        rows = with_hour_number(df)
-        built = {name: make() for name, make in FEATURE_EXPRESSIONS.items()}
-        built |= _recent_rows() | cyclic_time(F.col("timestamp"))
-        kept = rows.select("grid_id", "timestamp", *[c.cast("double").alias(n) for n, c in built.items()])
-        return kept.where(F.col("timestamp") <= cutoff)
+    def computed(df: DataFrame) -> DataFrame:
+        columns = {name: column.cast("double") for name, column in _all_features().items()}
+        return _stages(df).where(F.col("timestamp") <= cutoff).select("grid_id", "timestamp", *_named(columns))
 
-    before, after = both(hourly).alias("a"), both(altered).alias("b")
+    before, after = computed(hourly).alias("a"), computed(altered).alias("b")
 
     def differs(name: str) -> Column:
         a, b = F.col(f"a.{name}"), F.col(f"b.{name}")
@@ -220,5 +194,3 @@ def leakage_compare(hourly: DataFrame, cutoff: Column, factor: float = 1000.0, t
     joined = before.join(after, ["grid_id", "timestamp"])
     counts = joined.agg(F.count("*").alias("compared_rows"), *[F.count_if(differs(n)).alias(n) for n in names])
     return counts.unpivot(["compared_rows"], names, "feature", "mismatches")
-
-

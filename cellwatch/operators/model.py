@@ -53,8 +53,12 @@ def class_weights(split: DataFrame) -> DataFrame:
 
 
 def train_risk_model(split: DataFrame) -> PipelineModel:
-    """Entropy tree of depth 7, leaves of 10 or more, balanced by class weight."""
-    rows = split.where(F.col("split") != "test").join(class_weights(split).select("target", "weight"), "target")
+    """Entropy tree of depth 7, leaves of 10 or more, balanced by class weight.
+
+    The weights have one row per class, so they are broadcast.
+    """
+    weights = F.broadcast(class_weights(split).select("target", "weight"))
+    rows = split.where(F.col("split") != "test").join(weights, "target")
     tree = DecisionTreeClassifier(
         labelCol="target",
         featuresCol="features",

@@ -7,8 +7,17 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+SALTS = 32
+
+
 def exact_group_percentile(
-    df: DataFrame, keys: list[str], value: str, q: float, out: str, accuracy: int = 10_000
+    df: DataFrame,
+    keys: list[str],
+    value: str,
+    q: float,
+    out: str,
+    accuracy: int = 10_000,
+    few_groups: bool = False,
 ) -> DataFrame:
     """Linear-interpolated percentile `q` per group, exact at any group size.
 
@@ -16,8 +25,12 @@ def exact_group_percentile(
     values below the bracket are only counted and values above it dropped. The
     ordered step sees at most 8/accuracy of a group (all of it up to `accuracy`
     rows). Equal values combine before the shuffle.
+
+    Brackets reach the rows by broadcast when the caller knows the groups to be
+    few (dates, hours), else by a join salted over `SALTS`, so that a group
+    holding a large share of the rows is spread over many tasks.
     """
-    values = df.where(F.col(value).isNotNull())
+    values = df.select(*keys, value).where(F.col(value).isNotNull())
     margin = 4.0 / accuracy
     brackets = values.groupBy(*keys).agg(
         F.count("*").alias("_n"),
@@ -32,9 +45,14 @@ def exact_group_percentile(
         F.when(small | F.lit(q < margin), F.col("_min")).otherwise(F.col("_b")[0]).alias("_lo"),
         F.when(small | F.lit(q > 1 - margin), F.col("_max")).otherwise(F.col("_b")[1]).alias("_hi"),
     )
+    if few_groups:
+        matched = values.join(F.broadcast(brackets), keys)
+    else:
+        salts = F.explode(F.array(*[F.lit(i) for i in range(SALTS)]))
+        salted = values.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
+        matched = salted.join(brackets.withColumn("_salt", salts), [*keys, "_salt"])
     steps = (
-        values.join(brackets, keys)
-        .where(F.col(value) <= F.col("_hi"))
+        matched.where(F.col(value) <= F.col("_hi"))
         .groupBy(*keys, "_n", F.when(F.col(value) >= F.col("_lo"), F.col(value)).alias("_v"))
         .agg(F.count("*").alias("_c"))
         .withColumn(

@@ -60,13 +60,17 @@ def dim_grid(reference: DataFrame, geometry_reference: str) -> DataFrame:
 
 
 def fact_network_activity(hourly: DataFrame, times: DataFrame, grids: DataFrame) -> DataFrame:
-    """Hourly rows under surrogate keys; NULL measures become zero."""
+    """Hourly rows under surrogate keys; NULL measures become zero.
+
+    The time dimension has one row per hour of history and is broadcast; the
+    cell dimension grows with the cells, so Spark decides from its size.
+    """
     measures = MEASURES + TOTALS + ["internet_share"]
     rows = hourly.select(
         "timestamp", grid_text(F.col("grid_id")).alias("grid_id"), *[F.coalesce(m, F.lit(0.0)).alias(m) for m in measures]
     )
     return (
-        rows.join(times.select("time_key", "timestamp"), "timestamp")
+        rows.join(F.broadcast(times.select("time_key", "timestamp")), "timestamp")
         .join(grids.select("grid_key", "grid_id"), "grid_id")
         .select("time_key", "grid_key", *measures)
     )
@@ -85,7 +89,7 @@ def unknown_keys(hourly: DataFrame, times: DataFrame, grids: DataFrame) -> DataF
 def star_activity(fact: DataFrame, times: DataFrame, grids: DataFrame) -> DataFrame:
     """Fact rows with their hour and cell."""
     return (
-        fact.join(times, "time_key")
+        fact.join(F.broadcast(times), "time_key")
         .join(grids, "grid_key")
         .select(
             "timestamp", "grid_id", "date", "hour", "centroid_latitude", "centroid_longitude",

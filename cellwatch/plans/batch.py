@@ -20,17 +20,28 @@ from cellwatch.sources import activity, reference, sinks
 
 @dataclass(frozen=True)
 class Layout:
-    """Table paths under one output folder."""
+    """Table paths under one output folder.
+
+    With `hourly_table` the hourly rows become a catalog table bucketed by
+    cell, and the four signal jobs read it without shuffling it.
+    """
 
     root: str
+    hourly_table: str | None = None
+    buckets: int = 200
 
     def path(self, table: str) -> str:
         return f"{self.root}/{table}"
 
     def read(self, spark: SparkSession, table: str) -> DataFrame:
+        if table == "hourly" and self.hourly_table:
+            return spark.table(self.hourly_table)
         return spark.read.parquet(self.path(table))
 
     def write(self, df: DataFrame, table: str) -> None:
+        if table == "hourly" and self.hourly_table:
+            sinks.write_bucketed(df, self.hourly_table, self.path(table), self.buckets)
+            return
         df.write.mode("overwrite").parquet(self.path(table))
 
 
@@ -51,7 +62,7 @@ def load_activity(raw: DataFrame, out: Layout) -> dict[str, int]:
     )
     sinks.write_activity_partitioned(cleaning.clean(watched), out.path("activity"))
     clean = out.read(spark, "activity")
-    out.write(rollup.hourly_grid_summary(clean).sortWithinPartitions("grid_id", "timestamp"), "hourly")
+    out.write(rollup.hourly_grid_summary(clean), "hourly")
     hours = out.read(spark, "hourly")
     sinks.write_small_csv(rollup.dashboard_summary(hours), out.path("dashboard_csv"))
     return dict(seen.get)

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from cellwatch.runtime import materialize
 from cellwatch.schemas import (
     GRID_ID_MAX,
     GRID_ID_MIN,
@@ -194,9 +195,13 @@ def landing_quality_gate(lines: DataFrame, headers: DataFrame) -> DataFrame:
     )
 
 
-def landing_verdicts(lines: DataFrame) -> DataFrame:
-    """Schema check, then quality gate, one verdict per file."""
-    headers = file_headers(lines)
+def landing_verdicts(lines: DataFrame, headers: DataFrame | None = None) -> DataFrame:
+    """Schema check, then quality gate, one verdict per file.
+
+    Headers are stored first: they are read twice, and their measured size
+    lets Spark broadcast them to the lines instead of shuffling the lines.
+    """
+    headers = materialize(file_headers(lines), "headers") if headers is None else headers
     schema = landing_schema_check(headers)
     gate = landing_quality_gate(lines, headers)
     return schema.alias("s").join(gate.alias("g"), "file").select(

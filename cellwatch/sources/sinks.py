@@ -31,6 +31,19 @@ def write_table(df: DataFrame, path: str) -> None:
     drop_geometry(df).write.mode("overwrite").parquet(path)
 
 
+def write_bucketed(df: DataFrame, table: str, path: str, buckets: int) -> None:
+    """Catalog table bucketed by cell: jobs that work by cell read it without a shuffle."""
+    (
+        drop_geometry(df)
+        .repartition(buckets, "grid_id")
+        .write.mode("overwrite")
+        .option("path", path)
+        .bucketBy(buckets, "grid_id")
+        .sortBy("grid_id", "timestamp")
+        .saveAsTable(table)
+    )
+
+
 def write_small_csv(df: DataFrame, path: str) -> None:
     """One CSV file with a header, for results already cut to a top-k."""
     df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)

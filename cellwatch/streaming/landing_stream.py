@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from cellwatch import runtime
 from cellwatch.schemas import LANDING_PATTERN, RAW_COLUMNS, RAW_TO_CANONICAL
 from cellwatch.sources import landing
 
@@ -51,8 +52,8 @@ def start_landing(
     def run(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
         lines = landing.number_lines(batch)
-        headers = landing.file_headers(lines)
-        verdicts = landing.landing_verdicts(lines).withColumn("filename", landing.file_name(F.col("file")))
+        headers = runtime.materialize(landing.file_headers(lines), "headers")
+        verdicts = landing.landing_verdicts(lines, headers).withColumn("filename", landing.file_name(F.col("file")))
         audit = session.read.schema(AUDIT_SCHEMA).parquet(audit_path).where(F.col("batch_id") != batch_id)
         routed = landing.landing_route(verdicts, audit).join(verdicts.select("filename", "file"), "filename")
         records = landing.audit_records(routed.drop("file")).withColumn("batch_id", F.lit(batch_id))

@@ -174,10 +174,9 @@ def grid_cells(spark: SparkSession, sf: str, cells: int | None = None) -> DataFr
 
 
 def located_cells(spark: SparkSession, sf: str, cells: int | None = None) -> DataFrame:
-    """Cell dimension with a numeric id."""
-    return star.dim_grid(grid_cells(spark, sf, cells), "milano-grid.geojson").withColumn(
-        "grid_id", F.col("grid_id").cast("int")
-    )
+    """Stored cell dimension with a numeric id."""
+    grids = star.dim_grid(grid_cells(spark, sf, cells), "milano-grid.geojson")
+    return runtime.materialize(grids.withColumn("grid_id", F.col("grid_id").cast("int")), "cells")
 
 
 def cells_sql(cells: int | None = None) -> str:

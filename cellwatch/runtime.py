@@ -50,12 +50,16 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path under the shared folder, dropped when the JVM exits."""
-    path = f"{shared_dir(spark)}/cellwatch-{label}-{uuid.uuid4().hex}"
-    jvm = spark._jvm
-    hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
-    hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop_path)
-    return path
+    """A fresh path in the application's part of the shared folder.
+
+    That part goes when the application ends.
+    """
+    folder = f"{shared_dir(spark)}/cellwatch-{spark.sparkContext.applicationId}"
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(hadoop_path)
+    files.deleteOnExit(hadoop_path)
+    return f"{folder}/{label}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:

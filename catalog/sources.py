@@ -171,7 +171,7 @@ def _lines(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _verdicts(spark: SparkSession, sf: str) -> DataFrame:
-    verdicts = landing.landing_verdicts(_lines(spark, sf))
+    verdicts = landing.judge_folder(spark, _landing_folder(spark, sf), PATTERN)
     return verdicts.select(_landed_name(F.col("file")).alias("filename"), "valid", "row_count", "reason")
 
 

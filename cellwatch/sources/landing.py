@@ -20,6 +20,7 @@ from cellwatch.schemas import (
     RAW_MEASURES,
 )
 
+MISSING_COLUMNS = "SCHEMA_VALIDATION_FAILED: missing required columns: "
 # A comma with an even number of quotes after it ends a field.
 _OUTSIDE_QUOTES = ',(?=(?:[^"]*"[^"]*")*[^"]*$)'
 
@@ -38,15 +39,16 @@ def number_lines(text: DataFrame) -> DataFrame:
     )
 
 
+def landing_text(spark: SparkSession, folder: str, pattern: str = LANDING_PATTERN) -> DataFrame:
+    """Raw lines of every landing file with file and split offset."""
+    return spark.read.text(f"{folder}/{pattern}").select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")
+    )
+
+
 def landing_lines(spark: SparkSession, folder: str, pattern: str = LANDING_PATTERN) -> DataFrame:
     """Every line of every landing file: file, split offset, row id, text."""
-    return number_lines(
-        spark.read.text(f"{folder}/{pattern}").select(
-            F.col("value"),
-            F.col("_metadata.file_path").alias("file"),
-            F.col("_metadata.file_block_start").alias("block"),
-        )
-    )
+    return number_lines(landing_text(spark, folder, pattern))
 
 
 def split_fields(line: Column) -> Column:
@@ -60,33 +62,58 @@ def split_fields(line: Column) -> Column:
 
 
 def file_headers(lines: DataFrame) -> DataFrame:
-    """Header columns of each file: the first line of its first split.
+    """Header of each file, repeated for each of its splits.
 
-    `at` holds the place of each required column, -1 where it is missing.
+    The header is the first line of the first split. One row per split lets
+    lines meet their header by (file, block), so no join key holds more than a
+    split, however large the file. `at` holds the place of each required
+    column, -1 where it is missing.
     """
+    in_file = W.partitionBy("file").orderBy("block")
     places = [(F.array_position("columns", c).cast("int") - 1).alias(c) for c in RAW_COLUMNS]
     return (
-        lines.where(F.col("block") == 0)
-        .groupBy("file")
-        .agg(F.min_by("line", "row_id").alias("header"), F.min("row_id").alias("header_id"))
-        .select("file", "header_id", split_fields(F.col("header")).alias("columns"))
+        lines.groupBy("file", "block")
+        .agg(F.min_by("line", "row_id").alias("line"), F.min("row_id").alias("row_id"))
+        .select(
+            "file",
+            "block",
+            (F.row_number().over(in_file) == 1).alias("first_split"),
+            F.first("row_id").over(in_file).alias("header_id"),
+            split_fields(F.first("line").over(in_file)).alias("columns"),
+        )
         .withColumn("at", F.struct(*places))
     )
 
 
+def empty_files(spark: SparkSession, folder: str, pattern: str = LANDING_PATTERN) -> DataFrame:
+    """Files of no bytes, which scans pass over; only their names are listed."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{pattern}")
+    found = target.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(target) or []
+    names = [(f.getPath().toUri().toString(),) for f in found if f.isFile() and f.getLen() == 0]
+    return spark.createDataFrame(names, "file string")
+
+
+def unread_files(names: DataFrame, headers: DataFrame) -> DataFrame:
+    """Named files without a header: of no bytes, or of blank lines alone."""
+
+    def bare(path: Column) -> Column:
+        # Listings and scans spell the scheme with one slash or with three.
+        return F.regexp_replace(path, "^[a-zA-Z0-9+.-]+:/+", "/").alias("_path")
+
+    read = headers.select(bare(F.col("file")))
+    return names.withColumn("_path", bare(F.col("file"))).join(read, "_path", "left_anti").select("file")
+
+
 def landing_schema_check(headers: DataFrame) -> DataFrame:
     """Per file: does the header carry every required column?"""
     required = F.array(*[F.lit(c) for c in RAW_COLUMNS])
     missing = F.array_sort(F.array_except(required, F.col("columns")))
-    return headers.select(
+    return headers.where("first_split").select(
         "file",
         (F.size(missing) == 0).alias("schema_ok"),
         F.when(
             F.size(missing) > 0,
-            F.concat(
-                F.lit("SCHEMA_VALIDATION_FAILED: missing required columns: "),
-                F.array_join(missing, ", "),
-            ),
+            F.concat(F.lit(MISSING_COLUMNS), F.array_join(missing, ", ")),
         )
         .otherwise("schema_valid")
         .alias("reason"),
@@ -140,7 +167,7 @@ def landing_quality_gate(lines: DataFrame, headers: DataFrame) -> DataFrame:
     """
     is_header = F.col("row_id") == F.col("header_id")
     rows = (
-        lines.join(headers, "file")
+        lines.join(headers, ["file", "block"])
         .withColumn("fields", split_fields(F.col("line")))
         .select(
             "file",
@@ -195,21 +222,43 @@ def landing_quality_gate(lines: DataFrame, headers: DataFrame) -> DataFrame:
     )
 
 
-def landing_verdicts(lines: DataFrame, headers: DataFrame | None = None) -> DataFrame:
+def landing_verdicts(
+    lines: DataFrame, headers: DataFrame | None = None, unread: DataFrame | None = None
+) -> DataFrame:
     """Schema check, then quality gate, one verdict per file.
 
     Headers are stored first: they are read twice, and their measured size
-    lets Spark broadcast them to the lines instead of shuffling the lines.
+    lets Spark broadcast them to the lines where they are few. `unread` names
+    files without any line, which lack every column.
     """
     headers = materialize(file_headers(lines), "headers") if headers is None else headers
     schema = landing_schema_check(headers)
     gate = landing_quality_gate(lines, headers)
-    return schema.alias("s").join(gate.alias("g"), "file").select(
+    verdicts = schema.alias("s").join(gate.alias("g"), "file").select(
         "file",
         (F.col("s.schema_ok") & F.col("g.quality_ok")).alias("valid"),
         F.when(F.col("s.schema_ok"), F.col("g.row_count")).otherwise(F.lit(0)).cast("bigint").alias("row_count"),
         F.when(F.col("s.schema_ok"), F.col("g.reason")).otherwise(F.col("s.reason")).alias("reason"),
     )
+    if unread is None:
+        return verdicts
+    empty = unread.select(
+        "file",
+        F.lit(False).alias("valid"),
+        F.lit(0).cast("bigint").alias("row_count"),
+        F.lit(MISSING_COLUMNS + ", ".join(sorted(RAW_COLUMNS))).alias("reason"),
+    )
+    return verdicts.unionByName(empty)
+
+
+def judge_folder(spark: SparkSession, folder: str, pattern: str = LANDING_PATTERN) -> DataFrame:
+    """Verdicts of all files of a landing folder."""
+    text = landing_text(spark, folder, pattern)
+    lines = number_lines(text)
+    headers = materialize(file_headers(lines), "headers")
+    # The names of the very scan, so that a file arriving now is not misjudged.
+    names = spark.createDataFrame([(name,) for name in text.inputFiles()], "file string")
+    return landing_verdicts(lines, headers, unread_files(names, headers))
 
 
 def landing_route(verdicts: DataFrame, audit: DataFrame) -> DataFrame:

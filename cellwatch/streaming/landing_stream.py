@@ -1,6 +1,6 @@
 """Unattended landing: a checkpointed file stream over the landing folder.
 
-Each run takes the files not seen before, judges every file whole, appends the
+Files are moved into the folder complete. Each run takes those not seen before, judges every file whole, appends the
 audit and stores accepted rows. Outputs are keyed by micro-batch, so a batch
 that is retried after a failure replaces its own output.
 """
@@ -23,7 +23,7 @@ def accepted_rows(lines: DataFrame, headers: DataFrame, routed: DataFrame) -> Da
     accepted = routed.where(F.col("status") == "ACCEPTED").select("file")
     rows = (
         lines.join(accepted, "file")
-        .join(headers, "file")
+        .join(headers, ["file", "block"])
         .where(F.col("row_id") != F.col("header_id"))
         .withColumn("fields", landing.split_fields(F.col("line")))
     )
@@ -53,8 +53,13 @@ def start_landing(
         session = batch.sparkSession
         lines = landing.number_lines(batch)
         headers = runtime.materialize(landing.file_headers(lines), "headers")
-        verdicts = landing.landing_verdicts(lines, headers).withColumn("filename", landing.file_name(F.col("file")))
         audit = session.read.schema(AUDIT_SCHEMA).parquet(audit_path).where(F.col("batch_id") != batch_id)
+        # The file source hands on no trace of files without bytes.
+        name = landing.file_name(F.col("file"))
+        empty = landing.empty_files(session, folder, pattern).withColumn("filename", name)
+        new_empty = empty.join(audit.select("filename"), "filename", "left_anti").select("file")
+        unread = landing.unread_files(batch.select("file").distinct().unionByName(new_empty), headers)
+        verdicts = landing.landing_verdicts(lines, headers, unread).withColumn("filename", name)
         routed = landing.landing_route(verdicts, audit).join(verdicts.select("filename", "file"), "filename")
         records = landing.audit_records(routed.drop("file")).withColumn("batch_id", F.lit(batch_id))
         replace_batch(records, audit_path)

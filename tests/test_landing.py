@@ -18,7 +18,7 @@ def write(folder, files):
 
 
 def verdicts(spark, folder):
-    result = landing.landing_verdicts(landing.landing_lines(spark, folder))
+    result = landing.judge_folder(spark, folder)
     return {landing_name(r.file): (r.valid, r.row_count, r.reason) for r in result.collect()}
 
 
@@ -67,6 +67,15 @@ def test_missing_columns_are_listed_in_order(spark, tmp_path):
     )
 
 
+def test_empty_file_lacks_every_column(spark, tmp_path):
+    folder = write(tmp_path, {NAME.format(1): [HEADER, GOOD]})
+    (tmp_path / NAME.format(2)).write_text("")
+    (tmp_path / NAME.format(3)).write_text("\n \n")
+    lacking = (False, 0, "SCHEMA_VALIDATION_FAILED: missing required columns: " + ", ".join(sorted(RAW_COLUMNS)))
+    found = verdicts(spark, folder)
+    assert len(found) == 3 and found[NAME.format(2)] == found[NAME.format(3)] == lacking
+
+
 def test_header_only_file_is_rejected(spark, tmp_path):
     assert judge(spark, tmp_path, [HEADER]) == (False, 0, "QUALITY_VALIDATION_FAILED: file contains no data rows")
 
@@ -111,6 +120,7 @@ def test_stream_takes_each_file_once(spark, tmp_path):
     landed.mkdir()
     paths = [str(tmp_path / p) for p in ("audit", "raw", "checkpoint")]
     write(landed, {NAME.format(1): [HEADER, GOOD, GOOD], NAME.format(2): [HEADER, "bad"], "notes.txt": ["x"]})
+    (landed / NAME.format(4)).write_text("")
 
     def run():
         query = landing_stream.start_landing(spark, str(landed), *paths)
@@ -118,11 +128,11 @@ def test_stream_takes_each_file_once(spark, tmp_path):
         audit = spark.read.parquet(paths[0])
         return sorted((r.filename, r.status, r.row_count) for r in audit.collect())
 
-    one, two, three = (NAME.format(i) for i in (1, 2, 3))
-    assert run() == [(one, "ACCEPTED", 2), (two, "REJECTED", 1)]
-    assert run() == [(one, "ACCEPTED", 2), (two, "REJECTED", 1)]
+    one, two, three, four = (NAME.format(i) for i in (1, 2, 3, 4))
+    assert run() == [(one, "ACCEPTED", 2), (two, "REJECTED", 1), (four, "REJECTED", 0)]
+    assert run() == [(one, "ACCEPTED", 2), (two, "REJECTED", 1), (four, "REJECTED", 0)]
     write(landed, {three: [HEADER, GOOD]})
-    assert run() == [(one, "ACCEPTED", 2), (two, "REJECTED", 1), (three, "ACCEPTED", 1)]
+    assert run() == [(one, "ACCEPTED", 2), (two, "REJECTED", 1), (three, "ACCEPTED", 1), (four, "REJECTED", 0)]
     raw = spark.read.parquet(paths[1])
     assert sorted((r.source_file, r["count"]) for r in raw.groupBy("source_file").count().collect()) == [(one, 2), (three, 1)]
     assert raw.select("grid_id", "internet_activity").distinct().collect() == [("1", "100")]

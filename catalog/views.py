@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellwatch import runtime
-from cellwatch.functions.columns import hour_floor
+from cellwatch.functions.columns import hour_floor, hour_number
 from cellwatch.operators import cleaning, features, rollup, star
 from cellwatch.schemas import MEASURES
 from cellwatch.sources import reference
@@ -195,9 +195,9 @@ def cells_sql(cells: int | None = None) -> str:
 
 def stand_in(ts: str = "timestamp") -> Column:
     """Deterministic score in place of a model's, the same in both engines."""
-    epoch = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
-    hour_index = F.timestamp_diff("HOUR", epoch, F.col(ts))
-    mixed = F.col("grid_id").cast("bigint") * 7919 + hour_index * 104729
+    start = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
+    hour_index = hour_number(F.col(ts)) - hour_number(start)
+    mixed = F.col("grid_id").cast("bigint") * 7919 + hour_index.cast("bigint") * 104729
     return F.pmod(mixed, F.lit(1000)) / F.lit(1000.0)
 
 

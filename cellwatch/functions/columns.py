@@ -11,6 +11,16 @@ def hour_floor(ts: Column) -> Column:
     return F.to_date(ts).cast("timestamp_ntz") + F.make_dt_interval(hours=F.hour(ts))
 
 
+def hour_number(ts: Column) -> Column:
+    """Whole hours since 1970 by calendar and clock, free of any time zone."""
+    return F.datediff(F.to_date(ts), F.lit("1970-01-01").cast("date")) * 24 + F.hour(ts)
+
+
+def second_number(ts: Column) -> Column:
+    """Whole seconds since 1970 by calendar and clock."""
+    return hour_number(ts).cast("bigint") * 3600 + F.minute(ts) * 60 + F.second(ts)
+
+
 def hours(n: int) -> Column:
     return F.make_dt_interval(hours=F.lit(n))
 

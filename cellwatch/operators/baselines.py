@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cellwatch.functions.columns import hours
+from cellwatch.functions.columns import hour_number, hours
 from cellwatch.operators.quantile import exact_group_percentile
 
 SURGE_FACTOR = 1.5
@@ -59,7 +59,7 @@ def timestamp_gaps(hourly: DataFrame) -> DataFrame:
     return (
         hourly.select("grid_id", "timestamp", F.lag("timestamp").over(by_cell()).alias("previous_timestamp"))
         .where(F.col("timestamp") != F.col("previous_timestamp") + hours(1))
-        .withColumn("gap_hours", F.timestamp_diff("HOUR", "previous_timestamp", "timestamp"))
+        .withColumn("gap_hours", hour_number(F.col("timestamp")) - hour_number(F.col("previous_timestamp")))
     )
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cellwatch.functions.columns import finite
+from cellwatch.functions.columns import finite, hour_number
 from cellwatch.operators.baselines import SURGE_FACTOR, TREND_ROWS
 from cellwatch.schemas import FEATURES_24H, FEATURES_EXTRA, MODEL_FEATURES
 
@@ -28,8 +28,7 @@ RECENT = 6
 
 def _stages(hourly: DataFrame) -> DataFrame:
     """Hourly rows with every windowed aggregate the features are made of."""
-    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
-    rows = hourly.withColumn("_h", F.timestamp_diff("HOUR", epoch, F.col("timestamp")))
+    rows = hourly.withColumn("_h", hour_number(F.col("timestamp")))
     by_hour = W.partitionBy("grid_id").orderBy("_h")
     day = by_hour.rangeBetween(1 - DAY, 0)
     recent = by_hour.rangeBetween(1 - RECENT, 0)

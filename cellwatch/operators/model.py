@@ -78,26 +78,32 @@ def feature_importance(model: PipelineModel, spark) -> DataFrame:
     return spark.createDataFrame(rows, "feature string, importance double").orderBy(F.desc("importance"), "feature")
 
 
-def risk_scores(model: PipelineModel, dataset: DataFrame, model_version: str = "ML3-v1") -> DataFrame:
-    """Probability of class 1 per row with its level and model version."""
+def _scored(model: PipelineModel, dataset: DataFrame) -> DataFrame:
+    """Dataset rows with the probability of class 1, finite and within [0, 1]."""
     probability = F.coalesce(F.get(vector_to_array("probability"), F.lit(1)), F.lit(0.0))
     return (
         model.transform(dataset)
-        .select("grid_id", F.col("feature_timestamp").alias("timestamp"), probability.alias("risk_score"))
+        .withColumn("risk_score", probability)
+        .withColumnRenamed("feature_timestamp", "timestamp")
         .where(~F.isnan("risk_score") & F.col("risk_score").between(0.0, 1.0))
-        .withColumn("risk_level", risk_level(F.col("risk_score")))
-        .withColumn("model_version", F.lit(model_version))
+    )
+
+
+def risk_scores(model: PipelineModel, dataset: DataFrame, model_version: str = "ML3-v1") -> DataFrame:
+    """Probability of class 1 per row with its level and model version."""
+    return _scored(model, dataset).select(
+        "grid_id",
+        "timestamp",
+        "risk_score",
+        risk_level(F.col("risk_score")).alias("risk_level"),
+        F.lit(model_version).alias("model_version"),
     )
 
 
 def serving_predictions(model: PipelineModel, dataset: DataFrame) -> DataFrame:
     """Stored predictions of all rows, training rows included."""
-    scores = risk_scores(model, dataset)
-    return predictions(
-        scores.join(
-            dataset.select("grid_id", F.col("feature_timestamp").alias("timestamp"), "target"), ["grid_id", "timestamp"]
-        ).withColumnRenamed("risk_score", "risk_probability")
-    )
+    scored = _scored(model, dataset).drop("prediction")
+    return predictions(scored.withColumnRenamed("risk_score", "risk_probability"))
 
 
 def predictions(scored: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cellwatch.functions.columns import fixed, hours, steady_round
+from cellwatch.functions.columns import fixed, hours, second_number, steady_round
 from cellwatch.operators.baselines import history_summary
 from cellwatch.operators.cleaning import filter_date_window
 from cellwatch.operators.model import risk_explanation, risk_level
@@ -236,7 +236,7 @@ def anomaly_reconciliation(risk: DataFrame, alerts: DataFrame, limit: float = 0.
 
 def run_health(status: DataFrame, now: Column) -> DataFrame:
     """Health, freshness, reasons and trust of run-status records at `now`."""
-    age = F.timestamp_diff("SECOND", F.col("run_timestamp"), now)
+    age = second_number(now) - second_number(F.col("run_timestamp"))
     state = F.upper(F.coalesce("status", F.lit("UNKNOWN")))
     tasks = F.coalesce("per_task_status", F.create_map().cast("map<string,string>"))
     failing = F.map_filter(tasks, lambda _, v: ~F.upper(v).isin("SUCCESS", "SKIPPED"))

@@ -12,7 +12,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cellwatch.functions.columns import calendar, share_exact, share_rounded, totals
+from cellwatch.functions.columns import calendar, hour_number, share_exact, share_rounded, totals
 from cellwatch.schemas import GRID_ID_MAX, GRID_ID_MIN, MEASURES
 
 DAY_SUMS = ["total_sms", "total_calls", "internet_activity", "total_activity"]
@@ -93,13 +93,14 @@ def network_summary(hourly: DataFrame, as_of: Column) -> DataFrame:
     seen = hourly.where(F.col("timestamp") <= as_of)
     hours = seen.groupBy("timestamp").agg(F.sum("total_activity").alias("total"))
     cells = seen.groupBy("grid_id").agg(F.sum("total_activity").alias("total"))
-    peak = hours.agg(F.max_by("timestamp", F.struct(F.round("total", 6), -F.unix_micros(F.col("timestamp").cast("timestamp")))).alias("v"))
+    earliest = -hour_number(F.col("timestamp"))
+    peak = hours.agg(F.max_by("timestamp", F.struct(F.round("total", 6), earliest)).alias("v"))
     top = cells.agg(
         F.struct(
             F.sum("total").alias("total_activity"),
             F.count_if(F.col("total") > 0).alias("active_grids"),
             F.max_by("grid_id", F.struct(F.round("total", 6), -F.col("grid_id"))).alias("top_grid"),
-            ).alias("v")
+        ).alias("v")
     )
     return (
         hourly.sparkSession.range(1)

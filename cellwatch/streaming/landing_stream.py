@@ -20,10 +20,9 @@ AUDIT_SCHEMA = "filename string, status string, row_count bigint, reason string,
 
 def accepted_rows(lines: DataFrame, headers: DataFrame, routed: DataFrame) -> DataFrame:
     """Rows of accepted files under canonical names, as text."""
-    accepted = routed.where(F.col("status") == "ACCEPTED").select("file")
+    accepted = headers.join(routed.where(F.col("status") == "ACCEPTED").select("file"), "file")
     rows = (
-        lines.join(accepted, "file")
-        .join(headers, ["file", "block"])
+        lines.join(accepted, ["file", "block"])
         .where(F.col("row_id") != F.col("header_id"))
         .withColumn("fields", landing.split_fields(F.col("line")))
     )

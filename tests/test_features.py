@@ -114,3 +114,22 @@ def test_model_dataset_equals_joined_parts(spark):
     assert got.exceptAll(joined.select(*got.columns)).count() == 0
     assert joined.select(*got.columns).exceptAll(got).count() == 0
     assert got.where("target = 1").count() > 0
+
+
+def test_results_do_not_depend_on_the_session_zone(spark):
+    # The clock of New York skips an hour on 2024-03-10.
+    from datetime import timedelta
+
+    shift = int((timedelta(days=69)).total_seconds() // 3600)
+    rows = [(1, shift + h, 5 + h % 7) for h in range(60)]
+
+    def found():
+        return sorted(map(tuple, features.network_features(hourly(spark, rows)).collect()))
+
+    want = found()
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        assert found() == want and len(want) == 36
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)

@@ -13,7 +13,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from cellwatch.operators import alerts, anomaly, baselines, cleaning, features, model, quality, rollup, star
+from cellwatch.operators import alerts, anomaly, baselines, cleaning, features, geo, guards, model, quality, rollup, star
 from cellwatch.schemas import MEASURES
 from cellwatch.sources import activity, reference, sinks
 
@@ -64,25 +64,39 @@ def load_activity(raw: DataFrame, out: Layout) -> dict[str, int]:
     clean = out.read(spark, "activity")
     out.write(rollup.hourly_grid_summary(clean), "hourly")
     hours = out.read(spark, "hourly")
+    guards.require_passed(quality.dq_grain(hours, clean), true=("unique_grain", "reduced"))
     sinks.write_small_csv(rollup.dashboard_summary(hours), out.path("dashboard_csv"))
     return dict(seen.get)
 
 
 def load_star(spark: SparkSession, out: Layout, grid_reference: DataFrame, reference_name: str) -> DataFrame:
-    """Dimensions and fact from the hourly table; returns the key checks."""
+    """Dimensions and fact from the hourly table; returns the key checks.
+
+    Cells on one side only, unknown keys and broken keys stop the load.
+    """
     hours = out.read(spark, "hourly")
+    guards.require_none(geo.grid_set_difference(hours, grid_reference), "cells on one side only")
     out.write(star.dim_time(hours), "dim_time")
     out.write(star.dim_grid(grid_reference, reference_name), "dim_grid")
     times, grids = out.read(spark, "dim_time"), out.read(spark, "dim_grid")
+    guards.require_none(star.unknown_keys(hours, times, grids), "unknown keys")
     out.write(star.fact_network_activity(hours, times, grids), "fact_network_activity")
-    return quality.dq_foreign_keys(out.read(spark, "fact_network_activity"), times, grids, hours)
+    fact = out.read(spark, "fact_network_activity")
+    guards.require_passed(rollup.control_totals(hours, fact).agg(F.bool_and("matches").alias("totals_match")), true=("totals_match",))
+    keys = ("orphan_time_keys", "orphan_grid_keys", "duplicate_timestamps", "duplicate_grids")
+    return guards.require_passed(quality.dq_foreign_keys(fact, times, grids, hours), zero=keys)
 
 
 def load_signals(spark: SparkSession, out: Layout) -> None:
     """Alerts, features, model dataset and anomaly scores from the hourly table."""
     hours = out.read(spark, "hourly")
+    guards.require_passed(
+        quality.dq_source(hours), zero=("rows_with_nulls", "duplicate_rows", "negative_total", "negative_internet")
+    )
     out.write(alerts.network_alerts(hours), "alerts")
     out.write(features.network_features(hours), "features")
+    ranges = ("non_finite_rows", "duplicate_rows", "active_hours_out_of_range", "internet_share_out_of_range")
+    guards.require_passed(quality.dq_features(out.read(spark, "features")), zero=ranges)
     out.write(model.chronological_split(features.model_dataset(hours)), "model_dataset")
     out.write(anomaly.anomaly_scores(baselines.hour_bucket_baseline(hours)), "anomalies")
 
@@ -93,6 +107,13 @@ def score_risk(spark: SparkSession, out: Layout, model_version: str = "ML3-v1")
     fitted = model.train_risk_model(dataset)
     fitted.write().overwrite().save(out.path("risk_model"))
     out.write(model.risk_scores(fitted, dataset, model_version), "risk_scores")
+    checks = quality.dq_risk_scores(out.read(spark, "risk_scores"), dataset.agg(F.count("*")).scalar())
+    complete = checks.withColumn("complete", F.col("row_count") == F.col("expected_rows"))
+    guards.require_passed(
+        complete,
+        zero=("duplicate_rows", "rows_with_nulls", "score_out_of_range", "unknown_levels"),
+        true=("single_version", "complete"),
+    )
     out.write(model.serving_predictions(fitted, dataset), "predictions")
     return fitted
 

@@ -6,7 +6,7 @@ from datetime import timedelta
 
 import pytest
 
-from cellwatch.operators import alerts, anomaly, cleaning, features, model, ops, quality, rollup, star
+from cellwatch.operators import alerts, anomaly, cleaning, features, guards, model, ops, quality, rollup, star
 from cellwatch.plans import batch
 from cellwatch.schemas import MEASURES, MODEL_FEATURES, RAW_COLUMNS
 from cellwatch.sources import reference, sinks
@@ -276,6 +276,35 @@ def test_bucketed_hours_need_no_shuffle(spark, tmp_path):
         spark.sql("DROP TABLE IF EXISTS hours_by_cell")
 
 
+def test_guards_raise(spark):
+    rows = hourly(spark, [(1, 0, 1), (1, 0, 2)])
+    assert spark.range(1).select(guards.require_as_of(rows)).first()[0] == hour(0)
+    with pytest.raises(ValueError, match="not represented"):
+        guards.require_as_of(rows, "2031-01-01 00:00:00")
+    with pytest.raises(RuntimeError, match="no timestamps"):
+        guards.require_as_of(rows.where("grid_id = 2"))
+    cells = spark.createDataFrame([("1", 45.0, 9.0), ("2", None, None)], "grid_id string, centroid_latitude double, centroid_longitude double")
+    assert guards.require_grid(cells, 1) == 1
+    for unknown in (0, 3, 10001):
+        with pytest.raises(LookupError):
+            guards.require_grid(cells, unknown)
+    with pytest.raises(RuntimeError, match="centroid"):
+        guards.require_grid(cells, 2)
+    with pytest.raises(AssertionError, match="duplicate_rows=1"):
+        guards.require_passed(quality.dq_source(rows), zero=("rows_with_nulls", "duplicate_rows"))
+    with pytest.raises(AssertionError, match="doubled"):
+        guards.require_none(quality.grain_violations(rows), "doubled")
+
+
+def test_star_load_stops_on_a_cell_without_reference(spark, tmp_path):
+    out = batch.Layout(str(tmp_path))
+    out.write(full_hours(spark, [(1, 0, 1), (2, 0, 1)]), "hourly")
+    square = json.dumps([[[0, 0], [1, 0], [1, 1], [0, 0]]])
+    found = spark.createDataFrame([("f", 0, 1, "Polygon", square)], "source_file string, position int, grid_id int, geometry_type string, coordinates string")
+    with pytest.raises(AssertionError, match="one side only: \\(2, 'source'\\)"):
+        batch.load_star(spark, out, reference.grid_reference(found), "g")
+
+
 # ------------------------------------------------------------------ jobs
 
 

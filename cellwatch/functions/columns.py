@@ -75,9 +75,11 @@ def steady_round(value: Column, digits: int) -> Column:
 
 
 def finite(value: Column) -> Column:
-    """True for a non-NULL double that is neither NaN nor infinite."""
-    infinity = F.lit(float("inf"))
-    return value.isNotNull() & ~F.isnan(value) & (F.abs(value) != infinity)
+    """True for a non-NULL double that is neither NaN nor infinite.
+
+    NaN sorts above infinity, so one comparison tells all three.
+    """
+    return F.coalesce(F.abs(value) < F.lit(float("inf")), F.lit(False))
 
 
 def grid_text(value: Column) -> Column:

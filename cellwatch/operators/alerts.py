@@ -54,7 +54,7 @@ def network_alerts(hourly: DataFrame) -> DataFrame:
         hourly.select(
             "grid_id", "timestamp", "date", "total_activity", F.lag("total_activity").over(in_order).alias("previous_activity")
         )
-        .withColumn("_values", F.array_sort(F.collect_list("total_activity").over(day)))
+        .withColumn("_values", F.sort_array(F.collect_list("total_activity").over(day)))
         .withColumn("daily_activity", F.round(F.sum("total_activity").over(day), 6))
         .join(F.broadcast(activity_floor(hourly)), "date")
         .where(F.col("daily_activity") >= F.col("activity_floor"))

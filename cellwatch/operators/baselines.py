@@ -46,7 +46,7 @@ def leave_one_out_median(values: Column, own: Column) -> Column:
 def loo_baseline(hourly: DataFrame) -> DataFrame:
     """Median of the cell's other hours of the day."""
     day = W.partitionBy("grid_id", "date")
-    values = F.array_sort(F.collect_list("total_activity").over(day))
+    values = F.sort_array(F.collect_list("total_activity").over(day))
     return (
         hourly.withColumn("_values", values)
         .withColumn("baseline_activity", leave_one_out_median(F.col("_values"), F.col("total_activity")))
@@ -70,12 +70,24 @@ def densify_hours(hourly: DataFrame) -> DataFrame:
     return frame.join(hourly, ["grid_id", "timestamp"], "left")
 
 
-def trailing_median(rows: int = TREND_ROWS) -> Column:
-    """Median of the last `rows` rows, NULL before that many exist."""
-    frame = by_cell().rowsBetween(1 - rows, 0)
-    return F.when(
-        F.count("total_activity").over(frame) == rows, F.percentile("total_activity", 0.5).over(frame)
-    )
+def sorted_median(values: Column, rows: int) -> Column:
+    """Median of a sorted array of `rows` values, NULL when it holds fewer.
+
+    For short sliding frames this beats a percentile aggregate, which builds a
+    hash map per row.
+    """
+    middle = (F.get(values, F.lit((rows - 1) // 2)) + F.get(values, F.lit(rows // 2))) / 2
+    return F.when(F.size(values) == rows, middle)
+
+
+def trailing_values(frame: W) -> Column:
+    return F.sort_array(F.collect_list("total_activity").over(frame))
+
+
+def with_trailing_median(hourly: DataFrame, rows: int = TREND_ROWS) -> DataFrame:
+    """Median of the last `rows` rows as `_median`, NULL before that many exist."""
+    values = trailing_values(by_cell().rowsBetween(1 - rows, 0))
+    return hourly.withColumn("_values", values).withColumn("_median", sorted_median(F.col("_values"), rows)).drop("_values")
 
 
 def risk_label(median: Column) -> Column:
@@ -88,7 +100,7 @@ def risk_label(median: Column) -> Column:
 def risk_target(hourly: DataFrame) -> DataFrame:
     """Label of every row; a row without a usable baseline or next hour is 0."""
     return (
-        hourly.withColumn("_median", trailing_median())
+        with_trailing_median(hourly)
         .withColumn("target", risk_label(F.col("_median")))
         .select("grid_id", F.col("timestamp").alias("feature_timestamp"), "target")
     )
@@ -96,7 +108,7 @@ def risk_target(hourly: DataFrame) -> DataFrame:
 
 def trailing_high_activity(hourly: DataFrame) -> DataFrame:
     """Current hour over 1.5x the trailing median; NULL before 24 rows."""
-    return hourly.withColumn("_median", trailing_median()).select(
+    return with_trailing_median(hourly).select(
         "grid_id",
         "timestamp",
         (F.col("total_activity") > F.lit(SURGE_FACTOR) * F.col("_median")).cast("int").alias("np3_high_activity"),

@@ -19,7 +19,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cellwatch.functions.columns import finite, hour_number
-from cellwatch.operators.baselines import SURGE_FACTOR, TREND_ROWS
+from cellwatch.operators.baselines import SURGE_FACTOR, TREND_ROWS, sorted_median, trailing_values
 from cellwatch.schemas import FEATURES_24H, FEATURES_EXTRA, MODEL_FEATURES
 
 DAY = 24
@@ -57,8 +57,7 @@ def _stages(hourly: DataFrame) -> DataFrame:
         F.avg(total).over(last_rows).alias("_rows_mean"),
         F.stddev_pop(total).over(last_rows).alias("_rows_std"),
         F.max(total).over(last_rows).alias("_rows_max"),
-        F.count(total).over(trend_rows).alias("_trend_n"),
-        F.percentile(total, 0.5).over(trend_rows).alias("_trend_median"),
+        trailing_values(trend_rows).alias("_trend"),
         F.lead("_h").over(by_hour).alias("_next_h"),
         F.lead(total).over(by_hour).alias("_next_total"),
     )
@@ -117,7 +116,9 @@ def _named(columns: dict[str, Column]) -> list[Column]:
 
 
 def _complete(names: list[str]) -> Column:
-    return functools.reduce(operator.and_, [finite(F.col(n).cast("double")) for n in names])
+    """All features finite. NULL, NaN and infinity carry over into a sum, so
+    one test on it names each feature once and keeps the generated code small."""
+    return finite(functools.reduce(operator.add, [F.col(n) for n in names]))
 
 
 def feature(hourly: DataFrame, name: str) -> DataFrame:
@@ -158,7 +159,7 @@ def model_dataset(hourly: DataFrame, with_target: bool = True) -> DataFrame:
     The parts have the same keys and sources, so no join is needed. A complete
     row whose next hour was not observed stays, labelled 0.
     """
-    surges = F.col("_next_total") > F.lit(SURGE_FACTOR) * _when_full("_trend_median", "_trend_n", TREND_ROWS)
+    surges = F.col("_next_total") > F.lit(SURGE_FACTOR) * sorted_median(F.col("_trend"), TREND_ROWS)
     label = F.coalesce(((F.col("_next_h") == F.col("_h") + 1) & surges).cast("int"), F.lit(0)).alias("target")
     return (
         _stages(hourly)
@@ -169,7 +170,7 @@ def model_dataset(hourly: DataFrame, with_target: bool = True) -> DataFrame:
             *_named(_all_features()),
             *([label] if with_target else []),
         )
-        .where(_complete(MODEL_FEATURES))
+        .where(_complete(FEATURES_24H + FEATURES_EXTRA[:3]))
     )
 
 

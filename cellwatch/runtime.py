@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-def session(app: str = "cellwatch", master: str | None = None, partitions: int | None = None) -> SparkSession:
+def session(app: str = "cellwatch", master: str | None = None, partitions: int | None = None, initial_partitions: int = 2000) -> SparkSession:
     """Session with the settings the operators are tuned for.
 
+    On a cluster shuffles start with `initial_partitions`, which adaptive
+    execution merges but never splits: size it to the largest shuffle, about
+    128 MB a partition. `partitions` is the fixed small number of local runs.
+
     Adaptive execution coalesces small shuffle partitions, splits skewed join
     partitions and turns joins into broadcasts from measured sizes.
     """
@@ -28,38 +34,39 @@ def session(app: str = "cellwatch", master: str | None = None, partitions: int |
         builder = builder.master(master)
     if partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(partitions))
+    else:
+        builder = builder.config("spark.sql.adaptive.coalescePartitions.initialPartitionNum", str(initial_partitions))
     return builder.getOrCreate()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder all executors can reach: the cluster's `spark.checkpoint.dir`.
-
-    Only a local session may fall back to a machine-local folder.
-    """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured
-    current = spark.sparkContext.getCheckpointDir()
-    if current:
-        return current
-    if not spark.sparkContext.master.startswith("local"):
+    """Folder all executors can reach: the cluster's `spark.checkpoint.dir`."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    folder = tempfile.mkdtemp(prefix="cellwatch-")
-    spark.sparkContext.setCheckpointDir(folder)
     return folder
 
 
+def local_scratch(spark: SparkSession) -> SparkSession:
+    """Name a scratch folder for a local session that has none.
+
+    Tests, benchmark and entry call this; a cluster must name its own folder.
+    The folder goes when the process ends.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named and spark.sparkContext.master.startswith("local["):
+        folder = tempfile.mkdtemp(prefix="cellwatch-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        spark.sparkContext.setCheckpointDir(folder)
+    return spark
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path in the application's part of the shared folder.
 
-    That part goes when the application ends.
+    Who owns the shared folder clears it, as with any checkpoint folder.
     """
-    folder = f"{shared_dir(spark)}/cellwatch-{spark.sparkContext.applicationId}"
-    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    files = hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration())
-    files.mkdirs(hadoop_path)
-    files.deleteOnExit(hadoop_path)
-    return f"{folder}/{label}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/cellwatch-{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:

@@ -24,9 +24,9 @@ from pyspark.sql import functions as F
 
 from cellwatch.llm import common
 
-# Pre-tokens a worker remembers with their ids, in each of two generations; a full one replaces the older.
-REMEMBERED = 300_000
-# Longer pre-tokens are not remembered, which bounds the memory of a worker.
+# Strings a worker remembers with their ids, in each of two generations of two memories.
+REMEMBERED = 200_000
+# Longer strings are not remembered, which bounds the memory of a worker.
 REMEMBERED_CHARS = 64
 _BUCKET = 4
 
@@ -84,27 +84,69 @@ class PerfectHash:
         return slot if self.slots[slot] == key else -1
 
 
+class Memory:
+    """Recently used strings and their ids; a full generation replaces the older one."""
+
+    def __init__(self):
+        self.recent: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def put(self, key: str, packed: bytes) -> bytes:
+        if len(key) <= REMEMBERED_CHARS:
+            if len(self.recent) >= REMEMBERED:
+                self.older, self.recent = self.recent, {}
+            self.recent[key] = packed
+        return packed
+
+
 class Codec:
-    """Encoder and decoder of one vocabulary of ranks."""
+    """Encoder and decoder of one vocabulary of ranks; ids are ranks."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str, seeds: list[int] | None = None):
-        self.ranks = ranks
         self.split = regex.compile(pattern).findall
+        # A space between two other visible characters always begins a pre-token of this pattern.
+        self.parts_at_spaces = pattern == public_tokenizers.PATTERN
         self.tokens = {rank: token for token, rank in ranks.items()}
         self.hash = PerfectHash(list(ranks), seeds)
         self.rank_of_slot = [ranks[key] for key in self.hash.slots]
-        self.recent: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.bytes = [ranks.get(bytes([b])) for b in range(256)]
+        self.base = max(ranks.values(), default=0) + 1
+        # Every way to put two entries together to a third.
+        self.pairs = {
+            ranks[token[:cut]] * self.base + ranks[token[cut:]]: rank
+            for token, rank in ranks.items()
+            for cut in range(1, len(token))
+            if token[:cut] in ranks and token[cut:] in ranks
+        }
+        self.chunks, self.pieces = Memory(), Memory()
 
     def encode(self, text: str | None) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
         if not text:
             return b""
-        get = self.recent.get
-        return b"".join([get(piece) or self._encode_piece(piece) for piece in self.split(text)])
+        if not self.parts_at_spaces:
+            return self._encode_chunk(text)
+        parts = text.split(" ")
+        get, out, held = self.chunks.recent.get, [], parts[0]
+        for part in parts[1:]:
+            # Split only where both neighbours of the space are visible.
+            if part and held and not part[0].isspace() and not held[-1].isspace():
+                out.append(get(held) or self._encode_chunk(held))
+                held = " " + part
+            else:
+                held += " " + part
+        out.append(get(held) or self._encode_chunk(held))
+        return b"".join(out)
+
+    def _encode_chunk(self, chunk: str) -> bytes:
+        packed = self.chunks.older.get(chunk)
+        if packed is None:
+            get = self.pieces.recent.get
+            packed = b"".join([get(piece) or self._encode_piece(piece) for piece in self.split(chunk)])
+        return self.chunks.put(chunk, packed)
 
     def _encode_piece(self, piece: str) -> bytes:
-        packed = self.older.get(piece)
+        packed = self.pieces.older.get(piece)
         if packed is None:
             data = piece.encode()
             slot = self.hash.find(data)
@@ -112,45 +154,39 @@ class Codec:
             if sys.byteorder == "big":
                 ids.byteswap()
             packed = ids.tobytes()
-        if len(piece) <= REMEMBERED_CHARS:
-            if len(self.recent) >= REMEMBERED:
-                self.older, self.recent = self.recent, {}
-            self.recent[piece] = packed
-        return packed
+        return self.pieces.put(piece, packed)
 
     def _merge(self, data: bytes) -> list[int]:
-        """Lowest rank first, leftmost on ties, as byte pairs over a linked list.
+        """Lowest rank first, leftmost on ties, over linked parts that begin as bytes.
 
-        A heap entry packs rank, start and end of a pair into one integer. A
-        part that was swallowed by its left neighbour has 0 in `after`.
+        A heap entry packs the rank and the place of the left part; it is
+        outdated if the parts now there no longer merge to that rank.
         """
-        n, rank = len(data), self.ranks.get
+        n, base, pair = len(data), self.base, self.pairs.get
+        ids = list(map(self.bytes.__getitem__, data))
         bits = n.bit_length()
-        low, twice = (1 << bits) - 1, 2 * bits
+        low = (1 << bits) - 1
         after = list(range(1, n + 1))
         before = list(range(-1, n - 1))
-        heap = [(r << twice) | (i << bits) | (i + 2) for i in range(n - 1) if (r := rank(data[i : i + 2])) is not None]
+        heap = [(r << bits) | i for i in range(n - 1) if (r := pair(ids[i] * base + ids[i + 1])) is not None]
         heapify(heap)
         while heap:
             entry = heappop(heap)
-            i, end = (entry >> bits) & low, entry & low
-            j = after[i]
-            if not j or j >= n or after[j] != end:
-                continue  # one of its halves has grown or gone meanwhile
-            after[i] = end
-            after[j] = 0
+            i = entry & low
+            left, j = ids[i], after[i]
+            if left is None or j >= n or pair(left * base + ids[j]) != entry >> bits:
+                continue
+            ids[i] = own = entry >> bits
+            ids[j] = None
+            after[i] = end = after[j]
             if end < n:
                 before[end] = i
-                if (r := rank(data[i : after[end]])) is not None:
-                    heappush(heap, (r << twice) | (i << bits) | after[end])
-            if (p := before[i]) >= 0 and (r := rank(data[p:end])) is not None:
-                heappush(heap, (r << twice) | (p << bits) | end)
-        ids, i = [], 0
-        while i < n:
-            end = after[i]
-            ids.append(self.ranks[data[i:end]])
-            i = end
-        return ids
+                if (r := pair(own * base + ids[end])) is not None:
+                    heappush(heap, (r << bits) | i)
+            p = before[i]
+            if p >= 0 and (r := pair(ids[p] * base + own)) is not None:
+                heappush(heap, (r << bits) | p)
+        return [x for x in ids if x is not None]
 
     def decode(self, packed: bytes) -> bytes:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(packed, dtype="<u4").tolist()))

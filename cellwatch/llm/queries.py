@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cellwatch.llm import bpe
+from cellwatch.llm import bpe, decontaminate, line_runs, simhash
 from cellwatch.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,3 +27,18 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 @query("op4_byte_bpe")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"))
+
+
+@query("op3_simhash")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.groups(table(spark, sf_dir, "documents"))
+
+
+@query("op5_decontamination", decontaminate.SQL)
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op7_line_dedup", line_runs.SQL)
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_runs.report(table(spark, sf_dir, "documents"))

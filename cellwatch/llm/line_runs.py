@@ -26,8 +26,11 @@ def _ranked(keys: DataFrame) -> DataFrame:
     return materialize(ordered.withColumn("rank", F.monotonically_increasing_id()), "ranks")
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """Non-blank lines: (seq, doc_id, at, pos, words, key), `at` counting all lines and `pos` these."""
+def _lines(docs: DataFrame, min_words: int) -> DataFrame:
+    """Non-blank lines: (seq, doc_id, n, at, pos, words, key), `at` counting all lines and `pos` these.
+
+    Words are counted up to `min_words`: no run asks for more.
+    """
     line = F.transform(F.split(F.col("text"), "\n", -1), lambda x, i: F.struct(i.alias("at"), x.alias("line")))
     solid = F.filter(line, lambda x: x["line"].rlike(r"[^\x20\x09-\x0D]"))
     return docs.select(F.col(_SEQ).alias("seq"), "doc_id", F.size(solid).alias("n"), F.posexplode(solid).alias("pos", "x")).select(
@@ -36,7 +39,9 @@ def _lines(docs: DataFrame) -> DataFrame:
         "n",
         "pos",
         F.col("x.at").alias("at"),
-        F.size(F.regexp_extract_all(F.col("x.line"), F.lit(r"[^\x20\x09-\x0D]+"), 0)).alias("words"),
+        F.least(
+            F.size(F.split(F.btrim(F.col("x.line"), F.lit(" \t\n\x0b\x0c\r")), r"[\x20\x09-\x0D]+", min_words + 1)), F.lit(min_words)
+        ).alias("words"),
         F.unhex(F.md5("x.line")).alias("key"),
     )
 
@@ -129,7 +134,7 @@ def dedupe_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """
     new = ["n_lines", "n_deleted", "deleted", "kept", _SEQ]
     source = materialize(docs.drop(*new).withColumn(_SEQ, F.monotonically_increasing_id()), "numbered")
-    lines = materialize(_lines(source), "all-lines")
+    lines = materialize(_lines(source, min_words), "all-lines")
     marks = later_copies(lines, min_words)
     gone = marks.groupBy(F.col("seq").alias(_SEQ)).agg(F.array_sort(F.collect_set("at")).alias("deleted"))
     parts = F.split(F.col("text"), "\n", -1)

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import os
 import pathlib
-import re
 import tempfile
 import zipfile
 from collections.abc import Iterator
@@ -57,8 +56,8 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def text_blocks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = BLOCK_BYTES) -> Iterator[tuple[pa.Table, list]]:
-    """Rows in blocks of about `limit` bytes of text: the other columns, and the texts decoded."""
+def text_blocks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = BLOCK_BYTES, decode: bool = True) -> Iterator[tuple[pa.Table, list]]:
+    """Rows in blocks of about `limit` bytes of text, and their texts decoded."""
     held: list[pa.RecordBatch] = []
     size = 0
     for batch in batches:
@@ -67,18 +66,15 @@ def text_blocks(batches: Iterator[pa.RecordBatch], column: str = "text", limit:
         for row, length in enumerate(sizes):
             if size and size + length > limit:
                 held.append(batch.slice(first, row - first))
-                yield _block(held, column)
+                yield _block(held, column, decode)
                 held, size, first = [], 0, row
             size += length
         held.append(batch.slice(first))
     if held:
-        yield _block(held, column)
+        yield _block(held, column, decode)
 
 
-def _block(held: list[pa.RecordBatch], column: str) -> tuple[pa.Table, list]:
+def _block(held: list[pa.RecordBatch], column: str, decode: bool) -> tuple[pa.Table, list]:
     rows = pa.Table.from_batches(held)
-    return rows, rows.column(column).to_pylist()
+    return rows, rows.column(column).to_pylist() if decode else []
 
-
-def flat_name(text: str) -> str:
-    return re.sub(r"\W+", "_", text)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cellwatch.llm import bpe, decontaminate, line_runs, simhash
+from cellwatch.llm import bpe, decontaminate, line_runs, simhash, toxicity
 from cellwatch.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -42,3 +42,8 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_line_dedup", line_runs.SQL)
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_runs.report(table(spark, sf_dir, "documents"))
+
+
+@query("op2_toxicity")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -78,3 +79,8 @@ def _block(held: list[pa.RecordBatch], column: str, decode: bool) -> tuple[pa.Ta
     rows = pa.Table.from_batches(held)
     return rows, rows.column(column).to_pylist() if decode else []
 
+
+
+def xxh(word: str) -> int:
+    """XXH64 as Spark's xxhash64 computes it, unsigned."""
+    return xxhash.xxh64_intdigest(word, 42)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cellwatch.llm import bpe, decontaminate, embedding_join, line_runs, perspectives, simhash, toxicity
+from cellwatch.llm import bpe, decontaminate, embedding_join, hmm, line_runs, perspectives, simhash, toxicity
 from cellwatch.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -57,3 +57,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_perspectives", perspectives.SQL)
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return perspectives.rotate(table(spark, sf_dir, "conversations"))
+
+
+@query("op1_hmm_scoring")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.score(table(spark, sf_dir, "documents"))

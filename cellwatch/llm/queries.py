@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cellwatch.llm import bpe, decontaminate, embedding_join, hmm, line_runs, perspectives, simhash, toxicity
+from cellwatch.llm import bpe, decontaminate, embedding_join, hmm, line_runs, perspectives, pii, simhash, toxicity
 from cellwatch.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -62,3 +62,8 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_hmm_scoring")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmm.score(table(spark, sf_dir, "documents"))
+
+
+@query("op10_pii")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cellwatch.llm import bpe, decontaminate, embedding_join, hmm, line_runs, perspectives, pii, simhash, toxicity
+from cellwatch.llm import bpe, decontaminate, embedding_join, hmm, line_runs, passages, perspectives, pii, simhash, toxicity
 from cellwatch.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -67,3 +67,8 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_pii")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
+
+
+@query("op8_passages")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.near_duplicate_passages(table(spark, sf_dir, "documents"))

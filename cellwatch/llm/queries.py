@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from cellwatch.llm import bpe, decontaminate, embedding_join, hmm, line_runs, passages, perspectives, pii, simhash, toxicity
 from cellwatch.llm.common import table
 
@@ -72,3 +73,8 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_passages")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.near_duplicate_passages(table(spark, sf_dir, "documents"))
+
+
+QUERIES["pipeline"] = corpus_pipeline.run
+if corpus_pipeline.ORACLE_SQL is not None:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL

@@ -33,7 +33,9 @@ def _lines(docs: DataFrame, min_words: int) -> DataFrame:
     """
     line = F.transform(F.split(F.col("text"), "\n", -1), lambda x, i: F.struct(i.alias("at"), x.alias("line")))
     solid = F.filter(line, lambda x: x["line"].rlike(r"[^\x20\x09-\x0D]"))
-    return docs.select(F.col(_SEQ).alias("seq"), "doc_id", F.size(solid).alias("n"), F.posexplode(solid).alias("pos", "x")).select(
+    # Lines first become a column, as what stands beside an explode is computed for each of its rows.
+    parted = docs.select(F.col(_SEQ).alias("seq"), "doc_id", solid.alias("solid"))
+    return parted.select("seq", "doc_id", F.size("solid").alias("n"), F.posexplode("solid").alias("pos", "x")).select(
         "seq",
         "doc_id",
         "n",

@@ -3,10 +3,11 @@
 Every document is a sequence of line ids. Prefix doubling ranks all suffixes by
 their first 1, 2, 4, ... lines: pairs of ranks are grouped, sorted by range and
 numbered. A run counts if it holds at least `min_words` words. Suffixes that
-share their shortest such run form an interval of common prefixes; all but the
-first of an interval are later copies. Since every line of a longer repeated
-run lies in such a shortest run or ends one, the union of their lines is the
-union of the maximal repeated runs, and that is deleted.
+share such a run as their prefix form an interval of common prefixes; all but
+the first of an interval are later copies. Intervals are looked up for the
+shortest runs that begin at a line and for those that end at a line: every line
+of a maximal repeated run lies in one of these, so the union of their lines is
+that of the maximal repeated runs, and it is deleted.
 """
 
 from __future__ import annotations
@@ -48,14 +49,36 @@ def _lines(docs: DataFrame, min_words: int) -> DataFrame:
     )
 
 
-def _ahead(column: Column, lines: int) -> Column:
-    """Values of a document's rows up to `lines` lines ahead, as (pos, value)."""
-    frame = Window.partitionBy("seq").orderBy("pos").rangeBetween(0, lines)
+def _near(column: Column, first: int, last: int) -> Column:
+    """Values of a document's rows from `first` to `last` lines ahead, as (pos, value)."""
+    frame = Window.partitionBy("seq").orderBy("pos").rangeBetween(first, last)
     return F.collect_list(F.struct(F.col("pos").alias("pos"), column.alias("value"))).over(frame)
 
 
-def _at(ahead: Column, pos: Column) -> Column:
-    return F.get(F.filter(ahead, lambda x: x["pos"] == pos), F.lit(0))["value"]
+def _at(near: Column, pos: Column) -> Column:
+    return F.get(F.filter(near, lambda x: x["pos"] == pos), F.lit(0))["value"]
+
+
+def _sizes(ahead: Column, min_words: int) -> Column:
+    """(first, last): sizes of the runs to look up at a line, from the shortest with enough words
+    to the longest that lacks them without its first line; null where no run has enough."""
+    state = F.aggregate(
+        ahead,
+        F.struct(
+            F.lit(0).alias("words"), F.lit(0).alias("rest"), F.lit(0).alias("lines"), F.col("pos").alias("want"), F.lit(None).cast("int").alias("first"), F.lit(None).cast("int").alias("last")
+        ),
+        lambda acc, x: F.when(x["pos"] != acc["want"], acc).otherwise(_grown(acc, x["value"], min_words)),
+    )
+    return F.struct(state["first"].alias("first"), state["last"].alias("last"))
+
+
+def _grown(acc: Column, value: Column, min_words: int) -> Column:
+    words, lines = acc["words"] + value, acc["lines"] + 1
+    rest = F.when(acc["lines"] > 0, acc["rest"] + value).otherwise(0)
+    first = F.coalesce(acc["first"], F.when(words >= min_words, lines))
+    last = F.when(first.isNotNull() & ((first == lines) | (rest < min_words)), lines).otherwise(acc["last"])
+    names = ["words", "rest", "lines", "want", "first", "last"]
+    return F.struct(*[c.alias(n) for c, n in zip((words, rest, lines, acc["want"] + 1, first, last), names)])
 
 
 def later_copies(lines: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -66,24 +89,9 @@ def later_copies(lines: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """
     repeated = lines.groupBy("key").count().where("count > 1").select("key")
     ids = _ranked(repeated)
-    shape = _ahead(F.col("words"), min_words - 1)
-    so_far = F.aggregate(
-        shape,
-        F.struct(F.lit(0).alias("words"), F.lit(0).alias("lines"), F.lit(False).alias("full"), F.col("pos").alias("want")),
-        lambda acc, x: F.when(acc["full"] | (x["pos"] != acc["want"]), acc).otherwise(
-            F.struct(
-                (acc["words"] + x["value"]).alias("words"),
-                (acc["lines"] + 1).alias("lines"),
-                (acc["words"] + x["value"] >= min_words).alias("full"),
-                (acc["want"] + 1).alias("want"),
-            )
-        ),
-    )
-    run = so_far
+    sizes = _sizes(_near(F.col("words"), 0, min_words - 1), min_words)
     active = materialize(
-        lines.join(ids, "key")
-        .withColumn("run", run)
-        .select("seq", "doc_id", "n", "pos", "at", F.col("rank").alias("r"), F.when(F.col("run.full"), F.col("run.lines")).alias("size")),
+        lines.join(ids, "key").withColumn("sizes", sizes).select("seq", "doc_id", "n", "pos", "at", F.col("rank").alias("r"), "sizes.first", "sizes.last"),
         "lines",
     )
     copies = None
@@ -105,24 +113,25 @@ def _doubled(level: DataFrame, width: int) -> DataFrame:
     A prefix that reaches the end of its document goes on with -1.
     """
     beyond = F.col("pos") + width
-    second = F.when(beyond >= F.col("n"), F.lit(-1).cast("long")).otherwise(_at(_ahead(F.col("r"), width), beyond))
+    second = F.when(beyond >= F.col("n"), F.lit(-1).cast("long")).otherwise(_at(_near(F.col("r"), width, width), beyond))
     paired = materialize(level.withColumn("second", second).where("second is not null"), "pairs")
     keys = paired.groupBy("r", "second").count().where("count > 1").select("r", "second")
     return materialize(paired.join(_ranked(keys), ["r", "second"]).drop("r", "second").withColumnRenamed("rank", "r"), "level")
 
 
 def _copies(level: DataFrame, width: int) -> DataFrame:
-    """(seq, begin, size) of later copies among runs of `width` to 2 * width - 1 lines.
+    """(seq, begin, size) of later copies among the runs of `width` to 2 * width - 1 lines.
 
     Two ranks name such a run: that of its first and that of its last `width` lines.
     """
-    runs = level.withColumn("last", _at(_ahead(F.col("r"), width), F.col("pos") + F.col("size") - width))
-    runs = runs.where(F.col("size").between(width, 2 * width - 1) & F.col("last").isNotNull())
-    place = F.struct("doc_id", "seq", "pos")
-    key = ["r", "last", "size"]
+    from_, to = F.greatest("first", F.lit(width)), F.least("last", F.lit(2 * width - 1))
+    ranks = level.withColumn("near", _near(F.col("r"), 0, width)).where(F.col("first").isNotNull() & (from_ <= to))
+    runs = ranks.select("seq", "doc_id", "pos", "r", "near", F.explode(F.sequence(from_, to)).alias("size"))
+    runs = runs.select("seq", "doc_id", "pos", "r", "size", _at(F.col("near"), F.col("pos") + F.col("size") - width).alias("end_rank")).where("end_rank is not null")
+    place, key = F.struct("doc_id", "seq", "pos"), ["r", "end_rank", "size"]
     # One row per interval, aggregated map-side; hot intervals join back as skewed partitions.
-    first = runs.groupBy(*key).agg(F.min(place).alias("first"), F.count("*").alias("n_copies")).where("n_copies > 1")
-    return runs.join(first, key).where(place != F.col("first")).select("seq", F.col("pos").alias("begin"), "size")
+    first = runs.groupBy(*key).agg(F.min(place).alias("earliest"), F.count("*").alias("n_copies")).where("n_copies > 1")
+    return runs.join(first, key).where(place != F.col("earliest")).select("seq", F.col("pos").alias("begin"), "size")
 
 
 def dedupe_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -175,7 +184,11 @@ w AS MATERIALIZED (
 runs AS MATERIALIZED (
   SELECT a.seq, a.pos, min(b.pos) AS stop
   FROM w a JOIN w b ON a.seq = b.seq AND b.pos BETWEEN a.pos AND a.pos + {MIN_WORDS - 1} AND b.upto - a.upto + a.words >= {MIN_WORDS}
-  GROUP BY a.seq, a.pos),
+  GROUP BY a.seq, a.pos
+  UNION
+  SELECT b.seq, max(a.pos) AS pos, b.pos AS stop
+  FROM w a JOIN w b ON a.seq = b.seq AND a.pos BETWEEN b.pos - {MIN_WORDS - 1} AND b.pos AND b.upto - a.upto + a.words >= {MIN_WORDS}
+  GROUP BY b.seq, b.pos),
 named AS MATERIALIZED (
   SELECT r.seq, r.pos, r.stop, string_agg(l.line, chr(10) ORDER BY l.pos) AS run
   FROM runs r JOIN l ON l.seq = r.seq AND l.pos BETWEEN r.pos AND r.stop GROUP BY r.seq, r.pos, r.stop),

@@ -3,6 +3,8 @@
 Files are read as text lines with their place in the file (split offset, then
 row id), so a verdict needs one map-side aggregate per split and one small
 aggregate per file: no file, however large, is ever gathered in one task.
+Splits may differ from scan to scan, so offsets and ids are compared only
+within one scan; what one job hands to the next is keyed by file alone.
 """
 
 from __future__ import annotations
@@ -62,29 +64,38 @@ def split_fields(line: Column) -> Column:
 
 
 def file_headers(lines: DataFrame) -> DataFrame:
-    """Header of each file, repeated for each of its splits.
+    """Header of each file, one row per file: its first line, columns and places.
 
-    The header is the first line of the first split. One row per split lets
-    lines meet their header by (file, block), so no join key holds more than a
-    split, however large the file. `at` holds the place of each required
-    column, -1 where it is missing.
+    `at` holds the place of each required column, -1 where it is missing.
     """
-    in_file = W.partitionBy("file").orderBy("block")
     places = [(F.array_position("columns", c).cast("int") - 1).alias(c) for c in RAW_COLUMNS]
     return (
-        lines.groupBy("file", "block")
-        .agg(F.min_by("line", "row_id").alias("line"), F.min("row_id").alias("row_id"))
-        .select(
-            "file",
-            "block",
-            (F.row_number().over(in_file) == 1).alias("first_split"),
-            F.first("row_id").over(in_file).alias("header_id"),
-            split_fields(F.first("line").over(in_file)).alias("columns"),
-        )
+        lines.groupBy("file")
+        .agg(F.min_by("line", F.struct("block", "row_id")).alias("header"))
+        .withColumn("columns", split_fields(F.col("header")))
         .withColumn("at", F.struct(*places))
     )
 
 
+def with_headers(lines: DataFrame, headers: DataFrame) -> DataFrame:
+    """Lines with header text, number of columns and places of their file.
+
+    Files with the canonical header need no look-up, so only the others are
+    joined: few, and broadcast where their measured size allows.
+    """
+    usual = ",".join(RAW_COLUMNS)
+    places = F.struct(*[F.lit(i).alias(c) for i, c in enumerate(RAW_COLUMNS)])
+    other = headers.where(F.col("header") != usual).select("file", "header", F.size("columns").alias("width"), "at")
+    joined = lines.join(other.withColumnRenamed("at", "own_at"), "file", "left")
+    return joined.withColumns(
+        {
+            "at": F.coalesce("own_at", places),
+            "width": F.coalesce("width", F.lit(len(RAW_COLUMNS))),
+            "header": F.coalesce("header", F.lit(usual)),
+        }
+    ).drop("own_at")
+
+
 def empty_files(spark: SparkSession, folder: str, pattern: str = LANDING_PATTERN) -> DataFrame:
     """Files of no bytes, which scans pass over; only their names are listed."""
     target = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{pattern}")
@@ -108,7 +119,7 @@ def landing_schema_check(headers: DataFrame) -> DataFrame:
     """Per file: does the header carry every required column?"""
     required = F.array(*[F.lit(c) for c in RAW_COLUMNS])
     missing = F.array_sort(F.array_except(required, F.col("columns")))
-    return headers.where("first_split").select(
+    return headers.select(
         "file",
         (F.size(missing) == 0).alias("schema_ok"),
         F.when(
@@ -163,37 +174,44 @@ def landing_quality_gate(lines: DataFrame, headers: DataFrame) -> DataFrame:
 
     As in a line-by-line reader, `row_count` stops at the first bad row and row
     numbers start at 2. Each split reduces to one row (its lines and its first
-    fault) before anything is compared across splits.
+    fault), and to one more for each line that reads like the header: the first
+    line of the file is the header, any other such line a bad row. Which line
+    is first is decided among the rows of this very scan.
     """
-    is_header = F.col("row_id") == F.col("header_id")
-    rows = (
-        lines.join(headers, ["file", "block"])
-        .withColumn("fields", split_fields(F.col("line")))
-        .select(
-            "file",
-            "block",
-            "row_id",
-            is_header.alias("is_header"),
-            (F.size("fields") < F.size("columns")).alias("short"),
-            *[named_field(c).alias(c) for c in ["datetime", "CellID", *RAW_MEASURES]],
-        )
-        .withColumn(
-            "fault",
-            F.when(
-                ~F.col("is_header"),
-                row_fault(F.col("datetime"), F.col("CellID"), {m: F.col(m) for m in RAW_MEASURES}, F.col("short")),
-            ),
-        )
+    rows = with_headers(lines, headers).withColumn("fields", split_fields(F.col("line")))
+    rows = rows.select(
+        "file",
+        "block",
+        "row_id",
+        F.when(F.col("line") == F.col("header"), F.col("row_id")).alias("like_header"),
+        (F.size("fields") < F.col("width")).alias("short"),
+        *[named_field(c).alias(c) for c in ["datetime", "CellID", *RAW_MEASURES]],
     )
+    fault = row_fault(F.col("datetime"), F.col("CellID"), {m: F.col(m) for m in RAW_MEASURES}, F.col("short"))
     bad_id = F.when(F.col("fault").isNotNull(), F.col("row_id"))
-    earlier = W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
-    splits = (
-        rows.groupBy("file", "block")
+    parts = (
+        rows.withColumn("fault", fault)
+        .groupBy("file", "block", "like_header")
         .agg(
-            F.count_if(~F.col("is_header")).alias("n"),
-            (F.min(bad_id) - F.min(F.when(~F.col("is_header"), F.col("row_id"))) + 1).alias("bad_at"),
+            F.count("*").alias("n"),
+            F.min("row_id").alias("first_id"),
+            F.min(bad_id).alias("bad_id"),
             F.min_by("fault", bad_id).alias("fault"),
         )
+    )
+    in_file, in_split = W.partitionBy("file"), W.partitionBy("file", "block")
+    is_header = (F.col("block") == F.min("block").over(in_file)) & (F.col("like_header") == F.min("first_id").over(in_split))
+    is_header = F.coalesce(is_header, F.lit(False))
+    bad_part = F.when(~F.col("is_header"), F.col("bad_id"))
+    earlier = in_file.orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+    splits = (
+        parts.withColumn("is_header", is_header)
+        .groupBy("file", "block")
+        .agg(
+            F.sum(F.when(F.col("is_header"), 0).otherwise(F.col("n"))).alias("n"),
+            (F.min(bad_part) - F.min("first_id") + 1 - F.max(F.col("is_header").cast("int"))).alias("bad_at"),
+            F.min_by("fault", bad_part).alias("fault"),
+        )
         .withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
     )
     first_bad = F.min_by(
@@ -228,7 +246,7 @@ def landing_verdicts(
     """Schema check, then quality gate, one verdict per file.
 
     Headers are stored first: they are read twice, and their measured size
-    lets Spark broadcast them to the lines where they are few. `unread` names
+    lets Spark broadcast the unusual ones to the lines where they are few. `unread` names
     files without any line, which lack every column.
     """
     headers = materialize(file_headers(lines), "headers") if headers is None else headers

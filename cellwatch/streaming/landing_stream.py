@@ -19,11 +19,14 @@ AUDIT_SCHEMA = "filename string, status string, row_count bigint, reason string,
 
 
 def accepted_rows(lines: DataFrame, headers: DataFrame, routed: DataFrame) -> DataFrame:
-    """Rows of accepted files under canonical names, as text."""
-    accepted = headers.join(routed.where(F.col("status") == "ACCEPTED").select("file"), "file")
+    """Rows of accepted files under canonical names, as text.
+
+    A second line like the header is a bad row, so an accepted file has one.
+    """
+    accepted = routed.where(F.col("status") == "ACCEPTED").select("file")
     rows = (
-        lines.join(accepted, ["file", "block"])
-        .where(F.col("row_id") != F.col("header_id"))
+        landing.with_headers(lines.join(accepted, "file", "left_semi"), headers)
+        .where(F.col("line") != F.col("header"))
         .withColumn("fields", landing.split_fields(F.col("line")))
     )
     return rows.select(
@@ -86,8 +89,5 @@ def replace_batch(df: DataFrame, path: str) -> None:
 
 
 def ensure_audit(spark: SparkSession, path: str) -> None:
-    """An empty audit table where there is none yet."""
-    jvm = spark._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    if not target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target):
-        spark.createDataFrame([], AUDIT_SCHEMA).write.mode("ignore").partitionBy("batch_id").parquet(path)
+    """An empty audit table where there is none yet; an existing one stays."""
+    spark.createDataFrame([], AUDIT_SCHEMA).write.mode("ignore").partitionBy("batch_id").parquet(path)

@@ -1,6 +1,7 @@
 import pytest
 
 from cellwatch.operators import rollup
+from cellwatch.runtime import materialize
 from cellwatch.schemas import RAW_COLUMNS
 from cellwatch.sources import activity, landing
 from cellwatch.streaming import landing_stream
@@ -99,6 +100,30 @@ def test_row_numbers_hold_when_a_file_is_read_in_many_splits(spark, tmp_path):
     assert result[NAME.format(2)] == (True, 1, "quality_valid")
 
 
+def test_verdicts_hold_when_the_scans_split_files_differently(spark, tmp_path):
+    other = ",".join(reversed(HEADER.split(",")))
+    turned = ",".join(reversed(GOOD.split(",")))
+    bad = [HEADER] + [GOOD] * 3000
+    bad[2700] = HEADER
+    bad[2900] = GOOD.replace("2013", "bad")
+    folder = write(tmp_path, {NAME.format(1): [HEADER] + [GOOD] * 3000, NAME.format(2): bad, NAME.format(3): [other] + [turned] * 3000})
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for first, second in (("8192", "30000"), ("30000", "8192")):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", first)
+            headers = materialize(landing.file_headers(landing.landing_lines(spark, folder)), "headers")
+            spark.conf.set("spark.sql.files.maxPartitionBytes", second)
+            lines = landing.landing_lines(spark, folder)
+            found = {landing_name(r.file): (r.valid, r.row_count, r.reason) for r in landing.landing_verdicts(lines, headers).collect()}
+            assert found == {
+                NAME.format(1): (True, 3000, "quality_valid"),
+                NAME.format(2): (False, 2700, "QUALITY_VALIDATION_FAILED: malformed datetime at row 2701: datetime"),
+                NAME.format(3): (True, 3000, "quality_valid"),
+            }
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
 def test_other_files_are_not_detected(spark, tmp_path):
     folder = write(tmp_path, {NAME.format(1): [HEADER, GOOD], "sms-call-internet-mi-2013-11-01.txt": ["x"]})
     assert list(verdicts(spark, folder)) == [NAME.format(1)]

@@ -88,7 +88,7 @@ def _block(rows: pa.Table) -> pa.RecordBatch:
             one(rows.column("doc_id").to_pylist(), pa.list_(pa.int64())),
             one(held.tolist(), pa.list_(pa.bool_())),
             one(sizes.astype("<i4").tobytes(), pa.binary()),
-            one(tokens.tobytes(), pa.binary()),
+            one(pa.compress(tokens.tobytes(), codec="zstd", asbytes=True), pa.binary()),
             one(classes.tobytes(), pa.binary()),
             one([END, *words], pa.list_(pa.string())),
             one(n_train.tolist(), pa.list_(pa.int64())),
@@ -97,6 +97,10 @@ def _block(rows: pa.Table) -> pa.RecordBatch:
     )
 
 
+def _tokens(packed: bytes, sizes: np.ndarray) -> np.ndarray:
+    return np.frombuffer(pa.decompress(packed, 4 * int(sizes.sum()), codec="zstd", asbytes=True), "<i4")
+
+
 def word_counts(blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Words of each block by number, and (word, c, class) over all blocks, c counting training tokens."""
     zipped = F.arrays_zip("words", "n_train")
@@ -176,8 +180,9 @@ class Counts:
 
 def _pieces(row: dict, keep: np.ndarray) -> Iterator[np.ndarray]:
     """Class sequences of the kept documents of a block, cut to pieces."""
-    classes = np.frombuffer(row["classes"], "<i4")[np.frombuffer(row["tokens"], "<i4")]
-    stops = np.cumsum(np.frombuffer(row["sizes"], "<i4")).tolist()
+    sizes = np.frombuffer(row["sizes"], "<i4")
+    classes = np.frombuffer(row["classes"], "<i4")[_tokens(row["tokens"], sizes)]
+    stops = np.cumsum(sizes).tolist()
     for doc, (a, b) in enumerate(zip([0, *stops], stops)):
         if keep[doc]:
             for at in range(a, b, PIECE):
@@ -262,8 +267,8 @@ def score(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS) -> DataFr
         for batch in batches:
             for i in range(batch.num_rows):
                 row = {name: batch.column(k)[i] for k, name in enumerate(batch.schema.names)}
-                tokens = np.frombuffer(row["tokens"].as_py(), "<i4")
                 sizes = np.frombuffer(row["sizes"].as_py(), "<i4")
+                tokens = _tokens(row["tokens"].as_py(), sizes)
                 classes = np.frombuffer(row["classes"].as_py(), "<i4")
                 pairs = row["counts"].values
                 count = np.zeros(len(classes), dtype=np.int64)

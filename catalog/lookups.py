@@ -183,7 +183,7 @@ def _health(spark, sf):
     return ops.run_health(status, now)
 
 
-@query("run_health", f"SELECT run_id, run_timestamp, status, freshness, reasons, healthy, trustworthy, rows_published FROM ({HEALTH})")
+@query("pipeline_health", f"SELECT run_id, run_timestamp, status, freshness, reasons, healthy, trustworthy, rows_published FROM ({HEALTH})")
 def _(spark, sf):
     return _health(spark, sf).select(
         "run_id", "run_timestamp", "status", "freshness", F.array_join("reasons", ";").alias("reasons"), "healthy", "trustworthy", "rows_published"
@@ -216,7 +216,7 @@ def _(spark, sf):
 @query(
     "anomaly_reconciliation",
     rounded(
-        f"""WITH a AS (SELECT DISTINCT grid_id FROM ({_feed_sql('TRUE', 100)}))
+        f"""WITH a AS (SELECT DISTINCT grid_id FROM ({v.alerts_sql(HD)}))
             SELECT r.grid_id, risk_score, a.grid_id IS NOT NULL AS has_alert,
               CASE WHEN a.grid_id IS NOT NULL AND risk_score > 0.5 THEN 'FULL_AGREEMENT' WHEN a.grid_id IS NOT NULL THEN 'RULE_ONLY_DIVERGENCE'
                 WHEN risk_score > 0.5 THEN 'ML_ONLY_DIVERGENCE' ELSE 'BASELINE_NORMAL' END AS agreement_status
@@ -227,8 +227,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     hours, risk = _lookup(spark, sf)
-    recent = alerts.alert_feed(alerts.network_alerts(hours), rollup.resolve_as_of(hours), limit=100)
-    return ops.anomaly_reconciliation(risk, recent)
+    return ops.anomaly_reconciliation(risk, alerts.network_alerts(hours))
 
 
 @query(

@@ -73,6 +73,50 @@ def _(spark, sf):
     return model.serving_predictions(fitted, split)
 
 
+@query(
+    "risk_scores_check",
+    f"""SELECT count(*) AS scored_rows, count(*) AS distinct_rows, 0::BIGINT AS out_of_range, 0::BIGINT AS wrong_level, TRUE AS few_scores
+        FROM (SELECT DISTINCT grid_id, feature_timestamp FROM ({DATASET}))""",
+)
+def _(spark, sf):
+    """Each dataset row scored once, in range, at the level of its band, with at most one score a leaf."""
+    split, fitted = _trained(spark, sf)
+    scores = runtime.materialize(model.risk_scores(fitted, split), "scores")
+    score = F.col("risk_score")
+    band = F.when(score >= 0.8, "HIGH").when(score >= 0.4, "MEDIUM").otherwise("LOW")
+    return scores.agg(
+        F.count("*").alias("scored_rows"),
+        F.count_distinct("grid_id", "timestamp").alias("distinct_rows"),
+        F.count_if(~score.between(0.0, 1.0)).alias("out_of_range"),
+        F.count_if(F.upper("risk_level") != band).alias("wrong_level"),
+        (F.count_distinct("risk_score") <= 128).alias("few_scores"),
+    )
+
+
+@query(
+    "risk_model_check",
+    f"""SELECT count(*) FILTER (WHERE split = 'test') AS test_rows, count(*) FILTER (WHERE split = 'test') AS confusion_rows,
+          count(*) FILTER (WHERE split = 'test' AND target = 1) AS test_positive_rows, TRUE AS importances_sum_to_one, TRUE AS leaves_full
+        FROM ({SPLIT})""",
+)
+def _(spark, sf):
+    """Confusion counts cover the held-out rows, importances are shares, and leaves hold ten training rows."""
+    split, fitted = _trained(spark, sf)
+    counts = model.risk_model_metrics(model.serving_predictions(fitted, split.where(F.col("split") == "test"))).first()
+    shares = [r["importance"] for r in model.feature_importance(fitted, spark).collect()]
+    # The score names the leaf up to leaves of equal score, so a group holds at least one whole leaf.
+    trained = model.risk_scores(fitted, split.where(F.col("split") != "test")).groupBy("risk_score").count()
+    full = trained.agg(F.min("count")).first()[0] >= 10
+    row = (
+        counts["test_rows"],
+        sum(counts[c] for c in ("true_positive", "false_positive", "true_negative", "false_negative")),
+        counts["test_positive_rows"],
+        min(shares) >= 0 and abs(sum(shares) - 1) < 1e-9,
+        full,
+    )
+    return spark.createDataFrame([row], "test_rows long, confusion_rows long, test_positive_rows long, importances_sum_to_one boolean, leaves_full boolean")
+
+
 _COUNTS = "test_rows, test_positive_rows, true_positive, false_positive, true_negative, false_negative"
 
 

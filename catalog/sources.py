@@ -293,7 +293,7 @@ def stored_status(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    "status_record",
+    "pipeline_status_record",
     f"""SELECT run_id, run_timestamp, status, rows_in, rows_rejected, nulls_handled, rows_published, "AS_OF",
           CASE WHEN failed THEN 'clean=FAILED,ingest=SUCCESS,publish=SKIPPED' ELSE 'clean=SUCCESS,ingest=SUCCESS,publish=SUCCESS' END AS tasks
         FROM ({STATUS_SQL})""",

@@ -4,8 +4,9 @@
 from `props`, and `value` as the measure its event type stands for. Amounts are
 decimals before they are summed, so sums are exact in both engines.
 
-Two cell views: dense folds all users onto four cells so that 24-hour windows
-fill; sparse gives each user a cell, so cells grow with the data.
+Two cell views: dense folds users onto few cells so that 24-hour windows fill,
+four for each 10,000 events; sparse gives each user a cell. Both grow with the
+data.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ from cellwatch.schemas import MEASURES
 from cellwatch.sources import reference
 
 DENSE = 4
+# A dense view has its number of cells once for so many events, which fill most hours of a month.
+EVENTS_PER_VIEW = 10_000
 # The measure each event type stands for.
 EVENT_MEASURE = {
     "sms_in": "click",
@@ -39,8 +42,13 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def _events(spark: SparkSession, sf: str, cells: int | None) -> DataFrame:
-    cell = F.col("user_id") % cells + 1 if cells else F.col("user_id") + 1
-    return table(spark, sf, "events").select(
+    events = table(spark, sf, "events")
+    if cells:
+        # A count of rows is read from file footers.
+        cell = F.col("user_id") % (cells * max(1, events.count() // EVENTS_PER_VIEW)) + 1
+    else:
+        cell = F.col("user_id") + 1
+    return events.select(
         "event_id",
         hour_floor(F.col("ts")).alias("timestamp"),
         cell.cast("int").alias("grid_id"),
@@ -91,7 +99,8 @@ def clean_activity(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _events_sql(cells: int | None) -> str:
-    cell = f"user_id % {cells} + 1" if cells else "user_id + 1"
+    views = f"(SELECT greatest(1, count(*) // {EVENTS_PER_VIEW}) FROM events)"
+    cell = f"user_id % ({cells} * {views}) + 1" if cells else "user_id + 1"
     return f"""
       SELECT event_id, date_trunc('hour', ts) AS timestamp, CAST({cell} AS INTEGER) AS grid_id,
              CAST(json_extract_string(props, '$.k') AS INTEGER) AS country_code, event_type,

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from cellwatch.functions import geometry as geo
 from cellwatch.operators.cleaning import filter_date_window
+from cellwatch.sources.reference import one_per_cell
 
 # Finest bin level of the nearest-cell search: 2^16 bins a side.
 BIN_LEVELS = 17
@@ -40,10 +41,9 @@ def vertex_centroids(reference: DataFrame) -> DataFrame:
 
 
 def enrich_geo(hourly: DataFrame, cells: DataFrame) -> DataFrame:
-    """Hourly rows with geometry and centroid; rows without a cell stay."""
-    return hourly.join(
-        cells.select("grid_id", "geometry", "centroid_longitude", "centroid_latitude"), "grid_id", "left"
-    )
+    """Hourly rows with geometry and centroid; rows without a cell stay, and of repeated cells the last counts."""
+    shapes = one_per_cell(cells).select("grid_id", "geometry", "centroid_longitude", "centroid_latitude")
+    return hourly.join(shapes, "grid_id", "left")
 
 
 def grid_set_difference(source: DataFrame, reference: DataFrame) -> DataFrame:
@@ -89,10 +89,9 @@ def top_activity_grids(
         .orderBy(F.round("total_activity", 6).desc(), "grid_id")
         .limit(limit)
     )
-    shapes = cells.select("grid_id", "geometry", "centroid_longitude", "centroid_latitude")
-    # `top` has at most `limit` rows.
-    matched = shapes.join(F.broadcast(top.select("grid_id")), "grid_id", "left_semi")
-    return top.join(F.broadcast(matched), "grid_id", "left")
+    # No hint: Spark sends the few cells left from their measured size.
+    matched = one_per_cell(cells.join(top.select("grid_id"), "grid_id", "left_semi"))
+    return top.join(matched.select("grid_id", "geometry", "centroid_longitude", "centroid_latitude"), "grid_id", "left")
 
 
 def grid_location(cells: DataFrame, grid_id: int | None = None) -> DataFrame:

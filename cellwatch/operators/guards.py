@@ -23,10 +23,10 @@ def require_as_of(hourly: DataFrame, requested: datetime | str | None = None) ->
     return F.lit(found).cast("timestamp_ntz")
 
 
-def require_grid(cells: DataFrame, grid_id: int) -> int:
+def require_grid(cells: DataFrame, grid_id: int, grid_id_max: int = GRID_ID_MAX) -> int:
     """The id, if it is in range and a known cell with a centroid."""
     known = cells.where(F.col("grid_id").cast("int") == grid_id)
-    row = known.select("centroid_latitude", "centroid_longitude").first() if GRID_ID_MIN <= grid_id <= GRID_ID_MAX else None
+    row = known.select("centroid_latitude", "centroid_longitude").first() if GRID_ID_MIN <= grid_id <= grid_id_max else None
     if row is None:
         raise LookupError(f"unknown grid_id: {grid_id}")
     if None in tuple(row):

@@ -45,12 +45,12 @@ def grain_violations(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias("rows")).where(F.col("rows") > 1)
 
 
-def dq_grid_reference(features: DataFrame) -> DataFrame:
+def dq_grid_reference(features: DataFrame, grid_id_max: int = GRID_ID_MAX) -> DataFrame:
     """Feature ids: unique, in range, with geometry."""
     per_id = features.groupBy("grid_id").agg(
         F.count("*").alias("n"), F.count_if(F.col("geometry").isNull()).alias("bare")
     )
-    in_range = F.col("grid_id").between(GRID_ID_MIN, GRID_ID_MAX)
+    in_range = F.col("grid_id").between(GRID_ID_MIN, grid_id_max)
     return per_id.agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("feature_count"),
         F.count("grid_id").alias("distinct_grids"),

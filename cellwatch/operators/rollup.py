@@ -70,7 +70,7 @@ def peak_activity_hour(hourly: DataFrame) -> DataFrame:
     return (
         hourly.groupBy("hour")
         .agg(F.sum("total_activity").alias("total_activity"), F.avg("total_activity").alias("average_grid_activity"))
-        .orderBy(F.desc("total_activity"), "hour")
+        .orderBy(F.round("total_activity", 6).desc(), "hour")
         .limit(1)
     )
 
@@ -148,14 +148,14 @@ def bucket_history(hourly: DataFrame) -> DataFrame:
     )
 
 
-def ingestion_profile(raw: DataFrame, source_file: str = "source_file") -> DataFrame:
+def ingestion_profile(raw: DataFrame, source_file: str = "source_file", grid_id_max: int = GRID_ID_MAX) -> DataFrame:
     """Rows, files, distinct keys, out-of-range cells and expected hours.
 
     One scan. Rows first reduce to their distinct key combinations per map
     task, so the distinct counts work on that small set.
     """
     combos = raw.groupBy(source_file, "grid_id", "country_code", "timestamp").agg(F.count("*").alias("n"))
-    out_of_range = F.coalesce(~F.col("grid_id").between(GRID_ID_MIN, GRID_ID_MAX), F.lit(False))
+    out_of_range = F.coalesce(~F.col("grid_id").between(GRID_ID_MIN, grid_id_max), F.lit(False))
     return combos.agg(
         F.sum("n").alias("row_count"),
         F.countDistinct(source_file).alias("file_count"),

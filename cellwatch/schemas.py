@@ -22,7 +22,7 @@ TOTALS = ["total_sms", "total_calls", "total_activity"]
 GRAIN = ["grid_id", "timestamp"]
 GEOMETRY_COLUMNS = ["geometry", "centroid", "centroid_longitude", "centroid_latitude"]
 GRID_ID_MIN = 1
-GRID_ID_MAX = 10000
+GRID_ID_MAX = 10000  # of the default grid; checks take another as a parameter
 LANDING_PATTERN = "sms-call-internet-mi-*.csv"
 
 RAW_CSV_SCHEMA = T.StructType(

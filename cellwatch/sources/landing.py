@@ -136,7 +136,9 @@ def named_field(name: str) -> Column:
     return F.coalesce(F.get("fields", F.col(f"at.{name}")), F.lit(""))
 
 
-def row_fault(datetime: Column, cell: Column, measures: dict[str, Column], short: Column) -> Column:
+def row_fault(
+    datetime: Column, cell: Column, measures: dict[str, Column], short: Column, grid_id_max: int = GRID_ID_MAX
+) -> Column:
     """First fault of a row in check order, NULL for a good row.
 
     The text keeps a `{row}` mark for the file row number.
@@ -150,9 +152,9 @@ def row_fault(datetime: Column, cell: Column, measures: dict[str, Column], short
         .when(cell == "", F.lit("missing CellID at row {row}"))
         .when(~cell.rlike(r"^[+-]?\d+$"), F.concat(F.lit("invalid CellID at row {row}: "), cell))
         .when(
-            number.isNull() | ~number.between(GRID_ID_MIN, GRID_ID_MAX),
+            number.isNull() | ~number.between(GRID_ID_MIN, grid_id_max),
             F.concat(
-                F.lit("CellID outside 1-10000 at row {row}: "),
+                F.lit(f"CellID outside {GRID_ID_MIN}-{grid_id_max} at row {{row}}: "),
                 F.coalesce(number.cast("string"), cell),
             ),
         )
@@ -169,7 +171,7 @@ def row_fault(datetime: Column, cell: Column, measures: dict[str, Column], short
     return fault.when(short, F.lit("unable to read file: short row {row}"))
 
 
-def landing_quality_gate(lines: DataFrame, headers: DataFrame) -> DataFrame:
+def landing_quality_gate(lines: DataFrame, headers: DataFrame, grid_id_max: int = GRID_ID_MAX) -> DataFrame:
     """Per file: accepted or not, rows read and the first fault with its row.
 
     As in a line-by-line reader, `row_count` stops at the first bad row and row
@@ -187,7 +189,7 @@ def landing_quality_gate(lines: DataFrame, headers: DataFrame) -> DataFrame:
         (F.size("fields") < F.col("width")).alias("short"),
         *[named_field(c).alias(c) for c in ["datetime", "CellID", *RAW_MEASURES]],
     )
-    fault = row_fault(F.col("datetime"), F.col("CellID"), {m: F.col(m) for m in RAW_MEASURES}, F.col("short"))
+    fault = row_fault(F.col("datetime"), F.col("CellID"), {m: F.col(m) for m in RAW_MEASURES}, F.col("short"), grid_id_max)
     bad_id = F.when(F.col("fault").isNotNull(), F.col("row_id"))
     parts = (
         rows.withColumn("fault", fault)
@@ -241,7 +243,7 @@ def landing_quality_gate(lines: DataFrame, headers: DataFrame) -> DataFrame:
 
 
 def landing_verdicts(
-    lines: DataFrame, headers: DataFrame | None = None, unread: DataFrame | None = None
+    lines: DataFrame, headers: DataFrame | None = None, unread: DataFrame | None = None, grid_id_max: int = GRID_ID_MAX
 ) -> DataFrame:
     """Schema check, then quality gate, one verdict per file.
 
@@ -251,7 +253,7 @@ def landing_verdicts(
     """
     headers = materialize(file_headers(lines), "headers") if headers is None else headers
     schema = landing_schema_check(headers)
-    gate = landing_quality_gate(lines, headers)
+    gate = landing_quality_gate(lines, headers, grid_id_max)
     verdicts = schema.alias("s").join(gate.alias("g"), "file").select(
         "file",
         (F.col("s.schema_ok") & F.col("g.quality_ok")).alias("valid"),
@@ -269,14 +271,16 @@ def landing_verdicts(
     return verdicts.unionByName(empty)
 
 
-def judge_folder(spark: SparkSession, folder: str, pattern: str = LANDING_PATTERN) -> DataFrame:
+def judge_folder(
+    spark: SparkSession, folder: str, pattern: str = LANDING_PATTERN, grid_id_max: int = GRID_ID_MAX
+) -> DataFrame:
     """Verdicts of all files of a landing folder."""
     text = landing_text(spark, folder, pattern)
     lines = number_lines(text)
     headers = materialize(file_headers(lines), "headers")
     # The names of the very scan, so that a file arriving now is not misjudged.
     names = spark.createDataFrame([(name,) for name in text.inputFiles()], "file string")
-    return landing_verdicts(lines, headers, unread_files(names, headers))
+    return landing_verdicts(lines, headers, unread_files(names, headers), grid_id_max)
 
 
 def landing_route(verdicts: DataFrame, audit: DataFrame) -> DataFrame:

@@ -39,6 +39,14 @@ def grid_reference(features: DataFrame) -> DataFrame:
     )
 
 
+def one_per_cell(reference: DataFrame) -> DataFrame:
+    """Of features that repeat a cell the last by file and position, so that joins keep their rows."""
+    whole = F.struct(*[F.col(c) for c in reference.columns])
+    order = [c for c in ("source_file", "position", "centroid_longitude", "centroid_latitude") if c in reference.columns]
+    last = reference.groupBy("grid_id").agg(F.max_by(whole, F.struct(*order)).alias("_last"))
+    return last.select("_last.*")
+
+
 def rejected_features(features: DataFrame) -> DataFrame:
     """Features `grid_reference` leaves out, with the reason."""
     return features.withColumn(

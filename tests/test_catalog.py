@@ -12,7 +12,7 @@ SMALL = "/root/testdata/sf0.001"
 # One key per operator of the inventory.
 INVENTORY = """
 scan_csv_raw canonical_columns source_file_profile landing_schema_check landing_quality_gate landing_route ingestion_audit
-grid_reference scan_parquet sink_activity_partitioned sink_hourly_summary sink_dashboard_csv format_footprint status_record
+grid_reference scan_parquet sink_activity_partitioned sink_hourly_summary sink_dashboard_csv format_footprint pipeline_status_record
 standardize_types clean_valid clean_rejected fill_measures derive_measures derive_calendar internet_share_rounded
 internet_share_exact null_counts cleaning_report normalize_grid_id drop_geometry filter_date_window ensure_date
 hourly_grid_summary daily_traffic_summary daily_kpi grid_kpi peak_activity_hour global_internet_share network_summary
@@ -27,7 +27,7 @@ dashboard_summary top_activity_grids alert_feed grid_activity_24h grid_location
 reject_union dedupe_keys grid_set_difference scalar_catalog
 network_alerts anomaly_scores disagreement_summary chronological_split class_weights risk_model_train risk_model_metrics
 model_rule_agreement feature_importance risk_scores risk_levels evidence_package severity_assessment anomaly_reconciliation
-display_priority run_health
+display_priority pipeline_health
 dq_grain dq_grid_reference dq_geometry dq_adjacency dq_enrichment dq_round_trip dq_partitions dq_alerts dq_source dq_features
 dq_risk_scores dq_foreign_keys dq_publish
 """.split()

@@ -144,6 +144,12 @@ def _(spark, sf):
     return alerts.activity_floor(v.stored_hourly(spark, sf))
 
 
+@query("activity_floor_bracket", rounded(v.floor_sql(H), "activity_floor", DATE))
+def _(spark, sf):
+    """The floor by a sketch so coarse that even small groups are bracketed."""
+    return alerts.activity_floor(v.stored_hourly(spark, sf), accuracy=50)
+
+
 @query(
     "bucket_history",
     rounded(

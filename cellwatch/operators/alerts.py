@@ -16,14 +16,14 @@ SPIKE_THRESHOLD = 2.0
 ACTIVITY_FLOOR_PERCENTILE = 0.10
 
 
-def activity_floor(hourly: DataFrame) -> DataFrame:
+def activity_floor(hourly: DataFrame, accuracy: int = 10_000) -> DataFrame:
     """Per date: 10th percentile of the cells' daily totals.
 
     The number of cells has no bound, so the percentile is the bracketed one.
     """
     daily = hourly.groupBy("date", "grid_id").agg(F.sum("total_activity").alias("daily_activity"))
     daily = daily.withColumn("daily_activity", F.round("daily_activity", 6))
-    return exact_group_percentile(daily, ["date"], "daily_activity", ACTIVITY_FLOOR_PERCENTILE, "activity_floor", few_groups=True)
+    return exact_group_percentile(daily, ["date"], "daily_activity", ACTIVITY_FLOOR_PERCENTILE, "activity_floor", accuracy, few_groups=True)
 
 
 def eligible_grids(hourly: DataFrame) -> DataFrame:

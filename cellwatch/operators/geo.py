@@ -17,7 +17,10 @@ from cellwatch.operators.cleaning import filter_date_window
 from cellwatch.sources.reference import one_per_cell
 
 # Finest bin level of the nearest-cell search: 2^16 bins a side.
-BIN_LEVELS = 17
+# Bin levels to try as the finest; beyond the last, doubles no longer tell bins apart.
+FIRST_LEVEL, LAST_LEVEL = 8, 48
+# A finest bin holds at most so many times the cells a search needs.
+BIN_CROWD = 8
 
 
 def area_centroids(reference: DataFrame) -> DataFrame:
@@ -113,14 +116,24 @@ def _bins(extent: Column, level: Column) -> dict[str, Column]:
     }
 
 
+def _finest_level(candidates: DataFrame, crowd: int) -> int:
+    """The first level of every fourth at which no bin holds more than `crowd` cells."""
+    for level in range(FIRST_LEVEL, LAST_LEVEL + 1, 4):
+        bins = candidates.withColumns(_bins(F.col("_extent"), F.lit(level))).groupBy("bx", "by").count()
+        if (bins.agg(F.max("count")).first()[0] or 0) <= crowd:
+            return level
+    return LAST_LEVEL
+
+
 def grid_neighbours(cells: DataFrame, k: int = 8) -> DataFrame:
     """The `k` nearest other cells of every cell by squared degree distance.
 
     Exact without comparing all pairs. Each cell takes the finest bin level at
     which its own bin holds k+1 cells. Its k-th neighbour is then within one
     bin diagonal, so the bins two steps around hold the answer. Dense areas use
-    small bins, sparse ones large bins. Distances equal to twelve decimals fall
-    by cell id.
+    small bins, sparse ones large bins; levels are added until the finest bins
+    hold few cells, so a far outlier does not crowd the rest. Distances equal
+    to twelve decimals fall by cell id.
     """
     if not 1 <= k <= 100:
         raise ValueError("k must be between 1 and 100")
@@ -145,11 +158,11 @@ def grid_neighbours(cells: DataFrame, k: int = 8) -> DataFrame:
 
     def binned(df: DataFrame) -> DataFrame:
         # The extent is attached before the level explode, once per cell.
-        levels = F.explode(F.array(*[F.lit(i) for i in range(BIN_LEVELS)]))
-        placed = df.withColumn("_extent", extent).withColumn("level", levels)
+        placed = df.withColumn("_extent", extent).withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(finest))))
         return placed.withColumns(_bins(F.col("_extent"), F.col("level"))).drop("_extent")
 
     place = ["level", "bx", "by"]
+    finest = _finest_level(candidates.withColumn("_extent", extent), BIN_CROWD * (k + 1))
     held = binned(candidates)
     full = held.groupBy(*place).agg(F.count("*").alias("_n")).where(F.col("_n") > k)
     own = binned(points).join(full.select(*place), place, "left_semi").groupBy("grid_id").agg(

@@ -65,11 +65,12 @@ def exact_group_percentile(
     place = F.lit(q) * (F.col("_n") - 1)
     at_low = F.min(F.when(F.col("_upto") > F.floor(place), F.col("_v")))
     at_high = F.min(F.when(F.col("_upto") > F.ceil(place), F.col("_v")))
+    below = F.coalesce(F.max(F.when(F.col("_v").isNull(), F.col("_upto"))), F.lit(0))
+    found = F.col("_low") + (F.col("_high") - F.col("_low")) * (place - F.floor(place))
+    # A sketch worse than its bound would move the place out of the bracket: never without a word.
+    missed = (F.col("_below") > F.floor(place)) | (F.col("_seen") <= F.ceil(place))
     return (
         steps.groupBy(*keys, "_n")
-        .agg(at_low.alias("_low"), at_high.alias("_high"))
-        .select(
-            *keys,
-            (F.col("_low") + (F.col("_high") - F.col("_low")) * (place - F.floor(place))).alias(out),
-        )
+        .agg(at_low.alias("_low"), at_high.alias("_high"), below.alias("_below"), F.max("_upto").alias("_seen"))
+        .select(*keys, F.when(missed, F.raise_error(F.lit("percentile outside its bracket"))).otherwise(found).alias(out))
     )

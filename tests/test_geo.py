@@ -134,3 +134,11 @@ def test_adjacency(spark):
 def test_bounds_expression(spark):
     df = spark.createDataFrame([(json.dumps([SQUARE]),)], "c string").select(geom.parts(F.lit("Polygon"), F.col("c")).alias("g"))
     assert tuple(df.select(geom.bounds(F.col("g"))).collect()[0][0]) == (0.0, 2.0, 0.0, 2.0)
+
+
+def test_neighbours_of_a_tight_cluster_with_a_far_outlier(spark):
+    rows = [(i, 9.0 + (i % 20) * 1e-5, 45.0 + (i // 20) * 1e-5) for i in range(400)] + [(1000, 5000.0, 45.0)]
+    cells = spark.createDataFrame(rows, "grid_id int, centroid_longitude double, centroid_latitude double")
+    found = geo.grid_neighbours(cells, 2).where("grid_id = 210").collect()
+    assert {r["neighbour_id"] for r in found} <= {190, 209, 211, 230} and len(found) == 2
+    assert geo.grid_neighbours(cells, 2).where("grid_id = 1000").count() == 2

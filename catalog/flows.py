@@ -48,3 +48,22 @@ def _(spark, sf):
     batch.score_risk(spark, out)
     record = batch.publish(spark, out, "run-1", counts, F.lit("2024-02-01 00:00:00").cast("timestamp_ntz"))
     return record.select("run_id", "status", "rows_in", "rows_rejected", "nulls_handled", "rows_published", "AS_OF")
+
+
+@query(
+    "failed_run",
+    f"""SELECT 'run-2' AS run_id, 'FAILED' AS status, 'SUCCESS' AS load, 'FAILED' AS star, 'NOT_RUN' AS quality_check, count(*) AS rows_in,
+          CAST(0 AS BIGINT) AS rows_published FROM ({v.telemetry_sql(v.DENSE)})""",
+)
+def _(spark, sf):
+    """A run that stops at the star, as its reference lacks a cell: the record of what ran and what did not."""
+    out = batch.Layout(runtime.scratch_path(spark, "failed"))
+    cells = v.grid_cells(spark, sf, v.DENSE).where("grid_id <> 1")
+    now = F.lit("2024-02-01 00:00:00").cast("timestamp_ntz")
+    try:
+        batch.run(spark, lambda: v.telemetry(spark, sf, v.DENSE), lambda: cells, "milano-grid.geojson", out, "run-2", now)
+    except AssertionError:
+        pass
+    record = batch.reference.read_status(spark, out.path("status"), multiline=False)
+    tasks = [F.col("per_task_status")[t].alias(t) for t in ("load", "star", "quality_check")]
+    return record.select("run_id", "status", *tasks, "rows_in", "rows_published")

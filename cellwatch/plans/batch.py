@@ -7,6 +7,7 @@ failed job restarts from its last written table.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
@@ -14,8 +15,8 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from cellwatch.operators import alerts, anomaly, baselines, cleaning, features, geo, guards, model, quality, rollup, star
-from cellwatch.schemas import MEASURES
-from cellwatch.sources import activity, reference, sinks
+from cellwatch.schemas import LANDING_PATTERN, MEASURES, MODEL_FEATURES
+from cellwatch.sources import activity, landing, reference, sinks
 
 
 @dataclass(frozen=True)
@@ -61,6 +62,7 @@ def load_activity(raw: DataFrame, out: Layout) -> dict[str, int]:
         F.coalesce(F.sum(nulls), F.lit(0)).alias("nulls_handled"),
     )
     sinks.write_activity_partitioned(cleaning.clean(watched), out.path("activity"))
+    out.write(cleaning.clean_rejected(raw), "rejects")
     clean = out.read(spark, "activity")
     out.write(rollup.hourly_grid_summary(clean), "hourly")
     hours = out.read(spark, "hourly")
@@ -69,6 +71,16 @@ def load_activity(raw: DataFrame, out: Layout) -> dict[str, int]:
     return dict(seen.get)
 
 
+def accept_landed(spark: SparkSession, folder: str, out: Layout, pattern: str = LANDING_PATTERN) -> DataFrame:
+    """Gate over landed files; stores their verdicts and returns the typed rows of accepted files alone."""
+    out.write(landing.judge_folder(spark, folder, pattern), "verdicts")
+    verdicts = out.read(spark, "verdicts")
+    lines = landing.landing_lines(spark, folder, pattern)
+    routed = verdicts.select("file", F.when(F.col("valid"), "ACCEPTED").otherwise("REJECTED").alias("status"))
+    rows = landing.accepted_rows(lines, landing.file_headers(lines), routed)
+    return cleaning.standardize_types(rows)
+
+
 def load_star(spark: SparkSession, out: Layout, grid_reference: DataFrame, reference_name: str) -> DataFrame:
     """Dimensions and fact from the hourly table; returns the key checks.
 
@@ -118,8 +130,17 @@ def score_risk(spark: SparkSession, out: Layout, model_version: str = "ML3-v1")
     return fitted
 
 
-def publish(spark: SparkSession, out: Layout, run_id: str, counts: dict[str, int], now: Column | None = None) -> DataFrame:
-    """Publication gate and the status record of the run."""
+def score_saved(spark: SparkSession, out: Layout, model_version: str = "ML3-v1") -> None:
+    """Scores of the stored dataset by the saved model, whose inputs must be the dataset's features."""
+    fitted = PipelineModel.load(out.path("risk_model"))
+    wanted, dataset = fitted.stages[0].getInputCols(), out.read(spark, "model_dataset")
+    if list(wanted) != MODEL_FEATURES or not set(wanted) <= set(dataset.columns):
+        raise ValueError(f"the saved model takes other features: {wanted}")
+    out.write(model.risk_scores(fitted, dataset, model_version), "risk_scores")
+
+
+def publish(spark: SparkSession, out: Layout, run_id: str, counts: dict[str, int], now: Column | None = None, done: tuple[str, ...] = ()) -> DataFrame:
+    """Publication gate and the status record of the run; `done` names further steps that are over."""
     gate = quality.dq_publish(
         out.read(spark, "fact_network_activity"),
         out.read(spark, "dim_time"),
@@ -132,7 +153,7 @@ def publish(spark: SparkSession, out: Layout, run_id: str, counts: dict[str, int
         F.lit(run_id).alias("run_id"),
         stamp.alias("run_timestamp"),
         outcome.alias("status"),
-        F.create_map(F.lit("load"), F.lit("SUCCESS"), F.lit("quality_check"), outcome).alias("per_task_status"),
+        F.create_map(*[F.lit(x) for step in (*done, "load") for x in (step, "SUCCESS")], F.lit("quality_check"), outcome).alias("per_task_status"),
         *[F.lit(counts[c]).cast("bigint").alias(c) for c in ("rows_in", "rows_rejected", "nulls_handled")],
         "rows_published",
         F.col("as_of").alias("AS_OF"),
@@ -141,12 +162,53 @@ def publish(spark: SparkSession, out: Layout, run_id: str, counts: dict[str, int
     return reference.read_status(spark, out.path("status"), multiline=False)
 
 
+def record_failure(spark: SparkSession, out: Layout, run_id: str, done: list[str], failed: str, rest: list[str], counts: dict[str, int], now: Column | None = None) -> None:
+    """Status record of a run that stopped: earlier steps SUCCESS, later ones NOT_RUN."""
+    tasks = {**dict.fromkeys(done, "SUCCESS"), failed: "FAILED", **dict.fromkeys(rest, "NOT_RUN")}
+    record = spark.range(1).select(
+        F.lit(run_id).alias("run_id"),
+        (now if now is not None else F.localtimestamp()).alias("run_timestamp"),
+        F.lit("FAILED").alias("status"),
+        F.create_map(*[F.lit(x) for pair in tasks.items() for x in pair]).alias("per_task_status"),
+        *[F.lit(counts.get(c)).cast("bigint").alias(c) for c in ("rows_in", "rows_rejected", "nulls_handled")],
+        F.lit(0).cast("bigint").alias("rows_published"),
+        F.lit(None).cast("timestamp_ntz").alias("AS_OF"),
+    )
+    reference.write_status(record, out.path("status"))
+
+
+def run(spark: SparkSession, raw: Callable[[], DataFrame], cells: Callable[[], DataFrame], reference_name: str, out: Layout, run_id: str, now: Column | None = None) -> DataFrame:
+    """All jobs over raw rows; returns the status record.
+
+    The rows are made inside the first step, so that a gate that fails there is
+    recorded. A step that raises leaves a FAILED record, and the error goes on.
+    """
+    counts: dict[str, int] = {}
+    steps: dict[str, Callable[[], object]] = {
+        "load": lambda: counts.update(load_activity(raw(), out)),
+        "star": lambda: load_star(spark, out, cells(), reference_name),
+        "signals": lambda: load_signals(spark, out),
+        "score": lambda: score_risk(spark, out),
+        "quality_check": lambda: publish(spark, out, run_id, counts, now, ("star", "signals", "score")),
+    }
+    names, record = list(steps), None
+    for place, (name, step) in enumerate(steps.items()):
+        try:
+            record = step()
+        except Exception:
+            record_failure(spark, out, run_id, names[:place], name, names[place + 1 :], counts, now)
+            raise
+    return record
+
+
 def run_day(spark: SparkSession, folder: str, geojson: str, root: str, run_id: str) -> DataFrame:
-    """All jobs over a folder of raw files; returns the status record."""
+    """All jobs over a folder of raw files that passed the gate elsewhere."""
+    cells = lambda: reference.one_per_cell(reference.grid_reference(reference.read_features(spark, geojson)))
+    return run(spark, lambda: activity.load_raw_network_data(spark, folder), cells, geojson.rsplit("/", 1)[-1], Layout(root), run_id)
+
+
+def run_landed(spark: SparkSession, folder: str, geojson: str, root: str, run_id: str, pattern: str = LANDING_PATTERN) -> DataFrame:
+    """All jobs over a landing folder: rows of rejected files never reach the tables."""
     out = Layout(root)
-    counts = load_activity(activity.load_raw_network_data(spark, folder), out)
-    cells = reference.grid_reference(reference.read_features(spark, geojson))
-    load_star(spark, out, cells, geojson.rsplit("/", 1)[-1])
-    load_signals(spark, out)
-    score_risk(spark, out)
-    return publish(spark, out, run_id, counts)
+    cells = lambda: reference.one_per_cell(reference.grid_reference(reference.read_features(spark, geojson)))
+    return run(spark, lambda: accept_landed(spark, folder, out, pattern), cells, geojson.rsplit("/", 1)[-1], out, run_id)

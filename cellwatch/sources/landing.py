@@ -20,6 +20,7 @@ from cellwatch.schemas import (
     LANDING_PATTERN,
     RAW_COLUMNS,
     RAW_MEASURES,
+    RAW_TO_CANONICAL,
 )
 
 MISSING_COLUMNS = "SCHEMA_VALIDATION_FAILED: missing required columns: "
@@ -317,3 +318,20 @@ def audit_counts(audit: DataFrame) -> DataFrame:
 
 def file_name(path: Column) -> Column:
     return F.element_at(F.split(path, "/"), -1)
+
+
+def accepted_rows(lines: DataFrame, headers: DataFrame, routed: DataFrame) -> DataFrame:
+    """Rows of accepted files under canonical names, as text.
+
+    A second line like the header is a bad row, so an accepted file has one.
+    """
+    accepted = routed.where(F.col("status") == "ACCEPTED").select("file")
+    rows = (
+        with_headers(lines.join(accepted, "file", "left_semi"), headers)
+        .where(F.col("line") != F.col("header"))
+        .withColumn("fields", split_fields(F.col("line")))
+    )
+    return rows.select(
+        file_name(F.col("file")).alias("source_file"),
+        *[F.nullif(named_field(raw), F.lit("")).alias(RAW_TO_CANONICAL[raw]) for raw in RAW_COLUMNS],
+    )

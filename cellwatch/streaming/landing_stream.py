@@ -12,29 +12,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from cellwatch import runtime
-from cellwatch.schemas import LANDING_PATTERN, RAW_COLUMNS, RAW_TO_CANONICAL
+from cellwatch.schemas import LANDING_PATTERN
 from cellwatch.sources import landing
 
 AUDIT_SCHEMA = "filename string, status string, row_count bigint, reason string, processed_at timestamp, batch_id bigint"
 
 
-def accepted_rows(lines: DataFrame, headers: DataFrame, routed: DataFrame) -> DataFrame:
-    """Rows of accepted files under canonical names, as text.
-
-    A second line like the header is a bad row, so an accepted file has one.
-    """
-    accepted = routed.where(F.col("status") == "ACCEPTED").select("file")
-    rows = (
-        landing.with_headers(lines.join(accepted, "file", "left_semi"), headers)
-        .where(F.col("line") != F.col("header"))
-        .withColumn("fields", landing.split_fields(F.col("line")))
-    )
-    return rows.select(
-        landing.file_name(F.col("file")).alias("source_file"),
-        *[F.nullif(landing.named_field(raw), F.lit("")).alias(RAW_TO_CANONICAL[raw]) for raw in RAW_COLUMNS],
-    )
-
-
 def start_landing(
     spark: SparkSession, folder: str, audit_path: str, raw_path: str, checkpoint: str, pattern: str = LANDING_PATTERN
 ) -> StreamingQuery:
@@ -68,7 +51,7 @@ def start_landing(
         # The stored audit decides what is kept, so both outputs agree.
         stored = session.read.schema(AUDIT_SCHEMA).parquet(audit_path).where(F.col("batch_id") == batch_id)
         kept = stored.join(verdicts.select("filename", "file"), "filename").select("file", "status")
-        replace_batch(accepted_rows(lines, headers, kept).withColumn("batch_id", F.lit(batch_id)), raw_path)
+        replace_batch(landing.accepted_rows(lines, headers, kept).withColumn("batch_id", F.lit(batch_id)), raw_path)
 
     ensure_audit(spark, audit_path)
     return (

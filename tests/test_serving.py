@@ -334,3 +334,19 @@ def test_raw_files_to_published_run(spark, tmp_path):
     assert out.read(spark, "fact_network_activity").count() == 144
     assert reference.read_status(spark, out.path("status"), multiline=False).count() == 1
     assert features.network_features(out.read(spark, "hourly")).count() == 96
+    assert out.read(spark, "rejects").groupBy("reject_reason").count().count() == 2
+    scores = sorted(map(str, out.read(spark, "risk_scores").collect()))
+    batch.score_saved(spark, out)
+    assert sorted(map(str, out.read(spark, "risk_scores").collect())) == scores
+    # As landed files each of these days has a bad row, so the gate leaves nothing to load.
+    with pytest.raises(Exception):
+        batch.run_landed(spark, str(raw), str(tmp_path / "grid.geojson"), str(tmp_path / "landed"), "run-8")
+    landed = batch.Layout(str(tmp_path / "landed"))
+    assert landed.read(spark, "verdicts").where("valid").count() == 0
+    failed = reference.read_status(spark, landed.path("status"), multiline=False).collect()[0]
+    assert (failed.run_id, failed.status, failed.rows_published) == ("run-8", "FAILED", 0)
+    assert "FAILED" in failed.per_task_status.values() and failed.per_task_status["quality_check"] == "NOT_RUN"
+    day = raw / "sms-call-internet-mi-2024-01-01.csv"
+    day.write_text("\n".join(day.read_text().splitlines()[:-2]) + "\n")
+    kept = batch.accept_landed(spark, str(raw), landed)
+    assert kept.count() == 96 and kept.select("source_file").distinct().count() == 1

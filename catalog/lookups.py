@@ -73,8 +73,7 @@ def _(spark, sf):
     ),
 )
 def _(spark, sf):
-    hours = v.stored_hourly(spark, sf)
-    return ops.grid_activity_24h(hours, rollup.resolve_as_of(hours))
+    return ops.grid_activity_24h(*v.latest_hours(spark, sf, 24))
 
 
 @query(

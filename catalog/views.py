@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from cellwatch import runtime
 from cellwatch.functions.columns import hour_floor, hour_number
-from cellwatch.operators import cleaning, features, rollup, star
+from cellwatch.operators import cleaning, features, guards, rollup, star
 from cellwatch.schemas import MEASURES
 from cellwatch.sources import reference
 
@@ -41,13 +41,15 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def _events(spark: SparkSession, sf: str, cells: int | None) -> DataFrame:
+def _events(spark: SparkSession, sf: str, cells: int | None, since: Column | None = None) -> DataFrame:
     events = table(spark, sf, "events")
     if cells:
         # A count of rows is read from file footers.
         cell = F.col("user_id") % (cells * max(1, events.count() // EVENTS_PER_VIEW)) + 1
     else:
         cell = F.col("user_id") + 1
+    if since is not None:
+        events = events.where(F.col("ts") >= since)
     return events.select(
         "event_id",
         hour_floor(F.col("ts")).alias("timestamp"),
@@ -94,6 +96,16 @@ def stored_hourly(spark: SparkSession, sf: str, cells: int | None = None) -> Dat
     return runtime.materialize(hourly(spark, sf, cells), "hourly")
 
 
+def latest_hours(spark: SparkSession, sf: str, count: int = 1) -> tuple[DataFrame, Column]:
+    """Hourly rows of the last hours alone, and the last hour: earlier events are not rolled up.
+
+    The hour is a literal, so the scan skips row groups before it.
+    """
+    as_of = guards.require_as_of(table(spark, sf, "events").select(hour_floor(F.col("ts")).alias("timestamp")))
+    events = _events(spark, sf, None, as_of - F.make_dt_interval(hours=F.lit(count - 1)))
+    return rollup.hourly_grid_summary(_spread(events).drop("event_id")), as_of
+
+
 def clean_activity(spark: SparkSession, sf: str) -> DataFrame:
     return cleaning.clean(dirty_telemetry(spark, sf))
 

@@ -41,8 +41,7 @@ def _(spark, sf):
     ),
 )
 def _(spark, sf):
-    hours = v.stored_hourly(spark, sf)
-    return ops.hotspots_as_of(hours, rollup.resolve_as_of(hours))
+    return ops.hotspots_as_of(*v.latest_hours(spark, sf))
 
 
 @query(

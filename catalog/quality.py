@@ -175,3 +175,88 @@ def _(spark, sf):
     times, grids = star.dim_time(hours), star.dim_grid(v.grid_cells(spark, sf, v.DENSE), FILE)
     fact = star.fact_network_activity(hours, times, grids)
     return quality.dq_publish(fact, times, features.network_features(hours), v.scored_hours(hours))
+
+
+# ------------------------------------------------- checks over input with faults
+
+
+DIRTY_HOURS = f"""
+  SELECT CASE WHEN hr = 7 AND grid_id % 5 = 1 THEN NULL ELSE grid_id END AS grid_id, timestamp,
+    CASE WHEN hr = 5 AND grid_id % 10 = 4 THEN -1.0 - total_activity ELSE total_activity END AS total_activity,
+    CASE WHEN hr = 6 AND grid_id % 3 = 0 THEN NULL WHEN hr = 8 AND grid_id % 5 = 0 THEN -1.0 - internet_activity ELSE internet_activity END AS internet_activity
+  FROM (SELECT *, hour(timestamp) AS hr FROM ({H}) UNION ALL SELECT *, hour(timestamp) AS hr FROM ({H}) WHERE grid_id % 10 = 3)"""
+
+
+def _dirty_hours(spark, sf):
+    """Hourly rows with repeated keys, NULL keys and values, and negative sums."""
+    hours = v.stored_hourly(spark, sf)
+    hours = hours.unionByName(hours.where("grid_id % 10 = 3"))
+    hour, cell = F.hour("timestamp"), F.col("grid_id")
+    total, internet = F.col("total_activity"), F.col("internet_activity")
+    return hours.select(
+        F.when((hour == 7) & (cell % 5 == 1), F.lit(None)).otherwise(cell).alias("grid_id"),
+        "timestamp",
+        F.when((hour == 5) & (cell % 10 == 4), -1 - total).otherwise(total).alias("total_activity"),
+        F.when((hour == 6) & (cell % 3 == 0), F.lit(None)).when((hour == 8) & (cell % 5 == 0), -1 - internet).otherwise(internet).alias("internet_activity"),
+    )
+
+
+@query(
+    "dq_grain_faults",
+    f"""SELECT CAST(sum(n) AS BIGINT) AS row_count, count(*) AS distinct_keys, count(*) FILTER (WHERE n > 1) AS duplicate_groups,
+          (SELECT count(*) FROM ({RAW})) AS source_rows, count(*) FILTER (WHERE n > 1) = 0 AS unique_grain, sum(n) <= (SELECT count(*) FROM ({RAW})) AS reduced
+        FROM (SELECT grid_id, timestamp, count(*) AS n FROM ({DIRTY_HOURS}) GROUP BY 1, 2)""",
+)
+def _(spark, sf):
+    return quality.dq_grain(_dirty_hours(spark, sf), v.telemetry(spark, sf))
+
+
+@query(
+    "dq_source_faults",
+    f"""SELECT CAST(sum(n) AS BIGINT) AS row_count, CAST(sum(nulls) AS BIGINT) AS rows_with_nulls, CAST(sum(n - 1) AS BIGINT) AS duplicate_rows,
+          CAST(sum(neg_total) AS BIGINT) AS negative_total, CAST(sum(neg_internet) AS BIGINT) AS negative_internet
+        FROM (SELECT grid_id, timestamp, count(*) AS n, count(*) FILTER (WHERE grid_id IS NULL OR total_activity IS NULL OR internet_activity IS NULL) AS nulls,
+                count(*) FILTER (WHERE total_activity < 0) AS neg_total, count(*) FILTER (WHERE internet_activity < 0) AS neg_internet
+              FROM ({DIRTY_HOURS}) GROUP BY 1, 2)""",
+)
+def _(spark, sf):
+    return quality.dq_source(_dirty_hours(spark, sf))
+
+
+@query(
+    "dq_grid_reference_faults",
+    f"""SELECT CAST(sum(n) AS BIGINT) AS feature_count, count(grid_id) AS distinct_grids, count(*) FILTER (WHERE n > 1) AS duplicate_grids,
+          CAST(sum(bare) AS BIGINT) AS null_geometries, count(*) FILTER (WHERE grid_id NOT BETWEEN 1 AND 10000) AS out_of_range_grids
+        FROM (SELECT grid_id, count(*) AS n, count(*) FILTER (WHERE base % 11 = 3) AS bare
+              FROM (SELECT CASE WHEN g % 13 = 5 THEN g + 10000 ELSE g END AS grid_id, g AS base
+                    FROM (SELECT grid_id AS g FROM ({C}) UNION ALL SELECT grid_id FROM ({C}) WHERE grid_id % 9 = 2)) GROUP BY grid_id)""",
+)
+def _(spark, sf):
+    cells = v.grid_cells(spark, sf)
+    cells = cells.unionByName(cells.where("grid_id % 9 = 2"))
+    cells = cells.withColumn("geometry", F.when(F.col("grid_id") % 11 != 3, F.col("geometry")))
+    return quality.dq_grid_reference(cells.withColumn("grid_id", F.when(F.col("grid_id") % 13 == 5, F.col("grid_id") + 10000).otherwise(F.col("grid_id"))))
+
+
+@query(
+    "dq_features_faults",
+    f"""SELECT CAST(sum(n) AS BIGINT) AS row_count, CAST(sum(bad) AS BIGINT) AS non_finite_rows, CAST(sum(n - 1) AS BIGINT) AS duplicate_rows,
+          CAST(sum(hours) AS BIGINT) AS active_hours_out_of_range, CAST(sum(shares) AS BIGINT) AS internet_share_out_of_range
+        FROM (SELECT grid_id, feature_timestamp, count(*) AS n, count(*) FILTER (WHERE hour(feature_timestamp) = 3) AS bad,
+                count(*) FILTER (WHERE hour(feature_timestamp) = 4) AS hours, count(*) FILTER (WHERE hour(feature_timestamp) = 5) AS shares
+              FROM (SELECT grid_id, feature_timestamp FROM ({v.features_sql(HD)}) UNION ALL
+                    SELECT grid_id, feature_timestamp FROM ({v.features_sql(HD)}) WHERE hour(feature_timestamp) % 2 = 1) GROUP BY 1, 2)""",
+)
+def _(spark, sf):
+    rows = features.network_features(v.stored_hourly(spark, sf, v.DENSE))
+    hour = F.hour("feature_timestamp")
+    rows = rows.unionByName(rows.where(hour % 2 == 1))
+    return quality.dq_features(
+        rows.withColumns(
+            {
+                "variability": F.when(hour == 3, F.lit(float("inf"))).otherwise(F.col("variability")),
+                "active_hours": F.when(hour == 4, F.lit(30)).otherwise(F.col("active_hours")),
+                "internet_share": F.when(hour == 5, F.lit(2.0)).otherwise(F.col("internet_share")),
+            }
+        )
+    )

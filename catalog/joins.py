@@ -185,6 +185,17 @@ def _(spark, sf):
     return features.model_dataset(v.hourly(spark, sf, v.DENSE))
 
 
+# Contract of the outcomes, spelled out apart from the code under test.
+OUTCOME_TESTS = {
+    "all_three": "np3_flag = 1 AND ml3_risk = 1 AND ml4_high = 1",
+    "np3_ml3_only": "np3_flag = 1 AND ml3_risk = 1 AND ml4_high = 0",
+    "np3_ml4_only": "np3_flag = 1 AND ml3_risk = 0 AND ml4_high = 1",
+    "ml3_ml4_only": "np3_flag = 0 AND ml3_risk = 1 AND ml4_high = 1",
+    "np3_only": "np3_flag = 1 AND ml3_risk = 0 AND ml4_high = 0",
+    "ml3_only": "np3_flag = 0 AND ml3_risk = 1 AND ml4_high = 0",
+    "ml4_only": "np3_flag = 0 AND ml3_risk = 0 AND ml4_high = 1",
+    "none_flagged": "np3_flag = 0 AND ml3_risk = 0 AND ml4_high = 0",
+}
 COMPARISON = f"""
   WITH hx AS MATERIALIZED ({HD}),
   an AS ({v.anomaly_sql('SELECT * FROM hx')}),
@@ -197,9 +208,7 @@ COMPARISON = f"""
           coalesce(pr.risk_probability, 0.0::DOUBLE) AS ml3_probability
         FROM an LEFT JOIN al ON an.grid_id = al.grid_id AND an.timestamp = al.timestamp
           LEFT JOIN pr ON an.grid_id = pr.grid_id AND an.timestamp = pr.timestamp)
-  SELECT *, {', '.join(
-      f"CAST(np3_flag = {a} AND ml3_risk = {b} AND ml4_high = {c} AS INTEGER) AS {n}" for n, (a, b, c) in anomaly.OUTCOMES.items()
-  )} FROM j"""
+  SELECT *, {", ".join(f"CAST({test} AS INTEGER) AS {n}" for n, test in OUTCOME_TESTS.items())} FROM j"""
 
 
 def comparison(spark, sf):
@@ -213,7 +222,7 @@ def comparison(spark, sf):
     rounded(
         COMPARISON,
         "anomaly_score percentage_deviation ml3_probability",
-        "grid_id, timestamp, direction, ml4_high, ml4_low, ml4_anomaly, np3_flag, ml3_risk, " + ", ".join(anomaly.OUTCOMES),
+        "grid_id, timestamp, direction, ml4_high, ml4_low, ml4_anomaly, np3_flag, ml3_risk, " + ", ".join(OUTCOME_TESTS),
     ),
 )
 def _(spark, sf):
@@ -222,7 +231,7 @@ def _(spark, sf):
 
 _OVERLAP = f"""
   SELECT count(*) AS total_records, sum(np3_flag) AS np3_alerts, sum(ml3_risk) AS ml3_risks, sum(ml4_high) AS ml4_high_anomalies,
-    {', '.join(f'sum({n}) AS {n}' for n in anomaly.OUTCOMES)},
+    {', '.join(f'sum({n}) AS {n}' for n in OUTCOME_TESTS)},
     avg(CAST(ml3_risk = ml4_high AS INTEGER)) AS ml3_ml4_agreement, avg(CAST(np3_flag = ml4_high AS INTEGER)) AS np3_ml4_agreement
   FROM ({COMPARISON})"""
 
@@ -233,7 +242,7 @@ _OVERLAP = f"""
         _OVERLAP,
         "ml3_ml4_agreement np3_ml4_agreement",
         ", ".join(
-            f"CAST({n} AS BIGINT) AS {n}" for n in ["total_records", "np3_alerts", "ml3_risks", "ml4_high_anomalies", *anomaly.OUTCOMES]
+            f"CAST({n} AS BIGINT) AS {n}" for n in ["total_records", "np3_alerts", "ml3_risks", "ml4_high_anomalies", *OUTCOME_TESTS]
         ),
     ),
 )
@@ -243,11 +252,11 @@ def _(spark, sf):
 
 @query(
     "disagreement_summary",
-    f"WITH m AS ({_OVERLAP}) "
-    + " UNION ALL ".join(
-        f"SELECT '{n}' AS category, CAST({n} AS BIGINT) AS cases, '{t.replace(chr(39), chr(39) * 2)}' AS explanation FROM m WHERE {n} > 0"
-        for n, t in anomaly.EXPLANATIONS.items()
-    ),
+    f"""WITH m AS ({_OVERLAP})
+        SELECT 'np3_only' AS category, CAST(np3_only AS BIGINT) AS cases, 'NP3-only cases indicate activity that satisfies the current-day high-activity rule but is not identified as an ML3 future risk or ML4 historical high anomaly.' AS explanation FROM m WHERE np3_only > 0
+        UNION ALL SELECT 'ml3_only', CAST(ml3_only AS BIGINT), 'ML3-only cases indicate future high-activity risk without a current NP3 alert or current ML4 high historical anomaly.' FROM m WHERE ml3_only > 0
+        UNION ALL SELECT 'ml4_only', CAST(ml4_only AS BIGINT), 'ML4-only cases indicate current activity that is unusual for the grid''s historical hour-of-day behaviour without a current NP3 alert or ML3 future-risk prediction.' FROM m WHERE ml4_only > 0
+        UNION ALL SELECT 'all_three', CAST(all_three AS BIGINT), 'Cases flagged by all three mechanisms represent the strongest multi-signal operational attention cases because current rules, future risk, and historical deviation agree.' FROM m WHERE all_three > 0""",
 )
 def _(spark, sf):
     return anomaly.disagreement_summary(anomaly.signal_overlap_metrics(comparison(spark, sf)))

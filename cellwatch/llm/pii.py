@@ -35,6 +35,8 @@ MORE = {
     "name": r"\b(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|Sr|Sra)\.?\x20\p{Lu}\p{Ll}+(?:\x20\p{Lu}\p{Ll}+)?",
 }
 KINDS = [*BASE, *MORE]
+# Every further span has one of these, so other texts are not searched.
+MORE_SIGN = r"[0-9=:\[(]|[A-Z]{20}|\b(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|Sr|Sra)\.?\x20\p{Lu}"
 # Fixed word lists of the labelers.
 NEAR = r"(?i)\b(?:e-?mail|mail|courriel|correo|phone|tel|telefon|teléfono|téléphone|call|mobile|fax|contact|ip|address|adresse|host|server|card|visa|iban|account|konto|compte|cuenta|ssn|password|passwd|secret|token|key|name|nombre|nom)\b"
 AGAINST = r"(?i)\b(?:version|license|licensed|isbn|issn|doi|page|figure|table|chapter|section|example|sample|test|error|line|id|no|nr)\b"
@@ -45,14 +47,19 @@ LEFT, RIGHT = 40, 20
 _CHUNK = 256
 
 
+def _let(value: Column, body) -> Column:
+    """`body` of a value that is computed once: as the variable of a function over one element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _found(text: Column, pattern: str, kind: str) -> Column:
     """Matches as (kind, start, end, value): lengths of what lies between them, summed up chunk by chunk."""
     regex = F.lit(pattern)
     between, values = F.split(text, pattern, -1), F.regexp_extract_all(text, regex, F.lit(0))
     steps = F.arrays_zip(F.transform(between, F.length).alias("gap"), values.alias("value"))
-    chunks = F.transform(F.sequence(F.lit(0), F.floor(F.size(steps) / _CHUNK).cast("int")), lambda c: F.slice(steps, c * _CHUNK + 1, _CHUNK))
+    cut = lambda st: F.transform(F.sequence(F.lit(0), F.floor(F.size(st) / _CHUNK).cast("int")), lambda c: F.slice(st, c * _CHUNK + 1, _CHUNK))
     width = lambda s: s["gap"] + F.coalesce(F.length(s["value"]), F.lit(0))
-    begins = F.aggregate(
+    begins = lambda chunks: F.aggregate(
         chunks,
         F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all")),
         lambda acc, c: F.struct((acc["at"] + F.aggregate(c, F.lit(0), lambda n, s: n + width(s))).alias("at"), F.array_append(acc["all"], acc["at"]).alias("all")),
@@ -77,7 +84,8 @@ def _found(text: Column, pattern: str, kind: str) -> Column:
             ),
         )["out"]
 
-    return F.flatten(F.transform(F.arrays_zip(chunks.alias("chunk"), begins.alias("begin")), lambda z: spans(z["chunk"], z["begin"])))
+    placed = lambda chunks: F.transform(F.arrays_zip(chunks.alias("chunk"), begins(chunks).alias("begin")), lambda z: spans(z["chunk"], z["begin"]))
+    return F.flatten(_let(_let(steps, cut), placed))
 
 
 def _digits(value: Column) -> Column:
@@ -128,7 +136,8 @@ def _more(text: Column) -> Column:
         lead = F.length(s["value"]) - F.length(F.ltrim(s["value"]))
         return F.struct(kind.alias("kind"), (s["start"] + lead).alias("start"), s["end"].alias("end"), F.ltrim(s["value"]).alias("value"))
 
-    return F.transform(_found(text, pattern, "more"), named)
+    none = F.array().cast("array<struct<kind:string,start:int,end:int,value:string>>")
+    return F.when(text.rlike(MORE_SIGN), F.transform(_found(text, pattern, "more"), named)).otherwise(none)
 
 
 def spans(docs: DataFrame) -> DataFrame:

@@ -1,8 +1,9 @@
 """Levenshtein automata of all terms of a lexicon, intersected with its trie.
 
 States of the intersection are sets of (trie node, edits so far); they are made
-deterministic once, so that a word costs one table look-up per character,
-for all terms together, and words are looked up column by column with numpy.
+deterministic when a word first reaches them, so that a lexicon of any size
+costs what its words touch. After that a word costs one table look-up per
+character, for all terms together, column by column with numpy.
 """
 
 from __future__ import annotations
@@ -10,6 +11,10 @@ from __future__ import annotations
 import numpy as np
 
 
+# States kept; past them a task begins anew with the next block.
+MOST_STATES = 200_000
+
+
 def edits_allowed(term: str) -> int:
     """Misspellings tolerated in a term of this length."""
     return 0 if len(term) < 5 else 1 if len(term) < 10 else 2
@@ -40,50 +45,55 @@ class LexiconAutomaton:
                 most[node] = max(most[node], most[child])
         self.longest = max((len(t) + edits(t) for t in self.terms), default=0)
 
-        def closed(reached: dict[int, int]) -> tuple:
-            """With letters of the term left out; one edit count, the least, per node."""
-            todo = list(reached.items())
-            while todo:
-                node, spent = todo.pop()
-                if reached.get(node) != spent:
-                    continue
-                for child in children[node].values():
-                    if spent + 1 <= most[child] and spent + 1 < reached.get(child, 99):
-                        reached[child] = spent + 1
-                        todo.append((child, spent + 1))
-            return tuple(sorted(reached.items()))
-
-        def step(state: tuple, letter: int) -> tuple:
-            reached: dict[int, int] = {}
-
-            def put(node: int, spent: int) -> None:
-                if spent <= most[node] and spent < reached.get(node, 99):
-                    reached[node] = spent
-
-            for node, spent in state:
-                put(node, spent + 1)  # a letter too many
-                for c, child in children[node].items():
-                    put(child, spent if c == letter else spent + 1)
-            return closed(reached)
-
-        start = closed({0: 0}) if self.terms else ()
-        numbers, states, table = {start: 0}, [start], []
-        while len(table) < len(states):
-            row = []
-            for letter in range(len(self.alphabet) + 1):
-                target = step(states[len(table)], letter)
-                if target not in numbers:
-                    numbers[target] = len(states)
-                    states.append(target)
-                row.append(numbers[target])
-            table.append(row)
-        self.table = np.array(table, dtype=np.int32)
-        self.accept = np.full((len(states), 2), -1, dtype=np.int32)
-        for i, state in enumerate(states):
-            fit = [(spent, ends[n][0]) for n, spent in state if ends[n] and spent <= ends[n][1]]
+        self.children, self.ends, self.most = children, ends, most
+        self._clear()
+
+    def _clear(self) -> None:
+        self.numbers: dict[tuple, int] = {}
+        self.states: list[tuple] = []
+        self.table = np.empty((0, len(self.alphabet) + 1), dtype=np.int32)
+        self.accept = np.empty((0, 2), dtype=np.int32)
+        self.dead = self._number(())
+        self.start = self._number(self._closed({0: 0}) if self.terms else ())
+
+    def _number(self, state: tuple) -> int:
+        number = self.numbers.setdefault(state, len(self.states))
+        if number == len(self.states):
+            self.states.append(state)
+            if number == len(self.table):
+                more = max(64, number)
+                self.table = np.concatenate((self.table, np.full((more, self.table.shape[1]), -1, dtype=np.int32)))
+                self.accept = np.concatenate((self.accept, np.full((more, 2), -1, dtype=np.int32)))
+            fit = [(spent, self.ends[n][0]) for n, spent in state if self.ends[n] and spent <= self.ends[n][1]]
             if fit:
-                self.accept[i] = min(fit)[::-1]
-        self.dead = numbers.get((), -1)
+                self.accept[number] = min(fit)[::-1]
+        return number
+
+    def _closed(self, reached: dict[int, int]) -> tuple:
+        """With letters of the term left out; one edit count, the least, per node."""
+        todo = list(reached.items())
+        while todo:
+            node, spent = todo.pop()
+            if reached.get(node) != spent:
+                continue
+            for child in self.children[node].values():
+                if spent + 1 <= self.most[child] and spent + 1 < reached.get(child, 99):
+                    reached[child] = spent + 1
+                    todo.append((child, spent + 1))
+        return tuple(sorted(reached.items()))
+
+    def _step(self, state: tuple, letter: int) -> tuple:
+        reached: dict[int, int] = {}
+
+        def put(node: int, spent: int) -> None:
+            if spent <= self.most[node] and spent < reached.get(node, 99):
+                reached[node] = spent
+
+        for node, spent in state:
+            put(node, spent + 1)  # a letter too many
+            for c, child in self.children[node].items():
+                put(child, spent if c == letter else spent + 1)
+        return self._closed(reached)
 
     def match(self, words: list[str]) -> np.ndarray:
         """Rows of (term number, edits), term -1 where none is near."""
@@ -91,17 +101,25 @@ class LexiconAutomaton:
         near = [i for i, w in enumerate(words) if 0 < len(w) <= self.longest]
         if not near or not self.terms:
             return out
+        if len(self.states) > MOST_STATES:
+            self._clear()
         chars = np.array([words[i] for i in near], dtype=f"U{self.longest}").view(np.uint32).reshape(len(near), -1)
         codes = np.zeros(chars.shape, dtype=np.int32)
         for c, number in self.alphabet.items():
             codes[chars == ord(c)] = number
         lengths = np.array([len(words[i]) for i in near])
-        state = np.zeros(len(near), dtype=np.int32)
+        state = np.full(len(near), self.start, dtype=np.int32)
         live = np.arange(len(near))
         for column in range(self.longest):
             live = live[(lengths[live] > column) & (state[live] != self.dead)]
             if not len(live):
                 break
-            state[live] = self.table[state[live], codes[live, column]]
+            now, letter = state[live], codes[live, column]
+            fresh = self.table[now, letter] < 0
+            if fresh.any():
+                for at, c in np.unique(np.stack((now[fresh], letter[fresh])), axis=1).T.tolist():
+                    target = self._number(self._step(self.states[at], c))
+                    self.table[at, c] = target
+            state[live] = self.table[now, letter]
         out[near] = self.accept[state]
         return out

@@ -23,9 +23,8 @@ from cellwatch.llm import common
 from cellwatch.llm.lexicon_automaton import LexiconAutomaton
 from cellwatch.runtime import materialize
 
-# Labelled documents that the classifier is fitted on, the first by a hash of their id.
+# Labelled documents that the weights are fitted on, the first by a hash of their id; counts are over all.
 TRAINING_ROWS = 20_000
-MAX_TERMS = 500
 # A term's share among toxic texts over its share among others, and in how many surroundings it must
 # occur, of each document one.
 MIN_RATIO, MIN_CONTEXTS = 10.0, 4
@@ -114,46 +113,47 @@ def is_held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> DataFrame:
-    """(text, toxic) of labelled documents that are not held out, at most `rows` of them."""
+def labelled_texts(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(text, toxic, rank) of all distinct texts of labelled documents that are not held out.
+
+    A text with both labels is toxic; `rank` is the least hash of its ids.
+    """
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~is_held_out(F.col("doc_id")))
-    chosen = (
-        known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    )
-    texts = docs.select("doc_id", "text").where(F.col("text").isNotNull())
-    # The sample is bounded by `rows`, so its ids can be sent.
-    sample = materialize(texts.join(F.broadcast(chosen), "doc_id").select("text", "toxic"), "toxic-sample")
-    return sample.dropDuplicates(["text"])
+    known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    texts = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(known, "doc_id")
+    return materialize(texts.groupBy("text").agg(F.max("toxic").alias("toxic"), F.min(F.xxhash64("doc_id")).alias("rank")), "toxic-labelled")
+
+
+def training_sample(labelled: DataFrame, rows: int = TRAINING_ROWS) -> DataFrame:
+    """The first `rows` texts by rank, for the weights alone."""
+    last = labelled.select("rank").orderBy("rank").limit(rows).agg(F.max("rank")).first()[0]
+    return labelled.where(F.col("rank") <= F.lit(last)).select("text", "toxic")
 
 
 def _words(text: Column) -> Column:
     return F.transform(F.split(F.lower(text), r"[\x20\x09-\x0D]+"), lambda w: F.btrim(w, F.lit(_EDGES)))
 
 
-def learn_lexicon(sample: DataFrame) -> tuple[list[str], DataFrame]:
-    """Terms by their odds in toxic texts, and the counts of all words of the sample."""
+def learn_lexicon(labelled: DataFrame) -> tuple[list[str], DataFrame]:
+    """Terms by their odds in toxic texts, and the counts of all words of labelled texts."""
     toxic = F.col("toxic") == 1
     counts = materialize(
-        sample.select("toxic", F.explode(F.array_distinct(_words(F.col("text")))).alias("word"))
+        labelled.select("toxic", F.explode(F.array_distinct(_words(F.col("text")))).alias("word"))
         .where(F.length("word").between(3, 40))
         .groupBy("word")
         .agg(F.count_if(toxic).alias("n_toxic"), F.count_if(~toxic).alias("n_clean")),
         "toxic-words",
     )
-    size = sample.agg(F.count_if(toxic).alias("toxic"), F.count_if(~toxic).alias("clean")).first()
+    size = labelled.agg(F.count_if(toxic).alias("toxic"), F.count_if(~toxic).alias("clean")).first()
     if not size["toxic"] or not size["clean"]:
         return [], counts
     ratio = (F.col("n_toxic") / size["toxic"]) / ((F.col("n_clean") + 0.5) / size["clean"])
-    likely = (
-        counts.where((ratio >= MIN_RATIO) & (F.col("n_toxic") >= MIN_CONTEXTS))
-        .orderBy((F.col("n_toxic") * F.log(ratio)).desc(), "word")
-        .limit(10 * MAX_TERMS)
-        .select("word")
-    )
+    # Few more than the terms, which are sent to every task anyway.
+    likely = counts.where((ratio >= MIN_RATIO) & (F.col("n_toxic") >= MIN_CONTEXTS)).select("word")
     words = _words(F.col("text"))
     sides = F.transform("w", lambda w, i: F.struct(w.alias("word"), F.get("w", i - 1).alias("left"), F.get("w", i + 1).alias("right")))
     seen = (
-        sample.where("toxic = 1")
+        labelled.where("toxic = 1")
         .select(F.xxhash64("text").alias("document"), words.alias("w"))
         .select("document", F.inline(sides))
         .join(F.broadcast(likely), "word")
@@ -162,14 +162,12 @@ def learn_lexicon(sample: DataFrame) -> tuple[list[str], DataFrame]:
         .groupBy("word")
         .agg(F.count_distinct("sides").alias("contexts"))
         .where(F.col("contexts") >= MIN_CONTEXTS)
-        .orderBy(F.desc("contexts"), "word")
-        .limit(MAX_TERMS)
     )
     return sorted(r["word"] for r in seen.collect()), counts
 
 
 def ordinary_words(counts: DataFrame, terms: list[str]) -> list[str]:
-    """Words that are no term but near one, and that clean texts of the sample use."""
+    """Words that are no term but near one, and that labelled clean texts use."""
     sent = counts.sparkSession.sparkContext.broadcast(Scanner(terms, []))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,7 +177,7 @@ def ordinary_words(counts: DataFrame, terms: list[str]) -> list[str]:
             yield pa.RecordBatch.from_arrays([pa.array([words[i] for i in near], pa.string())], ["word"])
 
     clean = counts.where("n_clean > 1 and n_clean > n_toxic").select("word")
-    # At most the words of the bounded sample.
+    # Only words within reach of a term come to the driver.
     return sorted(r["word"] for r in clean.mapInArrow(run, "word string").collect())
 
 
@@ -199,13 +197,14 @@ def _features(docs: DataFrame, scanner: Scanner, keep: list[str]) -> DataFrame:
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> Model:
-    """Lexicon and weights from at most `rows` labelled documents; without both classes, a score of 0.
+    """Lexicon from all labelled documents, weights from at most `rows` of them; without both classes, a score of 0.
 
-    Only lexicon counts and the features of the bounded sample reach the driver.
+    Only terms, ordinary words near them and the features of the bounded sample reach the driver.
     """
     common.ship(docs.sparkSession)
-    sample = training_sample(docs, labels, rows)
-    terms, counts = learn_lexicon(sample)
+    labelled = labelled_texts(docs, labels)
+    terms, counts = learn_lexicon(labelled)
+    sample = training_sample(labelled, rows)
     ordinary = ordinary_words(counts, terms)
     points = _features(sample, Scanner(terms, ordinary), ["text", "toxic"]).drop("text").toPandas()
     x, y = points[[f"__{n}" for n in FEATURES]].to_numpy(), points["toxic"].to_numpy()
@@ -236,7 +235,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     Null and empty texts have no terms and get the score of such texts.
     Columns with the names of the new ones are replaced. Rows are independent:
-    nothing is shuffled; the model sent is bounded by MAX_TERMS and the sample.
+    nothing is shuffled; the model sent holds the terms and the ordinary words near them.
     """
     common.ship(docs.sparkSession)
     keep = [c for c in docs.columns if c not in ("score", "predicted")]

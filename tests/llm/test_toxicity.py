@@ -1,4 +1,6 @@
 import random
+import zlib
+from collections import Counter
 
 from llm_edges import EDGES
 
@@ -68,3 +70,21 @@ def test_edges(spark, edges, nothing):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert {r["predicted"] for r in toxicity.report(edges, none).collect()} == {0}
     assert toxicity.report(nothing, none).count() == 0
+
+
+def test_lexicon_is_learnt_from_all_labels(spark):
+    random.seed(9)
+    letters = lambda n: "".join(random.choice("bcdfghjkmpqvwxyz") for _ in range(n))
+    plain, rare = ["".join(random.choice("aeiourstln") for _ in range(6)) for _ in range(300)], [letters(12) for _ in range(700)]
+    docs, labels = [], []
+    for i in range(700):
+        words = [random.choice(plain) for _ in range(40)]
+        if i % 2:
+            for k in range(20):
+                words.insert(random.randrange(len(words)), rare[(i // 2 * 20 + k) % len(rare)])
+        docs.append((i, " ".join(words)))
+        labels.append((i, i % 2))
+    model = toxicity.fit(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"), rows=60)
+    held = {i for i in range(700) if zlib.crc32(str(i).encode()) % 5 == 0}
+    seen = Counter(w for i, t in docs if i % 2 and i not in held for w in set(t.split()) & set(rare))
+    assert {w for w, n in seen.items() if n >= 5} <= set(model.terms) and len(model.terms) > 600

@@ -10,6 +10,7 @@ never all pairs.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -187,121 +188,109 @@ def groups(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> Dat
     )
 
 
-# Near copies by similarity: one fingerprint of WIDE bits, compared where one of BANDS stretches is equal.
-WIDE, BANDS, BAND_BITS = 4, 23, 11
+# Near copies by similarity: exact, by prefixes of shingles in a fixed order, the rare ones first.
 SIMILARITY = 0.8
-# Differing bits of WIDE words: so near is similar for sure (4 sigma), and so far is not (3 sigma).
-SURE, POSSIBLE = 20, 56
+# Counts of shingles by stretches of their hash, which only order them: 4 MB at the driver whatever the corpus.
+COUNT_BITS = 19
+# Prefix entries of one shingle that meet in one key of a join.
+BLOCK = 256
+_ENTRY = "token long, at int, size int, node long"
 
 
-def wide_fingerprint(words: list[bytes], shingle: int) -> np.ndarray:
-    """WIDE words of bits over the distinct shingles; equal for equal sets of shingles."""
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """Hashes of the distinct shingles of a text, sorted; a shorter text is one shingle, one without words has none."""
+    words = common.lower_words(text)
     if not words:
-        return np.zeros(WIDE, dtype=np.uint64)
+        return np.zeros(0, dtype=np.uint64)
     width = min(shingle, len(words))
     joined = b" ".join(words)
     sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
     ends = np.cumsum(sizes + 1) - 1
     begins = (ends - sizes)[: len(words) - width + 1].tolist()
     digest = xxhash.xxh64_intdigest
-    hashes = np.array(list({digest(joined[a:b], SEED) for a, b in zip(begins, ends[width - 1 :].tolist())}), dtype="<u8")
-    ones = np.zeros(BITS * WIDE, dtype=np.int64)
-    for at in range(0, len(hashes), _CHUNK):
-        x = hashes[at : at + _CHUNK, None] + np.arange(1, WIDE + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        x ^= x >> np.uint64(31)
-        ones += np.unpackbits(x.view(np.uint8).reshape(len(x), -1), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8").copy()
-
-
-def _wide(docs: DataFrame, shingle: int) -> DataFrame:
+    return np.unique(np.array([digest(joined[a:b], SEED) for a, b in zip(begins, ends[width - 1 :].tolist())], dtype=np.uint64))
+
+
+def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
+    """(doc_id, mark, digest): hash of the text and 128-bit digest of its set of shingles."""
     common.ship(docs.sparkSession)
-    names = [f"w{i}" for i in range(WIDE)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                found = np.stack([wide_fingerprint(common.lower_words(t.as_py()), shingle) for t in batch.column(1)])
-                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c.view(np.int64)) for c in found.T.copy())], ["doc_id", *names])
+            digests = [xxhash.xxh128_digest(shingle_hashes(t.as_py(), shingle).tobytes()) for t in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(digests, pa.binary())], ["doc_id", "mark", "digest"])
+
+    source = docs.select(F.col("doc_id").cast("long"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("mark"), "text")
+    return source.mapInArrow(run, "doc_id long, mark long, digest binary")
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, " + ", ".join(f"{n} long" for n in names))
 
+def shingle_counts(texts: DataFrame, shingle: int) -> np.ndarray:
+    """How many texts hold shingles of each stretch of hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << COUNT_BITS, dtype=np.int64)
+        for batch in batches:
+            for t in batch.column(0):
+                np.add.at(total, (shingle_hashes(t.as_py(), shingle) >> np.uint64(64 - COUNT_BITS)).astype(np.int64), 1)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["at", "n"])
+
+    rows = texts.select("text").mapInArrow(run, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
+    out = np.zeros(1 << COUNT_BITS, dtype=np.int64)
+    out[rows["at"].to_numpy()] = rows["n"].to_numpy()
+    return out
 
-def _band(number: int):
-    """One stretch of bits of the wide fingerprint; a stretch may lie across two words."""
-    word, at = divmod(number * BAND_BITS, BITS)
-    mask = (1 << BAND_BITS) - 1
-    part = F.shiftrightunsigned(f"w{word}", at)
-    if at + BAND_BITS > BITS:
-        part = part.bitwiseOR(F.shiftleft(f"w{word + 1}", BITS - at))
-    return part.bitwiseAND(F.lit(mask))
 
+def prefix_length(size: int, similarity: float) -> int:
+    """Shingles of which similar sets share one at least."""
+    return size - math.ceil(similarity * size - 1e-9) + 1
 
-def candidate_pairs(nodes: DataFrame, tile: int = TILE) -> DataFrame:
-    """(a, b, sure) of nodes with an equal band and at most POSSIBLE differing bits.
 
-    Within a task sure links are a forest, and a pair that sure links already
-    connect is not told; other pairs are told by their first equal band alone.
-    """
-    common.ship(nodes.sparkSession)
-    names = [f"w{i}" for i in range(WIDE)]
-    bands = F.array(*[F.struct(F.lit(i).alias("band"), _band(i).alias("bits")) for i in range(BANDS)])
-    ones = sum((F.bit_count(n) for n in names[1:]), F.bit_count(names[0]))
-    keyed = nodes.select(F.inline(bands), "node", *names, ones.alias("ones"))
-    sorted_ = keyed.repartition("band", "bits").sortWithinPartitions("band", "bits", "ones", "node")
+def prefixes(texts: DataFrame, counts: np.ndarray, shingle: int, similarity: float) -> DataFrame:
+    """(token, at, size, node): the first shingles of each text by (count, hash), their places and the size of the set."""
+    sent = texts.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forest = Forest()
-        earlier: list[tuple] = []
         for batch in batches:
-            columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(batch.num_columns)]
-            for at in range(0, batch.num_rows, tile):
-                band, bits, node, *words, ones = (c[at : at + tile] for c in columns)
-                now = (band.astype(np.int64) << BAND_BITS | bits, node, np.stack(words, axis=1).view(np.uint64), ones)
-                earlier = [t for t in earlier if t[0][-1] >= now[0][0]]
-                out = []
-                for other in [*earlier, now]:
-                    # Tiles of one group are skipped if their population counts lie too far apart.
-                    if other is not now and other[0][0] == now[0][-1] and now[3][0] - other[3][-1] > POSSIBLE:
-                        continue
-                    out += _near(other, now, forest)
-                earlier.append(now)
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], ["a", "b", "sure"])
-
-    return sorted_.mapInArrow(run, "a long, b long, sure boolean")
-
-
-def _bands_of(words: np.ndarray) -> np.ndarray:
-    bits = np.unpackbits(words.view(np.uint8), axis=1, bitorder="little")[:, : BANDS * BAND_BITS]
-    return bits.reshape(len(words), BANDS, BAND_BITS)
-
-
-def _near(p: tuple, q: tuple, forest: Forest) -> list[tuple]:
-    same = p[0][:, None] == q[0][None, :]
-    if p is q:
-        same &= np.tri(len(q[0]), k=-1, dtype=bool)
-    i, j = np.nonzero(same)
-    if not len(i):
-        return []
-    far = np.bitwise_count(p[2][i] ^ q[2][j]).sum(axis=1, dtype=np.int64)
-    fit = far <= POSSIBLE
-    i, j, far = i[fit], j[fit], far[fit]
-    if not len(i):
-        return []
-    a, b, sure = p[1][i].tolist(), q[1][j].tolist(), far <= SURE
-    out = [(x, y, True) for x, y in forest.add([(x, y) for x, y, s in zip(a, b, sure.tolist()) if s])]
-    open_ = np.flatnonzero(~sure)
-    if len(open_):
-        first = (_bands_of(p[2][i[open_]]) == _bands_of(q[2][j[open_]])).all(axis=2).argmax(axis=1)
-        here = q[0][j[open_]] >> BAND_BITS
-        out += [(a[k], b[k], False) for k, f, h in zip(open_.tolist(), first.tolist(), here.tolist()) if f == h and forest.root(a[k]) != forest.root(b[k])]
-    return out
+            parts = []
+            for node, t in zip(batch.column(0).to_pylist(), batch.column(1)):
+                tokens = shingle_hashes(t.as_py(), shingle)
+                if n := len(tokens):
+                    order = np.lexsort((tokens, sent.value[(tokens >> np.uint64(64 - COUNT_BITS)).astype(np.int64)]))
+                    first = tokens[order[: prefix_length(n, similarity)]]
+                    parts.append((first.view(np.int64), np.arange(len(first), dtype=np.int32), np.full(len(first), n, np.int32), np.full(len(first), node)))
+            if parts:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts)], ["token", "at", "size", "node"])
+
+    return texts.select("node", "text").mapInArrow(run, _ENTRY)
+
+
+def candidate_pairs(entries: DataFrame, similarity: float, block: int = BLOCK) -> DataFrame:
+    """(a, b) of nodes that share a token and may still be similar by their sizes and the places of the token.
+
+    The token at places i and j is at most one of 1 + min(rest of a, rest of b)
+    common ones if it is their first; similar sets pass at their first. A token
+    is dealt to blocks, whose pairs are keys of their own.
+    """
+    shared = entries.groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
+    blocks = F.ceil(F.col("n") / block)
+    dealt = (
+        entries.join(shared, "token")
+        .withColumn("own", F.pmod(F.xxhash64("node"), blocks))
+        .select("token", F.struct("node", "at", "size").alias("w"), "own", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("other"))
+        .withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
+    )
+    key = ["token", "i", "j"]
+    met = dealt.where("own = i").select(*key, F.col("w").alias("p")).join(dealt.where("own = j").select(*key, F.col("w").alias("q")), key)
+    small, large = F.least("p.size", "q.size"), F.greatest("p.size", "q.size")
+    rest = F.least(F.col("p.size") - F.col("p.at"), F.col("q.size") - F.col("q.at"))
+    fit = (small >= similarity * large - 1e-6) & (rest * (1 + similarity) >= similarity * (small + large) - 1e-6)
+    once = (F.col("p.node") != F.col("q.node")) & ((F.col("i") < F.col("j")) | (F.col("p.node") < F.col("q.node")))
+    return met.where(once & fit).select(F.least("p.node", "q.node").alias("a"), F.greatest("p.node", "q.node").alias("b")).distinct()
 
 
 def _similar(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """Pairs whose sets of shingles have at least this Jaccard similarity."""
+    """Pairs whose sets of shingles have at least this Jaccard similarity, less those that links of the task connect already."""
     both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
 
     def shingles(text: str) -> set:
@@ -309,38 +298,52 @@ def _similar(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float
         return {tuple(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1))} if words else set()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forest = Forest()
+        held, right = None, set()
         for batch in batches:
             kept = []
-            for a, b, x, y in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                left, right = shingles(x), shingles(y)
+            for a, b, x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
+                if forest.root(a) == forest.root(b):
+                    continue
+                if b != held:  # rows of one b mostly come in a row
+                    held, right = b, shingles(y.as_py())
+                left = shingles(x.as_py())
                 if len(left & right) >= similarity * len(left | right):
-                    kept.append((a, b))
+                    kept += forest.add([(a, b)])
             if kept:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*kept)], ["a", "b"])
 
     return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def _placed(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """(doc_id, mark, root) of each row with a doc_id: root names its component."""
+    rows = materialize(shingle_sets(docs.where("doc_id is not null"), shingle), "shingle-sets")
+    # Equal sets are one node, numbered in the stored table; its text is one of its first document.
+    first = rows.groupBy("digest").agg(F.min(F.struct("doc_id", "mark")).alias("first"))
+    nodes = materialize(first.withColumn("node", F.monotonically_increasing_id()), "shingle-nodes")
+    named = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).withColumn("mark", F.xxhash64("text"))
+    found = named.join(nodes.select("first.*", "node"), ["doc_id", "mark"]).groupBy("node").agg(F.first("text").alias("text"))
+    texts = materialize(found, "shingle-texts")
+    entries = materialize(prefixes(texts, shingle_counts(texts, shingle), shingle, similarity), "prefixes")
+    pairs = materialize(candidate_pairs(entries, similarity), "candidates")
+    roots = connected_components(_similar(pairs, texts, shingle, similarity))
+    placed = nodes.join(roots, "node", "left").select("digest", F.coalesce("root", "node").alias("root"))
+    return rows.join(placed, "digest").select("doc_id", "mark", "root")
+
+
 def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = SIMILARITY) -> DataFrame:
-    """(doc_id, component_id) by exact Jaccard similarity of shingle sets, found by wide fingerprints.
+    """(doc_id, component_id) by exact Jaccard similarity of shingle sets.
 
-    Texts with equal fingerprints are one node. Of two texts with similarity
-    0.8 one band at least agrees with a probability of 0.98, of 0.9 of 0.999.
-    Pairs nearer than SURE bits link as they are, others by an exact
-    comparison. Null and empty texts are copies of each other.
+    Similar sets share a shingle among their first ones in any fixed order
+    (prefix filtering), so every similar pair is a candidate, and every link is
+    checked by shingle sets. Null and empty texts are copies of each other.
+    Rows that share a doc_id are separate texts. component_id is the smallest
+    doc_id that links reach.
     """
-    names = [f"w{i}" for i in range(WIDE)]
-    fps = materialize(_wide(docs.where("doc_id is not null"), shingle), "wide-fingerprints")
-    nodes = materialize(fps.groupBy(*names).agg(F.min("doc_id").alias("node")), "wide-nodes")
-    pairs = materialize(candidate_pairs(nodes), "candidates")
-    open_ = pairs.where("not sure").select("a", "b").distinct()
-    ends = open_.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("node"), F.coalesce("text", F.lit("")).alias("text")).join(ends, "node").dropDuplicates(["node"])
-    links = pairs.where("sure").select("a", "b").unionByName(_similar(open_, materialize(texts, "candidate-texts"), shingle, similarity))
-    roots = connected_components(links)
-    # A component's root is its smallest node, and a node is the smallest doc_id of its texts.
-    placed = nodes.join(roots, "node", "left").select(*names, F.coalesce("root", "node").alias("component_id"))
-    return fps.join(placed, names).select("doc_id", "component_id")
+    placed = materialize(_placed(docs, shingle, similarity), "near-copies")
+    names = placed.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    return placed.join(names, "root").select("doc_id", "component_id")
 
 
 def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = SIMILARITY) -> DataFrame:

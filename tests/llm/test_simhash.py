@@ -79,3 +79,24 @@ def test_near_copies_equal_exact_similarity(spark, edges):
     kept = simhash.keep_one(edges)
     assert kept.columns == edges.columns
     assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(map(str, [1, 3, 6, 7, 8, None]))
+
+
+def test_near_copies_lose_no_pair(spark):
+    random.seed(8)
+    docs = []
+    for _ in range(150):
+        base = ["w" + str(random.randrange(10**6)) for _ in range(random.choice([8, 8, 16, 50, 60]))]
+        # One word more at the end leaves n of n + 1 shingles; a changed one in long texts is near the bound.
+        copy = [*base, "more"]
+        if len(base) >= 50:
+            copy[len(base) // 2] = "changed"
+        docs += [(len(docs), " ".join(base)), (len(docs) + 1, " ".join(copy))]
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for i, t in docs}
+    want = roots(list(sets), lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(frame).collect()}
+    assert got == want
+    texts = frame.withColumnRenamed("doc_id", "node")
+    entries = simhash.prefixes(texts, simhash.shingle_counts(texts, 5), 5, 0.8)
+    pairs = [{tuple(r) for r in simhash.candidate_pairs(entries, 0.8, block).collect()} for block in (2, 256)]
+    assert pairs[0] == pairs[1] >= {(w, i) for i, w in want.items() if w != i}

@@ -349,10 +349,14 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = SIMILARIT
 def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = SIMILARITY) -> DataFrame:
     """Of each group of near copies the document with the smallest doc_id stays, all columns as they were.
 
-    Of rows that repeat that doc_id one stays. Rows without doc_id are kept:
-    nothing names them.
+    Of rows that repeat that doc_id and text one stays; a row with the doc_id of
+    another but a text of its own is a document of its own. Rows without doc_id
+    are kept: nothing names them.
     """
-    stays = near_copies(docs, shingle, similarity).where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__kept")).distinct()
+    first = _placed(docs, shingle, similarity).groupBy("root").agg(F.min(F.struct("doc_id", "mark")).alias("first"))
+    stays = first.select(F.col("first.doc_id").alias("__kept"), F.col("first.mark").alias("__text"))
     named = docs.where(F.col("doc_id").isNotNull())
-    once = named.join(stays, named["doc_id"] == stays["__kept"], "left_semi").dropDuplicates(["doc_id"])
+    mark = F.xxhash64(F.coalesce("text", F.lit("")))
+    same = (F.col("doc_id").cast("long") == F.col("__kept")) & (mark == F.col("__text"))
+    once = named.join(stays, same, "left_semi").withColumn("__text", mark).dropDuplicates(["doc_id", "__text"]).drop("__text")
     return once.unionByName(docs.where(F.col("doc_id").isNull())).select(*docs.columns)

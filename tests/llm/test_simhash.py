@@ -100,3 +100,9 @@ def test_near_copies_lose_no_pair(spark):
     entries = simhash.prefixes(texts, simhash.shingle_counts(texts, 5), 5, 0.8)
     pairs = [{tuple(r) for r in simhash.candidate_pairs(entries, 0.8, block).collect()} for block in (2, 256)]
     assert pairs[0] == pairs[1] >= {(w, i) for i, w in want.items() if w != i}
+
+
+def test_repeated_doc_ids_with_different_texts_both_stay(spark):
+    one, other = (" ".join(f"{c}{i}" for i in range(30)) for c in "ab")
+    docs = spark.createDataFrame([(1, one), (1, other), (1, other), (2, other), (3, one + " more")], "doc_id long, text string")
+    assert sorted((r["doc_id"], r["text"]) for r in simhash.keep_one(docs).collect()) == [(1, one), (1, other)]

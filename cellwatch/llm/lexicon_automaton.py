@@ -1,6 +1,6 @@
 """Levenshtein automata of all terms of a lexicon, intersected with its trie.
 
-States of the intersection are sets of (trie node, edits so far); they are made
+States of the intersection are sets of (trie node, awaited letter, edits so far); they are made
 deterministic when a word first reaches them, so that a lexicon of any size
 costs what its words touch. After that a word costs one table look-up per
 character, for all terms together, column by column with numpy.
@@ -17,13 +17,15 @@ MOST_STATES = 200_000
 
 def edits_allowed(term: str) -> int:
     """Misspellings tolerated in a term of this length."""
-    return 0 if len(term) < 5 else 1 if len(term) < 10 else 2
+    return 0 if len(term) < 4 else 1 if len(term) < 10 else 2
 
 
 class LexiconAutomaton:
     """Maps words to (term, edits): the nearest term within its tolerance, else term -1."""
 
-    def __init__(self, terms: list[str], edits=edits_allowed):
+    def __init__(self, terms: list[str], edits=edits_allowed, swaps: bool = False):
+        """With `swaps`, two neighbouring letters in the wrong order are one edit."""
+        self.swaps = swaps
         self.terms = sorted({t for t in terms if t})
         self.alphabet = {c: i + 1 for i, c in enumerate(sorted(set("".join(self.terms))))}
         children: list[dict[int, int]] = [{}]
@@ -54,7 +56,7 @@ class LexiconAutomaton:
         self.table = np.empty((0, len(self.alphabet) + 1), dtype=np.int32)
         self.accept = np.empty((0, 2), dtype=np.int32)
         self.dead = self._number(())
-        self.start = self._number(self._closed({0: 0}) if self.terms else ())
+        self.start = self._number(self._closed({(0, 0): 0}) if self.terms else ())
 
     def _number(self, state: tuple) -> int:
         number = self.numbers.setdefault(state, len(self.states))
@@ -64,35 +66,41 @@ class LexiconAutomaton:
                 more = max(64, number)
                 self.table = np.concatenate((self.table, np.full((more, self.table.shape[1]), -1, dtype=np.int32)))
                 self.accept = np.concatenate((self.accept, np.full((more, 2), -1, dtype=np.int32)))
-            fit = [(spent, self.ends[n][0]) for n, spent in state if self.ends[n] and spent <= self.ends[n][1]]
+            fit = [(spent, self.ends[n][0]) for (n, wait), spent in state if not wait and self.ends[n] and spent <= self.ends[n][1]]
             if fit:
                 self.accept[number] = min(fit)[::-1]
         return number
 
-    def _closed(self, reached: dict[int, int]) -> tuple:
-        """With letters of the term left out; one edit count, the least, per node."""
+    def _closed(self, reached: dict[tuple[int, int], int]) -> tuple:
+        """With letters of the term left out; one edit count, the least, per node and awaited letter."""
         todo = list(reached.items())
         while todo:
-            node, spent = todo.pop()
-            if reached.get(node) != spent:
+            (node, wait), spent = todo.pop()
+            if wait or reached.get((node, 0)) != spent:
                 continue
             for child in self.children[node].values():
-                if spent + 1 <= self.most[child] and spent + 1 < reached.get(child, 99):
-                    reached[child] = spent + 1
-                    todo.append((child, spent + 1))
+                if spent + 1 <= self.most[child] and spent + 1 < reached.get((child, 0), 99):
+                    reached[child, 0] = spent + 1
+                    todo.append(((child, 0), spent + 1))
         return tuple(sorted(reached.items()))
 
     def _step(self, state: tuple, letter: int) -> tuple:
-        reached: dict[int, int] = {}
+        reached: dict[tuple[int, int], int] = {}
 
-        def put(node: int, spent: int) -> None:
-            if spent <= self.most[node] and spent < reached.get(node, 99):
-                reached[node] = spent
+        def put(node: int, spent: int, wait: int = 0) -> None:
+            if spent <= self.most[node] and spent < reached.get((node, wait), 99):
+                reached[node, wait] = spent
 
-        for node, spent in state:
+        for (node, wait), spent in state:
+            if wait:  # the second half of a swap, or nothing
+                if wait == letter:
+                    put(node, spent)
+                continue
             put(node, spent + 1)  # a letter too many
             for c, child in self.children[node].items():
                 put(child, spent if c == letter else spent + 1)
+                if self.swaps and c != letter and letter in self.children[child]:
+                    put(self.children[child][letter], spent + 1, c)
         return self._closed(reached)
 
     def match(self, words: list[str]) -> np.ndarray:

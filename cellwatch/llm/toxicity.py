@@ -48,7 +48,7 @@ class Scanner:
     """Finds terms in blocks of texts and counts them by context."""
 
     def __init__(self, terms: list[str], ordinary: list[str]):
-        self.automaton = LexiconAutomaton(terms)
+        self.automaton = LexiconAutomaton(terms, swaps=True)
         self.ordinary = set(ordinary)
 
     def terms_of(self, words: list[str]) -> np.ndarray:

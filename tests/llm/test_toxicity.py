@@ -88,3 +88,25 @@ def test_lexicon_is_learnt_from_all_labels(spark):
     held = {i for i in range(700) if zlib.crc32(str(i).encode()) % 5 == 0}
     seen = Counter(w for i, t in docs if i % 2 and i not in held for w in set(t.split()) & set(rare))
     assert {w for w, n in seen.items() if n >= 5} <= set(model.terms) and len(model.terms) > 600
+
+
+def swap_distance(a, b):
+    d = [[i + j if not i * j else 0 for j in range(len(b) + 1)] for i in range(len(a) + 1)]
+    for i in range(1, len(a) + 1):
+        for j in range(1, len(b) + 1):
+            d[i][j] = min(d[i - 1][j] + 1, d[i][j - 1] + 1, d[i - 1][j - 1] + (a[i - 1] != b[j - 1]))
+            if i > 1 and j > 1 and a[i - 2 : i] == b[j - 2 : j][::-1]:
+                d[i][j] = min(d[i][j], d[i - 2][j - 2] + 1)
+    return d[-1][-1]
+
+
+def test_swapped_letters_are_one_edit_and_short_terms_have_one():
+    random.seed(2)
+    for limit in (0, 1, 2, 1, 2):
+        terms = sorted({"".join(random.choice("abc") for _ in range(random.randint(1, 7))) for _ in range(6)})
+        words = ["".join(random.choice("abcd") for _ in range(random.randint(1, 9))) for _ in range(300)]
+        for word, (term, edits) in zip(words, LexiconAutomaton(terms, lambda t: limit, swaps=True).match(words).tolist()):  # noqa: B023
+            best = min(swap_distance(word, t) for t in terms)
+            assert (term >= 0) == (best <= limit) and (term < 0 or edits == best)
+    found = toxicity.Scanner(["idiot", "scum", "stupid", "trash"], []).terms_of(["idoit", "scmu", "stupdi", "trahs", "skum", "such"])
+    assert [t >= 0 for t in found[:, 0].tolist()] == [True] * 5 + [False]

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from cellwatch.llm import bpe, decontaminate, embedding_join, hmm, line_runs, passages, perspectives, pii, simhash, toxicity
+from cellwatch.llm import bpe, decontaminate, embedding_join, hmm, line_runs, merkle_manifest, passages, perspectives, pii, simhash, toxicity
 from cellwatch.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -75,6 +75,11 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.near_duplicate_passages(table(spark, sf_dir, "documents"))
 
 
+@query("op13_merkle_manifest", merkle_manifest.SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle_manifest.report(table(spark, sf_dir, "documents"))
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL is not None:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL

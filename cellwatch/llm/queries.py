@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from cellwatch.llm import bpe, decontaminate, embedding_join, hmm, line_runs, merkle_manifest, passages, perspectives, pii, simhash, toxicity, vector_codes
+from cellwatch.llm import bpe, decontaminate, embedding_join, hmm, learned_partitions, line_runs, merkle_manifest, passages, perspectives, pii, simhash, toxicity, vector_codes
 from cellwatch.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -75,6 +75,11 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.near_duplicate_passages(table(spark, sf_dir, "documents"))
 
 
+@query("op11_learned_partitions")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return learned_partitions.report(table(spark, sf_dir, "embeddings"))
+
+
 @query("op12_vector_codes", vector_codes.SQL)
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.compress(table(spark, sf_dir, "embeddings"))

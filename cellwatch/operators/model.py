@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import DecisionTreeClassifier
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cellwatch.operators.tree import TreeModel, fit_tree
 from cellwatch.schemas import MODEL_FEATURES
 
 TRAIN_RATIO = 0.60
@@ -52,44 +49,24 @@ def class_weights(split: DataFrame) -> DataFrame:
     )
 
 
-def train_risk_model(split: DataFrame) -> PipelineModel:
-    """Entropy tree of depth 7, leaves of 10 or more, balanced by class weight.
-
-    The weights have one row per class, so they are broadcast.
-    """
-    weights = F.broadcast(class_weights(split).select("target", "weight"))
-    rows = split.where(F.col("split") != "test").join(weights, "target")
-    tree = DecisionTreeClassifier(
-        labelCol="target",
-        featuresCol="features",
-        weightCol="weight",
-        impurity="entropy",
-        maxDepth=7,
-        minInstancesPerNode=10,
-        seed=42,
-    )
-    assembler = VectorAssembler(inputCols=MODEL_FEATURES, outputCol="features")
-    return Pipeline(stages=[assembler, tree]).fit(rows)
+def train_risk_model(split: DataFrame) -> TreeModel:
+    """Entropy tree of depth 7 over train and validation rows, balanced by class weight."""
+    weights = {r["target"]: r["weight"] for r in class_weights(split).collect()}
+    rows = split.where(F.col("split") != "test")
+    return fit_tree(rows, MODEL_FEATURES, "target", (weights.get(0, 1.0), weights.get(1, 1.0)))
 
 
-def feature_importance(model: PipelineModel, spark) -> DataFrame:
-    values = model.stages[-1].featureImportances.toArray()
-    rows = [(name, float(v)) for name, v in zip(MODEL_FEATURES, values)]
+def feature_importance(model: TreeModel, spark) -> DataFrame:
+    rows = list(model.importances().items())
     return spark.createDataFrame(rows, "feature string, importance double").orderBy(F.desc("importance"), "feature")
 
 
-def _scored(model: PipelineModel, dataset: DataFrame) -> DataFrame:
-    """Dataset rows with the probability of class 1, finite and within [0, 1]."""
-    probability = F.coalesce(F.get(vector_to_array("probability"), F.lit(1)), F.lit(0.0))
-    return (
-        model.transform(dataset)
-        .withColumn("risk_score", probability)
-        .withColumnRenamed("feature_timestamp", "timestamp")
-        .where(~F.isnan("risk_score") & F.col("risk_score").between(0.0, 1.0))
-    )
+def _scored(model: TreeModel, dataset: DataFrame) -> DataFrame:
+    """Dataset rows with the probability of class 1."""
+    return dataset.withColumn("risk_score", model.probability()).withColumnRenamed("feature_timestamp", "timestamp")
 
 
-def risk_scores(model: PipelineModel, dataset: DataFrame, model_version: str = "ML3-v1") -> DataFrame:
+def risk_scores(model: TreeModel, dataset: DataFrame, model_version: str = "ML3-v1") -> DataFrame:
     """Probability of class 1 per row with its level and model version."""
     return _scored(model, dataset).select(
         "grid_id",
@@ -100,10 +77,9 @@ def risk_scores(model: PipelineModel, dataset: DataFrame, model_version: str = "
     )
 
 
-def serving_predictions(model: PipelineModel, dataset: DataFrame) -> DataFrame:
+def serving_predictions(model: TreeModel, dataset: DataFrame) -> DataFrame:
     """Stored predictions of all rows, training rows included."""
-    scored = _scored(model, dataset).drop("prediction")
-    return predictions(scored.withColumnRenamed("risk_score", "risk_probability"))
+    return predictions(_scored(model, dataset).withColumnRenamed("risk_score", "risk_probability"))
 
 
 def predictions(scored: DataFrame) -> DataFrame:

@@ -10,11 +10,11 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from cellwatch.operators import alerts, anomaly, baselines, cleaning, features, geo, guards, model, quality, rollup, star
+from cellwatch.operators.tree import TreeModel
 from cellwatch.schemas import LANDING_PATTERN, MEASURES, MODEL_FEATURES
 from cellwatch.sources import activity, landing, reference, sinks
 
@@ -113,11 +113,11 @@ def load_signals(spark: SparkSession, out: Layout) -> None:
     out.write(anomaly.anomaly_scores(baselines.hour_bucket_baseline(hours)), "anomalies")
 
 
-def score_risk(spark: SparkSession, out: Layout, model_version: str = "ML3-v1") -> PipelineModel:
+def score_risk(spark: SparkSession, out: Layout, model_version: str = "ML3-v1") -> TreeModel:
     """Train on the stored dataset, save the model, store scores and predictions."""
     dataset = out.read(spark, "model_dataset")
     fitted = model.train_risk_model(dataset)
-    fitted.write().overwrite().save(out.path("risk_model"))
+    fitted.save(spark, out.path("risk_model"))
     out.write(model.risk_scores(fitted, dataset, model_version), "risk_scores")
     checks = quality.dq_risk_scores(out.read(spark, "risk_scores"), dataset.agg(F.count("*")).scalar())
     complete = checks.withColumn("complete", F.col("row_count") == F.col("expected_rows"))
@@ -132,8 +132,8 @@ def score_risk(spark: SparkSession, out: Layout, model_version: str = "ML3-v1")
 
 def score_saved(spark: SparkSession, out: Layout, model_version: str = "ML3-v1") -> None:
     """Scores of the stored dataset by the saved model, whose inputs must be the dataset's features."""
-    fitted = PipelineModel.load(out.path("risk_model"))
-    wanted, dataset = fitted.stages[0].getInputCols(), out.read(spark, "model_dataset")
+    fitted = TreeModel.load(spark, out.path("risk_model"))
+    wanted, dataset = fitted.inputs, out.read(spark, "model_dataset")
     if list(wanted) != MODEL_FEATURES or not set(wanted) <= set(dataset.columns):
         raise ValueError(f"the saved model takes other features: {wanted}")
     out.write(model.risk_scores(fitted, dataset, model_version), "risk_scores")

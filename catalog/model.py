@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from catalog import views as v
 from catalog.core import query, rounded
 from cellwatch import runtime
-from cellwatch.operators import baselines, features, model
+from cellwatch.operators import baselines, features, model, tree
+from cellwatch.plans import batch
+from cellwatch.schemas import MODEL_FEATURES
 
 H = v.hourly_sql()
 HD = v.hourly_sql(v.DENSE)
@@ -48,7 +50,66 @@ def _(spark, sf):
     return model.class_weights(model.chronological_split(_dataset(spark, sf)))
 
 
-@query("risk_model_train")
+def _tree_sql() -> str:
+    """CTEs that grow the tree: rows r1.. by node per level, best splits b1.., and the leaves' probabilities."""
+    inputs = ", ".join(f"CAST(CAST({f} AS FLOAT) AS DOUBLE)" for f in MODEL_FEATURES)
+
+    def entropy(zero: str, one: str) -> str:
+        term = "CASE WHEN {0} > 0 THEN ({0}) * log2({0}) ELSE 0 END"
+        return f"({term.format(f'({zero} + {one})')} - {term.format(zero)} - {term.format(one)})"
+
+    steps = [
+        f"d AS MATERIALIZED (SELECT *, [{inputs}] AS x FROM ({SPLIT}))",
+        "w AS MATERIALIZED (SELECT n / (2.0::DOUBLE * n0) AS w0, n / (2.0::DOUBLE * n1) AS w1 FROM (SELECT count(*) AS n, count(*) FILTER (WHERE target = 0) AS n0, count(*) FILTER (WHERE target = 1) AS n1 FROM d WHERE split <> 'test'))",
+        "r0 AS (SELECT grid_id, feature_timestamp, target, split, x, 1 AS node FROM d)",
+    ]
+    for k in range(tree.MAX_DEPTH):
+        gain = f"""({entropy('n0 * w0', 'n1 * w1')} - {entropy('l0 * w0', 'l1 * w1')} - {entropy('(n0 - l0) * w0', '(n1 - l1) * w1')}) / (n0 * w0 + n1 * w1)"""
+        steps += [
+            f"""t{k} AS MATERIALIZED (SELECT node, count(*) FILTER (WHERE target = 0) AS n0, count(*) FILTER (WHERE target = 1) AS n1 FROM r{k} WHERE split <> 'test' GROUP BY node)""",
+            f"""v{k} AS (SELECT node, feature, value, count(*) FILTER (WHERE target = 0) AS c0, count(*) FILTER (WHERE target = 1) AS c1
+              FROM (SELECT node, target, unnest(range({len(MODEL_FEATURES)})) AS feature, unnest(x) AS value FROM r{k} WHERE split <> 'test') GROUP BY ALL)""",
+            f"""p{k} AS (SELECT node, feature, value, lead(value) OVER o AS after, sum(c0) OVER o AS l0, sum(c1) OVER o AS l1 FROM v{k} WINDOW o AS (PARTITION BY node, feature ORDER BY value))""",
+            f"""g{k} AS (SELECT *, {gain} AS gain FROM p{k} JOIN t{k} USING (node), w
+              WHERE after > value + {tree.MIN_GAP} AND l0 + l1 >= {tree.MIN_LEAF} AND n0 + n1 - l0 - l1 >= {tree.MIN_LEAF} AND n0 + n1 >= {tree.MIN_SPLIT} AND n0 > 0 AND n1 > 0)""",
+            f"""b{k} AS MATERIALIZED (SELECT node, feature, (value + after) / 2 AS threshold, gain, n0 * w0 + n1 * w1 AS mass FROM g{k}
+              QUALIFY row_number() OVER (PARTITION BY node ORDER BY round(gain, {tree.GAIN_DIGITS}) DESC, feature, value) = 1)""",
+            f"""r{k + 1} AS MATERIALIZED (SELECT r.* REPLACE (CASE WHEN b.node IS NULL THEN r.node WHEN x[b.feature + 1] <= b.threshold THEN 2 * r.node ELSE 2 * r.node + 1 END AS node)
+              FROM r{k} r LEFT JOIN b{k} b ON r.node = b.node)""",
+        ]
+    last = tree.MAX_DEPTH
+    steps += [
+        f"""leaf AS (SELECT node, n1 * w1 / (n0 * w0 + n1 * w1) AS p FROM (SELECT node, count(*) FILTER (WHERE target = 0) AS n0, count(*) FILTER (WHERE target = 1) AS n1
+          FROM r{last} WHERE split <> 'test' GROUP BY node), w)""",
+        f"scored AS (SELECT grid_id, feature_timestamp AS timestamp, target, split, p FROM r{last} JOIN leaf USING (node))",
+        "splits AS (" + " UNION ALL ".join(f"SELECT node, feature, threshold, gain, mass FROM b{k}" for k in range(last)) + ")",
+    ]
+    return "WITH " + ",\n".join(steps)
+
+
+TREE = _tree_sql()
+NAMES = "[" + ", ".join(f"'{f}'" for f in MODEL_FEATURES) + "]"
+
+
+def _metrics_sql(counts: str) -> str:
+    """Ratios of the confusion counts."""
+    return f"""SELECT *, (true_positive + true_negative) / test_rows AS accuracy,
+              coalesce(true_positive / nullif(true_positive + false_positive, 0), 0) AS precision,
+              coalesce(true_positive / nullif(test_positive_rows, 0), 0) AS recall,
+              coalesce(2 * true_positive / nullif(2 * true_positive + false_positive + false_negative, 0), 0) AS f1,
+              test_positive_rows / test_rows AS positive_rate, (true_positive + false_positive) / test_rows AS predicted_positive_rate
+            FROM (SELECT count(*) AS test_rows, count(*) FILTER (WHERE target = 1) AS test_positive_rows,
+              count(*) FILTER (WHERE target = 1 AND prediction = 1) AS true_positive, count(*) FILTER (WHERE target = 0 AND prediction = 1) AS false_positive,
+              count(*) FILTER (WHERE target = 0 AND prediction = 0) AS true_negative, count(*) FILTER (WHERE target = 1 AND prediction = 0) AS false_negative
+            FROM ({counts}))"""
+
+
+_RATIOS = "accuracy precision recall f1 positive_rate predicted_positive_rate"
+_COUNTS = "test_rows, test_positive_rows, true_positive, false_positive, true_negative, false_negative"
+_HELD_OUT = f"{TREE} SELECT target, CASE WHEN p >= 0.5 THEN 1 ELSE 0 END AS prediction FROM scored WHERE split = 'test'"
+
+
+@query("risk_model_train", rounded(_metrics_sql(_HELD_OUT), _RATIOS, _COUNTS))
 def _(spark, sf):
     """Metrics of the fitted tree on the held-out hours."""
     split, fitted = _trained(spark, sf)
@@ -56,18 +117,59 @@ def _(spark, sf):
     return model.risk_model_metrics(held_out)
 
 
-@query("feature_importance")
+@query(
+    "risk_model_nodes",
+    rounded(
+        f"""{TREE}, parts AS (SELECT node, {NAMES}[feature + 1] AS feature, threshold, gain FROM splits)
+            SELECT * FROM parts""",
+        "threshold gain",
+        "node, feature",
+    ),
+)
+def _(spark, sf):
+    """Splits of the fitted tree."""
+    _, fitted = _trained(spark, sf)
+    return fitted.table(spark).where("feature IS NOT NULL").select(F.col("node").cast("int"), "feature", "threshold", "gain")
+
+
+@query(
+    "feature_importance",
+    rounded(
+        f"""{TREE}, whole AS (SELECT sum(gain * mass) AS g FROM splits)
+            SELECT name AS feature, coalesce((SELECT sum(gain * mass) FROM splits WHERE {NAMES}[feature + 1] = name) / (SELECT nullif(g, 0) FROM whole), 0) AS importance
+            FROM (SELECT unnest({NAMES}) AS name)""",
+        "importance",
+        "feature",
+    ),
+)
 def _(spark, sf):
     return model.feature_importance(_trained(spark, sf)[1], spark)
 
 
-@query("risk_scores")
+SCORES = rounded(f"{TREE} SELECT *, p AS risk_score, {v.level_sql('p')} AS risk_level, 'ML3-v1' AS model_version FROM scored", "risk_score", "grid_id, timestamp, risk_level, model_version")
+
+
+@query("risk_scores", SCORES)
 def _(spark, sf):
     split, fitted = _trained(spark, sf)
     return model.risk_scores(fitted, split)
 
 
-@query("serving_predictions")
+@query("saved_model_scores", SCORES)
+def _(spark, sf):
+    """Scores of a later run that reads the model an earlier one saved."""
+    out = batch.Layout(runtime.scratch_path(spark, "scoring"))
+    split, fitted = _trained(spark, sf)
+    fitted.save(spark, out.path("risk_model"))
+    out.write(split, "model_dataset")
+    batch.score_saved(spark, out)
+    return out.read(spark, "risk_scores")
+
+
+@query(
+    "serving_predictions",
+    rounded(f"{TREE} SELECT *, p AS risk_probability, CASE WHEN p >= 0.5 THEN 1 ELSE 0 END AS prediction FROM scored", "risk_probability", "grid_id, timestamp, target, prediction"),
+)
 def _(spark, sf):
     split, fitted = _trained(spark, sf)
     return model.serving_predictions(fitted, split)
@@ -117,25 +219,7 @@ def _(spark, sf):
     return spark.createDataFrame([row], "test_rows long, confusion_rows long, test_positive_rows long, importances_sum_to_one boolean, leaves_full boolean")
 
 
-_COUNTS = "test_rows, test_positive_rows, true_positive, false_positive, true_negative, false_negative"
-
-
-@query(
-    "risk_model_metrics",
-    rounded(
-        f"""SELECT *, (true_positive + true_negative) / test_rows AS accuracy,
-              coalesce(true_positive / nullif(true_positive + false_positive, 0), 0) AS precision,
-              coalesce(true_positive / nullif(test_positive_rows, 0), 0) AS recall,
-              coalesce(2 * true_positive / nullif(2 * true_positive + false_positive + false_negative, 0), 0) AS f1,
-              test_positive_rows / test_rows AS positive_rate, (true_positive + false_positive) / test_rows AS predicted_positive_rate
-            FROM (SELECT count(*) AS test_rows, count(*) FILTER (WHERE target = 1) AS test_positive_rows,
-              count(*) FILTER (WHERE target = 1 AND prediction = 1) AS true_positive, count(*) FILTER (WHERE target = 0 AND prediction = 1) AS false_positive,
-              count(*) FILTER (WHERE target = 0 AND prediction = 0) AS true_negative, count(*) FILTER (WHERE target = 1 AND prediction = 0) AS false_negative
-            FROM ({v.predicted_sql(HD)}))""",
-        "accuracy precision recall f1 positive_rate predicted_positive_rate",
-        _COUNTS,
-    ),
-)
+@query("risk_model_metrics", rounded(_metrics_sql(v.predicted_sql(HD)), _RATIOS, _COUNTS))
 def _(spark, sf):
     return model.risk_model_metrics(v.predicted(v.hourly(spark, sf, v.DENSE)))
 

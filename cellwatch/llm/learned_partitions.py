@@ -29,11 +29,13 @@ SAMPLE = 8192
 HELD_OUT = 256
 GRAPH_NEIGHBOURS = 10
 # Vectors a part is meant to hold, and the bounds of the number of parts.
-PART_ROWS = 1024
+PART_ROWS = 2048
 LEAST_PARTS, MOST_PARTS = 8, 256
 # Vectors and queries that meet in one task; larger parts are dealt to several blocks and tiles.
 BLOCK_ROWS = 32768
 TILE_QUERIES = 32768
+# One in so many of the probed parts is searched first.
+FIRST_SHARE = 8
 _CELLS = 1 << 21
 
 
@@ -113,12 +115,15 @@ def build_index(distinct: DataFrame, model: PartModel) -> DataFrame:
     return materialize(made, "parts")
 
 
-def _best(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows and columns of each row's k greatest scores, and of those that rounding may put among them."""
-    if scores.shape[1] > k:
-        kth = -np.partition(-scores, k - 1, axis=1)[:, k - 1 : k]
-        return np.nonzero(scores >= kth - 1e-12 * (np.abs(kth) + np.abs(scores).max(axis=1, keepdims=True)))
-    return np.nonzero(np.ones_like(scores, dtype=bool))
+def _best(scores: np.ndarray, k: int, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of each row's k greatest scores that reach its floor, and of those that rounding may put among them."""
+    slack = 1e-12 * np.abs(scores).max(axis=1, keepdims=True)
+    chosen = scores >= (floor[:, None] - slack)
+    many = np.flatnonzero(np.count_nonzero(chosen, axis=1) > k)
+    if len(many):
+        kth = -np.partition(-scores[many], k - 1, axis=1)[:, k - 1 : k]
+        chosen[many] &= scores[many] >= kth - slack[many]
+    return np.nonzero(chosen)
 
 
 def probes_for(index: DataFrame, model: PartModel, held: np.ndarray, nodes: np.ndarray, k: int, recall: float) -> int:
@@ -162,11 +167,7 @@ def _of_part(numbers: list[int]) -> Column:
 
 
 def search(index: DataFrame, queries: DataFrame, model: PartModel, k: int, n: int) -> DataFrame:
-    """(query, node, score, ids) of the nodes nearest to `queries` (node, embedding), at most k + 1 a query.
-
-    Vectors and queries of a part meet by (block, tile); a task holds the
-    vectors of one block, and queries stream by.
-    """
+    """(query, node, score, ids) of the k + 1 nodes nearest to each of `queries` (node, embedding), as far as the probed parts hold them."""
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -176,17 +177,42 @@ def search(index: DataFrame, queries: DataFrame, model: PartModel, k: int, n: in
 
     routed = materialize(queries.select("node", "embedding").mapInArrow(route, "node long, embedding array<double>, parts array<int>"), "routes")
     held = {r["part"]: r["count"] for r in index.groupBy("part").count().collect()}  # one row per part
-    asked = {r["part"]: r["count"] for r in routed.select(F.explode("parts").alias("part")).groupBy("part").count().collect()}
     # A part of more than twice the mean is parted even if a task could hold it.
-    blocks = _blocks(held, model.parts, min(BLOCK_ROWS, max(PART_ROWS, 2 * n // model.parts)))
-    tiles = _blocks(asked, model.parts, TILE_QUERIES)
-    deal = F.xxhash64("node")
-    ours = index.select("part", F.pmod(deal, _of_part(blocks)).alias("block"), F.explode(F.sequence(F.lit(0), _of_part(tiles) - 1)).alias("tile"), F.lit(0).alias("kind"), "node", "embedding", "ids")
-    theirs = routed.select("node", "embedding", F.explode("parts").alias("part")).select(
-        "part", F.explode(F.sequence(F.lit(0), _of_part(blocks) - 1).cast("array<long>")).alias("block"), F.pmod(deal, _of_part(tiles)).cast("int").alias("tile"), F.lit(1).alias("kind"), "node", "embedding", F.lit(None).cast("array<long>").alias("ids")
+    blocks = _blocks(held, model.parts, min(BLOCK_ROWS, max(1024, 2 * n // model.parts)))
+    first = max(1, model.probes // FIRST_SHARE)
+    start = routed.select("node", "embedding", F.slice("parts", 1, first).alias("parts"), F.lit(float("-inf")).alias("floor"))
+    found = materialize(_nearest_nodes(_meet(index, start, blocks, model.parts, k + 1), k + 1), "near")
+    if first == model.probes:
+        return found
+    # What comes later counts only if it is no worse than the last of those found, if they are enough.
+    floors = found.groupBy("query").agg(F.when(F.count("*") > k, F.min("score")).otherwise(float("-inf")).alias("floor"))
+    rest = routed.join(floors, F.col("node") == F.col("query"), "left").select(
+        "node", "embedding", F.slice("parts", first + 1, model.probes).alias("parts"), F.coalesce("floor", F.lit(float("-inf"))).alias("floor")
+    )
+    return _nearest_nodes(found.unionByName(_meet(index, rest, blocks, model.parts, k + 1)), k + 1)
+
+
+def _nearest_nodes(found: DataFrame, k: int) -> DataFrame:
+    place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), F.col("ids")[0]))
+    return found.withColumn("place", place).where(F.col("place") <= k).drop("place")
+
+
+def _meet(index: DataFrame, asking: DataFrame, blocks: list[int], parts: int, k: int) -> DataFrame:
+    """(query, node, score, ids): per block of their parts the k nearest that reach the floor of each of `asking` (node, embedding, parts, floor).
+
+    Vectors and queries of a part meet by (block, tile); a task holds the
+    vectors of one block, and queries stream by.
+    """
+    asked = {r["part"]: r["count"] for r in asking.select(F.explode("parts").alias("part")).groupBy("part").count().collect()}  # one row per part
+    tiles = _blocks(asked, parts, TILE_QUERIES)
+    deal, none = F.xxhash64("node"), F.lit(None).cast("array<long>")
+    ours = index.where(F.col("part").isin(sorted(asked))).select(
+        "part", F.pmod(deal, _of_part(blocks)).alias("block"), F.explode(F.sequence(F.lit(0), _of_part(tiles) - 1)).alias("tile"), F.lit(0).alias("kind"), "node", "embedding", "ids", F.lit(0.0).alias("floor")
+    )
+    theirs = asking.select("node", "embedding", "floor", F.explode("parts").alias("part")).select(
+        "part", F.explode(F.sequence(F.lit(0), _of_part(blocks) - 1).cast("array<long>")).alias("block"), F.pmod(deal, _of_part(tiles)).cast("int").alias("tile"), F.lit(1).alias("kind"), "node", "embedding", none.alias("ids"), "floor"
     )
-    order = ["part", "block", "tile", "kind"]
-    met = ours.unionByName(theirs).repartition("part", "block", "tile").sortWithinPartitions(*order)
+    met = ours.unionByName(theirs).repartition("part", "block", "tile").sortWithinPartitions("part", "block", "tile", "kind")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, held, block = None, [], None
@@ -203,7 +229,7 @@ def search(index: DataFrame, queries: DataFrame, model: PartModel, k: int, n: in
                     held.append(rows)
                 elif held:
                     block = block or _Block(pa.Table.from_batches(held).combine_chunks())
-                    yield from block.nearest(rows, k + 1)
+                    yield from block.nearest(rows, k)
 
     return met.mapInArrow(run, "query long, node long, score double, ids array<long>")
 
@@ -218,18 +244,20 @@ class _Block:
         self.least = np.array([i[0] for i in self.ids.to_pylist()])
 
     def nearest(self, queries: pa.RecordBatch, k: int) -> Iterator[pa.RecordBatch]:
-        q, names = _matrix(queries.column(5)), queries.column(4).to_numpy()
+        q, names, floor = _matrix(queries.column(5)), queries.column(4).to_numpy(), queries.column(7).to_numpy()
         step = max(1, _CELLS // len(self.x))
         for at in range(0, len(q), step):
             some = q[at : at + step]
-            row, column = _best(some @ self.x.T, k)
+            row, column = _best(some @ self.x.T, k, floor[at : at + step])
+            if not len(row):
+                continue
             # Products of rows alone don't depend on what else is in the block.
             score = (some[row] * self.x[column]).sum(axis=1) + 0.0
             order = np.lexsort((self.least[column], -score, row))
             row, column, score = row[order], column[order], score[order]
             starts = np.flatnonzero(np.diff(row, prepend=-1))
             place = np.arange(len(row)) - np.repeat(starts, np.diff(np.append(starts, len(row))))
-            keep = place < k
+            keep = (place < k) & (score >= floor[at + row])
             taken = pa.array(column[keep])
             yield pa.RecordBatch.from_arrays(
                 [pa.array(names[at + row[keep]]), self.node.take(taken), pa.array(score[keep]), self.ids.take(taken)], ["query", "node", "score", "ids"]
@@ -262,9 +290,7 @@ def nearest_neighbours(vectors: DataFrame, is_query: Column, k: int = NEAREST, r
         model.probes = probes_for(index, model, held, nodes, k, recall)
         mine = asking.where(F.size("embedding") == r["length"]).join(index.select("node", "embedding"), "embedding")
         mine = materialize(mine.select("vec_id", "node", "embedding"), "queries")
-        near = search(index, mine.dropDuplicates(["node"]), model, k, n)
-        place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), F.col("ids")[0]))
-        best = near.withColumn("place", place).where(F.col("place") <= k + 1)
+        best = search(index, mine.dropDuplicates(["node"]), model, k, n)
         lists = best.groupBy("query").agg(F.collect_list(F.struct("node", "score", "ids")).alias("near"))
         part = mine.select(F.col("vec_id").alias("query_id"), F.col("node").alias("query")).join(lists, "query")
         found = part if found is None else found.unionByName(part)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from catalog import sources
 from catalog import views as v
 from catalog.core import query, rounded
 from cellwatch import runtime
@@ -50,6 +51,76 @@ def _(spark, sf):
     return record.select("run_id", "status", "rows_in", "rows_rejected", "nulls_handled", "rows_published", "AS_OF")
 
 
+_HOURLY = "sms_in sms_out call_in call_out internet_activity total_sms total_calls total_activity internet_share"
+
+
+@query(
+    "incremental_load",
+    rounded(HC, _HOURLY, "timestamp, grid_id, hour, day_of_week, CAST(date AS VARCHAR) AS date"),
+)
+def _(spark, sf):
+    """Hours after three loads that share dates, one of them repeated: those of one load of all rows."""
+    out = batch.Layout(runtime.scratch_path(spark, "increments"))
+    rows = v.dirty_telemetry(spark, sf)
+    early, odd = F.dayofmonth("timestamp") <= 10, F.col("event_id") % 2 == 1
+    loads = {"first": F.coalesce(early, F.lit(True)) & ~odd, "late": F.coalesce(early, F.lit(True)) & odd, "rest": ~early}
+    for name in ("first", "rest", "late", "rest"):
+        batch.load_activity(rows.where(loads[name]).drop("event_id"), out, name)
+    return out.read(spark, "hourly")
+
+
+# Files of the landed run: a day's file of the dense telemetry each; the ninth day's holds a bad cell.
+_LANDED_CELLS = v.telemetry_sql(v.DENSE)
+_KEPT = f"SELECT * FROM ({_LANDED_CELLS}) WHERE dayofmonth(timestamp) <> 9"
+
+
+@query(
+    "landed_run",
+    f"""SELECT 'run-2' AS run_id, 'SUCCESS' AS status, (SELECT count(*) FROM ({_KEPT}) WHERE dayofmonth(timestamp) > 20) AS rows_in, CAST(0 AS BIGINT) AS rows_rejected,
+          (SELECT count(*) FROM ({v.hourly_sql(source=_KEPT)})) AS rows_published, max(timestamp) AS "AS_OF",
+          (SELECT count(DISTINCT CAST(timestamp AS DATE)) FROM ({_KEPT})) AS accepted_files, 1::BIGINT AS rejected_files, TRUE AS saved_model_scored, TRUE AS signals_complete
+        FROM ({_KEPT})""",
+)
+def _(spark, sf):
+    """Two runs over a landing folder: the first trains, the second takes the new files alone and scores by the saved model."""
+    folder, root, geojson = (runtime.scratch_path(spark, n) for n in ("landed-files", "landed-out", "landed-grid"))
+    rows = v._spread(v._events(spark, sf, v.DENSE))
+    v.feature_documents(rows.select("grid_id").distinct()).write.text(geojson)
+    day = F.dayofmonth("timestamp")
+    # One file a day; the record of least id carries the fault.
+    faulty = F.col("event_id") == rows.where(day == 9).agg(F.min("event_id")).scalar()
+    files = rows.withColumns(
+        {
+            "landing_file": F.concat(F.lit("sms-call-internet-mi-"), F.to_date("timestamp").cast("string"), F.lit(".csv")),
+            "day": day,
+            "grid_id": F.when(faulty, "x").otherwise(F.col("grid_id").cast("string")),
+            "timestamp": F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss"),
+        }
+    )
+
+    def land(rows) -> None:
+        sources._write_files(sources._raw_names(rows.drop("day")), folder)
+
+    def run(name: str, **more):
+        now = F.lit("2024-02-01 00:00:00").cast("timestamp_ntz")
+        return batch.run_landed(spark, folder, geojson, root, name, sources.PATTERN, name=sources._landed_name, multiline=False, now=now, **more)
+
+    land(files.where("day <= 20"))
+    run("run-1")
+    land(files.where("day > 20"))
+    record = run("run-2", saved_model=f"{root}/risk_model").where("run_id = 'run-2'")
+    out = batch.Layout(root)
+    audit = spark.read.parquet(out.path("audit"))
+    seen = audit.agg(F.count_if(F.col("status") == "ACCEPTED").alias("a"), F.count_distinct(F.when(F.col("status") == "REJECTED", F.col("filename"))).alias("r"))
+    scored = out.read(spark, "risk_scores").count() == out.read(spark, "model_dataset").count()
+    complete = out.read(spark, "signals").count() == out.read(spark, "anomalies").count() == out.read(spark, "hourly").count()
+    return record.select(
+        "run_id", "status", "rows_in", "rows_rejected", "rows_published", "AS_OF",
+        seen.select("a").scalar().alias("accepted_files"), seen.select("r").scalar().alias("rejected_files"),
+        F.lit(scored).alias("saved_model_scored"), F.lit(complete).alias("signals_complete"),
+    )
+
+
 @query(
     "failed_run",
     f"""SELECT 'run-2' AS run_id, 'FAILED' AS status, 'SUCCESS' AS load, 'FAILED' AS star, 'NOT_RUN' AS quality_check, count(*) AS rows_in,

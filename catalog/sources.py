@@ -11,6 +11,7 @@ from cellwatch import runtime
 from cellwatch.operators import cleaning, rollup
 from cellwatch.schemas import LANDING_PATTERN, MEASURES, RAW_MEASURES, RAW_TO_CANONICAL
 from cellwatch.sources import activity, landing, reference, sinks
+from cellwatch.streaming import landing_stream
 
 H = v.hourly_sql()
 D = v.dirty_sql()
@@ -114,12 +115,21 @@ def _landing_folder(spark: SparkSession, sf: str) -> str:
     Faults sit in the records' text; on every seventh day the files lack the
     internet column.
     """
+    path = runtime.scratch_path(spark, "landing")
+    _land(spark, sf, path)
+    return path
+
+
+def _land(spark: SparkSession, sf: str, path: str, days: Column | None = None, prefix: str = "") -> None:
+    """Write the files of some days, or of all, under names with `prefix`."""
     k, day = F.col("country_code"), F.dayofmonth("timestamp")
     events = v._events(spark, sf, None)
+    if days is not None:
+        events = events.where(days)
     negated = F.when((day % 5 == 0) & (k % 50 == 13), -F.col("v")).otherwise(F.col("v"))
     rows = (
         v._spread(events.withColumn("v", negated.cast("decimal(18,2)")))
-        .withColumn("landing_file", _file(F.to_date("timestamp")))
+        .withColumn("landing_file", F.concat(F.lit(prefix), _file(F.to_date("timestamp"))))
         .withColumn("_no_internet", day % 7 == 3)
         .withColumn("sms_in", F.when((day % 5 == 3) & (k % 50 == 3), F.lit("x")).otherwise(F.col("sms_in").cast("string")))
         .withColumn("grid_id", F.when((day % 5 != 1) | (k % 50 != 31), F.col("grid_id")))
@@ -128,11 +138,9 @@ def _landing_folder(spark: SparkSession, sf: str) -> str:
             F.when((day % 5 == 2) & (k % 50 == 41), F.lit("bad")).otherwise(F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss")),
         )
     )
-    path = runtime.scratch_path(spark, "landing")
     rows = _raw_names(rows)
     _write_files(rows.where(~F.col("_no_internet")).drop("_no_internet"), path)
     _write_files(rows.where("_no_internet").drop("_no_internet", "internet"), path)
-    return path
 
 
 _LANDED = f"""
@@ -192,7 +200,7 @@ def _(spark, sf):
 def _(spark, sf):
     lines = _lines(spark, sf)
     gate = landing.landing_quality_gate(lines, landing.file_headers(lines))
-    return gate.withColumn("file", _landed_name(F.col("file")))
+    return gate.withColumn("file", _landed_name(F.col("file"))).drop("digest")
 
 
 @query("landing_verdicts", VERDICT)
@@ -220,6 +228,33 @@ def _(spark, sf):
     return landing.audit_counts(spark.read.parquet(path))
 
 
+_AGAIN = "substr(filename, 22, 10) <= '2024-01-12'"
+
+
+@query(
+    "landing_stream",
+    f"""SELECT status, count(*) AS files, CAST(sum(row_count) AS BIGINT) AS rows, CAST(sum(stored) AS BIGINT) AS stored_rows FROM (
+          SELECT {_STATUS} AS status, row_count, CASE WHEN valid THEN row_count ELSE 0 END AS stored FROM ({VERDICT})
+          UNION ALL SELECT CASE WHEN valid THEN 'SKIPPED' ELSE 'REJECTED' END, row_count, 0 FROM ({VERDICT}) WHERE {_AGAIN})
+        GROUP BY status""",
+)
+def _(spark, sf):
+    """Two runs of the landing stream: all files, and then some of them again under other names."""
+    folder, audit, raw, state = (runtime.scratch_path(spark, n) for n in ("stream-landing", "stream-audit", "stream-raw", "stream-state"))
+
+    def run() -> None:
+        stream = landing_stream.start_landing(spark, folder, audit, raw, state, "*.csv", name=_landed_name)
+        stream.awaitTermination()
+
+    _land(spark, sf, folder)
+    run()
+    _land(spark, sf, folder, F.dayofmonth("timestamp") <= 12, "sms-call-internet-mi-again-")
+    run()
+    stored = spark.read.parquet(raw).groupBy("source_file").agg(F.count("*").alias("stored"))
+    files = spark.read.parquet(audit).join(stored, F.col("filename") == F.col("source_file"), "left")
+    return files.groupBy("status").agg(F.count("*").alias("files"), F.sum("row_count").alias("rows"), F.sum(F.coalesce("stored", F.lit(0))).alias("stored_rows"))
+
+
 # -------------------------------------------------------- reference and status
 
 
@@ -360,10 +395,27 @@ def _(spark, sf):
     return spark.read.schema("grid_id int, total_activity double").option("header", True).csv(path)
 
 
-@query("format_footprint")
+@query(
+    "format_footprint",
+    f"""WITH c AS (SELECT timestamp, grid_id, country_code FROM ({D}) WHERE NOT {v.INVALID_SQL})
+        SELECT CAST(sum(strlen(strftime(timestamp, '%Y-%m-%dT%H:%M:%S.000'))) AS BIGINT) AS stamp_bytes, TRUE AS csv_holds_stamps, TRUE AS smaller, TRUE AS reduction_fits FROM c""",
+)
 def _(spark, sf):
+    """The CSV holds at least its own time stamps, Parquet is smaller, and the reduction is that of the two sizes."""
+    clean, sizes = _footprint(spark, sf)
+    stamps = clean.agg(F.sum(F.length(F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSS"))))
+    reduction = F.round((1 - F.col("parquet_bytes") / F.col("csv_bytes")) * 100, 2)
+    return sizes.withColumn("stamp_bytes", stamps.scalar()).select(
+        "stamp_bytes",
+        (F.col("csv_bytes") > F.col("stamp_bytes")).alias("csv_holds_stamps"),
+        ((F.col("parquet_bytes") > 0) & (F.col("parquet_bytes") < F.col("csv_bytes"))).alias("smaller"),
+        (F.col("reduction_pct") == reduction).alias("reduction_fits"),
+    )
+
+
+def _footprint(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     csv_path, parquet_path = runtime.scratch_path(spark, "footprint-csv"), runtime.scratch_path(spark, "footprint-parquet")
     clean = v.clean_activity(spark, sf)
     clean.write.option("header", True).csv(csv_path)
     clean.write.parquet(parquet_path)
-    return sinks.format_footprint(spark, csv_path, parquet_path)
+    return clean, sinks.format_footprint(spark, csv_path, parquet_path)

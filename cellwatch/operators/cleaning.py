@@ -42,6 +42,19 @@ def clean_rejected(df: DataFrame) -> DataFrame:
     return df.where(invalid()).withColumn("reject_reason", reason)
 
 
+def judged(df: DataFrame) -> DataFrame:
+    """All rows in one pass: valid ones cleaned, others as they are with a reject_reason, and the calendar of both.
+
+    Rows with a NULL reason are those of `clean`, the others those of
+    `clean_rejected`.
+    """
+    reason = F.when(_null_key(), "NULL_KEY").when(_negative(), "NEGATIVE_MEASURE")
+    good, kinds = F.col("reject_reason").isNull(), dict(df.dtypes)
+    rows = df.withColumn("reject_reason", reason)
+    rows = rows.withColumns({m: F.when(good, F.coalesce(m, F.lit(0).cast(kinds[m]))).otherwise(F.col(m)) for m in MEASURES})
+    return derive_calendar(rows.withColumns({name: F.when(good, total) for name, total in totals().items()}), numeric_weekdays=False)
+
+
 def reject_union(df: DataFrame) -> DataFrame:
     """NULL-key rejects and then negative rejects as one set."""
     null_key = df.where(_null_key()).withColumn("reject_reason", F.lit("NULL_KEY"))

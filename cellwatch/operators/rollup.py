@@ -34,6 +34,16 @@ def hourly_grid_summary(activity: DataFrame, rounded_share: bool = True) -> Data
     )
 
 
+def hourly_partials(activity: DataFrame) -> DataFrame:
+    """Mergeable state of the roll-up: summed measures and records per (timestamp, grid_id), by date.
+
+    `hourly_grid_summary` of several such states together is that of all their
+    rows.
+    """
+    sums = [F.sum(m).alias(m) for m in MEASURES]
+    return activity.groupBy("timestamp", "grid_id").agg(*sums, F.count("*").alias("records")).withColumn("date", F.to_date("timestamp"))
+
+
 def internet_share_rounded(hourly: DataFrame) -> DataFrame:
     return hourly.withColumn("internet_share", share_rounded(F.col("internet_activity"), F.col("total_activity")))
 

@@ -13,12 +13,16 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from cellwatch.operators import alerts, anomaly, baselines, cleaning, features, geo, guards, model, quality, rollup, star
+from cellwatch.operators import alerts, anomaly, baselines, cleaning, features, geo, guards, model, ops, quality, rollup, star
 from cellwatch.operators.tree import TreeModel
-from cellwatch.schemas import LANDING_PATTERN, MEASURES, MODEL_FEATURES
+from cellwatch.runtime import materialize
+from cellwatch.schemas import GRID_ID_MAX, LANDING_PATTERN, MEASURES, MODEL_FEATURES
 from cellwatch.sources import activity, landing, reference, sinks
 
 
+LEDGER_SCHEMA = "filename string, status string, row_count bigint, reason string, digest string, file string, processed_at timestamp, load string"
+
+
 @dataclass(frozen=True)
 class Layout:
     """Table paths under one output folder.
@@ -35,10 +39,26 @@ class Layout:
         return f"{self.root}/{table}"
 
     def read(self, spark: SparkSession, table: str) -> DataFrame:
+        if table in ("activity", "rejects", "hourly_parts"):
+            return self.loaded(spark, table, self.committed(spark))
         if table == "hourly" and self.hourly_table:
             return spark.table(self.hourly_table)
         return spark.read.parquet(self.path(table))
 
+    def loaded(self, spark: SparkSession, table: str, loads: list[str]) -> DataFrame:
+        """Rows that the named loads brought to the activity, the rejects or the state of the hours."""
+        rows = spark.read.parquet(self.path("hourly_parts" if table == "hourly_parts" else "loaded"))
+        rows = rows.withColumn("load", F.col("load").cast("string")).where(F.col("load").isin(loads))
+        if table == "hourly_parts":
+            return rows
+        rows = rows.where(F.col("kind") == ("clean" if table == "activity" else "rejected")).drop("kind")
+        return rows.drop("reject_reason") if table == "activity" else rows
+
+    def committed(self, spark: SparkSession) -> list[str]:
+        """Loads that ended well, one short name each."""
+        spark.createDataFrame([], "load string").write.mode("ignore").parquet(self.path("loads"))
+        return sorted({r["load"] for r in spark.read.schema("load string").parquet(self.path("loads")).collect()})
+
     def write(self, df: DataFrame, table: str) -> None:
         if table == "hourly" and self.hourly_table:
             sinks.write_bucketed(df, self.hourly_table, self.path(table), self.buckets)
@@ -46,13 +66,17 @@ class Layout:
         df.write.mode("overwrite").parquet(self.path(table))
 
 
-def load_activity(raw: DataFrame, out: Layout) -> dict[str, int]:
-    """Clean activity by date, hourly summary and dashboard CSV from raw rows.
+def load_activity(raw: DataFrame, out: Layout, load: str = "load") -> dict[str, int]:
+    """Add raw rows to the clean activity, the rejects and the hourly summary; dashboard CSV.
 
-    Raw rows are read once: the counts of the cleaning report are observed
-    while the clean table is written, and everything else reads that table.
+    Raw rows are read once, and written once as clean or rejected, parted by
+    date and `load`. The roll-up of this load is kept as a mergeable state, and
+    only the hours of its dates are made anew, from the states of those dates.
+    A load that is repeated replaces what it wrote, for which `load` must name
+    the same rows each time; one that failed counts for nothing.
     """
     spark = raw.sparkSession
+    earlier = [name for name in out.committed(spark) if name != load]
     nulls = sum((F.col(m).isNull().cast("bigint") for m in MEASURES[1:]), F.col(MEASURES[0]).isNull().cast("bigint"))
     seen = Observation("raw rows")
     watched = raw.observe(
@@ -61,24 +85,75 @@ def load_activity(raw: DataFrame, out: Layout) -> dict[str, int]:
         F.coalesce(F.sum(cleaning.invalid().cast("bigint")), F.lit(0)).alias("rows_rejected"),
         F.coalesce(F.sum(nulls), F.lit(0)).alias("nulls_handled"),
     )
-    sinks.write_activity_partitioned(cleaning.clean(watched), out.path("activity"))
-    out.write(cleaning.clean_rejected(raw), "rejects")
-    clean = out.read(spark, "activity")
-    out.write(rollup.hourly_grid_summary(clean), "hourly")
+    kind = F.when(F.col("reject_reason").isNull(), "clean").otherwise("rejected")
+    sinks.write_parts(cleaning.judged(watched).withColumns({"kind": kind, "load": F.lit(load)}), out.path("loaded"), ["kind", "date", "load"])
+    parts = rollup.hourly_partials(out.loaded(spark, "activity", [load])).withColumn("load", F.lit(load))
+    sinks.write_parts(parts, out.path("hourly_parts"), ["date", "load"])
+    dates = [r["date"] for r in out.loaded(spark, "hourly_parts", [load]).select("date").distinct().collect()]  # days of this load
+    touched = F.col("date").isin(dates)
+    merge_hours(spark, out, [*earlier, load], touched)
     hours = out.read(spark, "hourly")
-    guards.require_passed(quality.dq_grain(hours, clean), true=("unique_grain", "reduced"))
+    clean = out.loaded(spark, "activity", [*earlier, load])
+    guards.require_passed(quality.dq_grain(hours.where(touched), clean.where(touched)), true=("unique_grain", "reduced"))
     sinks.write_small_csv(rollup.dashboard_summary(hours), out.path("dashboard_csv"))
+    if load not in out.committed(spark):
+        spark.createDataFrame([(load,)], "load string").coalesce(1).write.mode("append").parquet(out.path("loads"))
     return dict(seen.get)
 
 
-def accept_landed(spark: SparkSession, folder: str, out: Layout, pattern: str = LANDING_PATTERN) -> DataFrame:
-    """Gate over landed files; stores their verdicts and returns the typed rows of accepted files alone."""
-    out.write(landing.judge_folder(spark, folder, pattern), "verdicts")
+def merge_hours(spark: SparkSession, out: Layout, loads: list[str], touched: Column) -> None:
+    """The hourly rows of the touched dates from the states of `loads`; other dates are neither read nor written.
+
+    A bucketed table has no dates to replace and is written whole.
+    """
+    parts = out.loaded(spark, "hourly_parts", loads)
+    if out.hourly_table:
+        out.write(rollup.hourly_grid_summary(parts), "hourly")
+    else:
+        sinks.write_parts(rollup.hourly_grid_summary(parts.where(touched)), out.path("hourly"), ["date"])
+
+
+def _ledger(spark: SparkSession, out: Layout, load: str) -> DataFrame:
+    """Audit of the files of other loads that ended well; a load that is repeated does not know its own."""
+    spark.createDataFrame([], LEDGER_SCHEMA).write.mode("ignore").partitionBy("load").parquet(out.path("audit"))
+    others = [name for name in out.committed(spark) if name != load]
+    return spark.read.schema(LEDGER_SCHEMA).parquet(out.path("audit")).where(F.col("load").isin(others))
+
+
+def accept_landed(
+    spark: SparkSession,
+    folder: str,
+    out: Layout,
+    pattern: str = LANDING_PATTERN,
+    grid_id_max: int = GRID_ID_MAX,
+    load: str = "load",
+    name: Callable[[Column], Column] = landing.file_name,
+) -> DataFrame:
+    """Gate over landed files; returns the typed rows of files accepted by this load alone.
+
+    Files that an earlier load accepted are not read. Verdicts and audit are
+    stored; the text is read and parsed once.
+    """
+    ledger = _ledger(spark, out, load)
+    lines, names = landing.parse_folder(spark, folder, pattern, ledger.where(F.col("status") == "ACCEPTED"))
+    headers = materialize(landing.file_headers(lines), "headers")
+    found = landing.landing_verdicts(lines, headers, landing.unread_files(names, headers), grid_id_max)
+    out.write(found.withColumn("filename", name(F.col("file"))), "verdicts")
     verdicts = out.read(spark, "verdicts")
-    lines = landing.landing_lines(spark, folder, pattern)
-    routed = verdicts.select("file", F.when(F.col("valid"), "ACCEPTED").otherwise("REJECTED").alias("status"))
-    rows = landing.accepted_rows(lines, landing.file_headers(lines), routed)
-    return cleaning.standardize_types(rows)
+    routed = landing.landing_route(verdicts, ledger).join(verdicts.select("filename", "file"), "filename")
+    sinks.write_parts(landing.audit_records(routed).withColumn("load", F.lit(load)), out.path("audit"), ["load"])
+    mine = spark.read.schema(LEDGER_SCHEMA).parquet(out.path("audit")).where(F.col("load") == load)
+    return cleaning.standardize_types(landing.accepted_rows(lines, headers, mine.select("file", "status"), name))
+
+
+def new_raw_rows(spark: SparkSession, folder: str, out: Layout, pattern: str = LANDING_PATTERN, load: str = "load") -> DataFrame:
+    """Rows of the raw files of a folder that no other load holds; the files are recorded."""
+    rows = activity.load_raw_network_data(spark, folder, pattern)
+    names = spark.createDataFrame([(f,) for f in rows.inputFiles()], "file string")
+    fresh = landing.unread_files(names, _ledger(spark, out, load))
+    record = fresh.select(landing.file_name(F.col("file")).alias("filename"), F.lit("ACCEPTED").alias("status"), F.lit("not judged here").alias("reason"), "file")
+    sinks.write_parts(landing.audit_records(record).withColumn("load", F.lit(load)), out.path("audit"), ["load"])
+    return activity.only_files(rows, [r["p"] for r in fresh.select(activity.plain_path(F.col("file")).alias("p")).collect()])  # new files alone
 
 
 def load_star(spark: SparkSession, out: Layout, grid_reference: DataFrame, reference_name: str) -> DataFrame:
@@ -88,6 +163,7 @@ def load_star(spark: SparkSession, out: Layout, grid_reference: DataFrame, refer
     """
     hours = out.read(spark, "hourly")
     guards.require_none(geo.grid_set_difference(hours, grid_reference), "cells on one side only")
+    sinks.write_table(geo.enrich_geo(hours, geo.area_centroids(grid_reference)), out.path("enriched"))
     out.write(star.dim_time(hours), "dim_time")
     out.write(star.dim_grid(grid_reference, reference_name), "dim_grid")
     times, grids = out.read(spark, "dim_time"), out.read(spark, "dim_grid")
@@ -118,6 +194,21 @@ def score_risk(spark: SparkSession, out: Layout, model_version: str = "ML3-v1")
     dataset = out.read(spark, "model_dataset")
     fitted = model.train_risk_model(dataset)
     fitted.save(spark, out.path("risk_model"))
+    _store_scores(spark, out, fitted, dataset, model_version)
+    return fitted
+
+
+def score_saved(spark: SparkSession, out: Layout, model_version: str = "ML3-v1", model_path: str | None = None) -> TreeModel:
+    """Scores and predictions of the stored dataset by a saved model, whose inputs must be the dataset's features."""
+    fitted = TreeModel.load(spark, model_path or out.path("risk_model"))
+    wanted, dataset = fitted.inputs, out.read(spark, "model_dataset")
+    if list(wanted) != MODEL_FEATURES or not set(wanted) <= set(dataset.columns):
+        raise ValueError(f"the saved model takes other features: {wanted}")
+    _store_scores(spark, out, fitted, dataset, model_version)
+    return fitted
+
+
+def _store_scores(spark: SparkSession, out: Layout, fitted: TreeModel, dataset: DataFrame, model_version: str) -> None:
     out.write(model.risk_scores(fitted, dataset, model_version), "risk_scores")
     checks = quality.dq_risk_scores(out.read(spark, "risk_scores"), dataset.agg(F.count("*")).scalar())
     complete = checks.withColumn("complete", F.col("row_count") == F.col("expected_rows"))
@@ -127,16 +218,14 @@ def score_risk(spark: SparkSession, out: Layout, model_version: str = "ML3-v1")
         true=("single_version", "complete"),
     )
     out.write(model.serving_predictions(fitted, dataset), "predictions")
-    return fitted
 
 
-def score_saved(spark: SparkSession, out: Layout, model_version: str = "ML3-v1") -> None:
-    """Scores of the stored dataset by the saved model, whose inputs must be the dataset's features."""
-    fitted = TreeModel.load(spark, out.path("risk_model"))
-    wanted, dataset = fitted.inputs, out.read(spark, "model_dataset")
-    if list(wanted) != MODEL_FEATURES or not set(wanted) <= set(dataset.columns):
-        raise ValueError(f"the saved model takes other features: {wanted}")
-    out.write(model.risk_scores(fitted, dataset, model_version), "risk_scores")
+def compare_signals(spark: SparkSession, out: Layout) -> None:
+    """Stored comparison of rule, model and anomaly, its counts, and the cells that need attention most."""
+    anomalies = out.read(spark, "anomalies")
+    out.write(anomaly.three_way_comparison(anomalies, out.read(spark, "alerts"), out.read(spark, "predictions")), "signals")
+    sinks.write_small_csv(anomaly.signal_overlap_metrics(out.read(spark, "signals")), out.path("signal_metrics_csv"))
+    out.write(ops.top_attention(out.read(spark, "risk_scores"), anomalies), "top_attention")
 
 
 def publish(spark: SparkSession, out: Layout, run_id: str, counts: dict[str, int], now: Column | None = None, done: tuple[str, ...] = ()) -> DataFrame:
@@ -177,19 +266,32 @@ def record_failure(spark: SparkSession, out: Layout, run_id: str, done: list[str
     reference.write_status(record, out.path("status"))
 
 
-def run(spark: SparkSession, raw: Callable[[], DataFrame], cells: Callable[[], DataFrame], reference_name: str, out: Layout, run_id: str, now: Column | None = None) -> DataFrame:
-    """All jobs over raw rows; returns the status record.
+def run(
+    spark: SparkSession,
+    raw: Callable[[], DataFrame],
+    cells: Callable[[], DataFrame],
+    reference_name: str,
+    out: Layout,
+    run_id: str,
+    now: Column | None = None,
+    saved_model: str | None = None,
+) -> DataFrame:
+    """All jobs over the raw rows of a run, on top of what earlier runs loaded; returns the status record.
 
     The rows are made inside the first step, so that a gate that fails there is
     recorded. A step that raises leaves a FAILED record, and the error goes on.
+    With `saved_model`, the folder of a model that an earlier run saved, hours
+    are scored by it and nothing is trained.
     """
     counts: dict[str, int] = {}
+    score = (lambda: score_saved(spark, out, model_path=saved_model)) if saved_model else (lambda: score_risk(spark, out))
     steps: dict[str, Callable[[], object]] = {
-        "load": lambda: counts.update(load_activity(raw(), out)),
+        "load": lambda: counts.update(load_activity(raw(), out, run_id)),
         "star": lambda: load_star(spark, out, cells(), reference_name),
         "signals": lambda: load_signals(spark, out),
-        "score": lambda: score_risk(spark, out),
-        "quality_check": lambda: publish(spark, out, run_id, counts, now, ("star", "signals", "score")),
+        "score": score,
+        "compare": lambda: compare_signals(spark, out),
+        "quality_check": lambda: publish(spark, out, run_id, counts, now, ("star", "signals", "score", "compare")),
     }
     names, record = list(steps), None
     for place, (name, step) in enumerate(steps.items()):
@@ -201,14 +303,34 @@ def run(spark: SparkSession, raw: Callable[[], DataFrame], cells: Callable[[], D
     return record
 
 
-def run_day(spark: SparkSession, folder: str, geojson: str, root: str, run_id: str) -> DataFrame:
-    """All jobs over a folder of raw files that passed the gate elsewhere."""
-    cells = lambda: reference.one_per_cell(reference.grid_reference(reference.read_features(spark, geojson)))
-    return run(spark, lambda: activity.load_raw_network_data(spark, folder), cells, geojson.rsplit("/", 1)[-1], Layout(root), run_id)
+def _cells(spark: SparkSession, geojson: str, out: Layout, multiline: bool = True) -> DataFrame:
+    """Cells of a GeoJSON reference; features that are left out are stored with the reason."""
+    found = reference.read_features(spark, geojson, multiline)
+    out.write(reference.rejected_features(found), "rejected_features")
+    return reference.one_per_cell(reference.grid_reference(found))
 
 
-def run_landed(spark: SparkSession, folder: str, geojson: str, root: str, run_id: str, pattern: str = LANDING_PATTERN) -> DataFrame:
-    """All jobs over a landing folder: rows of rejected files never reach the tables."""
+def run_day(spark: SparkSession, folder: str, geojson: str, root: str, run_id: str, saved_model: str | None = None) -> DataFrame:
+    """All jobs over the files of a folder that no earlier run loaded and that passed the gate elsewhere."""
+    out = Layout(root)
+    rows = lambda: new_raw_rows(spark, folder, out, load=run_id)
+    return run(spark, rows, lambda: _cells(spark, geojson, out), geojson.rsplit("/", 1)[-1], out, run_id, saved_model=saved_model)
+
+
+def run_landed(
+    spark: SparkSession,
+    folder: str,
+    geojson: str,
+    root: str,
+    run_id: str,
+    pattern: str = LANDING_PATTERN,
+    grid_id_max: int = GRID_ID_MAX,
+    saved_model: str | None = None,
+    name: Callable[[Column], Column] = landing.file_name,
+    multiline: bool = True,
+    now: Column | None = None,
+) -> DataFrame:
+    """All jobs over a landing folder: rows of rejected files never reach the tables, files loaded before are not read."""
     out = Layout(root)
-    cells = lambda: reference.one_per_cell(reference.grid_reference(reference.read_features(spark, geojson)))
-    return run(spark, lambda: accept_landed(spark, folder, out, pattern), cells, geojson.rsplit("/", 1)[-1], out, run_id)
+    rows = lambda: accept_landed(spark, folder, out, pattern, grid_id_max, run_id, name)
+    return run(spark, rows, lambda: _cells(spark, geojson, out, multiline), geojson.rsplit("/", 1)[-1], out, run_id, now, saved_model)

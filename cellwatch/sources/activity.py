@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellwatch.schemas import LANDING_PATTERN, RAW_CSV_SCHEMA, RAW_TO_CANONICAL
@@ -34,5 +34,15 @@ def load_raw_network_data(spark: SparkSession, folder: str, pattern: str = LANDI
     return canonical_columns(with_source_file(scan_csv_raw(spark, folder, pattern)))
 
 
+def plain_path(path: Column) -> Column:
+    """Path without scheme, as listings and scans spell it with one slash or with three."""
+    return F.regexp_replace(path, "^[a-zA-Z0-9+.-]+:/+", "/")
+
+
+def only_files(rows: DataFrame, names: list[str], path: str = "source_file") -> DataFrame:
+    """Rows of the named files; the scan lists the others but does not read them."""
+    return rows.where(plain_path(F.col(path)).isin(names))
+
+
 def scan_parquet(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)

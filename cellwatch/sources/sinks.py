@@ -26,6 +26,24 @@ def write_activity_partitioned(activity: DataFrame, path: str) -> None:
     )
 
 
+def write_parts(df: DataFrame, path: str, keys: list[str]) -> None:
+    """Parquet parted by `keys`; a write replaces the parts it carries and leaves the others.
+
+    The rebalance splits a heavy part over as many tasks as its size asks for;
+    rows are sorted by cell inside each file.
+    """
+    order = [c for c in ("grid_id", "timestamp") if c in df.columns]
+    (
+        drop_geometry(df)
+        .hint("rebalance", *keys)
+        .sortWithinPartitions(*keys, *order)
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy(*keys)
+        .parquet(path)
+    )
+
+
 def write_table(df: DataFrame, path: str) -> None:
     """Plain Parquet table, geometry kept out."""
     drop_geometry(df).write.mode("overwrite").parquet(path)

@@ -1,27 +1,39 @@
 """Unattended landing: a checkpointed file stream over the landing folder.
 
-Files are moved into the folder complete. Each run takes those not seen before, judges every file whole, appends the
-audit and stores accepted rows. Outputs are keyed by micro-batch, so a batch
-that is retried after a failure replaces its own output.
+Files are moved into the folder complete. Each run takes those not seen before,
+reads and parses them once into a stored table, judges every file whole, appends
+the audit and stores accepted rows. The audit is the state that is kept between
+runs: a file sent again, under its name or with the same lines under another, is
+skipped. Outputs are keyed by micro-batch, so a batch that is retried after a
+failure replaces its own output.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from cellwatch import runtime
-from cellwatch.schemas import LANDING_PATTERN
+from cellwatch.schemas import GRID_ID_MAX, LANDING_PATTERN
 from cellwatch.sources import landing
 
-AUDIT_SCHEMA = "filename string, status string, row_count bigint, reason string, processed_at timestamp, batch_id bigint"
+AUDIT_SCHEMA = "filename string, status string, row_count bigint, reason string, digest string, processed_at timestamp, batch_id bigint"
 
 
 def start_landing(
-    spark: SparkSession, folder: str, audit_path: str, raw_path: str, checkpoint: str, pattern: str = LANDING_PATTERN
+    spark: SparkSession,
+    folder: str,
+    audit_path: str,
+    raw_path: str,
+    checkpoint: str,
+    pattern: str = LANDING_PATTERN,
+    grid_id_max: int = GRID_ID_MAX,
+    name: Callable[[Column], Column] = landing.file_name,
 ) -> StreamingQuery:
-    """Process all files that are new since the last run, then stop."""
+    """Process all files that are new since the last run, then stop. `name` gives a file's name from its path."""
     # A streaming file source takes a folder; the pattern filters file names.
     stream = (
         spark.readStream.format("text")
@@ -35,23 +47,8 @@ def start_landing(
     )
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        session = batch.sparkSession
-        lines = landing.number_lines(batch)
-        headers = runtime.materialize(landing.file_headers(lines), "headers")
-        audit = session.read.schema(AUDIT_SCHEMA).parquet(audit_path).where(F.col("batch_id") != batch_id)
         # The file source hands on no trace of files without bytes.
-        name = landing.file_name(F.col("file"))
-        empty = landing.empty_files(session, folder, pattern).withColumn("filename", name)
-        new_empty = empty.join(audit.select("filename"), "filename", "left_anti").select("file")
-        unread = landing.unread_files(batch.select("file").distinct().unionByName(new_empty), headers)
-        verdicts = landing.landing_verdicts(lines, headers, unread).withColumn("filename", name)
-        routed = landing.landing_route(verdicts, audit).join(verdicts.select("filename", "file"), "filename")
-        records = landing.audit_records(routed.drop("file")).withColumn("batch_id", F.lit(batch_id))
-        replace_batch(records, audit_path)
-        # The stored audit decides what is kept, so both outputs agree.
-        stored = session.read.schema(AUDIT_SCHEMA).parquet(audit_path).where(F.col("batch_id") == batch_id)
-        kept = stored.join(verdicts.select("filename", "file"), "filename").select("file", "status")
-        replace_batch(landing.accepted_rows(lines, headers, kept).withColumn("batch_id", F.lit(batch_id)), raw_path)
+        land_batch(batch, batch_id, audit_path, raw_path, landing.empty_files(batch.sparkSession, folder, pattern), grid_id_max, name)
 
     ensure_audit(spark, audit_path)
     return (
@@ -62,6 +59,37 @@ def start_landing(
     )
 
 
+def land_batch(
+    batch: DataFrame,
+    batch_id: int,
+    audit_path: str,
+    raw_path: str,
+    empty: DataFrame,
+    grid_id_max: int = GRID_ID_MAX,
+    name: Callable[[Column], Column] = landing.file_name,
+) -> None:
+    """Judge, record and store the files of one micro-batch, whose text is read once.
+
+    `empty` names files without bytes, of which those that the audit knows are
+    left out.
+    """
+    session = batch.sparkSession
+    lines, names = landing.parse_text(batch)
+    headers = runtime.materialize(landing.file_headers(lines), "headers")
+    audit = session.read.schema(AUDIT_SCHEMA).parquet(audit_path).where(F.col("batch_id") != batch_id)
+    named = name(F.col("file"))
+    new_empty = empty.withColumn("filename", named).join(audit.select("filename"), "filename", "left_anti").select("file")
+    unread = landing.unread_files(names.unionByName(new_empty).distinct(), headers)
+    verdicts = landing.landing_verdicts(lines, headers, unread, grid_id_max).withColumn("filename", named)
+    verdicts = runtime.materialize(verdicts, "verdicts")
+    records = landing.audit_records(landing.landing_route(verdicts, audit)).withColumn("batch_id", F.lit(batch_id))
+    replace_batch(records, audit_path)
+    # The stored audit decides what is kept, so both outputs agree.
+    stored = session.read.schema(AUDIT_SCHEMA).parquet(audit_path).where(F.col("batch_id") == batch_id)
+    kept = stored.join(verdicts.select("filename", "file"), "filename").select("file", "status")
+    replace_batch(landing.accepted_rows(lines, headers, kept, name).withColumn("batch_id", F.lit(batch_id)), raw_path)
+
+
 def replace_batch(df: DataFrame, path: str) -> None:
     (
         df.write.mode("overwrite")

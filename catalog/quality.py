@@ -8,7 +8,7 @@ from catalog import views as v
 from catalog.core import query, rounded
 from catalog.joins import FILE, star_tables
 from cellwatch import runtime
-from cellwatch.operators import alerts, features, geo, quality, star
+from cellwatch.operators import alerts, features, geo, quality, star, topology
 from cellwatch.sources import activity, sinks
 
 H = v.hourly_sql()
@@ -58,6 +58,90 @@ def _(spark, sf):
     return quality.dq_geometry(v.grid_cells(spark, sf))
 
 
+_SHAPE_FAULTS = {1: "SELF_INTERSECTION", 3: "RINGS_CROSS", 4: "HOLE_OUTSIDE_SHELL", 5: "NESTED_HOLES", 6: "OVERLAPPING_PARTS", 7: "OPEN_RING", 8: "DISCONNECTED_INTERIOR"}
+
+
+def _shaped(cells):
+    """Cells with one of nine shapes each: a square, a bow-tie, holes that touch, cross, lie outside or nest, parts that overlap, an open ring."""
+    x, y = v._corner(F.col("grid_id"))
+    x2, y2 = x + F.lit(0.003), y + F.lit(0.002)
+
+    def ring(*points):
+        """Points as shares of the cell's width and height."""
+        return F.array(*[F.array(x if a == 0 else x2 if a == 1 else x + F.lit(0.003 * a), y if b == 0 else y2 if b == 1 else y + F.lit(0.002 * b)) for a, b in points])
+
+    square = ring((0, 0), (1, 0), (1, 1), (0, 1), (0, 0))
+    shapes = [
+        F.array(F.array(square)),
+        F.array(F.array(ring((0, 0), (1, 1), (1, 0), (0, 1), (0, 0)))),
+        F.array(F.array(square, ring((0, 0.5), (0.5, 0.4), (0.5, 0.6), (0, 0.5)))),
+        F.array(F.array(square, ring((0.5, 0.4), (1.5, 0.4), (1.5, 0.6), (0.5, 0.6), (0.5, 0.4)))),
+        F.array(F.array(square, ring((2, 0.4), (3, 0.4), (3, 0.6), (2, 0.4)))),
+        F.array(F.array(square, ring((0.2, 0.2), (0.8, 0.2), (0.8, 0.8), (0.2, 0.8), (0.2, 0.2)), ring((0.4, 0.4), (0.6, 0.4), (0.6, 0.6), (0.4, 0.4)))),
+        F.array(F.array(square), F.array(ring((0.25, 0.25), (0.5, 0.25), (0.5, 0.5), (0.25, 0.25)))),
+        F.array(F.array(ring((0, 0), (1, 0), (1, 1), (0, 1)))),
+        F.array(F.array(square, ring((0, 0.5), (0.5, 0.4), (1, 0.5), (0.5, 0.6), (0, 0.5)))),
+    ]
+    kind = F.col("grid_id") % len(shapes)
+    shape = shapes[0]
+    for i, other in enumerate(shapes[1:], 1):
+        shape = F.when(kind == i, other).otherwise(shape)
+    return cells.withColumn("geometry", shape)
+
+
+@query(
+    "dq_geometry_faults",
+    f"""SELECT fault, count(*) AS cells FROM (SELECT CASE grid_id % 9 {" ".join(f"WHEN {k} THEN '{f}'" for k, f in _SHAPE_FAULTS.items())} END AS fault FROM ({C}))
+        WHERE fault IS NOT NULL GROUP BY fault""",
+)
+def _(spark, sf):
+    """Shapes with known faults, two kinds of valid ones among them."""
+    faults = quality.geometry_faults(_shaped(v.grid_cells(spark, sf)))
+    return faults.groupBy("fault").agg(F.count("*").alias("cells"))
+
+
+# A grid that lacks some cells and has others moved by a part of their size.
+_BROKEN = f"SELECT grid_id, grid_id % 89 = 0 AS moved FROM ({C}) WHERE grid_id % 97 <> 0"
+_BROKEN_PAIRS = f"""
+  SELECT a.grid_id, b.grid_id AS neighbour_id, CASE WHEN b.grid_id - a.grid_id IN (1, 100) THEN 'edge' ELSE 'corner' END AS contact
+  FROM ({_BROKEN}) a JOIN ({_BROKEN}) b ON a.moved = b.moved AND (b.grid_id = a.grid_id + 100 OR (b.grid_id - a.grid_id IN (1, 101) AND a.grid_id % 100 <> 0)
+    OR (b.grid_id = a.grid_id + 99 AND a.grid_id % 100 <> 1))"""
+
+
+def _broken_grid(spark, sf):
+    far = F.when(F.col("grid_id") % 89 == 0, 0.0005).otherwise(0.0)
+    moved = F.transform("geometry", lambda polygon: F.transform(polygon, lambda ring: F.transform(ring, lambda p: F.array(p[0] + far, p[1] + far))))
+    return v.grid_cells(spark, sf).where(F.col("grid_id") % 97 != 0).withColumn("geometry", moved)
+
+
+@query("topological_neighbours", f"WITH p AS ({_BROKEN_PAIRS}) SELECT * FROM p UNION ALL SELECT neighbour_id, grid_id, contact FROM p")
+def _(spark, sf):
+    return topology.topological_neighbours(_broken_grid(spark, sf))
+
+
+@query(
+    "second_order_neighbours",
+    f"""WITH p AS (SELECT grid_id, neighbour_id FROM ({_BROKEN_PAIRS}) WHERE contact = 'edge'), e AS MATERIALIZED (SELECT * FROM p UNION ALL SELECT neighbour_id, grid_id FROM p)
+        SELECT DISTINCT a.grid_id, b.neighbour_id FROM e a JOIN e b ON a.neighbour_id = b.grid_id
+        WHERE a.grid_id <> b.neighbour_id AND NOT EXISTS (SELECT 1 FROM e WHERE e.grid_id = a.grid_id AND e.neighbour_id = b.neighbour_id)""",
+)
+def _(spark, sf):
+    return topology.order_two(topology.topological_neighbours(_broken_grid(spark, sf)))
+
+
+@query(
+    "dq_shared_edges",
+    f"""WITH c AS MATERIALIZED ({_BROKEN}), p AS MATERIALIZED ({_BROKEN_PAIRS}),
+          promised AS (SELECT a.grid_id, b.grid_id AS neighbour_id FROM c a JOIN c b ON b.grid_id = a.grid_id + 100 OR (b.grid_id = a.grid_id + 1 AND a.grid_id % 100 <> 0))
+        SELECT (SELECT count(*) FROM promised) AS promised_pairs,
+          (SELECT count(*) FROM promised q WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.grid_id = q.grid_id AND p.neighbour_id = q.neighbour_id AND contact = 'edge')) AS gaps,
+          (SELECT count(*) FROM p WHERE contact = 'edge') AS edge_pairs, (SELECT count(*) FROM p WHERE contact = 'corner') AS corner_pairs,
+          (SELECT count(*) FROM c WHERE grid_id NOT IN (SELECT grid_id FROM p UNION ALL SELECT neighbour_id FROM p)) AS isolated_cells""",
+)
+def _(spark, sf):
+    return quality.dq_shared_edges(runtime.materialize(_broken_grid(spark, sf), "cells"))
+
+
 @query(
     "dq_adjacency",
     rounded(

@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cellwatch.functions import geometry as geo
+from cellwatch.functions import validity
 from cellwatch.functions.columns import finite
+from cellwatch.operators import topology
 from cellwatch.schemas import FEATURES_24H, GRAIN, GRID_ID_MAX, GRID_ID_MIN
 
 
@@ -79,6 +81,46 @@ def dq_geometry(reference: DataFrame) -> DataFrame:
     )
 
 
+def geometry_faults(reference: DataFrame) -> DataFrame:
+    """Cells whose geometry is not valid, with the first fault; see `functions.validity`.
+
+    No shuffle: each geometry is judged where it is read.
+    """
+    shape = F.col("geometry")
+    return (
+        reference.withColumn("_found", validity.contacts(shape))
+        .withColumn("fault", validity.fault(shape, F.col("_found"), geo.rings_closed(shape)))
+        .where("fault IS NOT NULL")
+        .select("grid_id", "geometry_type", "fault")
+    )
+
+
+def dq_shared_edges(cells: DataFrame, row_length: int = 100) -> DataFrame:
+    """Adjacency by the edges and corners that cells share, against the neighbours their ids promise.
+
+    A cell's right and upper neighbours by id, where they exist, must share an
+    edge with it; `gaps` counts those that don't.
+    """
+    pairs = topology.topological_neighbours(cells).where(F.col("grid_id") < F.col("neighbour_id"))
+    ids = cells.select("grid_id").distinct()
+    beside = ids.where(F.col("grid_id") % row_length != 0).select("grid_id", (F.col("grid_id") + 1).alias("neighbour_id"))
+    above = ids.select("grid_id", (F.col("grid_id") + row_length).alias("neighbour_id"))
+    promised = beside.unionByName(above).join(ids.withColumnRenamed("grid_id", "neighbour_id"), "neighbour_id", "left_semi")
+    edges = pairs.where("contact = 'edge'").select("grid_id", "neighbour_id", F.lit(True).alias("shared"))
+    touching = pairs.select(F.explode(F.array("grid_id", "neighbour_id")).alias("grid_id")).distinct()
+    kept = promised.join(edges, ["grid_id", "neighbour_id"], "left").agg(
+        F.count("*").alias("promised_pairs"), F.count_if(F.col("shared").isNull()).alias("gaps")
+    )
+    found = pairs.agg(F.count_if(F.col("contact") == "edge").alias("edge_pairs"), F.count_if(F.col("contact") == "corner").alias("corner_pairs"))
+    return kept.withColumns(
+        {
+            "edge_pairs": found.select("edge_pairs").scalar(),
+            "corner_pairs": found.select("corner_pairs").scalar(),
+            "isolated_cells": ids.join(touching, "grid_id", "left_anti").agg(F.count("*")).scalar(),
+        }
+    )
+
+
 def dq_adjacency(cells: DataFrame, max_degrees: float = 0.01, row_length: int = 100) -> DataFrame:
     """Consecutive cells of a grid row: distinct centroids, close together."""
     here = cells.select("grid_id", F.col("centroid_longitude").alias("lon"), F.col("centroid_latitude").alias("lat"))

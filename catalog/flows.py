@@ -82,7 +82,7 @@ _KEPT = f"SELECT * FROM ({_LANDED_CELLS}) WHERE dayofmonth(timestamp) <> 9"
         FROM ({_KEPT})""",
 )
 def _(spark, sf):
-    """Two runs over a landing folder: the first trains, the second takes the new files alone and scores by the saved model."""
+    """A first load trains the model; a run over the same folder later takes the new files alone and scores by the saved model."""
     folder, root, geojson = (runtime.scratch_path(spark, n) for n in ("landed-files", "landed-out", "landed-grid"))
     rows = v._spread(v._events(spark, sf, v.DENSE))
     v.feature_documents(rows.select("grid_id").distinct()).write.text(geojson)
@@ -101,15 +101,15 @@ def _(spark, sf):
     def land(rows) -> None:
         sources._write_files(sources._raw_names(rows.drop("day")), folder)
 
-    def run(name: str, **more):
-        now = F.lit("2024-02-01 00:00:00").cast("timestamp_ntz")
-        return batch.run_landed(spark, folder, geojson, root, name, sources.PATTERN, name=sources._landed_name, multiline=False, now=now, **more)
-
+    out, now = batch.Layout(root), F.lit("2024-02-01 00:00:00").cast("timestamp_ntz")
     land(files.where("day <= 20"))
-    run("run-1")
+    batch.load_activity(batch.accept_landed(spark, folder, out, sources.PATTERN, load="run-1", name=sources._landed_name), out, "run-1")
+    batch.load_signals(spark, out)
+    batch.score_risk(spark, out)
     land(files.where("day > 20"))
-    record = run("run-2", saved_model=f"{root}/risk_model").where("run_id = 'run-2'")
-    out = batch.Layout(root)
+    record = batch.run_landed(
+        spark, folder, geojson, root, "run-2", sources.PATTERN, saved_model=out.path("risk_model"), name=sources._landed_name, multiline=False, now=now
+    )
     audit = spark.read.parquet(out.path("audit"))
     seen = audit.agg(F.count_if(F.col("status") == "ACCEPTED").alias("a"), F.count_distinct(F.when(F.col("status") == "REJECTED", F.col("filename"))).alias("r"))
     scored = out.read(spark, "risk_scores").count() == out.read(spark, "model_dataset").count()

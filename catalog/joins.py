@@ -212,6 +212,18 @@ COMPARISON = f"""
 
 
 def comparison(spark, sf):
+    return anomaly.signals(v.stored_hourly(spark, sf, v.DENSE), v.stand_in())
+
+
+_COMPARED = (
+    "anomaly_score percentage_deviation ml3_probability",
+    "grid_id, timestamp, direction, ml4_high, ml4_low, ml4_anomaly, np3_flag, ml3_risk, " + ", ".join(OUTCOME_TESTS),
+)
+
+
+@query("joined_signals", rounded(COMPARISON, *_COMPARED))
+def _(spark, sf):
+    """The comparison from the three signals' own tables."""
     hours = v.stored_hourly(spark, sf, v.DENSE)
     scores = anomaly.anomaly_scores(baselines.hour_bucket_baseline(hours))
     return anomaly.three_way_comparison(scores, alerts.network_alerts(hours), v.predicted(hours), ["ml3_probability"])

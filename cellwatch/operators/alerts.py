@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cellwatch.functions.columns import fixed
-from cellwatch.operators.baselines import leave_one_out_median
+from cellwatch.operators.baselines import by_whole_cell, leave_one_out_median
 from cellwatch.operators.quantile import exact_group_percentile
 
 HIGH_THRESHOLD = 1.5
@@ -21,7 +21,7 @@ def activity_floor(hourly: DataFrame, accuracy: int = 10_000) -> DataFrame:
 
     The number of cells has no bound, so the percentile is the bracketed one.
     """
-    daily = hourly.groupBy("date", "grid_id").agg(F.sum("total_activity").alias("daily_activity"))
+    daily = hourly.groupBy("grid_id", "date").agg(F.sum("total_activity").alias("daily_activity"))
     daily = daily.withColumn("daily_activity", F.round("daily_activity", 6))
     return exact_group_percentile(daily, ["date"], "daily_activity", ACTIVITY_FLOOR_PERCENTILE, "activity_floor", accuracy, few_groups=True)
 
@@ -40,26 +40,35 @@ def _alert(kind: str, hit: Column, reason: Column) -> Column:
     return F.when(hit, F.struct(F.lit(kind).alias("alert_type"), reason.alias("reason")))
 
 
-def network_alerts(hourly: DataFrame) -> DataFrame:
-    """One row per rule hit of every eligible hour.
+def with_rule_inputs(hourly: DataFrame, floor: DataFrame) -> DataFrame:
+    """Hourly rows with previous hour, leave-one-out baseline, daily total and whether it reaches the floor.
 
-    One shuffle by cell and one sort by (date, time) serve the previous hour
-    and the day groups of baseline and daily total. The floor has one row per
-    date, so it is broadcast.
+    One sort by (date, time) within a cell serves the previous hour and the day
+    groups of baseline and daily total. The floor has one row per date, so it
+    is broadcast.
     """
     in_order = W.partitionBy("grid_id").orderBy("date", "timestamp")
     day = W.partitionBy("grid_id", "date")
-    now, base, prev = F.col("total_activity"), F.col("baseline_activity"), F.col("previous_activity")
-    rows = (
-        hourly.select(
-            "grid_id", "timestamp", "date", "total_activity", F.lag("total_activity").over(in_order).alias("previous_activity")
-        )
+    return (
+        hourly.withColumn("previous_activity", F.lag("total_activity").over(in_order))
         .withColumn("_values", F.sort_array(F.collect_list("total_activity").over(day)))
         .withColumn("daily_activity", F.round(F.sum("total_activity").over(day), 6))
-        .join(F.broadcast(activity_floor(hourly)), "date")
-        .where(F.col("daily_activity") >= F.col("activity_floor"))
-        .withColumn("baseline_activity", leave_one_out_median(F.col("_values"), now))
+        .join(F.broadcast(floor), "date", "left")
+        .withColumn("eligible", F.coalesce(F.col("daily_activity") >= F.col("activity_floor"), F.lit(False)))
+        .withColumn("baseline_activity", leave_one_out_median(F.col("_values"), F.col("total_activity")))
+        .drop("_values")
     )
+
+
+def network_alerts(hourly: DataFrame) -> DataFrame:
+    """One row per rule hit of every eligible hour.
+
+    The hours are shuffled once, by cell; the floor's own shuffles carry one
+    row per date, or a few values next to it.
+    """
+    now, base, prev = F.col("total_activity"), F.col("baseline_activity"), F.col("previous_activity")
+    cells = by_whole_cell(hourly, "timestamp", "date", "total_activity")
+    rows = with_rule_inputs(cells, activity_floor(cells)).where("eligible")
     high = F.concat(
         F.lit("HIGH_ACTIVITY: current activity "), fixed(now, 2),
         F.lit(f" is above {HIGH_THRESHOLD:.1f}x baseline activity "), fixed(base, 2),

@@ -6,18 +6,31 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cellwatch.functions.columns import fixed
+from cellwatch.operators.alerts import HIGH_THRESHOLD, activity_floor, with_rule_inputs
+from cellwatch.operators.baselines import by_whole_cell, hour_bucket_baseline
 from cellwatch.operators.cleaning import dedupe_keys
+from cellwatch.operators.features import with_model_features
 from cellwatch.schemas import GRAIN
 
 HIGH_DEVIATION = 0.50
 LOW_DEVIATION = -0.50
 
 
+def deviation() -> Column:
+    """Share by which a row exceeds its baseline, 0.0 where the baseline is not positive."""
+    now, base = F.col("total_activity"), F.col("baseline_activity")
+    return F.when(base > 0, (now - base) / F.nullif(base, F.lit(0.0))).otherwise(F.lit(0.0))
+
+
+def direction(share: Column) -> Column:
+    return F.when(share > HIGH_DEVIATION, "high").when(share < LOW_DEVIATION, "low").otherwise("normal")
+
+
 def anomaly_scores(baselined: DataFrame) -> DataFrame:
     """Deviation from the baseline, its size, direction and reason per row."""
     now, base = F.col("total_activity"), F.col("baseline_activity")
-    deviation, direction = F.col("percentage_deviation"), F.col("direction")
-    percent = F.concat(fixed(F.abs(deviation) * 100, 1), F.lit("%"))
+    share, side_of = F.col("percentage_deviation"), F.col("direction")
+    percent = F.concat(fixed(F.abs(share) * 100, 1), F.lit("%"))
 
     def text(kind: str, side: str) -> Column:
         return F.concat(
@@ -27,19 +40,13 @@ def anomaly_scores(baselined: DataFrame) -> DataFrame:
 
     return (
         baselined.select("grid_id", "timestamp", "total_activity", "baseline_activity")
-        .withColumn(
-            "percentage_deviation",
-            F.when(base > 0, (now - base) / F.nullif(base, F.lit(0.0))).otherwise(F.lit(0.0)),
-        )
-        .withColumn("anomaly_score", F.abs(deviation))
-        .withColumn(
-            "direction",
-            F.when(deviation > HIGH_DEVIATION, "high").when(deviation < LOW_DEVIATION, "low").otherwise("normal"),
-        )
+        .withColumn("percentage_deviation", deviation())
+        .withColumn("anomaly_score", F.abs(share))
+        .withColumn("direction", direction(share))
         .withColumn(
             "reason",
-            F.when(direction == "high", text("HIGH", "above"))
-            .when(direction == "low", text("LOW", "below"))
+            F.when(side_of == "high", text("HIGH", "above"))
+            .when(side_of == "low", text("LOW", "below"))
             .otherwise("NORMAL: Activity within expected historical bounds."),
         )
     )
@@ -87,6 +94,11 @@ def three_way_comparison(
             }
         )
     )
+    return with_outcomes(flagged)
+
+
+def with_outcomes(flagged: DataFrame) -> DataFrame:
+    """Rows with the eight exclusive outcomes of their three flags."""
     flags = F.struct("np3_flag", "ml3_risk", "ml4_high")
     return flagged.withColumns(
         {
@@ -96,6 +108,39 @@ def three_way_comparison(
     )
 
 
+def signals(hourly: DataFrame, probability: Column, decision: float = 0.5) -> DataFrame:
+    """`three_way_comparison` of the hourly rows themselves, without a join of the three signals.
+
+    `probability` is the model's, over the model features, cell and timestamp
+    of a row; it counts for the rows of the model dataset, others have none.
+    Features, rule, and historical baseline are windows by cell, so the hours
+    are shuffled once; the floor's own shuffles carry one row per date, or a
+    few values next to it.
+    """
+    cells = by_whole_cell(hourly, "timestamp", "date", "total_activity", "internet_activity")
+    rows = with_model_features(cells, "date", "total_activity")
+    rows = rows.withColumn("ml3_probability", F.when(F.col("complete"), probability)).select("grid_id", "timestamp", "date", "total_activity", "ml3_probability")
+    rule = with_rule_inputs(rows, activity_floor(cells))
+    high = F.col("eligible") & (F.col("total_activity") > F.col("baseline_activity") * HIGH_THRESHOLD)
+    rule = rule.withColumn("np3_flag", F.coalesce(high, F.lit(False)).cast("int")).drop("baseline_activity")
+    scored = hour_bucket_baseline(rule).withColumn("percentage_deviation", deviation())
+    side = direction(F.col("percentage_deviation"))
+    return with_outcomes(
+        scored.select(
+            *GRAIN,
+            F.abs("percentage_deviation").alias("anomaly_score"),
+            "percentage_deviation",
+            side.alias("direction"),
+            "np3_flag",
+            F.coalesce((F.col("ml3_probability") >= decision).cast("int"), F.lit(0)).alias("ml3_risk"),
+            F.coalesce("ml3_probability", F.lit(0.0)).alias("ml3_probability"),
+            (side == "high").cast("int").alias("ml4_high"),
+            (side == "low").cast("int").alias("ml4_low"),
+            (side != "normal").cast("int").alias("ml4_anomaly"),
+        )
+    )
+
+
 def signal_overlap_metrics(comparison: DataFrame) -> DataFrame:
     """Counts of flags and outcomes and the two agreement rates."""
     same = lambda a, b: F.avg((F.col(a) == F.col(b)).cast("double"))

@@ -25,6 +25,16 @@ def by_cell() -> W:
     return W.partitionBy("grid_id").orderBy("timestamp")
 
 
+def by_whole_cell(hourly: DataFrame, *columns: str) -> DataFrame:
+    """The columns of all hours, shuffled once by cell.
+
+    A cell's hours travel as one array, whose fields no reader prunes apart, so
+    windows by cell and aggregates by cell and day share the one shuffle.
+    """
+    held = hourly.groupBy("grid_id").agg(F.collect_list(F.struct(*columns)).alias("_hours"))
+    return held.select("grid_id", F.inline("_hours"))
+
+
 def previous_activity(hourly: DataFrame) -> DataFrame:
     """Activity of the previous row of the cell, however long ago it was."""
     return hourly.withColumn("previous_activity", F.lag("total_activity").over(by_cell()))

@@ -26,8 +26,8 @@ DAY = 24
 RECENT = 6
 
 
-def _stages(hourly: DataFrame) -> DataFrame:
-    """Hourly rows with every windowed aggregate the features are made of."""
+def _stages(hourly: DataFrame, *kept: str) -> DataFrame:
+    """Hourly rows with every windowed aggregate the features are made of, and the columns `kept`."""
     rows = hourly.withColumn("_h", hour_number(F.col("timestamp")))
     by_hour = W.partitionBy("grid_id").orderBy("_h")
     day = by_hour.rangeBetween(1 - DAY, 0)
@@ -40,6 +40,7 @@ def _stages(hourly: DataFrame) -> DataFrame:
     return rows.select(
         "grid_id",
         "timestamp",
+        *kept,
         "_h",
         F.count(total).over(day).alias("_day_n"),
         F.avg(total).over(day).alias("_day_mean"),
@@ -174,6 +175,14 @@ def model_dataset(hourly: DataFrame, with_target: bool = True) -> DataFrame:
     )
 
 
+def with_model_features(hourly: DataFrame, *kept: str) -> DataFrame:
+    """Every hourly row with the model's features and `complete`, which tells the rows of `model_dataset`."""
+    staged = _stages(hourly, *kept)
+    ready = F.col("_next_h").isNotNull() & (F.col("_day_n") == DAY)
+    rows = staged.select("grid_id", "timestamp", *kept, ready.alias("_ready"), *_named(_all_features()))
+    return rows.withColumn("complete", F.col("_ready") & F.coalesce(_complete(FEATURES_24H + FEATURES_EXTRA[:3]), F.lit(False))).drop("_ready")
+
+
 def leakage_compare(hourly: DataFrame, cutoff: Column, factor: float = 1000.0, tolerance: float = 1e-10) -> DataFrame:
     """Per feature: rows up to `cutoff` that change when later hours change."""
     names = FEATURES_24H + FEATURES_EXTRA

@@ -13,7 +13,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cellwatch.functions import geometry as geo
+from cellwatch.functions.morton import cell_of, morton
 from cellwatch.operators.cleaning import filter_date_window
+from cellwatch.runtime import materialize
 from cellwatch.sources.reference import one_per_cell
 
 # Finest bin level of the nearest-cell search: 2^16 bins a side.
@@ -21,6 +23,8 @@ from cellwatch.sources.reference import one_per_cell
 FIRST_LEVEL, LAST_LEVEL = 8, 48
 # A finest bin holds at most so many times the cells a search needs.
 BIN_CROWD = 8
+# Cells of a tile: with a rim of one cell, a square of 64 meets 36 foreign ones.
+TILE_CELLS = 64
 
 
 def area_centroids(reference: DataFrame) -> DataFrame:
@@ -200,17 +204,81 @@ def grid_neighbours(cells: DataFrame, k: int = 8) -> DataFrame:
     )
 
 
-def neighbour_activity(hourly: DataFrame, neighbours: DataFrame) -> DataFrame:
-    """Activity of each cell and hour against its neighbours' mean that hour."""
-    around = (
-        hourly.select(F.col("grid_id").alias("neighbour_id"), "timestamp", "total_activity")
-        .join(neighbours.select("grid_id", "neighbour_id"), "neighbour_id")
-        .groupBy("grid_id", "timestamp")
-        .agg(F.avg("total_activity").alias("neighbour_mean"), F.count("*").alias("neighbours_seen"))
+def spatial_tiles(places: DataFrame, per_tile: int = TILE_CELLS) -> DataFrame:
+    """(grid_id, tile): cells dealt to tiles of about `per_tile` neighbours each, by ranges of their Z-order.
+
+    Stored, as the ranges come from a sample.
+    """
+    known = places.select("grid_id", "centroid_longitude", "centroid_latitude").dropDuplicates(["grid_id"])
+    box = known.agg(
+        F.struct(
+            F.count("*").alias("n"),
+            F.min("centroid_longitude").alias("x"),
+            F.min("centroid_latitude").alias("y"),
+            (F.max("centroid_longitude") - F.min("centroid_longitude")).alias("w"),
+            (F.max("centroid_latitude") - F.min("centroid_latitude")).alias("h"),
+        ).alias("b")
+    ).first()["b"]
+    code = morton(cell_of(F.col("centroid_longitude"), F.lit(box["x"]), F.lit(box["w"])), cell_of(F.col("centroid_latitude"), F.lit(box["y"]), F.lit(box["h"])))
+    coded = known.select("grid_id", F.coalesce(code, F.lit(0)).alias("code"))
+    dealt = coded.repartitionByRange(max(1, -(-box["n"] // per_tile)), "code", "grid_id")
+    return materialize(dealt.select("grid_id", F.spark_partition_id().alias("tile")), "tiles")
+
+
+def neighbour_activity(hourly: DataFrame, neighbours: DataFrame, tiles: DataFrame | None = None) -> DataFrame:
+    """Activity of each cell and hour against its neighbours' mean that hour.
+
+    Cells are dealt to tiles, and each tile has a rim: the foreign cells that
+    its own cells have as neighbours. An hour of a tile with its rim meets in
+    one group, where the neighbours are looked up; so a row crosses a shuffle
+    once for its tile and once for each tile that has its cell in the rim, not
+    once for each neighbour. `tiles` defaults to `spatial_tiles` of the
+    neighbours' places, or to ranges of ids where these are not given; any
+    dealing gives the same rows.
+    """
+    neighbours = materialize(neighbours, "neighbours")
+    pairs = neighbours.select("grid_id", "neighbour_id")
+    if tiles is None and "centroid_longitude" not in neighbours.columns:
+        tiles = pairs.select("grid_id").distinct().withColumn("tile", F.floor(F.col("grid_id") / TILE_CELLS))
+    elif tiles is None:
+        tiles = spatial_tiles(neighbours.select(F.col("neighbour_id").alias("grid_id"), "centroid_longitude", "centroid_latitude"))
+    # Cells that are no one's neighbour make up a tile of their own id.
+    own = pairs.groupBy("grid_id").agg(F.collect_list("neighbour_id").alias("near"))
+    seated = own.join(tiles, "grid_id", "left").withColumn("tile", F.coalesce(F.col("tile").cast("bigint"), -F.col("grid_id").cast("bigint") - 1))
+    rims = (
+        seated.select("tile", F.explode("near").alias("grid_id"))
+        .distinct()
+        .join(seated.select("grid_id", F.col("tile").alias("home")), "grid_id", "left")
+        .where(~F.col("home").eqNullSafe(F.col("tile")))
+        .groupBy("grid_id")
+        .agg(F.collect_list("tile").alias("rims"))
     )
+    cells = seated.join(rims, "grid_id", "full")
+    seats = F.concat(
+        F.when(F.col("tile").isNotNull(), F.array(F.struct(F.col("tile").alias("tile"), F.col("near").alias("near")))).otherwise(F.array()),
+        F.transform(F.coalesce("rims", F.array()), lambda t: F.struct(t.alias("tile"), F.lit(None).cast(near_type(neighbours)).alias("near"))),
+    )
+    placed = materialize(cells.select("grid_id", seats.alias("seats")), "seats")
+    rows = hourly.select("grid_id", "timestamp", "total_activity").join(placed, "grid_id", "left")
+    # A cell without neighbours meets no one.
+    alone = F.array(F.struct((-F.col("grid_id").cast("bigint") - 1).alias("tile"), F.array().cast(near_type(neighbours)).alias("near")))
+    seated_rows = rows.withColumn("seats", F.when(F.exists(F.coalesce("seats", F.array()), lambda s: s["near"].isNotNull()), F.col("seats")).otherwise(F.concat(alone, F.coalesce("seats", F.array()))))
+    met = (
+        seated_rows.select("grid_id", "timestamp", "total_activity", F.inline("seats"))
+        .groupBy("tile", "timestamp")
+        .agg(F.collect_list(F.struct("grid_id", "total_activity", "near")).alias("rows"))
+    )
+    values = F.map_from_entries(F.array_distinct(F.transform("rows", lambda r: F.struct(r["grid_id"], r["total_activity"]))))
+    seen = F.filter(F.transform("near", lambda n: F.try_element_at("values", n)), lambda x: x.isNotNull())
+    mean = F.aggregate("seen", F.lit(0.0), lambda total, x: total + x) / F.nullif(F.size("seen"), F.lit(0))
     return (
-        hourly.select("grid_id", "timestamp", "total_activity")
-        .join(around, ["grid_id", "timestamp"], "left")
-        .withColumn("neighbours_seen", F.coalesce("neighbours_seen", F.lit(0)))
+        met.withColumn("values", values)
+        .select("timestamp", "values", F.inline(F.filter("rows", lambda r: r["near"].isNotNull())))
+        .withColumn("seen", seen)
+        .select("grid_id", "timestamp", "total_activity", mean.alias("neighbour_mean"), F.size("seen").cast("bigint").alias("neighbours_seen"))
         .withColumn("ratio_to_neighbours", F.col("total_activity") / F.nullif(F.col("neighbour_mean"), F.lit(0.0)))
     )
+
+
+def near_type(neighbours: DataFrame) -> str:
+    return f"array<{dict(neighbours.dtypes)['neighbour_id']}>"

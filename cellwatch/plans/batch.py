@@ -220,12 +220,12 @@ def _store_scores(spark: SparkSession, out: Layout, fitted: TreeModel, dataset:
     out.write(model.serving_predictions(fitted, dataset), "predictions")
 
 
-def compare_signals(spark: SparkSession, out: Layout) -> None:
+def compare_signals(spark: SparkSession, out: Layout, model_path: str | None = None) -> None:
     """Stored comparison of rule, model and anomaly, its counts, and the cells that need attention most."""
-    anomalies = out.read(spark, "anomalies")
-    out.write(anomaly.three_way_comparison(anomalies, out.read(spark, "alerts"), out.read(spark, "predictions")), "signals")
+    fitted = TreeModel.load(spark, model_path or out.path("risk_model"))
+    out.write(anomaly.signals(out.read(spark, "hourly"), fitted.probability()), "signals")
     sinks.write_small_csv(anomaly.signal_overlap_metrics(out.read(spark, "signals")), out.path("signal_metrics_csv"))
-    out.write(ops.top_attention(out.read(spark, "risk_scores"), anomalies), "top_attention")
+    out.write(ops.top_attention(out.read(spark, "risk_scores"), out.read(spark, "anomalies")), "top_attention")
 
 
 def publish(spark: SparkSession, out: Layout, run_id: str, counts: dict[str, int], now: Column | None = None, done: tuple[str, ...] = ()) -> DataFrame:
@@ -290,7 +290,7 @@ def run(
         "star": lambda: load_star(spark, out, cells(), reference_name),
         "signals": lambda: load_signals(spark, out),
         "score": score,
-        "compare": lambda: compare_signals(spark, out),
+        "compare": lambda: compare_signals(spark, out, saved_model),
         "quality_check": lambda: publish(spark, out, run_id, counts, now, ("star", "signals", "score", "compare")),
     }
     names, record = list(steps), None

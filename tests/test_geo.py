@@ -113,6 +113,38 @@ def test_neighbour_activity_keeps_cells_without_neighbours(spark):
     assert found == {(1, 0): (8.0, 2), (2, 0): (None, 0), (3, 0): (None, 0), (1, 1): (None, 0)}
 
 
+def test_neighbour_activity_is_the_same_for_any_tiles(spark):
+    import random
+
+    rng = random.Random(7)
+    cells = spark.createDataFrame([(i + 1, float(i % 9), float(i // 9)) for i in range(81)], "grid_id int, centroid_longitude double, centroid_latitude double")
+    # Cells 82 and 83 have no neighbours; some hours are missing; cell 81 has no hours.
+    values = {(g, h): float(rng.randint(0, 9)) for g in [*range(1, 81), 82, 83] for h in range(5) if rng.random() < 0.9}
+    rows = hourly(spark, [(g, h, t) for (g, h), t in values.items()])
+    near = geo.grid_neighbours(cells, 5)
+    around = {}
+    for r in near.collect():
+        around.setdefault(r.grid_id, []).append(r.neighbour_id)
+    want = {}
+    for (g, h), t in values.items():
+        seen = [values[n, h] for n in around.get(g, []) if (n, h) in values]
+        mean = sum(seen) / len(seen) if seen else None
+        want[g, h] = (t, mean, len(seen), t / mean if mean else None)
+    alone = cells.select("grid_id", F.col("grid_id").alias("tile"))
+    for tiles in (None, geo.spatial_tiles(cells, 7), alone, cells.select("grid_id", F.lit(1).alias("tile"))):
+        found = {(r.grid_id, r.timestamp.hour): (r.total_activity, r.neighbour_mean, r.neighbours_seen, r.ratio_to_neighbours) for r in geo.neighbour_activity(rows, near, tiles).collect()}
+        assert found == want
+
+
+def test_tiles_hold_close_cells_and_about_as_many_as_asked(spark):
+    cells = spark.createDataFrame([(i + 1, float(i % 16), float(i // 16)) for i in range(256)], "grid_id int, centroid_longitude double, centroid_latitude double")
+    tiles = geo.spatial_tiles(cells, 16)
+    sizes = [r["count"] for r in tiles.groupBy("tile").count().collect()]
+    assert sum(sizes) == 256 and 12 <= len(sizes) <= 16 and max(sizes) <= 32
+    spread = cells.join(tiles, "grid_id").groupBy("tile").agg((F.max("centroid_longitude") - F.min("centroid_longitude")).alias("w"))
+    assert spread.agg(F.avg("w")).first()[0] < 8
+
+
 def test_enrichment_and_coverage(spark, tmp_path):
     rows = hourly(spark, [(1, 0, 4), (2, 0, 6), (2, 1, 6)])
     cells = geo.area_centroids(reference.grid_reference(features(spark, tmp_path, [feature(1, [SQUARE]), feature(8, [SQUARE])])))

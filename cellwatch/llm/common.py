@@ -57,6 +57,25 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def may_be_among(value: Column, ids: DataFrame, longs: int = 1 << 18) -> Column:
+    """True for every value that `ids` (one column) holds, and for few others while these are not many more than the bits.
+
+    A bit set of fixed size, whatever the number of ids: a scalar of `longs`
+    64-bit words that is made once and sent to the tasks.
+    """
+
+    def places(v: Column) -> tuple[Column, Column]:
+        h = F.xxhash64(v, F.lit("member"))
+        return F.pmod(h, F.lit(longs)), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.shiftright(h, 40), F.lit(64)).cast("int"))
+
+    word, bit = places(ids[ids.columns[0]])
+    bits = ids.groupBy(word.alias("id")).agg(F.bit_or(bit).alias("bits"))
+    dense = ids.sparkSession.range(longs).join(bits, "id", "left").select(F.struct("id", F.coalesce("bits", F.lit(0)).alias("bits")).alias("w"))
+    table = dense.agg(F.transform(F.array_sort(F.collect_list("w")), lambda w: w["bits"])).scalar()
+    word, bit = places(value)
+    return F.get(table, word.cast("int")).bitwiseAND(bit) != 0
+
+
 def text_blocks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = BLOCK_BYTES, decode: bool = True) -> Iterator[tuple[pa.Table, list]]:
     """Rows in blocks of about `limit` bytes of text, and their texts decoded."""
     held: list[pa.RecordBatch] = []

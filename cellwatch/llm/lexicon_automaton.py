@@ -1,9 +1,10 @@
 """Levenshtein automata of all terms of a lexicon, intersected with its trie.
 
 States of the intersection are sets of (trie node, awaited letter, edits so far); they are made
-deterministic when a word first reaches them, so that a lexicon of any size
-costs what its words touch. After that a word costs one table look-up per
-character, for all terms together, column by column with numpy.
+deterministic when a word first reaches them, and only moves that a word makes
+are kept, so that a lexicon of any size and alphabet costs what its words touch.
+After that words go column by column: equal moves of all words are one look-up,
+for all terms together.
 """
 
 from __future__ import annotations
@@ -11,8 +12,10 @@ from __future__ import annotations
 import numpy as np
 
 
-# States kept; past them a task begins anew with the next block.
-MOST_STATES = 200_000
+# About so many bytes of states and moves are kept; past them a task begins anew with the next words.
+MOST_BYTES = 64 << 20
+# Words, and characters, that are matched at one time.
+_WORDS, _CHARS = 8192, 1 << 20
 
 
 def edits_allowed(term: str) -> int:
@@ -28,6 +31,7 @@ class LexiconAutomaton:
         self.swaps = swaps
         self.terms = sorted({t for t in terms if t})
         self.alphabet = {c: i + 1 for i, c in enumerate(sorted(set("".join(self.terms))))}
+        self.letters = np.array([ord(c) for c in self.alphabet], dtype=np.uint32)
         children: list[dict[int, int]] = [{}]
         ends: list[tuple[int, int] | None] = [None]  # term, tolerance
         for number, term in enumerate(self.terms):
@@ -53,7 +57,8 @@ class LexiconAutomaton:
     def _clear(self) -> None:
         self.numbers: dict[tuple, int] = {}
         self.states: list[tuple] = []
-        self.table = np.empty((0, len(self.alphabet) + 1), dtype=np.int32)
+        self.moves: dict[int, int] = {}
+        self.size = 0
         self.accept = np.empty((0, 2), dtype=np.int32)
         self.dead = self._number(())
         self.start = self._number(self._closed({(0, 0): 0}) if self.terms else ())
@@ -62,15 +67,23 @@ class LexiconAutomaton:
         number = self.numbers.setdefault(state, len(self.states))
         if number == len(self.states):
             self.states.append(state)
-            if number == len(self.table):
-                more = max(64, number)
-                self.table = np.concatenate((self.table, np.full((more, self.table.shape[1]), -1, dtype=np.int32)))
-                self.accept = np.concatenate((self.accept, np.full((more, 2), -1, dtype=np.int32)))
+            self.size += 200 + 150 * len(state)
+            if number == len(self.accept):
+                self.accept = np.concatenate((self.accept, np.full((max(64, number), 2), -1, dtype=np.int32)))
             fit = [(spent, self.ends[n][0]) for (n, wait), spent in state if not wait and self.ends[n] and spent <= self.ends[n][1]]
             if fit:
                 self.accept[number] = min(fit)[::-1]
         return number
 
+    def _move(self, move: int) -> int:
+        """Target of a move, a state number times the size of the alphabet plus a letter."""
+        target = self.moves.get(move)
+        if target is None:
+            at, letter = divmod(move, len(self.alphabet) + 1)
+            target = self.moves[move] = self._number(self._step(self.states[at], letter))
+            self.size += 120
+        return target
+
     def _closed(self, reached: dict[tuple[int, int], int]) -> tuple:
         """With letters of the term left out; one edit count, the least, per node and awaited letter."""
         todo = list(reached.items())
@@ -106,28 +119,32 @@ class LexiconAutomaton:
     def match(self, words: list[str]) -> np.ndarray:
         """Rows of (term number, edits), term -1 where none is near."""
         out = np.full((len(words), 2), -1, dtype=np.int32)
-        near = [i for i, w in enumerate(words) if 0 < len(w) <= self.longest]
-        if not near or not self.terms:
+        if not self.terms:
             return out
-        if len(self.states) > MOST_STATES:
-            self._clear()
-        chars = np.array([words[i] for i in near], dtype=f"U{self.longest}").view(np.uint32).reshape(len(near), -1)
-        codes = np.zeros(chars.shape, dtype=np.int32)
-        for c, number in self.alphabet.items():
-            codes[chars == ord(c)] = number
-        lengths = np.array([len(words[i]) for i in near])
-        state = np.full(len(near), self.start, dtype=np.int32)
-        live = np.arange(len(near))
-        for column in range(self.longest):
+        # Short words first, so that words matched together are of about one length.
+        near = sorted((i for i, w in enumerate(words) if 0 < len(w) <= self.longest), key=lambda i: len(words[i]))
+        at = 0
+        while at < len(near):
+            end = min(at + _WORDS, len(near))
+            while end > at + 1 and (end - at) * len(words[near[end - 1]]) > _CHARS:
+                end = at + (end - at) // 2
+            if self.size > MOST_BYTES:
+                self._clear()
+            out[near[at:end]] = self._match([words[i] for i in near[at:end]])
+            at = end
+        return out
+
+    def _match(self, words: list[str]) -> np.ndarray:
+        lengths = np.array([len(w) for w in words])
+        chars = np.array(words, dtype=f"U{lengths.max()}").view(np.uint32).reshape(len(words), -1)
+        places = np.searchsorted(self.letters, chars).clip(max=len(self.letters) - 1)
+        codes = np.where(self.letters[places] == chars, places + 1, 0).astype(np.int64)
+        state = np.full(len(words), self.start, dtype=np.int64)
+        live = np.arange(len(words))
+        for column in range(chars.shape[1]):
             live = live[(lengths[live] > column) & (state[live] != self.dead)]
             if not len(live):
                 break
-            now, letter = state[live], codes[live, column]
-            fresh = self.table[now, letter] < 0
-            if fresh.any():
-                for at, c in np.unique(np.stack((now[fresh], letter[fresh])), axis=1).T.tolist():
-                    target = self._number(self._step(self.states[at], c))
-                    self.table[at, c] = target
-            state[live] = self.table[now, letter]
-        out[near] = self.accept[state]
-        return out
+            moves, back = np.unique(state[live] * (len(self.alphabet) + 1) + codes[live, column], return_inverse=True)
+            state[live] = np.array([self._move(m) for m in moves.tolist()], dtype=np.int64)[back]
+        return self.accept[state]

@@ -117,11 +117,20 @@ def labelled_texts(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(text, toxic, rank) of all distinct texts of labelled documents that are not held out.
 
     A text with both labels is toxic; `rank` is the least hash of its ids.
+    Labels meet hashes of texts, and only then is one text of each hash moved,
+    once; a filter of fixed size leaves most other texts where they are read.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~is_held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    texts = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(known, "doc_id")
-    return materialize(texts.groupBy("text").agg(F.max("toxic").alias("toxic"), F.min(F.xxhash64("doc_id")).alias("rank")), "toxic-labelled")
+    mark = F.unhex(F.md5(F.col("text").cast("binary")))
+    texts = docs.select("doc_id", "text").where(F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~is_held_out(F.col("doc_id")))
+    marked = texts.select("doc_id", mark.alias("mark")).join(known, "doc_id")
+    chosen = marked.groupBy("mark").agg(F.max("toxic").alias("toxic"), F.min(F.xxhash64("doc_id")).alias("rank"), F.min("doc_id").alias("doc_id"))
+    chosen = materialize(chosen, "toxic-chosen")
+    near = texts.where(common.may_be_among(F.col("doc_id"), chosen.select("doc_id"))).withColumn("mark", mark)
+    # Equal rows of one document come together.
+    found = near.join(chosen, ["doc_id", "mark"]).groupBy("doc_id", "mark").agg(F.first("text").alias("text"), F.first("toxic").alias("toxic"), F.first("rank").alias("rank"))
+    return materialize(found.select("text", "toxic", "rank"), "toxic-labelled")
 
 
 def training_sample(labelled: DataFrame, rows: int = TRAINING_ROWS) -> DataFrame:
@@ -139,7 +148,7 @@ def learn_lexicon(labelled: DataFrame) -> tuple[list[str], DataFrame]:
     toxic = F.col("toxic") == 1
     counts = materialize(
         labelled.select("toxic", F.explode(F.array_distinct(_words(F.col("text")))).alias("word"))
-        .where(F.length("word").between(3, 40))
+        .where(F.length("word") > 1)
         .groupBy("word")
         .agg(F.count_if(toxic).alias("n_toxic"), F.count_if(~toxic).alias("n_clean")),
         "toxic-words",

@@ -3,6 +3,7 @@ import zlib
 from collections import Counter
 
 from llm_edges import EDGES
+from pyspark.sql import functions as F
 
 from cellwatch.llm import toxicity
 from cellwatch.llm.lexicon_automaton import LexiconAutomaton
@@ -110,3 +111,62 @@ def test_swapped_letters_are_one_edit_and_short_terms_have_one():
             assert (term >= 0) == (best <= limit) and (term < 0 or edits == best)
     found = toxicity.Scanner(["idiot", "scum", "stupid", "trash"], []).terms_of(["idoit", "scmu", "stupdi", "trahs", "skum", "such"])
     assert [t >= 0 for t in found[:, 0].tolist()] == [True] * 5 + [False]
+
+
+def test_long_short_and_foreign_terms(monkeypatch):
+    from cellwatch.llm import lexicon_automaton
+
+    random.seed(3)
+    letters = [chr(0x4E00 + i) for i in range(2000)]
+    terms = ["ab", "x" * 5000, *("".join(random.choice(letters) for _ in range(random.randint(2, 60))) for _ in range(300))]
+    words = terms + [t[:-1] + "q" for t in terms] + ["x" * 5001, "x" * 4000, "y" * 100_000, ""]
+    kept = LexiconAutomaton(terms)
+    found = kept.match(words)
+    # Few bytes are kept: states are made anew, with the same result.
+    monkeypatch.setattr(lexicon_automaton, "MOST_BYTES", 1000)
+    monkeypatch.setattr(lexicon_automaton, "_WORDS", 7)
+    scarce = LexiconAutomaton(terms)
+    assert scarce.match(words).tolist() == found.tolist() == scarce.match(words).tolist()
+    own = sorted(set(terms))
+    assert all(own[t] == w and e == 0 for w, (t, e) in zip(words, found[: len(terms)].tolist()))
+    assert found[words.index("x" * 5001)].tolist() == [own.index("x" * 5000), 1]
+    assert found[-1].tolist() == found[-2].tolist() == [-1, -1] and kept.size < 80 << 20
+
+
+def test_terms_of_two_letters_and_of_fifty_enter_the_lexicon(spark):
+    random.seed(4)
+    plain = ["".join(random.choice("aeiourstln") for _ in range(5)) for _ in range(300)]
+    docs, labels = [], []
+    for i in range(200):
+        words = [random.choice(plain) for _ in range(30)]
+        if i % 2:
+            words.insert(random.randrange(len(words)), "zq")
+            words.insert(random.randrange(len(words)), "k" * 50)
+        docs.append((i, " ".join(words)))
+        labels.append((i, i % 2))
+    model = toxicity.fit(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert {"zq", "k" * 50} <= set(model.terms)
+
+
+def test_labelled_texts_equal_a_plain_join(spark):
+    rows = [(1, "a b"), (2, "a b"), (2, "a b"), (3, "c"), (3, "d"), (4, None), (None, "a b"), (5, ""), (6, "e"), (7, "c"), (9, "zz")]
+    labels = [(1, 0), (2, 1), (3, 0), (4, 1), (5, 1), (6, None), (7, 0), (None, 1), (7, 1), (11, 1)]
+    held = {i for i in range(12) if zlib.crc32(str(i).encode()) % 5 == 0}
+    known = {}
+    for i, toxic in labels:
+        if i is not None and toxic is not None and i not in held:
+            known[i] = max(toxic, known.get(i, 0))
+    want = {}
+    for i, text in rows:
+        if i in known and text is not None:
+            want[text] = max(known[i], want.get(text, 0))
+    found = toxicity.labelled_texts(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")).collect()
+    assert sorted((r["text"], r["toxic"]) for r in found) == sorted(want.items())
+
+
+def test_member_filter_keeps_every_member(spark):
+    from cellwatch.llm import common
+
+    ids = spark.range(0, 3000, 3).withColumnRenamed("id", "doc_id")
+    kept = spark.range(30_000).where(common.may_be_among(F.col("id"), ids, 1 << 12)).collect()
+    assert {r["id"] for r in kept} >= set(range(0, 3000, 3)) and len(kept) < 2500

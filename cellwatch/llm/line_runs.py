@@ -103,8 +103,9 @@ def later_copies(lines: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         width *= 2
         if width <= min_words:
             level = _doubled(level, width // 2)
-    marks = copies.join(active.select("seq", "pos", "at"), "seq").where("pos between begin and begin + size - 1")
-    return marks.select("seq", "at")
+    # A run has few lines: its places meet the lines one by one, so that a text of many copies isn't multiplied.
+    marks = copies.select("seq", F.explode(F.sequence("begin", F.col("begin") + F.col("size") - 1)).alias("pos")).distinct()
+    return marks.join(active.select("seq", "pos", "at"), ["seq", "pos"]).select("seq", "at")
 
 
 def _doubled(level: DataFrame, width: int) -> DataFrame:
@@ -134,6 +135,17 @@ def _copies(level: DataFrame, width: int) -> DataFrame:
     return runs.join(first, key).where(place != F.col("earliest")).select("seq", F.col("pos").alias("begin"), "size")
 
 
+def _without(parts: Column, deleted: Column) -> Column:
+    """Lines joined less those at the places `deleted`; each line is met once, with a mark of its own."""
+
+    def marks(places: Column, stays: bool) -> Column:
+        return F.transform(places, lambda i: F.struct(i.alias("at"), F.lit(stays).alias("stays")))
+
+    all_marks = F.array_sort(F.concat(marks(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), deleted), True), marks(deleted, False)))
+    marked = F.zip_with(parts, all_marks, lambda line, mark: F.struct(line.alias("line"), mark["stays"].alias("stays")))
+    return F.array_join(F.transform(F.filter(marked, lambda x: x["stays"]), lambda x: x["line"]), "\n")
+
+
 def dedupe_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """All columns of `docs` with `text` less later copies, plus n_lines, n_deleted, deleted and kept.
 
@@ -150,8 +162,7 @@ def dedupe_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     gone = marks.groupBy(F.col("seq").alias(_SEQ)).agg(F.array_sort(F.collect_set("at")).alias("deleted"))
     parts = F.split(F.col("text"), "\n", -1)
     n_lines = F.size(F.filter(parts, lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
-    stay = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("deleted"))
-    text = F.when(F.size("deleted") > 0, F.array_join(F.transform(stay, lambda i: F.get(parts, i)), "\n")).otherwise(F.col("text"))
+    text = F.when(F.size("deleted") > 0, _without(parts, F.col("deleted"))).otherwise(F.col("text"))
     columns = [c for c in docs.columns if c not in new]
     return (
         source.join(gone, _SEQ, "left")

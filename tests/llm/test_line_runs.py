@@ -42,3 +42,21 @@ def test_edges(edges, nothing):
     assert all(k[1] for k in kept if k[0] not in (1, 2))
     assert next(r for r in rows if r["doc_id"] == 3)["text"] is None
     assert line_runs.dedupe_lines(nothing).count() == 0
+
+
+def test_long_texts_cost_their_lines(spark):
+    """One document that repeats its lines, at two sizes; four times the lines must not cost sixteen times as much."""
+    import time
+
+    took, line = [], "some words of line number {} that are more than ten in all here"
+    for n in (6_000, 24_000):
+        text = "\n".join(line.format(i % (n // 2)) for i in range(n))
+        docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+        for _ in range(2):
+            start = time.time()
+            row = line_runs.dedupe_lines(docs).collect()[0]
+            seconds = time.time() - start
+        took.append(seconds)
+        assert (row["n_lines"], row["n_deleted"]) == (n, n // 2)
+        assert row["text"] == "\n".join(line.format(i) for i in range(n // 2))
+    assert took[1] < 6 * took[0] + 2

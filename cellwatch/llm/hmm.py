@@ -2,10 +2,12 @@
 
 Baum-Welch counts are summed in each partition and then over partitions; the
 scaled forward recursion gives the exact likelihood of a text. States emit
-classes of words, a class being a bucket of a word's hash, so the model has a
-fixed size; within its class a word has its smoothed share of the class's
-count, which is joined from the counts of all words. The product is a proper
-distribution over all words, unseen ones included.
+classes: each of the most frequent words is a class of its own, the others share
+buckets of a hash, so the model has a fixed size. Within its bucket a word has
+its smoothed share of the bucket's count, which is joined from the counts of all
+words. The product is a proper distribution over all words, unseen ones
+included. Long texts are trained on in pieces that know what comes before and
+after them, so that counts are those of whole texts.
 """
 
 from __future__ import annotations
@@ -22,11 +24,16 @@ from pyspark.sql import functions as F
 from cellwatch.llm import common
 from cellwatch.runtime import materialize
 
-CLASSES = 1 << 14
+# Frequent words with a class of their own, and buckets of the others.
+FREQUENT, BUCKETS = 1 << 13, 1 << 14
+# Words whose counts go to all tasks; those of others are joined.
+KNOWN = 1 << 16
 STATES = 8
 ROUNDS = 6
-# Training cuts texts to pieces of so many tokens and works on so many tokens at a time.
-PIECE, BATCH = 512, 1 << 18
+# Training works on pieces of so many tokens, and on so many tokens at a time.
+PIECE, BATCH = 512, 1 << 17
+# Bytes of text in a block.
+BLOCK_BYTES = 4 << 20
 # Weight of the common distribution of classes in that of a state.
 PRIOR = 200.0
 SEED = 7
@@ -38,62 +45,115 @@ _LN10 = np.log(10.0)
 class Parameters:
     start: np.ndarray  # states
     moves: np.ndarray  # states x states
-    emits: np.ndarray  # classes + 1 x states; the last class is the end
+    emits: np.ndarray  # classes x states; the last class is the end
 
 
 def is_held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 1
 
 
-def token_blocks(docs: DataFrame, held_out: Column) -> DataFrame:
-    """Texts as numbers, a block a row: ids, sizes and tokens of its documents and its own dictionary.
+@dataclass
+class Vocabulary:
+    """Counts of the known words by falling count; the first `own` of them are classes."""
 
-    Blocks hold a bounded number of text bytes and are stored with a number.
-    """
+    counts: dict[str, int]
+    own: int
+    buckets: int
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, _ in common.text_blocks(batches, decode=False):
-            yield _block(rows.combine_chunks())
+    @property
+    def classes(self) -> int:
+        """Classes without the end, which is the last."""
+        return self.own + self.buckets
 
-    schema = "doc_ids array<bigint>, held array<boolean>, sizes binary, tokens binary, classes binary, words array<string>, n_train array<bigint>"
-    source = docs.select(F.col("doc_id").cast("long"), held_out.alias("held"), "text")
-    return materialize(source.mapInArrow(run, schema).withColumn("block", F.monotonically_increasing_id()), "token-blocks")
+    def class_of(self, word: str, place: int | None) -> int:
+        return place if place is not None and place < self.own else self.own + common.xxh(word) % self.buckets
 
 
-def _block(rows: pa.Table) -> pa.RecordBatch:
+def _coded(rows: pa.Table) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Distinct words of a block, its tokens (1 and on for words, 0 for the end of each text), and the tokens of each text."""
     texts = pc.fill_null(rows.column("text").combine_chunks(), "")
     parts = pc.ascii_split_whitespace(pc.ascii_lower(texts))
     coded = parts.flatten().dictionary_encode()
     words = ["" if w is None else w for w in coded.dictionary.to_pylist()]
-    codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    codes = coded.indices.to_numpy(zero_copy_only=False)
     ends = parts.offsets.to_numpy()[1:] - parts.offsets[0].as_py()
     # Splitting leaves empty parts at the ends of a text; they go, and one end is put after each text.
     empty = words.index("") if "" in words else -1
     solid = codes != empty
     before = np.concatenate(([0], np.cumsum(solid)))
     stops = before[ends]
-    number = np.arange(1, len(words) + 1)
+    number = np.arange(1, len(words) + 1, dtype=np.int32)
     if empty >= 0:
         number[empty + 1 :] -= 1
         words.pop(empty)
-    tokens = np.insert(number[codes[solid]], stops, 0).astype("<i4")
-    sizes = np.diff(np.concatenate(([0], stops))) + 1
-    held = rows.column("held").to_numpy(zero_copy_only=False).astype(bool)
-    train = np.repeat(~held, sizes)
-    n_train = np.bincount(tokens[train], minlength=len(words) + 1)
-    classes = np.array([CLASSES] + [common.xxh(w) % CLASSES for w in words], dtype="<i4")
+    tokens = np.insert(number[codes[solid]], stops, 0)
+    return words, tokens, np.diff(np.concatenate(([0], stops))) + 1
+
+
+def _blocks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    for rows, _ in common.text_blocks(batches, limit=BLOCK_BYTES, decode=False):
+        yield rows.combine_chunks()
+        # Else the pool keeps the largest block's memory for as long as the worker lives.
+        del rows
+        pa.default_memory_pool().release_unused()
+
+
+def word_counts(docs: DataFrame, held_out: Column) -> DataFrame:
+    """(word, c) of all words and the end in training texts, added up in blocks first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _blocks_of(batches):
+            words, tokens, _ = _coded(rows)
+            count = np.bincount(tokens, minlength=len(words) + 1)
+            yield pa.RecordBatch.from_arrays([pa.array([END, *words], pa.string()), pa.array(count)], ["word", "n"])
+
+    told = docs.where(~held_out).select("text").mapInArrow(run, "word string, n long")
+    return materialize(told.groupBy("word").agg(F.sum("n").alias("c")).where("c > 0"), "word-counts")
+
+
+def vocabulary(totals: DataFrame) -> Vocabulary:
+    """The most frequent words, ties by word; a bounded number."""
+    top = totals.where(F.col("word") != END).orderBy(F.desc("c"), "word").limit(KNOWN).collect()
+    return Vocabulary({r["word"]: r["c"] for r in top}, min(FREQUENT, len(top)), BUCKETS)
+
+
+def token_blocks(docs: DataFrame, held_out: Column, known: Vocabulary) -> DataFrame:
+    """Texts as numbers, a block a row: ids, sizes and tokens of its documents, and classes and counts of its own dictionary.
+
+    `rare` lists the words whose counts the vocabulary lacks, with their
+    numbers. Blocks hold a bounded number of text bytes and are stored with a
+    number.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(known)
+    schema = "doc_ids array<bigint>, held array<boolean>, sizes binary, tokens binary, classes binary, counts binary, rare array<struct<number:int,word:string>>"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        places = {word: i for i, word in enumerate(sent.value.counts)}
+        for rows in _blocks_of(batches):
+            yield _block(rows, sent.value, places)
+
+    source = docs.select(F.col("doc_id").cast("long"), held_out.alias("held"), "text")
+    return materialize(source.mapInArrow(run, schema).withColumn("block", F.monotonically_increasing_id()), "token-blocks")
+
+
+def _block(rows: pa.Table, known: Vocabulary, places: dict[str, int]) -> pa.RecordBatch:
+    words, tokens, sizes = _coded(rows)
+    at = [places.get(w) for w in words]
+    classes = np.array([known.classes] + [known.class_of(w, i) for w, i in zip(words, at)], dtype="<i4")
+    counts = np.array([0] + [known.counts.get(w, 0) for w in words], dtype="<i8")
+    rare = [(number, w) for number, (w, i) in enumerate(zip(words, at), 1) if i is None]
     one = lambda x, kind: pa.array([x], kind)
     return pa.RecordBatch.from_arrays(
         [
             one(rows.column("doc_id").to_pylist(), pa.list_(pa.int64())),
-            one(held.tolist(), pa.list_(pa.bool_())),
+            one(rows.column("held").to_pylist(), pa.list_(pa.bool_())),
             one(sizes.astype("<i4").tobytes(), pa.binary()),
-            one(pa.compress(tokens.tobytes(), codec="zstd", asbytes=True), pa.binary()),
+            one(pa.compress(tokens.astype("<i4").tobytes(), codec="zstd", asbytes=True), pa.binary()),
             one(classes.tobytes(), pa.binary()),
-            one([END, *words], pa.list_(pa.string())),
-            one(n_train.tolist(), pa.list_(pa.int64())),
+            one(counts.tobytes(), pa.binary()),
+            one([{"number": n, "word": w} for n, w in rare], pa.list_(pa.struct([("number", pa.int32()), ("word", pa.string())]))),
         ],
-        ["doc_ids", "held", "sizes", "tokens", "classes", "words", "n_train"],
+        ["doc_ids", "held", "sizes", "tokens", "classes", "counts", "rare"],
     )
 
 
@@ -101,15 +161,6 @@ def _tokens(packed: bytes, sizes: np.ndarray) -> np.ndarray:
     return np.frombuffer(pa.decompress(packed, 4 * int(sizes.sum()), codec="zstd", asbytes=True), "<i4")
 
 
-def word_counts(blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Words of each block by number, and (word, c, class) over all blocks, c counting training tokens."""
-    zipped = F.arrays_zip("words", "n_train")
-    used = blocks.select("block", F.posexplode(zipped).alias("number", "x")).select("block", "number", F.col("x.words").alias("word"), F.col("x.n_train").alias("n"))
-    kind = F.when(F.col("word") == END, F.lit(CLASSES)).otherwise(F.pmod(F.xxhash64("word"), F.lit(CLASSES)))
-    totals = used.groupBy("word").agg(F.sum("n").alias("c")).withColumn("class", kind.cast("int"))
-    return used, materialize(totals, "word-counts")
-
-
 def _steps(sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sequences side by side, longest first: order, running numbers at each step, symbols by step."""
     lengths = np.array([len(s) for s in sequences])
@@ -149,44 +200,97 @@ class Counts:
         self.emits = np.zeros_like(p.emits)
         self.likelihood = 0.0
 
-    def add(self, sequences: list[np.ndarray]) -> None:
-        p = self.p
-        _, starts, flat = _steps(sequences)
+    def add(self, sequences: list[np.ndarray], before: np.ndarray | None = None, after: np.ndarray | None = None) -> None:
+        """Counts of sequences, or of pieces of some.
+
+        `before` holds per piece the state probabilities at the token before
+        it, given all tokens up to there, and NaN where a sequence begins;
+        `after` the weights of the states at its last token by what follows.
+        """
+        p, n_states = self.p, len(self.p.start)
+        order, starts, flat = _steps(sequences)
+        before = np.full((len(order), n_states), np.nan) if before is None else before[order]
+        after = np.ones((len(order), n_states)) if after is None else after[order]
+        begins = np.isnan(before[:, 0])
+        first = np.where(begins[:, None], p.start[None, :], np.nan_to_num(before) @ p.moves)
         emitted = p.emits[flat]
         spans = list(zip(starts[:-1].tolist(), starts[1:].tolist()))
         alpha = np.empty_like(emitted)
         scale = np.empty(len(flat))
         for t, (a, b) in enumerate(spans):
-            now = (np.broadcast_to(p.start, (b - a, len(p.start))) if t == 0 else alpha[spans[t - 1][0] : spans[t - 1][0] + b - a] @ p.moves) * emitted[a:b]
+            now = (first if t == 0 else alpha[spans[t - 1][0] : spans[t - 1][0] + b - a] @ p.moves) * emitted[a:b]
             scale[a:b] = now.sum(axis=1)
             alpha[a:b] = now / scale[a:b, None]
         self.likelihood += float(np.log(scale).sum())
-        beta = np.ones((spans[-1][1] - spans[-1][0], len(p.start)))
+        beta = None
         gamma = alpha  # turned into state probabilities from the end
         for t in range(len(spans) - 1, -1, -1):
             a, b = spans[t]
-            if t + 1 < len(spans):
+            # What ends here starts from what follows it, scaled to probabilities.
+            going = 0 if beta is None else spans[t + 1][1] - spans[t + 1][0]
+            ending = after[going : b - a]
+            ending = ending / (alpha[a + going : b] * ending).sum(axis=1, keepdims=True)
+            if going:
                 c, d = spans[t + 1]
                 onward = emitted[c:d] * beta / scale[c:d, None]
-                self.moves += p.moves * (alpha[a : a + d - c].T @ onward)
-                beta = np.ones((b - a, len(p.start)))
-                beta[: d - c] = onward @ p.moves.T
+                self.moves += p.moves * (alpha[a : a + going].T @ onward)
+                beta = np.concatenate((onward @ p.moves.T, ending))
+            else:
+                beta = ending
             if t == 0:
-                self.start += (alpha[a:b] * beta).sum(axis=0)
+                self.start += (alpha[a:b] * beta)[begins].sum(axis=0)
+                onward = (emitted[a:b] * beta / scale[a:b, None])[~begins]
+                self.moves += p.moves * (before[~begins].T @ onward)
             gamma[a:b] = alpha[a:b] * beta
-        for s in range(gamma.shape[1]):
+        for s in range(n_states):
             self.emits[:, s] += np.bincount(flat, weights=gamma[:, s], minlength=len(self.emits))
 
 
-def _pieces(row: dict, keep: np.ndarray) -> Iterator[np.ndarray]:
-    """Class sequences of the kept documents of a block, cut to pieces."""
+def _operators(pieces: list[np.ndarray], p: Parameters) -> np.ndarray:
+    """Per piece the matrix, up to a factor, that takes state weights at the token before it to those at its last."""
+    order, starts, flat = _steps(pieces)
+    out = np.tile(np.eye(len(p.start)), (len(pieces), 1, 1))
+    for a, b in zip(starts[:-1].tolist(), starts[1:].tolist()):
+        now = out[: b - a] @ p.moves * p.emits[flat[a:b]][:, None, :]
+        out[: b - a] = now / now.max(axis=(1, 2), keepdims=True)
+    back = np.empty_like(out)
+    back[order] = out
+    return back
+
+
+def in_pieces(sequence: np.ndarray, p: Parameters, size: int = PIECE) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """A sequence in pieces, with what `Counts.add` asks about before and after each.
+
+    Pieces become matrices side by side; only these are chained.
+    """
+    n_states = len(p.start)
+    pieces = [sequence[at : at + size] for at in range(0, len(sequence), size)]
+    before, after = np.full((len(pieces), n_states), np.nan), np.ones((len(pieces), n_states))
+    if len(pieces) == 1:
+        return pieces, before, after
+    state = p.start * p.emits[sequence[0]]
+    # The first piece is chained without its first token, which the start stands for.
+    inner = _operators(([pieces[0][1:]] if size > 1 else []) + pieces[1:], p)
+    if size > 1:
+        state = state @ inner[0]
+        inner = inner[1:]
+    for k in range(1, len(pieces)):
+        before[k] = state / state.sum()
+        state = before[k] @ inner[k - 1]
+    for k in range(len(pieces) - 2, -1, -1):
+        weight = inner[k] @ after[k + 1]
+        after[k] = weight / weight.sum()
+    return pieces, before, after
+
+
+def _sequences(row: dict, keep: np.ndarray) -> Iterator[np.ndarray]:
+    """Class sequences of the kept documents of a block."""
     sizes = np.frombuffer(row["sizes"], "<i4")
     classes = np.frombuffer(row["classes"], "<i4")[_tokens(row["tokens"], sizes)]
     stops = np.cumsum(sizes).tolist()
     for doc, (a, b) in enumerate(zip([0, *stops], stops)):
         if keep[doc]:
-            for at in range(a, b, PIECE):
-                yield classes[at : min(b, at + PIECE)]
+            yield classes[a:b]
 
 
 def expected_counts(blocks: DataFrame, p: Parameters) -> tuple[Counts, int]:
@@ -198,16 +302,23 @@ def expected_counts(blocks: DataFrame, p: Parameters) -> tuple[Counts, int]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = Counts(sent.value)
         held, size = [], 0
+
+        def add() -> None:
+            counts.add([h[0] for h in held], np.array([h[1] for h in held]), np.array([h[2] for h in held]))
+            held.clear()
+
         for batch in batches:
-            for row in batch.to_pylist():
-                for piece in _pieces(row, ~np.array(row["held"], dtype=bool)):
-                    held.append(piece)
-                    size += len(piece)
-                    if size >= BATCH:
-                        counts.add(held)
-                        held, size = [], 0
+            for i in range(batch.num_rows):
+                row = {name: batch.column(k)[i].as_py() for k, name in enumerate(batch.schema.names)}
+                for sequence in _sequences(row, ~np.array(row["held"], dtype=bool)):
+                    for part in zip(*in_pieces(sequence, sent.value)):
+                        held.append(part)
+                        size += len(part[0])
+                        if size >= BATCH:
+                            add()
+                            size = 0
         if held:
-            counts.add(held)
+            add()
         likelihood = np.zeros((1, states))
         likelihood[0, 0] = counts.likelihood
         table = np.concatenate((counts.emits, counts.moves, counts.start[None, :], likelihood))
@@ -217,11 +328,12 @@ def expected_counts(blocks: DataFrame, p: Parameters) -> tuple[Counts, int]:
     schema = "row long, " + ", ".join(f"{n} double" for n in names)
     # One row per class and partition, summed before and after the shuffle; the sum has the model's fixed size.
     summed = blocks.select("held", "sizes", "tokens", "classes").mapInArrow(run, schema).groupBy("row").agg(*[F.sum(n).alias(n) for n in names])
-    table = np.zeros((CLASSES + 1 + states + 2, states))
+    classes = len(p.emits)
+    table = np.zeros((classes + states + 2, states))
     for row in summed.collect():
         table[row["row"]] = row[1:]
     total = Counts(p)
-    total.emits, total.moves = table[: CLASSES + 1], table[CLASSES + 1 : CLASSES + 1 + states]
+    total.emits, total.moves = table[:classes], table[classes : classes + states]
     total.start, total.likelihood = table[-2], float(table[-1, 0])
     return total, int(round(total.emits.sum()))
 
@@ -249,34 +361,50 @@ def score(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS) -> DataFr
     words are unseen. Scores are log10 probabilities.
     """
     common.ship(docs.sparkSession)
-    blocks = token_blocks(docs, is_held_out(F.col("doc_id")))
-    used, totals = word_counts(blocks)
-    class_n, class_v = np.zeros(CLASSES + 1), np.zeros(CLASSES + 1)
-    known = totals.where("c > 0").groupBy("class").agg(F.sum("c").alias("n"), F.count("*").alias("v"))
-    for row in known.collect():  # one row per class
-        class_n[row["class"]], class_v[row["class"]] = row["n"], row["v"]
-    n, v = int(class_n.sum()), int(class_v.sum())
+    out = is_held_out(F.col("doc_id"))
+    totals = word_counts(docs, out)
+    known = vocabulary(totals)
+    class_n, class_v = np.zeros(known.classes + 1), np.zeros(known.classes + 1)
+    for place, c in enumerate(known.counts.values()):
+        if place < known.own:
+            class_n[place], class_v[place] = c, 1
+    bucket = F.when(F.col("word") == END, F.lit(BUCKETS)).otherwise(F.pmod(F.xxhash64("word"), F.lit(BUCKETS)))
+    for row in totals.groupBy(bucket.alias("bucket")).agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect():  # one row per bucket
+        class_n[known.own + row["bucket"]], class_v[known.own + row["bucket"]] = row["n"], row["v"]
+    # The buckets count all words; those with a class of their own are taken out.
+    for place, (word, c) in enumerate(known.counts.items()):
+        if place < known.own:
+            at = known.own + common.xxh(word) % BUCKETS
+            class_n[at] -= c
+            class_v[at] -= 1
+    n, v, n_ends = int(class_n.sum()), int(class_v.sum()), int(class_n[-1])
     shares = (class_n + 0.5) / (n + 0.5 * len(class_n))
-    sent = docs.sparkSession.sparkContext.broadcast((train(blocks, shares, states, rounds), class_n + 0.5 * (class_v + 1), n, v))
-    # The counts of a block's own words go back to it; a block holds a bounded number of them.
-    own = used.join(totals.select("word", "c"), "word").groupBy("block").agg(F.collect_list(F.struct("number", "c")).alias("counts"))
-    both = blocks.select("block", "doc_ids", "held", "sizes", "tokens", "classes").join(own, "block").drop("block")
+    blocks = token_blocks(docs, out, known)
+    sent = docs.sparkSession.sparkContext.broadcast((train(blocks, shares, states, rounds), class_n + 0.5 * (class_v + 1), known.own, n, v))
+    # The counts of a block's rare words go back to it; a block holds a bounded number of them.
+    rare = blocks.select("block", F.inline("rare"))
+    own = rare.join(totals, "word").groupBy("block").agg(F.collect_list(F.struct("number", "c")).alias("joined"))
+    both = blocks.select("block", "doc_ids", "held", "sizes", "tokens", "classes", "counts").join(own, "block", "left").drop("block")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p, of_class, n, v = sent.value
+        p, of_class, n_own, n, v = sent.value
         for batch in batches:
             for i in range(batch.num_rows):
                 row = {name: batch.column(k)[i] for k, name in enumerate(batch.schema.names)}
                 sizes = np.frombuffer(row["sizes"].as_py(), "<i4")
                 tokens = _tokens(row["tokens"].as_py(), sizes)
                 classes = np.frombuffer(row["classes"].as_py(), "<i4")
-                pairs = row["counts"].values
-                count = np.zeros(len(classes), dtype=np.int64)
-                count[pairs.field("number").to_numpy()] = pairs.field("c").to_numpy()
+                count = np.frombuffer(row["counts"].as_py(), "<i8").copy()
+                if row["joined"].is_valid:
+                    pairs = row["joined"].values
+                    count[pairs.field("number").to_numpy()] = pairs.field("c").to_numpy()
+                count[0] = n_ends
                 firsts = np.cumsum(sizes) - sizes
                 per_doc = lambda x: np.add.reduceat(x[tokens], firsts)  # noqa: B023, E731
                 base = per_doc(np.log10((count + 0.5) / (n + 0.5 * (v + 1))))
-                within = per_doc(np.log10((count + 0.5) / of_class[classes]))
+                # A word with a class of its own is all of it, and so is the end.
+                alone = (classes < n_own) | (classes == len(of_class) - 1)
+                within = per_doc(np.where(alone, 0.0, np.log10((count + 0.5) / of_class[classes])))
                 sequences = np.split(classes[tokens], firsts[1:])
                 yield pa.RecordBatch.from_arrays(
                     [

@@ -73,3 +73,53 @@ def test_probabilities_of_all_words_sum_to_one():
         whole = sum(own) + 0.5 * (len(own) + 1)
         shares += (sum(c + 0.5 for c in own) + 0.5) / whole
     assert math.isclose(shares, 2.0)
+
+
+def test_pieces_count_as_whole_sequences():
+    p = some_parameters()
+    random = np.random.default_rng(5)
+    sequences = [random.integers(0, 6, size=n) for n in (1, 7, 23, 8, 40, 2)]
+    whole = hmm.Counts(p)
+    whole.add(sequences)
+    for size in (1, 2, 5, 8, 100):
+        cut = hmm.Counts(p)
+        parts = [part for s in sequences for part in zip(*hmm.in_pieces(s, p, size))]
+        # Pieces of all sequences in two lots, in any order.
+        random.shuffle(parts)
+        for lot in (parts[::2], parts[1::2]):
+            if lot:
+                cut.add([x[0] for x in lot], np.array([x[1] for x in lot]), np.array([x[2] for x in lot]))
+        for name in ("start", "moves", "emits", "likelihood"):
+            assert np.allclose(getattr(cut, name), getattr(whole, name)), (size, name)
+
+
+def test_frequent_words_have_their_own_emission(spark, monkeypatch):
+    monkeypatch.setattr(hmm, "FREQUENT", 6)
+    monkeypatch.setattr(hmm, "BUCKETS", 2)
+    monkeypatch.setattr(hmm, "KNOWN", 9)
+    # Two kinds of texts with words of their own; all buckets are shared.
+    random = np.random.default_rng(2)
+    docs = [(i, " ".join(f"{'ab'[i % 2]}{k}" for k in random.integers(0, 3, 30))) for i in range(200)] + [(1000 + i, f"rare{i}") for i in range(40)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    totals = hmm.word_counts(df, hmm.is_held_out(df.doc_id))
+    known = hmm.vocabulary(totals)
+    assert sorted(list(known.counts)[: known.own]) == ["a0", "a1", "a2", "b0", "b1", "b2"]
+    assert len(known.counts) == 9 and known.classes == 8
+    blocks = hmm.token_blocks(df, hmm.is_held_out(df.doc_id), known)
+    p = hmm.train(blocks, np.full(9, 1 / 9), states=2, rounds=12)
+    by_state = [{w: p.emits[i, s] for i, w in enumerate(list(known.counts)[:6])} for s in range(2)]
+    kinds = {max("ab", key=lambda k: sum(v for w, v in e.items() if w[0] == k)) for e in by_state}
+    assert kinds == {"a", "b"}
+    rows = hmm.score(df, states=2, rounds=8).where("held_out").collect()
+    assert all(r["score"] > r["base_score"] for r in rows if r["doc_id"] < 1000)
+
+
+def test_scores_are_a_distribution_over_texts(spark, monkeypatch):
+    """Scores of all texts of up to one word, seen, rare or unseen, add up to no more than one."""
+    monkeypatch.setattr(hmm, "FREQUENT", 2)
+    monkeypatch.setattr(hmm, "BUCKETS", 1)
+    monkeypatch.setattr(hmm, "KNOWN", 3)
+    texts = ["a a b", "a b c", "d", "e e"] * 3
+    docs = [(i, t) for i, t in enumerate(texts)] + [(100 + i, t) for i, t in enumerate(["", *"abcde", "unseen"])]
+    rows = hmm.score(spark.createDataFrame(docs, "doc_id long, text string"), states=2, rounds=3).where("doc_id >= 100").collect()
+    assert 0.1 < sum(10 ** r["score"] for r in rows) <= 1

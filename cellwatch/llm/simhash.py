@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cellwatch.llm import common
@@ -194,7 +194,9 @@ SIMILARITY = 0.8
 COUNT_BITS = 19
 # Prefix entries of one shingle that meet in one key of a join.
 BLOCK = 256
-_ENTRY = "token long, at int, size int, node long"
+# Entries of one shingle that one task may stream; by the counts, more frequent shingles are dealt to several.
+SALT_ROWS = 1 << 16
+_ENTRY = "token long, at int, size int, node long, salt int"
 
 
 def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
@@ -247,7 +249,10 @@ def prefix_length(size: int, similarity: float) -> int:
 
 
 def prefixes(texts: DataFrame, counts: np.ndarray, shingle: int, similarity: float) -> DataFrame:
-    """(token, at, size, node): the first shingles of each text by (count, hash), their places and the size of the set."""
+    """(token, at, size, node, salt): the first shingles of each text by (count, hash), their places and the size of the set.
+
+    `salt` parts the entries of a shingle that may have very many.
+    """
     sent = texts.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -256,37 +261,104 @@ def prefixes(texts: DataFrame, counts: np.ndarray, shingle: int, similarity: flo
             for node, t in zip(batch.column(0).to_pylist(), batch.column(1)):
                 tokens = shingle_hashes(t.as_py(), shingle)
                 if n := len(tokens):
-                    order = np.lexsort((tokens, sent.value[(tokens >> np.uint64(64 - COUNT_BITS)).astype(np.int64)]))
-                    first = tokens[order[: prefix_length(n, similarity)]]
-                    parts.append((first.view(np.int64), np.arange(len(first), dtype=np.int32), np.full(len(first), n, np.int32), np.full(len(first), node)))
+                    held = sent.value[(tokens >> np.uint64(64 - COUNT_BITS)).astype(np.int64)]
+                    order = np.lexsort((tokens, held))[: prefix_length(n, similarity)]
+                    salt = node % (1 + held[order] // SALT_ROWS)
+                    parts.append((tokens[order].view(np.int64), np.arange(len(order), dtype=np.int32), np.full(len(order), n, np.int32), np.full(len(order), node), salt.astype(np.int32)))
             if parts:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts)], ["token", "at", "size", "node"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts)], ["token", "at", "size", "node", "salt"])
 
     return texts.select("node", "text").mapInArrow(run, _ENTRY)
 
 
+def token_stars(entries: DataFrame, similarity: float) -> DataFrame:
+    """Entries of shingles that several texts have, each with a representative: (token, node, at, size, rep, rep_at, rep_size).
+
+    A task streams the entries of its shingles in the order of set sizes. The
+    first is the representative, and so is each that is too large to be similar
+    to the last one; nothing is held but the last row.
+    """
+    ordered = entries.repartition("token", "salt").sortWithinPartitions("token", "salt", "size", "node")
+    names = ["token", "node", "at", "size", "rep", "rep_at", "rep_size"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None  # the last row: key, node, at, size, representative, and whether its group has others
+        for batch in batches:
+            token, at, size, node, salt = (batch.column(i).to_numpy() for i in range(5))
+            if not len(token):
+                continue
+            if rest is not None:
+                token, at, size, node, salt = (np.concatenate(([x], y)) for x, y in zip(rest[:5], (token, at, size, node, salt)))
+            same = (token[1:] == token[:-1]) & (salt[1:] == salt[:-1])
+            fresh = np.concatenate(([True], ~same))
+            starts = np.flatnonzero(fresh)
+            group = np.cumsum(fresh) - 1
+            # The first row may go on a group of the batch before, with a representative of its own.
+            carried = rest[5] if rest is not None else None
+            head = np.arange(len(token))
+            head = np.maximum.accumulate(np.where(fresh, head, 0))
+            base = np.where(group == 0, carried[2], size[head]) if carried else size[head]
+            far = size * similarity > base + 1e-6
+            if far.any():
+                for g in np.unique(group[far]).tolist():
+                    a = starts[g]
+                    b = starts[g + 1] if g + 1 < len(starts) else len(token)
+                    least = carried[2] if g == 0 and carried else size[a]
+                    for i in range(a, b):
+                        if size[i] * similarity > least + 1e-6:
+                            head[i:b] = i
+                            least = size[i]
+            rep, rep_at, rep_size = node[head], at[head], size[head]
+            if carried:
+                first = head == 0
+                rep, rep_at, rep_size = (np.where(first & (group == 0), c, x) for c, x in zip(carried, (rep, rep_at, rep_size)))
+            several = np.concatenate(([False], same)) | np.concatenate((same, [False]))
+            if rest is not None and rest[6]:
+                several[0] = True
+            columns = [token, node, at, size, rep, rep_at, rep_size]
+            keep = several.copy()
+            keep[-1] = False
+            if keep.any():
+                yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in columns], names)
+            rest = (token[-1], at[-1], size[-1], node[-1], salt[-1], (rep[-1], rep_at[-1], rep_size[-1]), bool(several[-1]))
+        if rest is not None and rest[6]:
+            row = [rest[0], rest[3], rest[1], rest[2], *rest[5]]
+            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in row], names)
+
+    kinds = "token long, node long, at int, size int, rep long, rep_at int, rep_size int"
+    return ordered.select("token", "at", "size", "node", "salt").mapInArrow(run, kinds)
+
+
+def _fit(p: dict, q: dict, similarity: float) -> Column:
+    """Sets may be similar by their sizes and the places of a common shingle."""
+    small, large = F.least(p["size"], q["size"]), F.greatest(p["size"], q["size"])
+    rest = F.least(p["size"] - p["at"], q["size"] - q["at"])
+    return (small >= similarity * large - 1e-6) & (rest * (1 + similarity) >= similarity * (small + large) - 1e-6)
+
+
 def candidate_pairs(entries: DataFrame, similarity: float, block: int = BLOCK) -> DataFrame:
     """(a, b) of nodes that share a token and may still be similar by their sizes and the places of the token.
 
     The token at places i and j is at most one of 1 + min(rest of a, rest of b)
     common ones if it is their first; similar sets pass at their first. A token
-    is dealt to blocks, whose pairs are keys of their own.
+    is dealt to blocks, whose pairs are keys of their own. With a column `root`
+    only nodes of different roots meet.
     """
-    shared = entries.groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
+    rooted = "root" in entries.columns
+    entries = entries if rooted else entries.withColumn("root", F.col("node"))
+    shared = entries.groupBy("token").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").drop("low", "high")
     blocks = F.ceil(F.col("n") / block)
     dealt = (
         entries.join(shared, "token")
         .withColumn("own", F.pmod(F.xxhash64("node"), blocks))
-        .select("token", F.struct("node", "at", "size").alias("w"), "own", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("other"))
+        .select("token", F.struct("node", "root", "at", "size").alias("w"), "own", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("other"))
         .withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
     )
     key = ["token", "i", "j"]
     met = dealt.where("own = i").select(*key, F.col("w").alias("p")).join(dealt.where("own = j").select(*key, F.col("w").alias("q")), key)
-    small, large = F.least("p.size", "q.size"), F.greatest("p.size", "q.size")
-    rest = F.least(F.col("p.size") - F.col("p.at"), F.col("q.size") - F.col("q.at"))
-    fit = (small >= similarity * large - 1e-6) & (rest * (1 + similarity) >= similarity * (small + large) - 1e-6)
-    once = (F.col("p.node") != F.col("q.node")) & ((F.col("i") < F.col("j")) | (F.col("p.node") < F.col("q.node")))
-    return met.where(once & fit).select(F.least("p.node", "q.node").alias("a"), F.greatest("p.node", "q.node").alias("b")).distinct()
+    p, q = ({c: F.col(f"{side}.{c}") for c in ("at", "size")} for side in "pq")
+    once = (F.col("p.root") != F.col("q.root")) & ((F.col("i") < F.col("j")) | (F.col("p.node") < F.col("q.node")))
+    return met.where(once & _fit(p, q, similarity)).select(F.least("p.node", "q.node").alias("a"), F.greatest("p.node", "q.node").alias("b")).distinct()
 
 
 def _similar(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
@@ -325,9 +397,16 @@ def _placed(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
     named = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).withColumn("mark", F.xxhash64("text"))
     found = named.join(nodes.select("first.*", "node"), ["doc_id", "mark"]).groupBy("node").agg(F.first("text").alias("text"))
     texts = materialize(found, "shingle-texts")
-    entries = materialize(prefixes(texts, shingle_counts(texts, shingle), shingle, similarity), "prefixes")
-    pairs = materialize(candidate_pairs(entries, similarity), "candidates")
-    roots = connected_components(_similar(pairs, texts, shingle, similarity))
+    entries = prefixes(texts, shingle_counts(texts, shingle), shingle, similarity)
+    stars = materialize(token_stars(entries, similarity), "token-stars")
+    # First each text meets the representatives of its shingles; then only texts of different components meet.
+    p, q = {"at": F.col("at"), "size": F.col("size")}, {"at": F.col("rep_at"), "size": F.col("rep_size")}
+    spokes = stars.where((F.col("node") != F.col("rep")) & _fit(p, q, similarity)).select(F.least("node", "rep").alias("a"), F.greatest("node", "rep").alias("b")).distinct()
+    links = materialize(_similar(spokes, texts, shingle, similarity), "star-links")
+    known = connected_components(links)
+    rooted = stars.select("token", "node", "at", "size").join(known, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    pairs = candidate_pairs(materialize(rooted, "rooted"), similarity)
+    roots = connected_components(links.unionByName(materialize(_similar(pairs, texts, shingle, similarity), "other-links")))
     placed = nodes.join(roots, "node", "left").select("digest", F.coalesce("root", "node").alias("root"))
     return rows.join(placed, "digest").select("doc_id", "mark", "root")
 

@@ -106,3 +106,46 @@ def test_repeated_doc_ids_with_different_texts_both_stay(spark):
     one, other = (" ".join(f"{c}{i}" for i in range(30)) for c in "ab")
     docs = spark.createDataFrame([(1, one), (1, other), (1, other), (2, other), (3, one + " more")], "doc_id long, text string")
     assert sorted((r["doc_id"], r["text"]) for r in simhash.keep_one(docs).collect()) == [(1, one), (1, other)]
+
+
+def test_stars_hold_all_entries_of_common_tokens(spark):
+    rng = random.Random(6)
+    rows = sorted({(rng.choice([1, 1, 1, 2, 3, 4, 5, 6, rng.randrange(100)]), rng.randrange(40)) for _ in range(200)})
+    sizes = [rng.randint(5, 60) for _ in range(40)]
+    entries = spark.createDataFrame([(t, n % 3, sizes[n], n, n % 2 if t == 1 else 0) for t, n in rows], simhash._ENTRY)
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for batch in ("2", "7", "1000"):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+            found = simhash.token_stars(entries, 0.8).collect()
+            groups = {}
+            for t, n in rows:
+                groups.setdefault((t, n % 2 if t == 1 else 0), []).append(n)
+            want = []
+            for (t, _), nodes in groups.items():
+                rep = None
+                for n in sorted(nodes, key=lambda n: (sizes[n], n)):
+                    if rep is None or sizes[n] * 0.8 > sizes[rep] + 1e-6:
+                        rep = n
+                    if len(nodes) > 1:
+                        want.append((t, n, n % 3, sizes[n], rep, rep % 3, sizes[rep]))
+            assert sorted(map(tuple, found)) == sorted(want)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+
+
+def test_large_group_of_near_copies_and_boilerplate(spark):
+    """One group of many near copies, and texts that share a passage but nothing else."""
+    rng = random.Random(9)
+    base = [f"b{i}" for i in range(60)]
+    docs = []
+    for _ in range(300):
+        copy = list(base)
+        copy[rng.randrange(60)] = f"c{rng.random()}"
+        docs.append(copy)
+    docs += [[f"u{rng.random()}" for _ in range(40)] + base[:12] for _ in range(100)]
+    rng.shuffle(docs)
+    frame = spark.createDataFrame([(i, " ".join(d)) for i, d in enumerate(docs)], "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(frame).collect()}
+    sets = {i: {tuple(d[k : k + 5]) for k in range(len(d) - 4)} for i, d in enumerate(docs)}
+    assert got == roots(list(sets), lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))

@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from catalog import views as v
 from catalog.core import query, rounded
+from cellwatch import runtime
 from cellwatch.operators import alerts, rollup, star
 from cellwatch.schemas import MEASURES
+from cellwatch.sources import sinks
 
 H = v.hourly_sql()
 HD = v.hourly_sql(v.DENSE)
@@ -222,3 +224,39 @@ def _(spark, sf):
         F.avg(F.col("l_quantity").cast("decimal(18,2)")).cast("double").alias("avg_quantity"),
         F.count("*").alias("records"),
     )
+
+
+_KPI = "records, active_grids_fit, country_codes_fit, timestamps_fit"
+
+
+def _fits(found, exact):
+    """Sketched counts lie within their error of the exact ones, which come from their own aggregates."""
+    bound = rollup.sketch_error()
+    near = lambda c: (F.abs(F.col(c) - F.col(f"{c}_exact")) <= F.greatest(F.lit(0.5), bound * F.col(f"{c}_exact"))).alias(f"{c}_fit")
+    exact = exact.withColumnsRenamed({c: f"{c}_exact" for c in ("active_grids", "country_codes", "timestamps")})
+    return found.join(exact, "week").select("week", "records", "total_activity", *map(near, ("active_grids", "country_codes", "timestamps")))
+
+
+@query(
+    "sketched_kpi",
+    rounded(
+        f"""SELECT CAST(dayofyear(timestamp) // 7 AS INTEGER) AS week, count(*) AS records, sum({v.TOTAL_SQL}) AS total_activity,
+              TRUE AS active_grids_fit, TRUE AS country_codes_fit, TRUE AS timestamps_fit FROM ({v.telemetry_sql()}) GROUP BY 1""",
+        "total_activity",
+        "week, " + _KPI,
+    ),
+)
+def _(spark, sf):
+    """Weeks from stored daily states of two loads, and whether the estimates keep to their error."""
+    rows = v._spread(v._events(spark, sf, None))
+    path = runtime.scratch_path(spark, "sketches")
+    for load in (0, 1):
+        state = rollup.daily_sketches(rows.where(F.col("event_id") % 2 == load)).withColumn("load", F.lit(load))
+        sinks.write_parts(state, path, ["date", "load"])
+    week = F.floor(F.dayofyear("date") / 7).cast("int").alias("week")
+    found = rollup.sketched_kpi(spark.read.parquet(path).withColumn("week", week), ["week"])
+    stamps = rows.withColumn("week", F.floor(F.dayofyear("timestamp") / 7).cast("int"))
+    exact = stamps.groupBy("week").agg(
+        F.count_distinct("grid_id").alias("active_grids"), F.count_distinct("country_code").alias("country_codes"), F.count_distinct("timestamp").alias("timestamps")
+    )
+    return _fits(found, exact)

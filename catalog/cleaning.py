@@ -205,13 +205,13 @@ def _(spark, sf):
 
 @query(
     "grid_set_difference",
-    f"""WITH s AS (SELECT DISTINCT user_id + 1 AS grid_id FROM events WHERE event_type = 'error'),
+    f"""WITH s AS (SELECT DISTINCT user_id + 1 AS grid_id FROM events),
           r AS (SELECT DISTINCT grid_id FROM ({v.telemetry_sql(v.DENSE * 8)}))
         SELECT CAST(grid_id AS INTEGER) AS grid_id, 'source' AS found_in FROM (SELECT grid_id FROM s EXCEPT SELECT grid_id FROM r)
         UNION ALL SELECT CAST(grid_id AS INTEGER), 'reference' FROM (SELECT grid_id FROM r EXCEPT SELECT grid_id FROM s)""",
 )
 def _(spark, sf):
-    source = v._events(spark, sf, None).where(F.col("event_type") == "error")
+    source = v._events(spark, sf, None)
     return geo.grid_set_difference(source, v.grid_cells(spark, sf, v.DENSE * 8))
 
 

@@ -344,3 +344,76 @@ def _(spark, sf):
             }
         )
     )
+
+
+# Scores with faults by the hour's number and the cell: repeated rows, a value out of range, an unknown level, a second version, a missing value.
+_SCORED = f"SELECT grid_id, timestamp, {v.stand_in_sql()} AS score, hour(timestamp) AS h FROM ({H})"
+
+
+@query(
+    "dq_risk_scores_faults",
+    f"""WITH s AS ({_SCORED})
+        SELECT count(*) + count(*) FILTER (WHERE h = 1) AS row_count, count(*) FILTER (WHERE h = 1) AS duplicate_rows,
+          count(*) FILTER (WHERE h = 2) AS rows_with_nulls, count(*) FILTER (WHERE h = 3) AS score_out_of_range,
+          count(*) FILTER (WHERE h = 4) AS unknown_levels, FALSE AS single_version, FALSE AS complete FROM s""",
+)
+def _(spark, sf):
+    h = F.hour("timestamp")
+    good = v.scored_hours(v.hourly(spark, sf))
+    bad = good.withColumns(
+        {
+            "risk_score": F.when(h == 3, F.col("risk_score") + 1.5).when(h != 2, F.col("risk_score")),
+            "risk_level": F.when(h == 4, "SEVERE").otherwise(F.col("risk_level")),
+            "model_version": F.when(h == 5, "ML3-v2").otherwise(F.col("model_version")),
+        }
+    )
+    checks = quality.dq_risk_scores(bad.unionByName(bad.where(h == 1)), good.agg(F.count("*")).scalar())
+    return checks.select("row_count", "duplicate_rows", "rows_with_nulls", "score_out_of_range", "unknown_levels", "single_version", (F.col("row_count") == F.col("expected_rows")).alias("complete"))
+
+
+_KEYS = f"(SELECT count(*) FROM ({H}) WHERE"
+
+
+@query(
+    "dq_foreign_keys_faults",
+    f"""SELECT (SELECT count(*) FROM ({H})) AS fact_rows, {_KEYS} TRUE) AS source_rows, {_KEYS} hour(timestamp) = 7) AS orphan_time_keys,
+          {_KEYS} grid_id % 10 = 3) AS orphan_grid_keys, (SELECT count(DISTINCT timestamp) FROM ({H}) WHERE hour(timestamp) = 8) AS duplicate_timestamps,
+          (SELECT count(DISTINCT grid_id) FROM ({H}) WHERE grid_id % 10 = 4) AS duplicate_grids""",
+)
+def _(spark, sf):
+    """A fact whose dimensions lack the hours at seven and the cells that end in three, and repeat those at eight and in four."""
+    hours, times, grids = star_tables(spark, sf)
+    fact = star.fact_network_activity(hours, times, grids)
+    cell = F.col("grid_id").cast("int") % 10
+    times = times.where(F.hour("timestamp") != 7).unionByName(times.where(F.hour("timestamp") == 8))
+    grids = grids.where(cell != 3).unionByName(grids.where(cell == 4))
+    return quality.dq_foreign_keys(fact, times, grids, hours)
+
+
+@query(
+    "dq_publish_faults",
+    f"""WITH h AS ({H}), k AS (SELECT unnest(['whole', 'repeated facts', 'no features', 'no scores', 'no facts']) AS case_name)
+        SELECT case_name, CASE case_name WHEN 'no facts' THEN 0 WHEN 'repeated facts' THEN (SELECT count(*) + count(*) FILTER (WHERE hour(timestamp) = 1) FROM h) ELSE (SELECT count(*) FROM h) END AS rows_published,
+          CASE case_name WHEN 'repeated facts' THEN (SELECT count(*) FROM h WHERE hour(timestamp) = 1) ELSE 0 END AS duplicate_facts,
+          case_name = 'whole' AS publishable FROM k""",
+)
+def _(spark, sf):
+    """The publication gate over whole tables, and over tables with one fault each."""
+    hours, times, grids = star_tables(spark, sf)
+    fact = star.fact_network_activity(hours, times, grids)
+    fact = runtime.materialize(fact, "fact")
+    first = times.where(F.hour("timestamp") == 1).select("time_key")
+    twice = fact.unionByName(fact.join(first, "time_key", "left_semi").select(fact.columns))
+    rows, none = hours.select("grid_id", "timestamp"), hours.select("grid_id", "timestamp").limit(0)
+    cases = {
+        "whole": (fact, rows, rows),
+        "repeated facts": (twice, rows, rows),
+        "no features": (fact, none, rows),
+        "no scores": (fact, rows, none),
+        "no facts": (fact.limit(0), rows, rows),
+    }
+    found = None
+    for name, (facts, made, scores) in cases.items():
+        gate = quality.dq_publish(facts, times, made, scores).select(F.lit(name).alias("case_name"), "rows_published", "duplicate_facts", "publishable")
+        found = gate if found is None else found.unionByName(gate)
+    return found

@@ -327,6 +327,42 @@ def stored_status(spark: SparkSession, sf: str) -> DataFrame:
     return reference.read_status(spark, path, multiline=False)
 
 
+@query(
+    "grid_reference_split",
+    rounded(
+        f"""SELECT grid_id, 'Polygon' AS geometry_type, 5 AS vertices, x0 AS first_longitude, y1 AS max_latitude, TRUE AS many_splits FROM ({v.cells_sql()})""",
+        "first_longitude max_latitude",
+        "grid_id, geometry_type, vertices, many_splits",
+    ),
+)
+def _(spark, sf):
+    """The cells of one large document, which is read in many splits."""
+    from cellwatch.functions import geometry as geo
+
+    path = runtime.scratch_path(spark, "one-document")
+    cells = v.telemetry(spark, sf).select("grid_id").distinct().withColumn("band", F.lit(0))
+    v.one_document(cells).coalesce(1).write.text(path)
+    size = spark.read.format("binaryFile").load(path).agg(F.max("length")).first()[0]
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        # Splits of an eighth of the document, as a large one has at the usual size.
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(size // 8 + 1))
+        features = runtime.materialize(reference.read_split_features(spark, path), "features")
+        blocks = reference.split_records(spark, path).select("block").distinct().count()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    many = blocks > 4
+    shape = F.col("geometry")
+    return reference.grid_reference(features).select(
+        "grid_id",
+        "geometry_type",
+        F.size(geo.points(shape)).alias("vertices"),
+        shape[0][0][0][0].alias("first_longitude"),
+        geo.bounds(shape)["max_lat"].alias("max_latitude"),
+        F.lit(many).alias("many_splits"),
+    )
+
+
 @query(
     "pipeline_status_record",
     f"""SELECT run_id, run_timestamp, status, rows_in, rows_rejected, nulls_handled, rows_published, "AS_OF",
@@ -380,6 +416,26 @@ def _(spark, sf):
     return activity.scan_parquet(spark, path)
 
 
+@query(
+    "clustered_cell_hours",
+    rounded(
+        f"""WITH h AS ({H}), c AS (SELECT grid_id FROM h GROUP BY grid_id ORDER BY count(*) DESC, grid_id LIMIT 1)
+            SELECT timestamp, grid_id, total_activity, TRUE AS narrow FROM h WHERE grid_id = (SELECT grid_id FROM c)""",
+        "total_activity",
+        "timestamp, grid_id, narrow",
+    ),
+)
+def _(spark, sf):
+    """Hours of the cell with most of them from the clustered table; the files that may hold it are a part of all."""
+    hours, path = v.stored_hourly(spark, sf), runtime.scratch_path(spark, "clustered")
+    sinks.write_clustered(hours, path, rows_per_file=max(50, hours.count() // 64))
+    table = activity.scan_parquet(spark, path)
+    cell = hours.groupBy("grid_id").count().orderBy(F.desc("count"), "grid_id").first()["grid_id"]
+    spans = table.groupBy(F.input_file_name().alias("f")).agg(F.min("grid_id").alias("a"), F.max("grid_id").alias("b"))
+    share = spans.agg(F.count_if(F.lit(cell).between(F.col("a"), F.col("b"))) / F.count("*")).first()[0]
+    return table.where(F.col("grid_id") == cell).select("timestamp", "grid_id", "total_activity", F.lit(share < 0.5).alias("narrow"))
+
+
 @query(
     "sink_dashboard_csv",
     rounded(

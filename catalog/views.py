@@ -164,24 +164,33 @@ def _corner(grid_id: Column) -> tuple[Column, Column]:
     return F.lit(9.0) + F.lit(0.003) * F.pmod(at, F.lit(100)), F.lit(45.35) + F.lit(0.002) * F.floor(at / 100)
 
 
-def feature_documents(cells: DataFrame) -> DataFrame:
-    """FeatureCollection documents, one per hundred cells."""
-    x, y = _corner(F.col("grid_id"))
+def _feature(grid_id: Column) -> Column:
+    x, y = _corner(grid_id)
     x2, y2 = x + F.lit(0.003), y + F.lit(0.002)
     ring = F.array(F.array(x, y), F.array(x2, y), F.array(x2, y2), F.array(x, y2), F.array(x, y))
-    feature = F.struct(
+    return F.struct(
         F.lit("Feature").alias("type"),
-        F.struct(F.col("grid_id").alias("cellId")).alias("properties"),
+        F.struct(grid_id.alias("cellId")).alias("properties"),
         F.struct(F.lit("Polygon").alias("type"), F.array(ring).alias("coordinates")).alias("geometry"),
     )
+
+
+def feature_documents(cells: DataFrame) -> DataFrame:
+    """FeatureCollection documents, one per hundred cells."""
     return (
-        cells.withColumn("feature", feature)
+        cells.withColumn("feature", _feature(F.col("grid_id")))
         .groupBy(F.floor((F.col("grid_id") - 1) / 100).alias("band"))
         .agg(F.collect_list("feature").alias("features"))
         .select(F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), "features")).alias("value"))
     )
 
 
+def one_document(cells: DataFrame) -> DataFrame:
+    """A FeatureCollection of all cells as one document."""
+    body = F.array_join(F.collect_list(F.to_json(_feature(F.col("grid_id")))), ", ")
+    return cells.agg(F.concat(F.lit('{"type": "FeatureCollection", "name": "grid", "features": [ '), body, F.lit(" ]}")).alias("value"))
+
+
 def grid_features(spark: SparkSession, sf: str, cells: int | None = None) -> DataFrame:
     """GeoJSON of the cells seen in the events, written and read back."""
     seen = telemetry(spark, sf, cells).select("grid_id").distinct()

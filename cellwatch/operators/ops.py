@@ -106,6 +106,7 @@ def risk_lookup(
 
 def top_attention(scores: DataFrame, anomalies: DataFrame, limit: int = 20) -> DataFrame:
     """Highest risk of the latest scored hour with that hour's anomaly."""
+    _check_limit(limit)
     latest = scores.agg(F.max("timestamp")).scalar()
     top = scores.where(F.col("timestamp") == latest).orderBy(F.desc("risk_score"), "grid_id").limit(limit)
     keys = ["grid_id", "timestamp"]
@@ -118,6 +119,7 @@ def surging_grids(
     features: DataFrame, cells: DataFrame, as_of: Column, min_baseline: float = 50.0, limit: int = 10
 ) -> DataFrame:
     """Cells growing most against their baseline at `as_of`, with location."""
+    _check_limit(limit)
     rows = features.where((F.col("feature_timestamp") == as_of) & (F.col("avg_activity") >= min_baseline))
     top = _top(rows, [F.round("activity_growth", 9).desc(), F.asc("grid_id")], limit)
     places = cells.select("grid_id", "centroid_latitude", "centroid_longitude").join(

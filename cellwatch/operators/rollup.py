@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from cellwatch.functions.columns import calendar, hour_number, share_exact, share_rounded, totals
 from cellwatch.schemas import GRID_ID_MAX, GRID_ID_MIN, MEASURES
 
+# Logarithm of the registers of a sketch: 4,096, for a standard error of 1.6 % in at most 4 KB.
+SKETCH_PRECISION = 12
 DAY_SUMS = ["total_sms", "total_calls", "internet_activity", "total_activity"]
 
 
@@ -71,6 +73,37 @@ def daily_kpi(hourly: DataFrame, approximate: bool = False) -> DataFrame:
     return per_cell.groupBy("date").agg(*_sums(DAY_SUMS), F.count("*").alias("active_grids"))
 
 
+def daily_sketches(activity: DataFrame, precision: int = SKETCH_PRECISION) -> DataFrame:
+    """Mergeable state of the KPIs and the ingestion profile per date: sums, records, and sketches of distinct cells, countries and hours.
+
+    States of several dates, or of several loads of one date, together give
+    those of all their rows; see `sketched_kpi`.
+    """
+    total = sum((F.coalesce(m, F.lit(0)) for m in MEASURES[1:]), F.coalesce(MEASURES[0], F.lit(0)))
+    return activity.groupBy(F.to_date("timestamp").alias("date")).agg(
+        F.count("*").alias("records"),
+        F.sum(total).cast("double").alias("total_activity"),
+        F.hll_sketch_agg("grid_id", precision).alias("grids"),
+        F.hll_sketch_agg("country_code", precision).alias("countries"),
+        F.hll_sketch_agg(hour_number(F.col("timestamp")).cast("bigint"), precision).alias("hours"),
+    )
+
+
+def sketched_kpi(states: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """Sums and estimated distinct counts of a window of states, whole or by `keys`; no raw row is read."""
+    counts = {"active_grids": "grids", "country_codes": "countries", "timestamps": "hours"}
+    return states.groupBy(*(keys or [])).agg(
+        F.sum("records").alias("records"),
+        F.sum("total_activity").alias("total_activity"),
+        *[F.hll_sketch_estimate(F.hll_union_agg(sketch)).alias(name) for name, sketch in counts.items()],
+    )
+
+
+def sketch_error(precision: int = SKETCH_PRECISION, deviations: float = 4.0) -> float:
+    """Relative error of an estimate that so many standard deviations allow."""
+    return deviations * 1.04 / 2 ** (precision / 2)
+
+
 def grid_kpi(hourly: DataFrame) -> DataFrame:
     return hourly.groupBy("grid_id").agg(*_sums(DAY_SUMS))
 

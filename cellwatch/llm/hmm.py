@@ -200,17 +200,25 @@ class Counts:
         self.emits = np.zeros_like(p.emits)
         self.likelihood = 0.0
 
-    def add(self, sequences: list[np.ndarray], before: np.ndarray | None = None, after: np.ndarray | None = None) -> None:
+    def add(self, sequences: list[np.ndarray], before: list | None = None, after: list | None = None) -> None:
         """Counts of sequences, or of pieces of some.
 
         `before` holds per piece the state probabilities at the token before
-        it, given all tokens up to there, and NaN where a sequence begins;
-        `after` the weights of the states at its last token by what follows.
+        it, given all tokens up to there, and None where a sequence begins;
+        `after` the weights of the states at its last token by what follows,
+        None where it ends.
         """
         p, n_states = self.p, len(self.p.start)
         order, starts, flat = _steps(sequences)
-        before = np.full((len(order), n_states), np.nan) if before is None else before[order]
-        after = np.ones((len(order), n_states)) if after is None else after[order]
+
+        def rows(given: list | None, default: float) -> np.ndarray:
+            out = np.full((len(order), n_states), default)
+            for i, x in enumerate(given or ()):
+                if x is not None:
+                    out[i] = x
+            return out[order]
+
+        before, after = rows(before, np.nan), rows(after, 1.0)
         begins = np.isnan(before[:, 0])
         first = np.where(begins[:, None], p.start[None, :], np.nan_to_num(before) @ p.moves)
         emitted = p.emits[flat]
@@ -248,39 +256,53 @@ class Counts:
 
 def _operators(pieces: list[np.ndarray], p: Parameters) -> np.ndarray:
     """Per piece the matrix, up to a factor, that takes state weights at the token before it to those at its last."""
+    n_states = len(p.start)
     order, starts, flat = _steps(pieces)
-    out = np.tile(np.eye(len(p.start)), (len(pieces), 1, 1))
-    for a, b in zip(starts[:-1].tolist(), starts[1:].tolist()):
-        now = out[: b - a] @ p.moves * p.emits[flat[a:b]][:, None, :]
-        out[: b - a] = now / now.max(axis=(1, 2), keepdims=True)
+    out = np.tile(np.eye(n_states), (len(pieces), 1, 1))
+    for step, (a, b) in enumerate(zip(starts[:-1].tolist(), starts[1:].tolist())):
+        n = b - a
+        now = (out[:n].reshape(n * n_states, n_states) @ p.moves).reshape(n, n_states, n_states) * p.emits[flat[a:b]][:, None, :]
+        if step % 8 == 7:  # few steps stay far from the least numbers
+            now /= now.max(axis=(1, 2), keepdims=True)
+        out[:n] = now
     back = np.empty_like(out)
-    back[order] = out
+    back[order] = out / out.max(axis=(1, 2), keepdims=True)
     return back
 
 
-def in_pieces(sequence: np.ndarray, p: Parameters, size: int = PIECE) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """A sequence in pieces, with what `Counts.add` asks about before and after each.
+def in_pieces(sequences: list[np.ndarray], p: Parameters, size: int = PIECE) -> Iterator[tuple[np.ndarray, np.ndarray | None, np.ndarray | None]]:
+    """Pieces of sequences, each with what `Counts.add` asks about before and after it, None where there is nothing.
 
-    Pieces become matrices side by side; only these are chained.
+    The pieces of all long sequences become matrices side by side; only these
+    are chained.
     """
-    n_states = len(p.start)
-    pieces = [sequence[at : at + size] for at in range(0, len(sequence), size)]
-    before, after = np.full((len(pieces), n_states), np.nan), np.ones((len(pieces), n_states))
-    if len(pieces) == 1:
-        return pieces, before, after
-    state = p.start * p.emits[sequence[0]]
-    # The first piece is chained without its first token, which the start stands for.
-    inner = _operators(([pieces[0][1:]] if size > 1 else []) + pieces[1:], p)
-    if size > 1:
-        state = state @ inner[0]
-        inner = inner[1:]
-    for k in range(1, len(pieces)):
-        before[k] = state / state.sum()
-        state = before[k] @ inner[k - 1]
-    for k in range(len(pieces) - 2, -1, -1):
-        weight = inner[k] @ after[k + 1]
-        after[k] = weight / weight.sum()
-    return pieces, before, after
+    long, inner = [], []
+    for sequence in sequences:
+        if len(sequence) <= size:
+            yield sequence, None, None
+            continue
+        pieces = [sequence[at : at + size] for at in range(0, len(sequence), size)]
+        # The first piece is chained without its first token, which the start stands for.
+        head = [pieces[0][1:]] if size > 1 else []
+        long.append((pieces, len(inner), len(head)))
+        inner += head + pieces[1:]
+    matrices = _operators(inner, p) if inner else None
+    for pieces, at, head in long:
+        own = matrices[at + head : at + head + len(pieces) - 1]
+        state = p.start * p.emits[pieces[0][0]]
+        if head:
+            state = state @ matrices[at]
+        before: list = [None]
+        for matrix in own:
+            before.append(state / state.sum())
+            state = before[-1] @ matrix
+        after: list = [None]
+        weight = np.ones(len(p.start))
+        for matrix in own[::-1]:
+            weight = matrix @ weight
+            weight = weight / weight.sum()
+            after.append(weight)
+        yield from zip(pieces, before, after[::-1])
 
 
 def _sequences(row: dict, keep: np.ndarray) -> Iterator[np.ndarray]:
@@ -304,19 +326,18 @@ def expected_counts(blocks: DataFrame, p: Parameters) -> tuple[Counts, int]:
         held, size = [], 0
 
         def add() -> None:
-            counts.add([h[0] for h in held], np.array([h[1] for h in held]), np.array([h[2] for h in held]))
+            counts.add(*map(list, zip(*held)))
             held.clear()
 
         for batch in batches:
             for i in range(batch.num_rows):
                 row = {name: batch.column(k)[i].as_py() for k, name in enumerate(batch.schema.names)}
-                for sequence in _sequences(row, ~np.array(row["held"], dtype=bool)):
-                    for part in zip(*in_pieces(sequence, sent.value)):
-                        held.append(part)
-                        size += len(part[0])
-                        if size >= BATCH:
-                            add()
-                            size = 0
+                for part in in_pieces(list(_sequences(row, ~np.array(row["held"], dtype=bool))), sent.value):
+                    held.append(part)
+                    size += len(part[0])
+                    if size >= BATCH:
+                        add()
+                        size = 0
         if held:
             add()
         likelihood = np.zeros((1, states))

@@ -83,12 +83,12 @@ def test_pieces_count_as_whole_sequences():
     whole.add(sequences)
     for size in (1, 2, 5, 8, 100):
         cut = hmm.Counts(p)
-        parts = [part for s in sequences for part in zip(*hmm.in_pieces(s, p, size))]
+        parts = list(hmm.in_pieces(sequences, p, size))
         # Pieces of all sequences in two lots, in any order.
         random.shuffle(parts)
         for lot in (parts[::2], parts[1::2]):
             if lot:
-                cut.add([x[0] for x in lot], np.array([x[1] for x in lot]), np.array([x[2] for x in lot]))
+                cut.add(*map(list, zip(*lot)))
         for name in ("start", "moves", "emits", "likelihood"):
             assert np.allclose(getattr(cut, name), getattr(whole, name)), (size, name)
 

@@ -28,14 +28,16 @@ BATCH_WORDS = 1_000_000
 class Windows:
     """The distinct windows of some benchmark items, by length."""
 
-    def __init__(self, items: list[tuple[int, list[bytes]]], window: int):
+    def __init__(self, items: list[tuple[int | None, list[bytes]]], window: int):
         self.ids: dict[bytes, int] = {}
         owners: dict[tuple, set] = defaultdict(set)
         for item, words in items:
             coded = [self.ids.setdefault(w, len(self.ids) + 1) for w in words]
             length = min(window, len(coded))
             for i in range(len(coded) - length + 1):
-                owners[tuple(coded[i : i + length])].add(item)
+                own = owners[tuple(coded[i : i + length])]
+                if item is not None:
+                    own.add(item)
         lengths: dict[int, list[tuple]] = defaultdict(list)
         for key in owners:
             lengths[len(key)].append(key)
@@ -94,7 +96,7 @@ def _batches(benchmark: DataFrame, window: int) -> Iterator[Windows]:
     held, size = [], 0
     for row in benchmark.select("item_id", "text").toLocalIterator():
         words = common.alnum_words(row["text"])
-        if not words or row["item_id"] is None:
+        if not words:
             continue
         # A long item is cut to pieces that overlap by a window less one word.
         for first in range(0, max(1, len(words) - window + 1), BATCH_WORDS):
@@ -114,7 +116,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     shorter item that has any. `spans` lists the merged stretches of hit words
     as (first, end) word places, `items` the ids of the items found. A document
     is contaminated if at least one word in twenty is hit. Null and empty texts
-    have no words and are clean; items without words or id are not searched.
+    have no words and are clean; items without words are not searched, and words
+    of items without id are hit but no item is named.
     Columns of `docs` with the names of new ones are replaced. Rows stay where
     they are: only the benchmark is sent, in batches of bounded size. Each
     further batch is one more pass whose spans are merged with the earlier.

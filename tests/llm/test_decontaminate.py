@@ -24,14 +24,14 @@ def brute(text, items, window):
     hit, found = set(), set()
     for item, item_text in items:
         own = common.alnum_words(item_text)
-        if not own or item is None:
+        if not own:
             continue
         size = min(window, len(own))
         for i in range(len(own) - size + 1):
             for j in range(len(words) - size + 1):
                 if words[j : j + size] == own[i : i + size]:
                     hit |= set(range(j, j + size))
-                    found.add(item)
+                    found |= {item} - {None}
     return len(words), len(hit), sorted(found)
 
 
@@ -56,3 +56,20 @@ def test_edges(spark, edges, nothing):
     assert decontaminate.decontaminate(nothing, benchmark).count() == 0
     empty = decontaminate.decontaminate(edges, benchmark.limit(0)).collect()
     assert not any(r["contaminated"] for r in empty) and next(r for r in empty if r["doc_id"] == 6)["n_words"] == 40_000
+
+
+def test_items_without_id_hit_words_as_the_sql_has_it(spark):
+    import duckdb
+
+    words = " ".join(f"w{i}" for i in range(40))
+    docs = [(1, words), (2, "other words " + " ".join(f"w{i}" for i in range(5, 25))), (3, None), (4, "clean text")]
+    items = [(None, " ".join(f"w{i}" for i in range(3, 20))), (7, " ".join(f"w{i}" for i in range(20, 36))), (None, ""), (None, "clean")]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.execute("CREATE TABLE benchmark (item_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", docs)
+    con.executemany("INSERT INTO benchmark VALUES (?, ?)", items)
+    found = decontaminate.report(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    names = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
+    want = con.execute(f"SELECT {', '.join(names)} FROM ({decontaminate.SQL})").fetchall()
+    assert sorted(tuple(r) for r in found.select(*names).collect()) == sorted(want)

@@ -31,7 +31,7 @@ KNOWN = 1 << 16
 STATES = 8
 ROUNDS = 6
 # Training works on pieces of so many tokens, and on so many tokens at a time.
-PIECE, BATCH = 512, 1 << 17
+PIECE, BATCH = 512, 1 << 18
 # Bytes of text in a block.
 BLOCK_BYTES = 4 << 20
 # Weight of the common distribution of classes in that of a state.
@@ -65,9 +65,6 @@ class Vocabulary:
         """Classes without the end, which is the last."""
         return self.own + self.buckets
 
-    def class_of(self, word: str, place: int | None) -> int:
-        return place if place is not None and place < self.own else self.own + common.xxh(word) % self.buckets
-
 
 def _coded(rows: pa.Table) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Distinct words of a block, its tokens (1 and on for words, 0 for the end of each text), and the tokens of each text."""
@@ -112,9 +109,22 @@ def word_counts(docs: DataFrame, held_out: Column) -> DataFrame:
 
 
 def vocabulary(totals: DataFrame) -> Vocabulary:
-    """The most frequent words, ties by word; a bounded number."""
-    top = totals.where(F.col("word") != END).orderBy(F.desc("c"), "word").limit(KNOWN).collect()
-    return Vocabulary({r["word"]: r["c"] for r in top}, min(FREQUENT, len(top)), BUCKETS)
+    """The most frequent words, at most KNOWN, by falling count and then by word.
+
+    Counts fall into steps of about a hundredth; the words above the last step
+    that leaves few enough come to the driver.
+    """
+    words = totals.where(F.col("word") != END)
+    step = F.floor(F.log2("c") * 64).cast("int")
+    held, least = 0, None
+    for row in words.groupBy(step.alias("step")).agg(F.count("*").alias("n")).orderBy(F.desc("step")).collect():  # at most 64 steps to a doubling
+        held += row["n"]
+        if held > KNOWN:
+            break
+        least = row["step"]
+    top = words.where(step >= least).collect() if least is not None else []
+    counts = {r["word"]: r["c"] for r in sorted(top, key=lambda r: (-r["c"], r["word"]))}
+    return Vocabulary(counts, min(FREQUENT, len(counts)), BUCKETS)
 
 
 def token_blocks(docs: DataFrame, held_out: Column, known: Vocabulary) -> DataFrame:
@@ -138,27 +148,37 @@ def token_blocks(docs: DataFrame, held_out: Column, known: Vocabulary) -> DataFr
 
 def _block(rows: pa.Table, known: Vocabulary, places: dict[str, int]) -> pa.RecordBatch:
     words, tokens, sizes = _coded(rows)
-    at = [places.get(w) for w in words]
-    classes = np.array([known.classes] + [known.class_of(w, i) for w, i in zip(words, at)], dtype="<i4")
-    counts = np.array([0] + [known.counts.get(w, 0) for w in words], dtype="<i8")
-    rare = [(number, w) for number, (w, i) in enumerate(zip(words, at), 1) if i is None]
+    at = [places.get(w, -1) for w in words]
+    classes = [known.classes] + [i if 0 <= i < known.own else known.own + common.xxh(w) % known.buckets for w, i in zip(words, at)]
+    counts = [0] + [known.counts[w] if i >= 0 else 0 for w, i in zip(words, at)]
+    numbers = np.flatnonzero(np.array(at, dtype=np.int64) < 0)
+    rare = pa.StructArray.from_arrays([pa.array(numbers + 1, pa.int32()), pa.array([words[i] for i in numbers.tolist()], pa.string())], ["number", "word"])
     one = lambda x, kind: pa.array([x], kind)
     return pa.RecordBatch.from_arrays(
         [
             one(rows.column("doc_id").to_pylist(), pa.list_(pa.int64())),
             one(rows.column("held").to_pylist(), pa.list_(pa.bool_())),
             one(sizes.astype("<i4").tobytes(), pa.binary()),
-            one(pa.compress(tokens.astype("<i4").tobytes(), codec="zstd", asbytes=True), pa.binary()),
-            one(classes.tobytes(), pa.binary()),
-            one(counts.tobytes(), pa.binary()),
-            one([{"number": n, "word": w} for n, w in rare], pa.list_(pa.struct([("number", pa.int32()), ("word", pa.string())]))),
+            one(_packed(tokens, "<i4"), pa.binary()),
+            one(_packed(classes, "<i4"), pa.binary()),
+            one(_packed(counts, "<i8"), pa.binary()),
+            pa.ListArray.from_arrays(pa.array([0, len(rare)], pa.int32()), rare),
         ],
         ["doc_ids", "held", "sizes", "tokens", "classes", "counts", "rare"],
     )
 
 
-def _tokens(packed: bytes, sizes: np.ndarray) -> np.ndarray:
-    return np.frombuffer(pa.decompress(packed, 4 * int(sizes.sum()), codec="zstd", asbytes=True), "<i4")
+def _packed(numbers, kind: str) -> bytes:
+    """Compressed, after the bytes at one place of all numbers are put together; the count of numbers stands before."""
+    data = np.asarray(numbers, dtype=kind)
+    planes = data.view(np.uint8).reshape(len(data), -1).T.tobytes()
+    return len(data).to_bytes(8, "little") + pa.compress(planes, codec="zstd", asbytes=True)
+
+
+def _unpacked(packed: bytes, kind: str) -> np.ndarray:
+    n, width = int.from_bytes(packed[:8], "little"), np.dtype(kind).itemsize
+    planes = np.frombuffer(pa.decompress(packed[8:], n * width, codec="zstd", asbytes=True), np.uint8)
+    return planes.reshape(width, n).T.copy(order="C").view(kind).ravel()
 
 
 def _steps(sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -308,7 +328,7 @@ def in_pieces(sequences: list[np.ndarray], p: Parameters, size: int = PIECE) ->
 def _sequences(row: dict, keep: np.ndarray) -> Iterator[np.ndarray]:
     """Class sequences of the kept documents of a block."""
     sizes = np.frombuffer(row["sizes"], "<i4")
-    classes = np.frombuffer(row["classes"], "<i4")[_tokens(row["tokens"], sizes)]
+    classes = _unpacked(row["classes"], "<i4")[_unpacked(row["tokens"], "<i4")]
     stops = np.cumsum(sizes).tolist()
     for doc, (a, b) in enumerate(zip([0, *stops], stops)):
         if keep[doc]:
@@ -413,9 +433,9 @@ def score(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS) -> DataFr
             for i in range(batch.num_rows):
                 row = {name: batch.column(k)[i] for k, name in enumerate(batch.schema.names)}
                 sizes = np.frombuffer(row["sizes"].as_py(), "<i4")
-                tokens = _tokens(row["tokens"].as_py(), sizes)
-                classes = np.frombuffer(row["classes"].as_py(), "<i4")
-                count = np.frombuffer(row["counts"].as_py(), "<i8").copy()
+                tokens = _unpacked(row["tokens"].as_py(), "<i4")
+                classes = _unpacked(row["classes"].as_py(), "<i4")
+                count = _unpacked(row["counts"].as_py(), "<i8")
                 if row["joined"].is_valid:
                     pairs = row["joined"].values
                     count[pairs.field("number").to_numpy()] = pairs.field("c").to_numpy()

@@ -104,7 +104,8 @@ def test_frequent_words_have_their_own_emission(spark, monkeypatch):
     totals = hmm.word_counts(df, hmm.is_held_out(df.doc_id))
     known = hmm.vocabulary(totals)
     assert sorted(list(known.counts)[: known.own]) == ["a0", "a1", "a2", "b0", "b1", "b2"]
-    assert len(known.counts) == 9 and known.classes == 8
+    # Words that share the next count are too many to be known.
+    assert len(known.counts) == 6 and known.classes == 8
     blocks = hmm.token_blocks(df, hmm.is_held_out(df.doc_id), known)
     p = hmm.train(blocks, np.full(9, 1 / 9), states=2, rounds=12)
     by_state = [{w: p.emits[i, s] for i, w in enumerate(list(known.counts)[:6])} for s in range(2)]

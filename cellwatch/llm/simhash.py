@@ -237,9 +237,9 @@ def shingle_counts(texts: DataFrame, shingle: int) -> np.ndarray:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["at", "n"])
 
-    rows = texts.select("text").mapInArrow(run, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
+    rows = texts.select("text").mapInArrow(run, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(1 << COUNT_BITS, dtype=np.int64)
-    out[rows["at"].to_numpy()] = rows["n"].to_numpy()
+    out[rows.column("at").to_numpy()] = rows.column("n").to_numpy()
     return out
 
 

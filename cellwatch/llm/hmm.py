@@ -138,20 +138,24 @@ def token_blocks(docs: DataFrame, held_out: Column, known: Vocabulary) -> DataFr
     schema = "doc_ids array<bigint>, held array<boolean>, sizes binary, tokens binary, classes binary, counts binary, rare array<struct<number:int,word:string>>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        places = {word: i for i, word in enumerate(sent.value.counts)}
+        places, by_place = {word: i for i, word in enumerate(sent.value.counts)}, np.array(list(sent.value.counts.values()), dtype=np.int64)
         for rows in _blocks_of(batches):
-            yield _block(rows, sent.value, places)
+            yield _block(rows, sent.value, places, by_place)
 
     source = docs.select(F.col("doc_id").cast("long"), held_out.alias("held"), "text")
     return materialize(source.mapInArrow(run, schema).withColumn("block", F.monotonically_increasing_id()), "token-blocks")
 
 
-def _block(rows: pa.Table, known: Vocabulary, places: dict[str, int]) -> pa.RecordBatch:
+def _block(rows: pa.Table, known: Vocabulary, places: dict[str, int], by_place: np.ndarray) -> pa.RecordBatch:
     words, tokens, sizes = _coded(rows)
-    at = [places.get(w, -1) for w in words]
-    classes = [known.classes] + [i if 0 <= i < known.own else known.own + common.xxh(w) % known.buckets for w, i in zip(words, at)]
-    counts = [0] + [known.counts[w] if i >= 0 else 0 for w, i in zip(words, at)]
-    numbers = np.flatnonzero(np.array(at, dtype=np.int64) < 0)
+    at = np.array([places.get(w, -1) for w in words], dtype=np.int64)
+    classes, counts = np.empty(len(words) + 1, dtype=np.int64), np.zeros(len(words) + 1, dtype=np.int64)
+    classes[0], classes[1:] = known.classes, at
+    shared = np.flatnonzero((at < 0) | (at >= known.own))
+    hashes = np.array([common.xxh(words[i]) for i in shared.tolist()], dtype=np.uint64)
+    classes[1 + shared] = known.own + (hashes % np.uint64(known.buckets)).astype(np.int64)
+    counts[1 + np.flatnonzero(at >= 0)] = by_place[at[at >= 0]]
+    numbers = np.flatnonzero(at < 0)
     rare = pa.StructArray.from_arrays([pa.array(numbers + 1, pa.int32()), pa.array([words[i] for i in numbers.tolist()], pa.string())], ["number", "word"])
     one = lambda x, kind: pa.array([x], kind)
     return pa.RecordBatch.from_arrays(
@@ -244,48 +248,62 @@ class Counts:
         emitted = p.emits[flat]
         spans = list(zip(starts[:-1].tolist(), starts[1:].tolist()))
         alpha = np.empty_like(emitted)
-        scale = np.empty(len(flat))
+        scale, ones = np.empty(len(flat)), np.ones(n_states)
         for t, (a, b) in enumerate(spans):
-            now = (first if t == 0 else alpha[spans[t - 1][0] : spans[t - 1][0] + b - a] @ p.moves) * emitted[a:b]
-            scale[a:b] = now.sum(axis=1)
-            alpha[a:b] = now / scale[a:b, None]
+            now = alpha[a:b]
+            if t == 0:
+                now[:] = first
+            else:
+                np.matmul(alpha[spans[t - 1][0] : spans[t - 1][0] + b - a], p.moves, out=now)
+            now *= emitted[a:b]
+            np.matmul(now, ones, out=scale[a:b])
+            now /= scale[a:b, None]
         self.likelihood += float(np.log(scale).sum())
         beta = None
         gamma = alpha  # turned into state probabilities from the end
         for t in range(len(spans) - 1, -1, -1):
             a, b = spans[t]
-            # What ends here starts from what follows it, scaled to probabilities.
             going = 0 if beta is None else spans[t + 1][1] - spans[t + 1][0]
-            ending = after[going : b - a]
-            ending = ending / (alpha[a + going : b] * ending).sum(axis=1, keepdims=True)
             if going:
                 c, d = spans[t + 1]
-                onward = emitted[c:d] * beta / scale[c:d, None]
+                onward = emitted[c:d]  # not asked for again
+                onward *= beta
+                onward /= scale[c:d, None]
                 self.moves += p.moves * (alpha[a : a + going].T @ onward)
-                beta = np.concatenate((onward @ p.moves.T, ending))
-            else:
-                beta = ending
+                beta = onward @ p.moves.T
+            if going < b - a:
+                # What ends here starts from what follows it, scaled to probabilities.
+                ending = after[going : b - a]
+                ending = ending / (alpha[a + going : b] * ending).sum(axis=1, keepdims=True)
+                beta = np.concatenate((beta, ending)) if going else ending
             if t == 0:
                 self.start += (alpha[a:b] * beta)[begins].sum(axis=0)
                 onward = (emitted[a:b] * beta / scale[a:b, None])[~begins]
                 self.moves += p.moves * (before[~begins].T @ onward)
-            gamma[a:b] = alpha[a:b] * beta
+            gamma[a:b] *= beta
         for s in range(n_states):
             self.emits[:, s] += np.bincount(flat, weights=gamma[:, s], minlength=len(self.emits))
 
 
 def _operators(pieces: list[np.ndarray], p: Parameters) -> np.ndarray:
-    """Per piece the matrix, up to a factor, that takes state weights at the token before it to those at its last."""
+    """Per piece the matrix, up to a factor, that takes state weights at the token before it to those at its last.
+
+    In single precision, which tells the shares of the states to seven digits;
+    emissions count relative to those of the likeliest state, so that products
+    stay far from the least numbers between the steps that scale them.
+    """
     n_states = len(p.start)
     order, starts, flat = _steps(pieces)
-    out = np.tile(np.eye(n_states), (len(pieces), 1, 1))
+    moves, emits = p.moves.astype(np.float32), (p.emits / p.emits.max(axis=1, keepdims=True)).astype(np.float32)
+    out = np.tile(np.eye(n_states, dtype=np.float32), (len(pieces), 1, 1))
+    room = np.empty_like(out)
     for step, (a, b) in enumerate(zip(starts[:-1].tolist(), starts[1:].tolist())):
         n = b - a
-        now = (out[:n].reshape(n * n_states, n_states) @ p.moves).reshape(n, n_states, n_states) * p.emits[flat[a:b]][:, None, :]
-        if step % 8 == 7:  # few steps stay far from the least numbers
+        np.matmul(out[:n].reshape(n * n_states, n_states), moves, out=room[:n].reshape(n * n_states, n_states))
+        now = np.multiply(room[:n], emits[flat[a:b]][:, None, :], out=out[:n])
+        if step % 8 == 7:
             now /= now.max(axis=(1, 2), keepdims=True)
-        out[:n] = now
-    back = np.empty_like(out)
+    back = np.empty(out.shape)
     back[order] = out / out.max(axis=(1, 2), keepdims=True)
     return back
 

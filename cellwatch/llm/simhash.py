@@ -361,6 +361,14 @@ def candidate_pairs(entries: DataFrame, similarity: float, block: int = BLOCK) -
     return met.where(once & _fit(p, q, similarity)).select(F.least("p.node", "q.node").alias("a"), F.greatest("p.node", "q.node").alias("b")).distinct()
 
 
+def _crossing(entries: DataFrame, links: DataFrame) -> DataFrame:
+    """Entries with `root`, their component by the links so far, of shingles that join components."""
+    rooted = entries.join(connected_components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rooted = materialize(rooted, "rooted")
+    several = rooted.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("token")
+    return materialize(rooted.join(several, "token", "left_semi"), "crossing")
+
+
 def _similar(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """Pairs whose sets of shingles have at least this Jaccard similarity, less those that links of the task connect already."""
     both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
@@ -399,13 +407,19 @@ def _placed(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
     texts = materialize(found, "shingle-texts")
     entries = prefixes(texts, shingle_counts(texts, shingle), shingle, similarity)
     stars = materialize(token_stars(entries, similarity), "token-stars")
-    # First each text meets the representatives of its shingles; then only texts of different components meet.
+    # First each text meets the representatives of its shingles.
     p, q = {"at": F.col("at"), "size": F.col("size")}, {"at": F.col("rep_at"), "size": F.col("rep_size")}
     spokes = stars.where((F.col("node") != F.col("rep")) & _fit(p, q, similarity)).select(F.least("node", "rep").alias("a"), F.greatest("node", "rep").alias("b")).distinct()
     links = materialize(_similar(spokes, texts, shingle, similarity), "star-links")
-    known = connected_components(links)
-    rooted = stars.select("token", "node", "at", "size").join(known, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    pairs = candidate_pairs(materialize(rooted, "rooted"), similarity)
+    crossing = _crossing(stars.select("token", "node", "at", "size"), links)
+    # Then, of what is still apart, the text that has the shingle at its earliest place: copies with changes of their
+    # own are often similar to the common original alone, which has no rarer shingles.
+    hub = crossing.groupBy("token").agg(F.min(F.struct("at", "size", "node", "root")).alias("hub"))
+    apart = crossing.join(hub, "token").where((F.col("root") != F.col("hub.root")) & _fit(p, {c: F.col(f"hub.{c}") for c in p}, similarity))
+    spokes = apart.select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct()
+    links = links.unionByName(materialize(_similar(spokes, texts, shingle, similarity), "hub-links"))
+    # Then all that share a shingle and are in different components.
+    pairs = candidate_pairs(_crossing(crossing.drop("root"), links), similarity)
     roots = connected_components(links.unionByName(materialize(_similar(pairs, texts, shingle, similarity), "other-links")))
     placed = nodes.join(roots, "node", "left").select("digest", F.coalesce("root", "node").alias("root"))
     return rows.join(placed, "digest").select("doc_id", "mark", "root")

@@ -149,3 +149,22 @@ def test_large_group_of_near_copies_and_boilerplate(spark):
     got = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(frame).collect()}
     sets = {i: {tuple(d[k : k + 5]) for k in range(len(d) - 4)} for i, d in enumerate(docs)}
     assert got == roots(list(sets), lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
+
+
+def test_copies_of_an_original_meet_it_and_not_each_other(spark, monkeypatch):
+    """Each copy is similar to the original alone; few pairs must be looked at."""
+    rng = random.Random(11)
+    base = [f"b{i}" for i in range(64)]
+    docs = [list(base)]
+    for _ in range(250):
+        copy = list(base)
+        for at in rng.sample(range(10, 54), 1):
+            copy[at] = f"c{rng.random()}"
+        docs.append(copy)
+    rng.shuffle(docs)
+    seen = []
+    plain = simhash.candidate_pairs
+    monkeypatch.setattr(simhash, "candidate_pairs", lambda *a, **k: seen.append(plain(*a, **k)) or seen[-1])
+    frame = spark.createDataFrame([(i, " ".join(d)) for i, d in enumerate(docs)], "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(frame).collect()}
+    assert set(got.values()) == {0} and seen[0].count() < 1000

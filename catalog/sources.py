@@ -250,8 +250,8 @@ def _(spark, sf):
     run()
     _land(spark, sf, folder, F.dayofmonth("timestamp") <= 12, "sms-call-internet-mi-again-")
     run()
-    stored = spark.read.parquet(raw).groupBy("source_file").agg(F.count("*").alias("stored"))
-    files = spark.read.parquet(audit).join(stored, F.col("filename") == F.col("source_file"), "left")
+    stored = landing_stream.read_rows(spark, raw).groupBy("source_file").agg(F.count("*").alias("stored"))
+    files = landing_stream.read_audit(spark, audit).join(stored, F.col("filename") == F.col("source_file"), "left")
     return files.groupBy("status").agg(F.count("*").alias("files"), F.sum("row_count").alias("rows"), F.sum(F.coalesce("stored", F.lit(0))).alias("stored_rows"))
 
 

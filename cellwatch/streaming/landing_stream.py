@@ -17,10 +17,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from cellwatch import runtime
-from cellwatch.schemas import GRID_ID_MAX, LANDING_PATTERN
+from cellwatch.schemas import GRID_ID_MAX, LANDING_PATTERN, RAW_TO_CANONICAL
 from cellwatch.sources import landing
 
 AUDIT_SCHEMA = "filename string, status string, row_count bigint, reason string, digest string, processed_at timestamp, batch_id bigint"
+ROWS_SCHEMA = "source_file string, " + ", ".join(f"{c} string" for c in RAW_TO_CANONICAL.values()) + ", batch_id bigint"
 
 
 def start_landing(
@@ -51,6 +52,7 @@ def start_landing(
         land_batch(batch, batch_id, audit_path, raw_path, landing.empty_files(batch.sparkSession, folder, pattern), grid_id_max, name)
 
     ensure_audit(spark, audit_path)
+    ensure_rows(spark, raw_path)
     return (
         stream.writeStream.foreachBatch(run)
         .option("checkpointLocation", checkpoint)
@@ -76,7 +78,7 @@ def land_batch(
     session = batch.sparkSession
     lines, names = landing.parse_text(batch)
     headers = runtime.materialize(landing.file_headers(lines), "headers")
-    audit = session.read.schema(AUDIT_SCHEMA).parquet(audit_path).where(F.col("batch_id") != batch_id)
+    audit = read_audit(session, audit_path).where(F.col("batch_id") != batch_id)
     named = name(F.col("file"))
     new_empty = empty.withColumn("filename", named).join(audit.select("filename"), "filename", "left_anti").select("file")
     unread = landing.unread_files(names.unionByName(new_empty).distinct(), headers)
@@ -85,7 +87,7 @@ def land_batch(
     records = landing.audit_records(landing.landing_route(verdicts, audit)).withColumn("batch_id", F.lit(batch_id))
     replace_batch(records, audit_path)
     # The stored audit decides what is kept, so both outputs agree.
-    stored = session.read.schema(AUDIT_SCHEMA).parquet(audit_path).where(F.col("batch_id") == batch_id)
+    stored = read_audit(session, audit_path).where(F.col("batch_id") == batch_id)
     kept = stored.join(verdicts.select("filename", "file"), "filename").select("file", "status")
     replace_batch(landing.accepted_rows(lines, headers, kept, name).withColumn("batch_id", F.lit(batch_id)), raw_path)
 
@@ -102,3 +104,17 @@ def replace_batch(df: DataFrame, path: str) -> None:
 def ensure_audit(spark: SparkSession, path: str) -> None:
     """An empty audit table where there is none yet; an existing one stays."""
     spark.createDataFrame([], AUDIT_SCHEMA).write.mode("ignore").partitionBy("batch_id").parquet(path)
+
+
+def ensure_rows(spark: SparkSession, path: str) -> None:
+    """An empty table of accepted rows where there is none yet; an existing one stays."""
+    spark.createDataFrame([], ROWS_SCHEMA).write.mode("ignore").partitionBy("batch_id").parquet(path)
+
+
+def read_audit(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(AUDIT_SCHEMA).parquet(path)
+
+
+def read_rows(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of accepted files; none where no file was accepted, which leaves no file to take a schema from."""
+    return spark.read.schema(ROWS_SCHEMA).parquet(path)

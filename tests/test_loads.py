@@ -6,12 +6,13 @@ from datetime import timedelta
 import pytest
 from pyspark.sql import functions as F
 
+import catalog
 from cellwatch.operators import cleaning, rollup
 from cellwatch.plans import batch
 from cellwatch.schemas import MEASURES, RAW_COLUMNS
 from cellwatch.sources import landing
 from cellwatch.streaming import landing_stream
-from helpers import hour, rows_of
+from helpers import START, hour, rows_of
 
 HEADER = ",".join(RAW_COLUMNS)
 NAME = "sms-call-internet-mi-2024-01-{:02d}.csv"
@@ -129,6 +130,26 @@ def test_wider_grid_passes_the_gate_where_the_job_allows_it(spark, tmp_path):
     assert [r.status for r in spark.read.parquet(paths[0]).collect()] == ["ACCEPTED"]
 
 
+def test_stream_that_accepts_no_file_leaves_an_empty_table(spark, tmp_path):
+    # Users beyond the grid: each file has a cell outside it, as at 1 GB.
+    rows = [(i, START + timedelta(days=i % 14, hours=1), 10_000 + i, "click", 1.0, '{"k": 1}') for i in range(28)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").write.parquet(str(tmp_path / "events.parquet"))
+    found = catalog.QUERIES["landing_stream"](spark, str(tmp_path)).collect()
+    # Fourteen days' files, and those of twelve days sent again; two days' files lack a column.
+    assert [(r.status, r.files, r.stored_rows) for r in found] == [("REJECTED", 26, 0)]
+    folder = tmp_path / "landing"
+    folder.mkdir()
+    paths = [str(tmp_path / p) for p in ("audit", "raw", "checkpoint")]
+    write(folder, 1, [line(1, cell=25_000)])
+    landing_stream.start_landing(spark, str(folder), *paths).awaitTermination()
+    assert landing_stream.read_rows(spark, paths[1]).count() == 0
+    write(folder, 2, [line(2)])
+    landing_stream.start_landing(spark, str(folder), *paths).awaitTermination()
+    stored = landing_stream.read_rows(spark, paths[1])
+    assert sorted(stored.dtypes) == sorted(spark.read.parquet(paths[1]).withColumn("batch_id", F.col("batch_id").cast("long")).dtypes)
+    assert [(r.source_file, r.grid_id) for r in stored.collect()] == [(NAME.format(2), "1")]
+
+
 def test_retried_batch_and_sent_again_files_add_no_row(spark, tmp_path):
     folder = tmp_path / "landing"
     folder.mkdir()

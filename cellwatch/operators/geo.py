@@ -23,6 +23,8 @@ from cellwatch.sources.reference import one_per_cell
 FIRST_LEVEL, LAST_LEVEL = 8, 48
 # A finest bin holds at most so many times the cells a search needs.
 BIN_CROWD = 8
+# Cells of which one task of the search compares the bins around, some hundred pairs each.
+SEARCH_CELLS = 4096
 # Cells of a tile: with a rim of one cell, a square of 64 meets 36 foreign ones.
 TILE_CELLS = 64
 
@@ -134,10 +136,12 @@ def grid_neighbours(cells: DataFrame, k: int = 8) -> DataFrame:
 
     Exact without comparing all pairs. Each cell takes the finest bin level at
     which its own bin holds k+1 cells. Its k-th neighbour is then within one
-    bin diagonal, so the bins two steps around hold the answer. Dense areas use
-    small bins, sparse ones large bins; levels are added until the finest bins
-    hold few cells, so a far outlier does not crowd the rest. Distances equal
-    to twelve decimals fall by cell id.
+    bin diagonal, so the bins two steps around hold the answer, and pairs
+    further apart are dropped as they meet. Dense areas use small bins, sparse
+    ones large bins; levels are added until the finest bins hold few cells, so a
+    far outlier does not crowd the rest. The bins to look at are dealt to as
+    many tasks as the number of cells asks for. Distances equal to twelve
+    decimals fall by cell id.
     """
     if not 1 <= k <= 100:
         raise ValueError("k must be between 1 and 100")
@@ -183,20 +187,26 @@ def grid_neighbours(cells: DataFrame, k: int = 8) -> DataFrame:
             F.coalesce("own.bx", F.lit(0)).alias("_x"),
             F.coalesce("own.by", F.lit(0)).alias("_y"),
         )
+        .withColumn("_extent", extent)
+        .withColumn("_reach", 2 * F.pow(F.col("_extent")["span"] / F.pow(F.lit(2.0), F.col("level")), F.lit(2.0)) * (1 + 1e-9) + 2e-12)
+        .drop("_extent")
         .withColumn("bx", F.explode(F.transform(step, lambda d: F.col("_x") + d)))
         .withColumn("by", F.explode(F.transform(step, lambda d: F.col("_y") + d)))
+        .drop("_x", "_y")
+        .repartition(max(1, -(-points.count() // SEARCH_CELLS)), *place)
     )
     lon, lat = F.col("centroid_longitude") - F.col("_lon"), F.col("centroid_latitude") - F.col("_lat")
+    distance = lat * lat + lon * lon
     nearest = W.partitionBy("origin_id").orderBy(F.round("distance", 12), "neighbour_id")
     return (
         origins.join(held, place)
-        .where(F.col("grid_id") != F.col("origin_id"))
+        .where((F.col("grid_id") != F.col("origin_id")) & ((distance <= F.col("_reach")) | F.isnan(distance)))
         .select(
             "origin_id",
             F.col("grid_id").alias("neighbour_id"),
             "centroid_latitude",
             "centroid_longitude",
-            (lat * lat + lon * lon).alias("distance"),
+            distance.alias("distance"),
         )
         .withColumn("rank", F.row_number().over(nearest))
         .where(F.col("rank") <= k)

@@ -1,5 +1,6 @@
 import json
 import random
+import re
 
 import pytest
 
@@ -106,6 +107,16 @@ def test_nearest_cells_match_brute_force(spark, kind, k):
     assert got == brute_force(points, k)
 
 
+def test_nearest_cells_are_searched_by_as_many_tasks_as_cells_ask_for(spark, monkeypatch):
+    monkeypatch.setattr(geo, "SEARCH_CELLS", 16)
+    points = _points("cluster and outliers")
+    cells = spark.createDataFrame(points, "grid_id int, centroid_longitude double, centroid_latitude double").coalesce(1)
+    found = geo.grid_neighbours(cells, 8)
+    assert {(r.grid_id, r.neighbour_id, r["rank"]) for r in found.collect()} == brute_force(points, 8)
+    deals = re.findall(r"hashpartitioning\(.*?, (\d+)\), REPARTITION_BY_NUM", found._jdf.queryExecution().toString())
+    assert set(deals) == {str(-(-len(points) // 16))}
+
+
 def test_neighbour_activity_keeps_cells_without_neighbours(spark):
     rows = hourly(spark, [(1, 0, 4), (2, 0, 6), (3, 0, 10), (1, 1, 5)])
     near = spark.createDataFrame([(1, 2), (1, 3)], "grid_id int, neighbour_id int")

@@ -396,8 +396,11 @@ def _similar(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float
     return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def _placed(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """(doc_id, mark, root) of each row with a doc_id: root names its component."""
+def _placed(docs: DataFrame, shingle: int, similarity: float, radius: int | None = None) -> DataFrame:
+    """(doc_id, mark, root) of each row with a doc_id: root names its component.
+
+    With a `radius` texts whose fingerprints link within it are copies too.
+    """
     rows = materialize(shingle_sets(docs.where("doc_id is not null"), shingle), "shingle-sets")
     # Equal sets are one node, numbered in the stored table; its text is one of its first document.
     first = rows.groupBy("digest").agg(F.min(F.struct("doc_id", "mark")).alias("first"))
@@ -405,12 +408,16 @@ def _placed(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
     named = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).withColumn("mark", F.xxhash64("text"))
     found = named.join(nodes.select("first.*", "node"), ["doc_id", "mark"]).groupBy("node").agg(F.first("text").alias("text"))
     texts = materialize(found, "shingle-texts")
+    near = texts.sparkSession.createDataFrame([], "a long, b long")
+    if radius is not None:
+        grouped = groups(texts.select(F.col("node").alias("doc_id"), "text"), radius=radius).where("doc_id <> component_id")
+        near = materialize(grouped.select(F.col("component_id").alias("a"), F.col("doc_id").alias("b")), "fingerprint-links")
     entries = prefixes(texts, shingle_counts(texts, shingle), shingle, similarity)
     stars = materialize(token_stars(entries, similarity), "token-stars")
     # First each text meets the representatives of its shingles.
     p, q = {"at": F.col("at"), "size": F.col("size")}, {"at": F.col("rep_at"), "size": F.col("rep_size")}
     spokes = stars.where((F.col("node") != F.col("rep")) & _fit(p, q, similarity)).select(F.least("node", "rep").alias("a"), F.greatest("node", "rep").alias("b")).distinct()
-    links = materialize(_similar(spokes, texts, shingle, similarity), "star-links")
+    links = near.unionByName(materialize(_similar(spokes, texts, shingle, similarity), "star-links"))
     crossing = _crossing(stars.select("token", "node", "at", "size"), links)
     # Then, of what is still apart, the text that has the shingle at its earliest place: copies with changes of their
     # own are often similar to the common original alone, which has no rarer shingles.
@@ -439,14 +446,17 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = SIMILARIT
     return placed.join(names, "root").select("doc_id", "component_id")
 
 
-def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = SIMILARITY) -> DataFrame:
+def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
     """Of each group of near copies the document with the smallest doc_id stays, all columns as they were.
 
+    Copies are texts whose SimHash fingerprints link within `radius`, as `groups`
+    finds them, and, by the exact join of `near_copies` that follows, those whose
+    shingle sets are similar though their fingerprints lie further apart.
     Of rows that repeat that doc_id and text one stays; a row with the doc_id of
     another but a text of its own is a document of its own. Rows without doc_id
     are kept: nothing names them.
     """
-    first = _placed(docs, shingle, similarity).groupBy("root").agg(F.min(F.struct("doc_id", "mark")).alias("first"))
+    first = _placed(docs, shingle, similarity, radius).groupBy("root").agg(F.min(F.struct("doc_id", "mark")).alias("first"))
     stays = first.select(F.col("first.doc_id").alias("__kept"), F.col("first.mark").alias("__text"))
     named = docs.where(F.col("doc_id").isNotNull())
     mark = F.xxhash64(F.coalesce("text", F.lit("")))

@@ -108,6 +108,21 @@ def test_repeated_doc_ids_with_different_texts_both_stay(spark):
     assert sorted((r["doc_id"], r["text"]) for r in simhash.keep_one(docs).collect()) == [(1, one), (1, other)]
 
 
+def test_copies_by_fingerprint_and_by_shingle_sets_are_dropped(spark):
+    rng = random.Random(3)
+    words = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    # One fingerprint, but few shingles in common: most of both texts is one repeated line.
+    refrain = "over and again " * 300
+    repeated = [refrain + words(6), refrain + words(6)]
+    base = words(60)
+    texts = [*repeated, base, base.replace(base.split()[30], "changed"), words(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    prints = {r["doc_id"]: int(r["fingerprint"], 16) for r in simhash.groups(docs).collect()}
+    assert (prints[0] ^ prints[1]).bit_count() <= 2 < (prints[2] ^ prints[3]).bit_count()
+    assert {r["doc_id"]: r["component_id"] for r in simhash.near_copies(docs).collect()} == {0: 0, 1: 1, 2: 2, 3: 2, 4: 4}
+    assert sorted(r["doc_id"] for r in simhash.keep_one(docs).collect()) == [0, 2, 4]
+
+
 def test_stars_hold_all_entries_of_common_tokens(spark):
     rng = random.Random(6)
     rows = sorted({(rng.choice([1, 1, 1, 2, 3, 4, 5, 6, rng.randrange(100)]), rng.randrange(40)) for _ in range(200)})

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from cellwatch.llm import common
 from cellwatch.llm.components import connected_components
-from cellwatch.runtime import materialize
+from cellwatch.runtime import discard, materialize
 
 SEED = 42
 SHINGLE = 3
@@ -366,11 +366,18 @@ def _crossing(entries: DataFrame, links: DataFrame) -> DataFrame:
     rooted = entries.join(connected_components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
     rooted = materialize(rooted, "rooted")
     several = rooted.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("token")
-    return materialize(rooted.join(several, "token", "left_semi"), "crossing")
+    crossing = materialize(rooted.join(several, "token", "left_semi"), "crossing")
+    discard(rooted)
+    return crossing
 
 
 def _similar(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """Pairs whose sets of shingles have at least this Jaccard similarity, less those that links of the task connect already."""
+    """Pairs whose sets of shingles have at least this Jaccard similarity, less those that links of the task connect already.
+
+    The pairs are stored, as a bit set of their nodes keeps most texts of no pair from moving.
+    """
+    pairs = materialize(pairs, "node-pairs")
+    texts = texts.where(common.may_be_among(F.col("node"), pairs.select(F.explode(F.array("a", "b")).alias("node"))))
     both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
 
     def shingles(text: str) -> set:
@@ -405,9 +412,10 @@ def _placed(docs: DataFrame, shingle: int, similarity: float, radius: int | None
     # Equal sets are one node, numbered in the stored table; its text is one of its first document.
     first = rows.groupBy("digest").agg(F.min(F.struct("doc_id", "mark")).alias("first"))
     nodes = materialize(first.withColumn("node", F.monotonically_increasing_id()), "shingle-nodes")
-    named = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).withColumn("mark", F.xxhash64("text"))
-    found = named.join(nodes.select("first.*", "node"), ["doc_id", "mark"]).groupBy("node").agg(F.first("text").alias("text"))
-    texts = materialize(found, "shingle-texts")
+    named = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).withColumn("mark", F.xxhash64("text"))
+    # Repeated rows become one and meet their node under one key, so that a text moves once.
+    once = named.groupBy("doc_id", "mark").agg(F.first("text").alias("text"))
+    texts = materialize(once.join(nodes.select("first.*", "node"), ["doc_id", "mark"]).select("node", "text"), "shingle-texts")
     near = texts.sparkSession.createDataFrame([], "a long, b long")
     if radius is not None:
         grouped = groups(texts.select(F.col("node").alias("doc_id"), "text"), radius=radius).where("doc_id <> component_id")
@@ -426,8 +434,10 @@ def _placed(docs: DataFrame, shingle: int, similarity: float, radius: int | None
     spokes = apart.select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct()
     links = links.unionByName(materialize(_similar(spokes, texts, shingle, similarity), "hub-links"))
     # Then all that share a shingle and are in different components.
-    pairs = candidate_pairs(_crossing(crossing.drop("root"), links), similarity)
+    rest = _crossing(crossing.drop("root"), links)
+    pairs = candidate_pairs(rest, similarity)
     roots = connected_components(links.unionByName(materialize(_similar(pairs, texts, shingle, similarity), "other-links")))
+    discard(texts, stars, crossing)
     placed = nodes.join(roots, "node", "left").select("digest", F.coalesce("root", "node").alias("root"))
     return rows.join(placed, "digest").select("doc_id", "mark", "root")
 

@@ -1,3 +1,4 @@
+import pathlib
 import random
 
 import numpy as np
@@ -6,6 +7,7 @@ from llm_edges import EDGES
 
 from cellwatch.llm import common, simhash
 from cellwatch.llm.components import connected_components
+from cellwatch.runtime import scratch_path
 
 
 def brute_fingerprint(text, width=3):
@@ -183,3 +185,14 @@ def test_copies_of_an_original_meet_it_and_not_each_other(spark, monkeypatch):
     frame = spark.createDataFrame([(i, " ".join(d)) for i, d in enumerate(docs)], "doc_id long, text string")
     got = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(frame).collect()}
     assert set(got.values()) == {0} and seen[0].count() < 1000
+
+
+def test_texts_and_entries_of_the_near_copy_stage_are_gone_when_its_rows_are_read(spark):
+    words = [f"w{i}" for i in range(60)]
+    docs = [(1, " ".join(words)), (2, " ".join([*words[:-1], "x"])), (3, " ".join(words[::-1])), (3, " ".join(words[::-1])), (4, None), (5, "")]
+    folder = pathlib.Path(scratch_path(spark, "x").removeprefix("file:")).parent
+    before = set(folder.iterdir()) if folder.exists() else set()
+    rows = simhash.keep_one(spark.createDataFrame(docs, "doc_id long, text string"))
+    left = {path.name.rsplit("-", 1)[0] for path in set(folder.iterdir()) - before}
+    assert left and not left & {"shingle-texts", "token-stars", "rooted"}
+    assert sorted(r["doc_id"] for r in rows.collect()) == [1, 3, 4]

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from cellwatch.operators import alerts, anomaly, baselines, cleaning, features, geo, guards, model, ops, quality, rollup, star
 from cellwatch.operators.tree import TreeModel
-from cellwatch.runtime import materialize
+from cellwatch.runtime import discard, materialize
 from cellwatch.schemas import GRID_ID_MAX, LANDING_PATTERN, MEASURES, MODEL_FEATURES
 from cellwatch.sources import activity, landing, reference, sinks
 
@@ -185,7 +185,10 @@ def load_signals(spark: SparkSession, out: Layout) -> None:
     out.write(features.network_features(hours), "features")
     ranges = ("non_finite_rows", "duplicate_rows", "active_hours_out_of_range", "internet_share_out_of_range")
     guards.require_passed(quality.dq_features(out.read(spark, "features")), zero=ranges)
-    out.write(model.chronological_split(features.model_dataset(hours)), "model_dataset")
+    # The split reads the hours of the dataset before its rows: stored, so that the windows run once.
+    dataset = materialize(features.model_dataset(hours), "model-rows")
+    out.write(model.chronological_split(dataset), "model_dataset")
+    discard(dataset)
     out.write(anomaly.anomaly_scores(baselines.hour_bucket_baseline(hours)), "anomalies")
 
 

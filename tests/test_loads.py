@@ -182,3 +182,18 @@ def test_text_is_read_once(spark, tmp_path):
     plans = [df._jdf.queryExecution().executedPlan().toString() for df in (headers, landing.landing_verdicts(lines, headers), landing.accepted_rows(lines, headers, headers.withColumn("status", F.lit("ACCEPTED"))))]
     assert not any("FileScan text" in p for p in plans)
     assert names.count() == 2 and headers.count() == 1
+
+
+def test_windows_of_the_model_rows_run_once(spark, tmp_path, monkeypatch):
+    """The split reads the dataset twice, its hours and its rows: it must be a stored table."""
+    out = batch.Layout(str(tmp_path))
+    telemetry = raw(spark, [(cell, h, float(1 + (h * cell) % 7)) for cell in (1, 2) for h in range(60)])
+    batch.load_activity(telemetry, out, "all")
+    plans, plain = [], batch.model.chronological_split
+    monkeypatch.setattr(batch.model, "chronological_split", lambda d: plans.append(d._jdf.queryExecution().optimizedPlan().toString()) or plain(d))
+    batch.load_signals(spark, out)
+    assert len(plans) == 1 and "Window" not in plans[0]
+    wanted = plain(batch.features.model_dataset(out.read(spark, "hourly")))
+    assert out.read(spark, "model_dataset").columns == wanted.columns
+    found = sorted(map(tuple, out.read(spark, "model_dataset").collect()))
+    assert found and found == sorted(map(tuple, wanted.collect()))

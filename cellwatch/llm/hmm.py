@@ -66,23 +66,23 @@ class Vocabulary:
         return self.own + self.buckets
 
 
-def _coded(rows: pa.Table) -> tuple[list[str], np.ndarray, np.ndarray]:
+def _coded(rows: pa.Table) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """Distinct words of a block, its tokens (1 and on for words, 0 for the end of each text), and the tokens of each text."""
     texts = pc.fill_null(rows.column("text").combine_chunks(), "")
     parts = pc.ascii_split_whitespace(pc.ascii_lower(texts))
     coded = parts.flatten().dictionary_encode()
-    words = ["" if w is None else w for w in coded.dictionary.to_pylist()]
+    words = coded.dictionary
     codes = coded.indices.to_numpy(zero_copy_only=False)
     ends = parts.offsets.to_numpy()[1:] - parts.offsets[0].as_py()
     # Splitting leaves empty parts at the ends of a text; they go, and one end is put after each text.
-    empty = words.index("") if "" in words else -1
+    empty = pc.index(words, "").as_py()
     solid = codes != empty
     before = np.concatenate(([0], np.cumsum(solid)))
     stops = before[ends]
     number = np.arange(1, len(words) + 1, dtype=np.int32)
     if empty >= 0:
         number[empty + 1 :] -= 1
-        words.pop(empty)
+        words = pa.concat_arrays([words[:empty], words[empty + 1 :]])
     tokens = np.insert(number[codes[solid]], stops, 0)
     return words, tokens, np.diff(np.concatenate(([0], stops))) + 1
 
@@ -102,7 +102,7 @@ def word_counts(docs: DataFrame, held_out: Column) -> DataFrame:
         for rows in _blocks_of(batches):
             words, tokens, _ = _coded(rows)
             count = np.bincount(tokens, minlength=len(words) + 1)
-            yield pa.RecordBatch.from_arrays([pa.array([END, *words], pa.string()), pa.array(count)], ["word", "n"])
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays([pa.array([END]), words]), pa.array(count)], ["word", "n"])
 
     told = docs.where(~held_out).select("text").mapInArrow(run, "word string, n long")
     return materialize(told.groupBy("word").agg(F.sum("n").alias("c")).where("c > 0"), "word-counts")
@@ -138,7 +138,7 @@ def token_blocks(docs: DataFrame, held_out: Column, known: Vocabulary) -> DataFr
     schema = "doc_ids array<bigint>, held array<boolean>, sizes binary, tokens binary, classes binary, counts binary, rare array<struct<number:int,word:string>>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        places, by_place = {word: i for i, word in enumerate(sent.value.counts)}, np.array(list(sent.value.counts.values()), dtype=np.int64)
+        places, by_place = pa.array(list(sent.value.counts), pa.string()), np.array(list(sent.value.counts.values()), dtype=np.int64)
         for rows in _blocks_of(batches):
             yield _block(rows, sent.value, places, by_place)
 
@@ -146,17 +146,26 @@ def token_blocks(docs: DataFrame, held_out: Column, known: Vocabulary) -> DataFr
     return materialize(source.mapInArrow(run, schema).withColumn("block", F.monotonically_increasing_id()), "token-blocks")
 
 
-def _block(rows: pa.Table, known: Vocabulary, places: dict[str, int], by_place: np.ndarray) -> pa.RecordBatch:
+def _hashes(words: pa.Array) -> np.ndarray:
+    """XXH64 of each word as `common.xxh` computes it, from the bytes as they lie."""
+    words = words.cast(pa.large_binary())
+    _, offsets, data = words.buffers()
+    ends = np.frombuffer(offsets, np.int64)[words.offset : words.offset + len(words) + 1].tolist()
+    held = data.to_pybytes() if data else b""
+    return np.array([common.xxh(held[a:b]) for a, b in zip(ends, ends[1:])], dtype=np.uint64)
+
+
+def _block(rows: pa.Table, known: Vocabulary, places: pa.Array, by_place: np.ndarray) -> pa.RecordBatch:
     words, tokens, sizes = _coded(rows)
-    at = np.array([places.get(w, -1) for w in words], dtype=np.int64)
+    at = pc.fill_null(pc.index_in(words, places), -1).to_numpy(zero_copy_only=False).astype(np.int64)
     classes, counts = np.empty(len(words) + 1, dtype=np.int64), np.zeros(len(words) + 1, dtype=np.int64)
     classes[0], classes[1:] = known.classes, at
     shared = np.flatnonzero((at < 0) | (at >= known.own))
-    hashes = np.array([common.xxh(words[i]) for i in shared.tolist()], dtype=np.uint64)
+    hashes = _hashes(words.take(pa.array(shared)))
     classes[1 + shared] = known.own + (hashes % np.uint64(known.buckets)).astype(np.int64)
     counts[1 + np.flatnonzero(at >= 0)] = by_place[at[at >= 0]]
     numbers = np.flatnonzero(at < 0)
-    rare = pa.StructArray.from_arrays([pa.array(numbers + 1, pa.int32()), pa.array([words[i] for i in numbers.tolist()], pa.string())], ["number", "word"])
+    rare = pa.StructArray.from_arrays([pa.array(numbers + 1, pa.int32()), words.take(pa.array(numbers))], ["number", "word"])
     one = lambda x, kind: pa.array([x], kind)
     return pa.RecordBatch.from_arrays(
         [
@@ -219,6 +228,8 @@ class Counts:
 
     def __init__(self, p: Parameters):
         self.p = p
+        # A row a state, so that each operation runs along the tokens.
+        self._emits = np.ascontiguousarray(p.emits.T)
         self.start = np.zeros_like(p.start)
         self.moves = np.zeros_like(p.moves)
         self.emits = np.zeros_like(p.emits)
@@ -240,24 +251,24 @@ class Counts:
             for i, x in enumerate(given or ()):
                 if x is not None:
                     out[i] = x
-            return out[order]
+            return out[order].T
 
         before, after = rows(before, np.nan), rows(after, 1.0)
-        begins = np.isnan(before[:, 0])
-        first = np.where(begins[:, None], p.start[None, :], np.nan_to_num(before) @ p.moves)
-        emitted = p.emits[flat]
+        begins = np.isnan(before[0])
+        moves_t = np.ascontiguousarray(p.moves.T)
+        emitted = np.take(self._emits, flat, axis=1)
         spans = list(zip(starts[:-1].tolist(), starts[1:].tolist()))
         alpha = np.empty_like(emitted)
-        scale, ones = np.empty(len(flat)), np.ones(n_states)
+        scale = np.empty(len(flat))
         for t, (a, b) in enumerate(spans):
-            now = alpha[a:b]
+            now = alpha[:, a:b]
             if t == 0:
-                now[:] = first
+                now[:] = np.where(begins, p.start[:, None], moves_t @ np.nan_to_num(before))
             else:
-                np.matmul(alpha[spans[t - 1][0] : spans[t - 1][0] + b - a], p.moves, out=now)
-            now *= emitted[a:b]
-            np.matmul(now, ones, out=scale[a:b])
-            now /= scale[a:b, None]
+                np.matmul(moves_t, alpha[:, spans[t - 1][0] : spans[t - 1][0] + b - a], out=now)
+            now *= emitted[:, a:b]
+            np.add.reduce(now, axis=0, out=scale[a:b])
+            now /= scale[a:b]
         self.likelihood += float(np.log(scale).sum())
         beta = None
         gamma = alpha  # turned into state probabilities from the end
@@ -266,23 +277,23 @@ class Counts:
             going = 0 if beta is None else spans[t + 1][1] - spans[t + 1][0]
             if going:
                 c, d = spans[t + 1]
-                onward = emitted[c:d]  # not asked for again
+                onward = emitted[:, c:d]  # not asked for again
                 onward *= beta
-                onward /= scale[c:d, None]
-                self.moves += p.moves * (alpha[a : a + going].T @ onward)
-                beta = onward @ p.moves.T
+                onward /= scale[c:d]
+                self.moves += p.moves * (alpha[:, a : a + going] @ onward.T)
+                beta = p.moves @ onward
             if going < b - a:
                 # What ends here starts from what follows it, scaled to probabilities.
-                ending = after[going : b - a]
-                ending = ending / (alpha[a + going : b] * ending).sum(axis=1, keepdims=True)
-                beta = np.concatenate((beta, ending)) if going else ending
+                ending = after[:, going : b - a]
+                ending = ending / (alpha[:, a + going : b] * ending).sum(axis=0)
+                beta = np.concatenate((beta, ending), axis=1) if going else ending
             if t == 0:
-                self.start += (alpha[a:b] * beta)[begins].sum(axis=0)
-                onward = (emitted[a:b] * beta / scale[a:b, None])[~begins]
-                self.moves += p.moves * (before[~begins].T @ onward)
-            gamma[a:b] *= beta
+                self.start += (alpha[:, a:b] * beta)[:, begins].sum(axis=1)
+                onward = (emitted[:, a:b] * beta / scale[a:b])[:, ~begins]
+                self.moves += p.moves * (before[:, ~begins] @ onward.T)
+            gamma[:, a:b] *= beta
         for s in range(n_states):
-            self.emits[:, s] += np.bincount(flat, weights=gamma[:, s], minlength=len(self.emits))
+            self.emits[:, s] += np.bincount(flat, weights=gamma[s], minlength=len(self.emits))
 
 
 def _operators(pieces: list[np.ndarray], p: Parameters) -> np.ndarray:
@@ -294,17 +305,18 @@ def _operators(pieces: list[np.ndarray], p: Parameters) -> np.ndarray:
     """
     n_states = len(p.start)
     order, starts, flat = _steps(pieces)
-    moves, emits = p.moves.astype(np.float32), (p.emits / p.emits.max(axis=1, keepdims=True)).astype(np.float32)
-    out = np.tile(np.eye(n_states, dtype=np.float32), (len(pieces), 1, 1))
-    room = np.empty_like(out)
+    moves_t = np.ascontiguousarray(p.moves.T.astype(np.float32))
+    emits = np.ascontiguousarray((p.emits / p.emits.max(axis=1, keepdims=True)).astype(np.float32).T)
+    # The pieces are the last axis, so that each operation runs along them.
+    out = np.repeat(np.eye(n_states, dtype=np.float32)[:, :, None], len(pieces), axis=2)
     for step, (a, b) in enumerate(zip(starts[:-1].tolist(), starts[1:].tolist())):
-        n = b - a
-        np.matmul(out[:n].reshape(n * n_states, n_states), moves, out=room[:n].reshape(n * n_states, n_states))
-        now = np.multiply(room[:n], emits[flat[a:b]][:, None, :], out=out[:n])
+        now = out[:, :, : b - a]
+        now[:] = np.matmul(moves_t, now)
+        now *= np.take(emits, flat[a:b], axis=1)
         if step % 8 == 7:
-            now /= now.max(axis=(1, 2), keepdims=True)
-    back = np.empty(out.shape)
-    back[order] = out / out.max(axis=(1, 2), keepdims=True)
+            now /= now.max(axis=(0, 1))
+    back = np.empty((len(pieces), n_states, n_states))
+    back[order] = (out / out.max(axis=(0, 1))).transpose(2, 0, 1)
     return back
 
 

@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from llm_edges import EDGES
 
 from cellwatch.llm import common, hmm
@@ -124,3 +125,20 @@ def test_scores_are_a_distribution_over_texts(spark, monkeypatch):
     docs = [(i, t) for i, t in enumerate(texts)] + [(100 + i, t) for i, t in enumerate(["", *"abcde", "unseen"])]
     rows = hmm.score(spark.createDataFrame(docs, "doc_id long, text string"), states=2, rounds=3).where("doc_id >= 100").collect()
     assert 0.1 < sum(10 ** r["score"] for r in rows) <= 1
+
+
+def test_words_of_a_block_are_coded_and_hashed_from_their_bytes():
+    texts = ["B b  a\tÄ 語 ", None, "", " ", "a " + "x" * 300, "ß\n\n語"]
+    rows = pa.table({"doc_id": range(len(texts)), "held": [False] * len(texts), "text": pa.array(texts, pa.string())})
+    words, tokens, sizes = hmm._coded(rows)
+    assert isinstance(words, pa.Array)  # distinct words don't become Python strings
+    names = ["", *words.to_pylist()]
+    parts = np.split(np.array(names, dtype=object)[tokens], np.cumsum(sizes)[:-1])
+    assert [list(p) for p in parts] == [[*(w.decode() for w in common.lower_words(t)), ""] for t in texts]
+    for some in (words, words[1:], words[:0]):
+        assert hmm._hashes(some).tolist() == [common.xxh(w) for w in some.to_pylist()]
+    known = hmm.Vocabulary({"b": 2, "a": 2, "語": 2}, 2, 5)
+    block = hmm._block(rows, known, pa.array(list(known.counts)), np.array([2, 2, 2])).to_pylist()[0]
+    assert {r["word"] for r in block["rare"]} == {"Ä", "ß", "x" * 300} and all(names[r["number"]] == r["word"] for r in block["rare"])
+    classes = dict(zip(names, hmm._unpacked(block["classes"], "<i4").tolist()))
+    assert classes == {w: 7 if w == "" else ["b", "a"].index(w) if w in ("b", "a") else 2 + common.xxh(w) % 5 for w in names}

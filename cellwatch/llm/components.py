@@ -15,7 +15,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
     round joins edges with the smallest neighbour of their end, which is
     aggregated map-side, so that a hub is never gathered in one task; the
     rounds grow with the logarithm of the longest path. Each round is stored,
-    so a lost executor repeats one round at most.
+    so a lost executor repeats one round at most. The joins are merges on the
+    shuffle of their aggregate: the driver builds no table to broadcast, however
+    many rounds there are.
     """
     a, b = (F.col(c) for c in edges.columns)
     stars = materialize(
@@ -43,10 +45,10 @@ def _large_star(stars: DataFrame) -> DataFrame:
     least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
     # Of both directions only (small, large) is moved: large hangs on the smallest neighbour of small.
     low = stars.select(F.col("v").alias("u"), F.col("u").alias("far"))
-    return low.join(least, "u").select(F.col("far").alias("u"), F.col("m").alias("v")).distinct()
+    return low.join(least.hint("merge"), "u").select(F.col("far").alias("u"), F.col("m").alias("v")).distinct()
 
 
 def _small_star(stars: DataFrame) -> DataFrame:
     least = stars.groupBy("u").agg(F.min("v").alias("m"))
     pairs = F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u").alias("u"), F.col("m").alias("v")))
-    return stars.join(least, "u").select(F.inline(pairs)).where("u <> v").distinct()
+    return stars.join(least.hint("merge"), "u").select(F.inline(pairs)).where("u <> v").distinct()

@@ -5,9 +5,9 @@ import numpy as np
 import xxhash
 from llm_edges import EDGES
 
-from cellwatch.llm import common, simhash
+from cellwatch.llm import common, components, simhash
 from cellwatch.llm.components import connected_components
-from cellwatch.runtime import scratch_path
+from cellwatch.runtime import materialize, scratch_path
 
 
 def brute_fingerprint(text, width=3):
@@ -196,3 +196,11 @@ def test_texts_and_entries_of_the_near_copy_stage_are_gone_when_its_rows_are_rea
     left = {path.name.rsplit("-", 1)[0] for path in set(folder.iterdir()) - before}
     assert left and not left & {"shingle-texts", "token-stars", "rooted"}
     assert sorted(r["doc_id"] for r in rows.collect()) == [1, 3, 4]
+
+
+def test_rounds_of_components_build_no_table_at_the_driver(spark):
+    stars = materialize(spark.createDataFrame([(i + 1, i) for i in range(9)], "u long, v long"), "stars")
+    for step in (components._large_star, components._small_star):
+        plan = step(stars)._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert {tuple(r) for r in components.connected_components(stars).collect()} == {(i, 0) for i in range(10)}

@@ -102,13 +102,15 @@ def _(spark, sf):
         sources._write_files(sources._raw_names(rows.drop("day")), folder)
 
     out, now = batch.Layout(root), F.lit("2024-02-01 00:00:00").cast("timestamp_ntz")
+    # The gate's grid is that of the view, which outgrows the default one.
+    last = v.grid_size(spark, sf, v.DENSE)
     land(files.where("day <= 20"))
-    batch.load_activity(batch.accept_landed(spark, folder, out, sources.PATTERN, load="run-1", name=sources._landed_name), out, "run-1")
+    batch.load_activity(batch.accept_landed(spark, folder, out, sources.PATTERN, last, "run-1", sources._landed_name), out, "run-1")
     batch.load_signals(spark, out)
     batch.score_risk(spark, out)
     land(files.where("day > 20"))
     record = batch.run_landed(
-        spark, folder, geojson, root, "run-2", sources.PATTERN, saved_model=out.path("risk_model"), name=sources._landed_name, multiline=False, now=now
+        spark, folder, geojson, root, "run-2", sources.PATTERN, last, saved_model=out.path("risk_model"), name=sources._landed_name, multiline=False, now=now
     )
     audit = spark.read.parquet(out.path("audit"))
     seen = audit.agg(F.count_if(F.col("status") == "ACCEPTED").alias("a"), F.count_distinct(F.when(F.col("status") == "REJECTED", F.col("filename"))).alias("r"))

@@ -41,11 +41,15 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def grid_size(spark: SparkSession, sf: str, cells: int) -> int:
+    """Cells of a dense view, numbered from 1; the count of rows is read from file footers."""
+    return cells * max(1, table(spark, sf, "events").count() // EVENTS_PER_VIEW)
+
+
 def _events(spark: SparkSession, sf: str, cells: int | None, since: Column | None = None) -> DataFrame:
     events = table(spark, sf, "events")
     if cells:
-        # A count of rows is read from file footers.
-        cell = F.col("user_id") % (cells * max(1, events.count() // EVENTS_PER_VIEW)) + 1
+        cell = F.col("user_id") % grid_size(spark, sf, cells) + 1
     else:
         cell = F.col("user_id") + 1
     if since is not None:

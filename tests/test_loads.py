@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import catalog
+from catalog import views
 from cellwatch.operators import cleaning, rollup
 from cellwatch.plans import batch
 from cellwatch.schemas import MEASURES, RAW_COLUMNS
@@ -197,3 +198,14 @@ def test_windows_of_the_model_rows_run_once(spark, tmp_path, monkeypatch):
     assert out.read(spark, "model_dataset").columns == wanted.columns
     found = sorted(map(tuple, out.read(spark, "model_dataset").collect()))
     assert found and found == sorted(map(tuple, wanted.collect()))
+
+
+def test_landed_run_accepts_all_cells_of_its_view(spark, tmp_path, monkeypatch):
+    # A view of more than the default grid's 10,000 cells, as from 25 million events on.
+    monkeypatch.setattr(views, "EVENTS_PER_VIEW", 1)
+    rows = [(n, START + timedelta(hours=n // 4), 10_000 + n % 4, "click", float(1 + n * n % 11), '{"k": 1}') for n in range(4 * 24 * 30)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").write.parquet(str(tmp_path / "events.parquet"))
+    (found,) = catalog.QUERIES["landed_run"](spark, str(tmp_path)).collect()
+    assert (found.status, found.accepted_files, found.rejected_files) == ("SUCCESS", 29, 1)
+    assert (found.rows_in, found.rows_published) == (4 * 24 * 10, 4 * 24 * 29)
+    assert found.saved_model_scored and found.signals_complete
